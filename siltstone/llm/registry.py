@@ -1,7 +1,7 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from siltstone.llm import decontaminate, licenses, mixing, token_files, tokens
+from siltstone.llm import decontaminate, licenses, mixing, token_files, tokens, topk
 
-MODULES = (mixing, licenses, decontaminate, tokens, token_files)
+MODULES = (mixing, topk, licenses, decontaminate, tokens, token_files)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}
