@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -18,8 +19,8 @@ from siltstone.llm.tokens import tokenizer, tokenizer_path
 #: Ids in a block; the last block of a part may hold fewer.
 BLOCK = 65_536
 END_ID = 1
-#: Most words whose ids a Python worker remembers; it starts anew beyond that.
-MEMO = 300_000
+#: Most words whose ids a Python worker remembers, and as many older ones.
+MEMO = 500_000
 
 #: A row is a block. part and block order the blocks; first is the place of its first id inside its part; n its ids; width the
 #: bytes of an id; planes the compressed planes, lowest first; crc the CRC-32 of the ids as stored. The chunk index: for each
@@ -32,7 +33,7 @@ _ARROW = pa.schema(
 )
 
 
-def split_planes(ids: np.ndarray, kind: str, level: int = 3) -> list[bytes]:
+def split_planes(ids: np.ndarray, kind: str, level: int = 1) -> list[bytes]:
     """The compressed planes of little-endian unsigned ids, lowest first."""
     import zstandard
 
@@ -59,29 +60,69 @@ def join_planes(planes: list[bytes], n: int, width: int, kind: str) -> np.ndarra
 class WordIds(dict):
     """Ids of words as bytes, filled as words come up.
 
-    Only for tokenizers whose pre-tokenizer drops white space, and whose normalizer works within words: there the ids of a
-    text are those of its words, one after another. White space is cut at the six ASCII kinds, which every such tokenizer
-    drops; a word may still hold others, and is then encoded as the library does.
+    Only for tokenizers whose pre-tokenizer drops white space, and whose normalizer works within words and ends in lower
+    case: there the ids of a text are those of its words in lower case, one after another. White space is cut at the six
+    ASCII kinds, which every such tokenizer drops; a word may still hold others, and is then encoded as the library does.
+    A text is also cut between a letter or digit and a mark of _CUT after it, where the pre-tokenizer always cuts.
     """
 
     def __init__(self, path: str, width: int) -> None:
-        self.own, self.width = tokenizer(path), width
+        self.own, self.width, self.older = tokenizer(path), width, {}
+        ends = [t.endswith("</w>") for t, _ in sorted(self.own.get_vocab().items(), key=lambda x: x[1])]
+        self.ends = np.array(ends)
 
     def learn(self, words: set[bytes]) -> None:
+        """Make all `words` known; beyond MEMO words those not seen for long are forgotten."""
         if len(self) + len(words) > MEMO:
+            self.older = dict(self)
             self.clear()
-        new = list(words - self.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        new = []
+        for w in words:
+            if (known := self.older.get(w)) is None:
+                new.append(w)
+            else:
+                self[w] = known
+        plain, rest = [], []
+        for w in new:
+            (plain if w.isalpha() or _LETTERS.fullmatch(w) else rest).append(w)
+        size = self.width
+        for at in range(0, len(plain), 512):
+            # a run of letters is one piece, whose last token alone is marked as an end
+            part = plain[at : at + 512]
+            ids = np.array(self.own.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, f"<u{size}")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * size
+            if len(cuts) != len(part):
+                raise ValueError("a run of letters did not stay one piece")
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(part, cuts.tolist(), strict=True):
+                self[w] = raw[a:b]
+                a = b
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
             for w, e in zip(part, self.own.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, f"<u{self.width}").tobytes()
+                self[w] = np.array(e.ids, f"<u{size}").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        self.learn(set().union(*words))
-        return [b"".join(map(self.__getitem__, w)) for w in words]
-
-
+        words, ends = [], []
+        for t in texts:
+            if b"<|" not in t:
+                words += _CUT.sub(b" ", t.lower()).split()
+            ends.append(len(words))
+        ids = list(map(self.get, words))
+        if missing := [k for k, x in enumerate(ids) if x is None]:
+            self.learn({words[k] for k in missing})
+            for k in missing:
+                ids[k] = self[words[k]]
+        return [self.whole(t) if b"<|" in t else b"".join(ids[a:b]) for t, a, b in zip(texts, [0, *ends], ends)]
+
+    def whole(self, text: bytes) -> bytes:
+        """As the library does: for texts that may hold a special token, whose letters are not to be changed."""
+        return np.array(self.own.encode(text.decode(), add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+
+
+#: Letters that are the same in every normal form, each in lower case or made so on its own.
+_LETTERS = re.compile("(?:[a-z]|\u00c3[\u0080-\u0096\u0098-\u00b6\u00b8-\u00bf])+".encode("latin-1"))
+_CUT = re.compile(rb"(?<=[a-z0-9])(?=[.,!?;:*#$%&])")
 _MEMOS: dict[tuple[str, int], WordIds] = {}
 
 
@@ -94,10 +135,12 @@ def drops_space(path: str) -> bool:
     split = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
     return (
         {s["type"] for s in steps} <= {"NFC", "Lowercase", "Replace"}
+        and any(s["type"] == "Lowercase" for s in steps)
+        and made["model"].get("end_of_word_suffix") == "</w>"
         and split.get("type") == "Split"
         and split.get("behavior") == "Removed"
         and made.get("post_processor") is None
-        and not any(a["lstrip"] or a["rstrip"] or a["content"] != a["content"].strip() or " " in a["content"] for a in made["added_tokens"])
+        and all(not (a["lstrip"] or a["rstrip"]) and a["content"].startswith("<|") and " " not in a["content"] for a in made["added_tokens"])
     )
 
 
