@@ -1,7 +1,7 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from siltstone.llm import decontaminate, langid, licenses, mixing, personal, token_files, tokens, topk
+from siltstone.llm import decontaminate, langid, licenses, lmscore, mixing, personal, token_files, tokens, topk
 
-MODULES = (langid, mixing, topk, licenses, decontaminate, tokens, token_files, personal)
+MODULES = (lmscore, langid, mixing, topk, licenses, decontaminate, tokens, token_files, personal)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}
