@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
 import zlib
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm._common import blobs, pieces, read, shared_dir
+from siltstone.llm._common import blobs, pieces, read, shared_dir, table
 from siltstone.llm.tokens import tokenizer, tokenizer_path
 
 #: Ids in a block; the last block of a part may hold fewer.
@@ -106,10 +107,14 @@ class WordIds(dict):
         words, ends = [], []
         for t in texts:
             if b"<|" not in t:
-                words += _CUT.sub(b" ", t.lower()).split()
+                words += _CUT.sub(rb" \g<0>", t.lower()).split()
             ends.append(len(words))
         ids = list(map(self.get, words))
-        if missing := [k for k, x in enumerate(ids) if x is None]:
+        missing, k = [], -1
+        with contextlib.suppress(ValueError):
+            while True:
+                missing.append(k := ids.index(None, k + 1))
+        if missing:
             self.learn({words[k] for k in missing})
             for k in missing:
                 ids[k] = self[words[k]]
@@ -122,7 +127,7 @@ class WordIds(dict):
 
 #: Letters that are the same in every normal form, each in lower case or made so on its own.
 _LETTERS = re.compile("(?:[a-z]|\u00c3[\u0080-\u0096\u0098-\u00b6\u00b8-\u00bf])+".encode("latin-1"))
-_CUT = re.compile(rb"(?<=[a-z0-9])(?=[.,!?;:*#$%&])")
+_CUT = re.compile(rb"[.,!?;:*#$%&](?<=[a-z0-9].)")
 _MEMOS: dict[tuple[str, int], WordIds] = {}
 
 
@@ -263,7 +268,7 @@ def documents_of(spark: SparkSession, target: str) -> DataFrame:
                     out.append({"part": r["part"], "ordinal": o, "doc_id": d, "at": r["first"] + s, "place": r["first"] + a, "n": e - a, "crc": zlib.crc32(ids[a:e]), "whole": closed})
             yield pa.RecordBatch.from_pylist(out, arrow)
 
-    found = parts.mapInArrow(pieces_of, schema)
+    found = table(parts.mapInArrow(pieces_of, schema), "pieces")  # read twice, small beside the blocks
     many = found.where("not whole").groupBy("part", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "n", "crc"))).alias("all"))
 
     def joined(batches):
