@@ -20,6 +20,7 @@ LABELS = 240
 AROUND = 8
 MIN_SCORE = 0.3
 UNKNOWN = "und"
+SALTS = 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -183,8 +184,10 @@ def training_sample(documents: DataFrame, doc_id: str, text: str, lang: str, sam
     n = F.length(text)
     cuts = F.array(F.substring(text, 1, cut), F.substring(F.col(text), F.greatest(F.lit(1), F.floor(n / 2)).cast("int"), F.lit(cut)), F.substring(F.col(text), F.greatest(F.lit(1), n - cut), F.lit(cut)))
     row = mine.select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"), cuts.alias("cuts"))
-    least = W.partitionBy("lang").orderBy("h")  # each task keeps its `sample` least before the exchange
-    return row.withColumn("r", F.row_number().over(least)).where(F.col("r") <= sample).select("lang", "h", "cuts").collect()
+    row = row.withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):  # a language with most rows is first ranked in many tasks
+        row = row.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("h"))).where(F.col("r") <= sample)
+    return row.select("lang", "h", "cuts").collect()
 
 
 def train(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, cut: int = CUT) -> Network:
