@@ -4,16 +4,16 @@
    from here on), and a sketch: how many of its shingles fall into each class of hashes. It also counts shingles in a fixed
    number of cells; cells that hold far more than others have frequent shingles, which only decides an order.
 2. A second pass sends the prefix of every set to buckets by hash, rare shingles first: two sets that link share a shingle
-   there. Buckets yield lists of sets with a common prefix shingle; most shingles have none.
-3. Pairs in a list are skipped if their sizes or sketches rule a link out: sketches that differ by d have at least d
-   shingles not in common. What remains connects nodes to candidate classes. A list too long for that is connected whole.
+   there. Buckets yield for every set the least set with the same shingle; most shingles have none.
+3. Pairs with the same least set are skipped if their sizes or sketches rule a link out: sketches that differ by d have at
+   least d shingles not in common. What remains connects nodes to candidate classes; where there are too many sets to look
+   at each pair, all are connected.
 4. Sets of one class meet in one task (classes beyond CLASS_SHINGLES in one task for each two of their parts) and are
    joined exactly over index lists: blocks of positions outside the possible sizes are skipped, and the overlaps of a set are
    derived from those of the set before it, by the lists of the shingles in which the two differ, if that reads less.
 5. The links of all tasks give the final classes.
 
-No step brings all pairs of a group, or links of all documents, to one place: lists are cut, classes are cut, and the driver
-sees counts only.
+No step brings all pairs of a group, or links of all documents, to one place: classes are cut, and the driver sees counts only.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ SHINGLE = 5
 #: A link: 100 * overlap >= PERCENT * union.
 PERCENT = 75
 CELLS = 1 << 20
-#: Entries of a bucket about, the longest list whose pairs are looked at, shingles of sets that meet in one task about.
+#: Entries of a bucket about, the most sets whose pairs' sketches are compared together, shingles of sets that meet in one task about.
 BUCKET = 1 << 20
 LONG = 4096
-CLASS_SHINGLES = 3_000_000
+CLASS_SHINGLES = 800_000
 #: Most rows of class members that are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _MEMO = 300_000
@@ -85,9 +85,18 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Shingles in each class of leading bits, at most 255; more classes for larger sets."""
-    bits = 6 if len(hashes) <= 400 else 8 if len(hashes) <= 3000 else 10
-    return np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    """Shingles in each class of leading bits, at most 15, two to a byte. There are 64 classes at least, and one for each four shingles."""
+    bits = max(6, int(len(hashes) - 1).bit_length() - 2)
+    n = np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+    return (n[0::2] | n[1::2] << 4).tobytes()
+
+
+def unpacked(packed: bytes, classes: int) -> np.ndarray:
+    """A sketch with neighbouring classes put together until there are `classes`."""
+    raw = np.frombuffer(packed, np.uint8)
+    n = np.empty(2 * len(raw), np.int16)
+    n[0::2], n[1::2] = raw & 15, raw >> 4
+    return n.reshape(classes, -1).sum(1, dtype=np.int16)
 
 
 def possible(size: np.ndarray, other: np.ndarray, apart: np.ndarray | int = 0, percent: int = PERCENT) -> np.ndarray:
@@ -190,8 +199,11 @@ def prefix_blocks(documents: DataFrame, frequent: np.ndarray, buckets: int, shin
     return documents.select("text").mapInArrow(scan, "bucket int, entries binary")
 
 
-def common_lists(blocks: DataFrame, long: int = LONG) -> DataFrame:
-    """list, nodes: each distinct set of nodes that share a prefix shingle. Lists over `long` are cut into parts that share the first node, with list null: to be connected whole."""
+def met_in(blocks: DataFrame) -> DataFrame:
+    """least, node: each node with the least of those that share a prefix shingle with it, for every such shingle.
+
+    Two sets with a common prefix shingle so have a common `least`; a family of similar sets has few of these.
+    """
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = np.concatenate([np.frombuffer(e, np.uint8).reshape(-1, 14) for e in pdf["entries"]])
@@ -200,24 +212,13 @@ def common_lists(blocks: DataFrame, long: int = LONG) -> DataFrame:
         h, node = h.view(np.uint64).ravel(), np.ascontiguousarray(raw[:, 6:]).view(np.int64).ravel()
         order = np.lexsort((node, h))
         h, node = h[order], node[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        h, node = h[new], node[new]
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        sizes = np.diff([*starts, len(h)])
-        ids = np.add.reduceat(mixed(node.view(np.uint64)), starts).view(np.int64)
-        many = np.flatnonzero(sizes > 1)
-        _, first = np.unique(np.stack([ids[many], sizes[many]]), axis=1, return_index=True)
-        out = []
-        for k in many[first].tolist():
-            own = node[starts[k] : starts[k] + sizes[k]]
-            if len(own) <= long:
-                out.append((int(ids[k]), own))
-            else:
-                out += [(None, np.concatenate([own[:1], own[a : a + long]])) for a in range(1, len(own), long)]
-        return pd.DataFrame({"list": pd.array([x for x, _ in out], "Int64"), "nodes": [x for _, x in out]})
-
-    return blocks.groupBy("bucket").applyInPandas(gather, "list long, nodes array<long>")
+        least = np.repeat(node[starts], np.diff([*starts, len(h)]))
+        apart = least != node
+        pairs = np.unique(np.stack([least[apart], node[apart]]), axis=1)
+        return pd.DataFrame({"least": pairs[0], "node": pairs[1]})
+
+    return blocks.groupBy("bucket").applyInPandas(gather, "least long, node long").distinct()
 
 
 # ---------------------------------------------------------------- candidate classes
@@ -241,68 +242,60 @@ def numbered(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _folded(sketches: list[bytes], classes: int) -> np.ndarray:
-    out = np.empty((len(sketches), classes), np.int16)
-    for k, s in enumerate(sketches):
-        out[k] = np.frombuffer(s, np.uint8).reshape(classes, -1).sum(1)
-    return out
-
-
 def possible_edges(sizes: np.ndarray, sketches: list[bytes], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places that could link, a row of the list at a time; pairs of large sets are compared by finer classes, too."""
+    """Pairs of places that could link by their sizes and sketches, compared by as many classes as both have."""
     m = len(sizes)
-    coarse = _folded(sketches, 64)
-    fine = np.array([len(s) for s in sketches])
-    big = np.flatnonzero(fine >= 256)
-    finer = dict(zip(big.tolist(), _folded([sketches[k] for k in big], 256), strict=True)) if len(big) else {}
+    classes = np.array([2 * len(s) for s in sketches])
+    levels = {int(c): np.stack([unpacked(s, c) if 2 * len(s) >= c else np.zeros(c, np.int16) for s in sketches]) for c in np.unique(classes)}
     left, right = [], []
     for k in range(m - 1):
         rest = np.arange(k + 1, m)
         rest = rest[possible(sizes[k], sizes[rest], 0, percent)]
-        if len(rest):
-            rest = rest[possible(sizes[k], sizes[rest], np.abs(coarse[rest] - coarse[k]).sum(1, dtype=np.int64), percent)]
-        if len(rest) and k in finer:
-            sure = [r for r in rest.tolist() if r not in finer or possible(sizes[k], sizes[r], int(np.abs(finer[r] - finer[k]).sum(dtype=np.int64)), percent)]
-            rest = np.array(sure, np.int64)
-        left.append(np.full(len(rest), k))
-        right.append(rest)
+        for c in {min(int(classes[k]), int(x)) for x in np.unique(classes[rest])}:
+            own = rest[np.minimum(classes[rest], classes[k]) == c]
+            own = own[possible(sizes[k], sizes[own], np.abs(levels[c][own] - levels[c][k]).sum(1, dtype=np.int64), percent)]
+            left.append(np.full(len(own), k))
+            right.append(own)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
-def candidate_edges(lists: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges a, b that connect in each list what could link there, as few as connect it."""
-    short = lists.where("list is not null").groupBy("list").agg(F.first("nodes").alias("nodes"))
-    rows = short.select("list", F.explode("nodes").alias("node")).join(nodes.select("node", "n", "sketch"), "node")
-    dealt = rows.repartition("list").sortWithinPartitions("list", "node")
+def candidate_edges(met: DataFrame, nodes: DataFrame, percent: int = PERCENT, long: int = LONG) -> DataFrame:
+    """Edges a, b that connect whatever could link among the nodes with one `least`, as few as connect it."""
+    met = met.unionByName(met.select("least", F.col("least").alias("node")).distinct())
+    rows = met.join(nodes.select("node", "n", "sketch"), "node")
+    dealt = rows.repartition("least").sortWithinPartitions("least", "node")
 
     def prune(batches):
-        held, key = [], None
+        held, key, over = [], None, False
 
         def flush():
             sizes = np.array([r[1] for r in held], np.int64)
-            if len(held) == 2:  # most lists
-                a, b = held
-                if not possible(sizes[0], sizes[1], 0, percent):
-                    return []
-                classes = min(len(a[2]), len(b[2]))
-                x, y = (_folded([s], classes)[0] for s in (a[2], b[2]))
-                return [(b[0], a[0])] if possible(sizes[0], sizes[1], int(np.abs(x - y).sum(dtype=np.int64)), percent) else []
+            if len(held) == 2:  # most often
+                (a, x, s), (b, y, t) = held
+                classes = 2 * min(len(s), len(t))
+                linked = possible(x, y, 0, percent) and possible(x, y, int(np.abs(unpacked(s, classes) - unpacked(t, classes)).sum(dtype=np.int64)), percent)
+                return [(b, a)] if linked else []
             label = numbered(len(held), *possible_edges(sizes, [r[2] for r in held], percent))
             return [(held[k][0], held[x][0]) for k, x in enumerate(label.tolist()) if k != x]
 
-        for batch in pieces(batches, 4096):
+        for batch in pieces(batches, 2048):
             out = []
-            for x, node, n, s in zip(*(batch.column(c).to_pylist() for c in ("list", "node", "n", "sketch")), strict=True):
+            for x, node, n, s in zip(*(batch.column(c).to_pylist() for c in ("least", "node", "n", "sketch")), strict=True):
                 if x != key:
                     out += flush() if len(held) > 1 else []
-                    held, key = [], x
-                held.append((node, n, s))
+                    held, key, over = [], x, False
+                if not over and len(held) == long:  # too many to look at each pair: all of them are put in one class
+                    out += [(r[0], key) for r in held if r[0] != key]
+                    held, over = [], True
+                if not over:
+                    held.append((node, n, s))
+                elif node != key:
+                    out.append((node, key))
             yield _edges(out)
         if len(held) > 1:
             yield _edges(flush())
 
-    whole = lists.where("list is null").select(F.element_at("nodes", 1).alias("b"), F.explode("nodes").alias("a")).select("a", "b")
-    return dealt.select("list", "node", "n", "sketch").mapInArrow(prune, "a long, b long").unionByName(whole)
+    return dealt.select("least", "node", "n", "sketch").mapInArrow(prune, "a long, b long")
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -461,8 +454,8 @@ def jaccard_classes(
     buckets = 16
     while buckets < 65_536 and (buckets * BUCKET < entries or buckets < int(spark.conf.get("spark.sql.shuffle.partitions"))):
         buckets *= 2
-    lists = table(common_lists(prefix_blocks(own, frequent, buckets, shingle, percent), long), "lists")
-    classes = connected(candidate_edges(lists, nodes, percent), "candidates")
+    met = met_in(prefix_blocks(own, frequent, buckets, shingle, percent))
+    classes = connected(candidate_edges(met, nodes, percent, long), "candidates")
     members = classes.select("node", F.col("head").alias("root")).join(nodes, "node")
     parts = members.groupBy("root").agg(F.ceil(F.sum("n") / class_shingles).cast("int").alias("parts"))
     members = members.join(parts, "root").select("node", "root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "copies", "rep", "rep_hash")
