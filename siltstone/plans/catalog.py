@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from siltstone.plans import telemetry
+
+MODULES = (telemetry,)
 
 
 def queries() -> dict:
