@@ -1 +1 @@
-
+"""Scalar functions on columns: paths and globs, text, vectors."""

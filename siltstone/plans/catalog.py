@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import telemetry
+from siltstone.plans import search_text, telemetry
 
-MODULES = (telemetry,)
+MODULES = (telemetry, search_text)
 
 
 def queries() -> dict:
