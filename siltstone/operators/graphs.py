@@ -1,10 +1,247 @@
-"""Graph analytics on edge tables: traversal, ranks, components, cycles, coverage, co-occurrence."""
+"""Graph analytics on node and edge tables: traversal, ranks, components, cycles, coverage, co-occurrence.
+
+Loops over the graph write each round's table to the shared folder, so plans stay short and a lost executor costs a round.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Edges below this confidence take no part in algorithms.
+GATE = 0.6
+BUDGET = 10_000
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{root.rstrip('/')}/siltstone/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def adjacency(nodes: DataFrame, edges: DataFrame, *, gate: float = GATE, vendored: tuple[str, ...] = ("node_modules", "vendor", "target", "dist"), least_names: int = 15, least_degree: int = 50) -> DataFrame:
+    """source, target, edge_type, weight: one edge for each source, target and type at `gate` or above between kept nodes.
+
+    Nodes without a file or below a vendored folder are dropped, and those too generic: whose name more than max(15, n / 500)
+    nodes have, or that more than max(50, min(n / 150, 125)) gated edges end at.
+    """
+    kept = nodes.where(F.col("file_path").isNotNull() & ~F.col("file_path").rlike("(^|/)(" + "|".join(vendored) + ")/"))
+    size = kept.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
+    strong = edges.where(F.col("weight") >= gate).groupBy("source", "target", "edge_type").agg(F.max("weight").alias("weight"))
+    names = kept.groupBy("symbol_name").agg(F.count("*").alias("names"))
+    degree = strong.groupBy(F.col("target").alias("node_id")).agg(F.count("*").alias("deg"))
+    x = kept.join(names, "symbol_name").join(degree, "node_id", "left").withColumn("_k", F.lit(1)).join(F.broadcast(size), "_k")
+    good = x.where((F.col("names") <= F.greatest(F.lit(least_names), F.floor(F.col("n") / 500))) & (F.coalesce("deg", F.lit(0)) <= F.greatest(F.lit(least_degree), F.least(F.floor(F.col("n") / 150), F.lit(125)))))
+    ids = good.select("node_id")
+    return strong.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi")
+
+
+def reachable(edges: DataFrame, start: DataFrame, hops: int, *, reverse: bool = False, budget: int | None = None) -> DataFrame:
+    """node_id, depth, confidence: nodes within `hops` of `start` (node_id) at their least depth, with the best product of weights among arrivals of that depth. Start nodes have depth 0.
+
+    Level by level: a join with the frontier, an anti-join with what is known. With `budget`, no level is begun once as many nodes are known.
+    """
+    a, b = ("target", "source") if reverse else ("source", "target")
+    e = edges.groupBy(F.col(a).alias("node_id"), F.col(b).alias("next")).agg(F.max("weight").alias("w"))
+    known = frontier = cut(start.select("node_id").distinct().select("node_id", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence")))
+    for depth in range(1, hops + 1):
+        step = frontier.join(e, "node_id").groupBy(F.col("next").alias("node_id")).agg(F.max(F.col("confidence") * F.col("w")).alias("confidence"))
+        frontier = cut(step.join(known.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(depth).alias("depth"), "confidence"))
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
+        if budget and known.count() >= budget:
+            break
+    return known
+
+
+def impact(edges: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
+    """Nodes that depend on any of `targets`, at their least distance."""
+    return reachable(edges, targets, hops, reverse=True).where("depth > 0")
+
+
+def page_rank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None) -> DataFrame:
+    """node_id, rank. Edges count as often as they are there; rank of nodes without edges out is shared by all. Stops early once no rank moves by `tolerance`."""
+    n = nodes.count()
+    if not n:
+        return nodes.select("node_id", F.lit(0.0).alias("rank"))
+    out = edges.groupBy("source").agg(F.count("*").alias("deg"))
+    links = cut(edges.groupBy("source", "target").agg(F.count("*").alias("m")).join(out, "source").select("source", "target", (F.col("m") / F.col("deg")).alias("share")))
+    ranks = cut(nodes.select("node_id", F.lit(1.0 / n).alias("rank")).join(out.select(F.col("source").alias("node_id"), F.lit(True).alias("out")), "node_id", "left"))
+    for _ in range(iterations):
+        got = links.join(ranks.select(F.col("node_id").alias("source"), "rank"), "source").groupBy(F.col("target").alias("node_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        lost = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s")).first()[0]
+        new = cut(ranks.select("node_id", "out", F.col("rank").alias("old")).join(got, "node_id", "left").select("node_id", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"), "old"))
+        moved = new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] if tolerance else None
+        ranks = new.drop("old")
+        if tolerance and moved < tolerance:
+            break
+    return ranks.select("node_id", "rank")
+
+
+def hotspots(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
+    """PageRank times max(0, ln(nodes / nodes of that name))."""
+    named = nodes.groupBy("symbol_name").agg(F.count("*").alias("names"))
+    total = nodes.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
+    x = ranks.join(nodes.select("node_id", "symbol_name"), "node_id").join(named, "symbol_name").withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
+    return x.select("node_id", (F.col("rank") * F.greatest(F.lit(0.0), F.ln(F.col("n") / F.col("names")))).alias("score"))
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """node, component (its least node) by spreading least labels and jumping to labels' labels."""
+    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
+    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("c"))
+        low = labels.join(near, "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
+        up = labels.select(F.col("node").alias("component"), F.col("component").alias("c2"))
+        new = cut(low.join(up, "component", "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component"), "old"))
+        if new.where("component <> old").isEmpty():
+            return new.select("node", "component")
+        labels = new.select("node", "component")
+
+
+def closure(edges: DataFrame, hops: int) -> DataFrame:
+    """a, b: b can be reached from a in 1..hops steps; doubled paths, so rounds are the logarithm of `hops`."""
+    paths = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
+    size, length = paths.count(), 1
+    while length < hops:
+        step = paths.select("a", F.col("b").alias("m")).join(paths.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+        paths = cut(paths.unionByName(step).distinct())
+        length *= 2
+        if (now := paths.count()) == size:
+            break
+        size = now
+    return paths
+
+
+def cycles(edges: DataFrame, hops: int = 1 << 20, least: int = 2) -> DataFrame:
+    """node_id, cycle (its least node), size: strongly connected sets of `least` nodes or more, and nodes with an edge to themselves.
+
+    Nodes that lose all edges in or out one after another are on no cycle and are peeled off first; the closure is of the rest.
+    """
+    e = cut(edges.select("source", "target").distinct())
+    n = e.count()
+    while n:
+        core = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        core = cut(core.select("source", "target"))
+        if (m := core.count()) == n:
+            break
+        e, n = core, m
+    c = closure(e, hops)
+    back = c.join(c.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
+    loops = e.where("source = target").select(F.col("source").alias("node_id")).distinct().withColumn("loop", F.lit(True))
+    sets = back.groupBy(F.col("a").alias("node_id")).agg(F.min("b").alias("cycle"), F.count("*").alias("size"))
+    return sets.join(loops, "node_id", "left").where((F.col("size") >= least) | F.col("loop")).select("node_id", "cycle", "size")
+
+
+def test_gaps(nodes: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """Production functions that no test reaches within `hops`, with how many production nodes depend on each."""
+    covered = reachable(edges, nodes.where("is_test").select("node_id"), hops).select("node_id")
+    gaps = nodes.where("not is_test and symbol_type = 'function'").join(covered, "node_id", "left_anti")
+    product = nodes.where("not is_test").select(F.col("node_id").alias("source"))
+    users = edges.join(product, "source", "left_semi").groupBy(F.col("target").alias("node_id")).agg(F.countDistinct("source").alias("dependents"))
+    return gaps.join(users, "node_id", "left").select("node_id", F.coalesce("dependents", F.lit(0)).alias("dependents"))
+
+
+def _by_tenant(nodes: DataFrame, edges: DataFrame, tenant: str | None):
+    key = F.col(tenant) if tenant else F.lit("")
+    return edges.select(key.alias("tenant"), F.col("source").cast("string"), F.col("target").cast("string")).groupBy("tenant")
+
+
+def betweenness(edges: DataFrame, sample: int | None = None, most_edges: int = 2_000_000) -> DataFrame:
+    """node_id, score: Brandes' betweenness on the undirected multigraph, both directions of a pair counted.
+
+    Sources are the first `sample` nodes by id (all by default) and are spread over tasks; each task gets the whole edge list,
+    whose size is checked, since shortest paths need all of it. Scores are scaled to all sources and to (n - 1)(n - 2) / 2, at most 1.
+    """
+    n_edges = edges.count()
+    if n_edges > most_edges:
+        raise ValueError(f"{n_edges} edges; a task holds {most_edges} at most: take a subgraph or raise most_edges")
+    spark = edges.sparkSession
+    rows = [(r.source, r.target) for r in edges.select("source", "target").collect()]
+    held = spark.sparkContext.broadcast(rows)
+    ids = edges.select(F.col("source").alias("node_id")).union(edges.select("target")).distinct()
+    n = ids.count()
+    sources = ids.orderBy("node_id").limit(sample) if sample and sample < n else ids
+    scale = (n / sample) if sample and sample < n else 1.0
+
+    def run(batches):
+        names = sorted({x for e in held.value for x in e})
+        at = {x: k for k, x in enumerate(names)}
+        near: list[list[int]] = [[] for _ in names]
+        for a, b in held.value:
+            near[at[a]].append(at[b])
+            near[at[b]].append(at[a])
+        total = [0.0] * len(names)
+        for pdf in batches:
+            for s in pdf["node_id"]:
+                root = at[s]
+                dist, paths, order, before = {root: 0}, {root: 1.0}, [], {}
+                ring = [root]
+                while ring:
+                    order += ring
+                    following: list[int] = []
+                    for u in ring:
+                        for w in near[u]:
+                            if w not in dist:
+                                dist[w], paths[w], before[w] = dist[u] + 1, 0.0, []
+                                following.append(w)
+                            if dist[w] == dist[u] + 1:
+                                paths[w] += paths[u]
+                                before[w].append(u)
+                    ring = following
+                share = dict.fromkeys(order, 0.0)
+                for w in reversed(order):
+                    for u in before.get(w, ()):
+                        share[u] += paths[u] / paths[w] * (1 + share[w])
+                    if w != root:
+                        total[w] += share[w]
+        yield pd.DataFrame({"node_id": names, "s": total})
+
+    found = sources.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "node_id string, s double")
+    pairs = (n - 1) * (n - 2) / 2
+    score = F.least(F.lit(1.0), F.sum("s") * scale / pairs) if pairs > 0 else F.lit(0.0)
+    return found.groupBy("node_id").agg(score.alias("score"))
+
+
+def communities(edges: DataFrame, tenant: str | None = None, rounds: int = 50, least: int = 2) -> DataFrame:
+    """tenant, node_id, community, size: label propagation in the order of ids, each node at once taking the commonest label around it, ties to the least.
+
+    Its result depends on that order, so a tenant's graph is one group; tenants are spread over tasks.
+    """
+
+    def propagate(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        from collections import Counter
+
+        near: dict[str, list[str]] = {}
+        for a, b in zip(pdf["source"], pdf["target"], strict=True):
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+        label = {x: x for x in near}
+        for _ in range(rounds):
+            moved = False
+            for x in sorted(near):
+                votes = Counter(label[y] for y in near[x])
+                top = max(votes.values())
+                best = min(k for k, v in votes.items() if v == top)
+                if best != label[x]:
+                    label[x], moved = best, True
+            if not moved:
+                break
+        sizes = Counter(label.values())
+        rows = [(key[0], x, c, sizes[c]) for x, c in label.items() if sizes[c] >= least]
+        return pd.DataFrame(rows, columns=["tenant", "node_id", "community", "size"])
+
+    return _by_tenant(edges, edges, tenant).applyInPandas(propagate, "tenant string, node_id string, community string, size long")
+
 
 def cooccurrence(df: DataFrame, basket: str, item: str) -> DataFrame:
     """symbol_a < symbol_b, cooccurrence_count: in how many baskets both are."""
@@ -14,6 +251,33 @@ def cooccurrence(df: DataFrame, basket: str, item: str) -> DataFrame:
     return met.groupBy(F.col("_i").alias("symbol_a"), F.col("_j").alias("symbol_b")).agg(F.count("*").alias("cooccurrence_count"))
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """Both ends of each undirected pair: node, other, cooccurrence_count."""
+    a = pairs.select(F.col("symbol_a").alias("node"), F.col("symbol_b").alias("other"), "cooccurrence_count")
+    return a.unionByName(pairs.select(F.col("symbol_b").alias("node"), F.col("symbol_a").alias("other"), "cooccurrence_count"))
+
+
+def degree_centrality(pairs: DataFrame) -> DataFrame:
+    """Sum of a node's weights over the largest such sum."""
+    d = ends(pairs).groupBy("node").agg(F.sum("cooccurrence_count").alias("degree"))
+    return d.withColumn("centrality", F.col("degree") / F.max("degree").over(W.partitionBy()))
+
+
+def neighbours(pairs: DataFrame, node, least: int) -> DataFrame:
+    return ends(pairs).where((F.col("node") == node) & (F.col("cooccurrence_count") >= least)).select("other", "cooccurrence_count").orderBy(F.desc("cooccurrence_count"), "other")
+
+
+def bridge_proxy(pairs: DataFrame, least: int = 1) -> DataFrame:
+    """Pairs of edges that meet at a node, over the most at any: d(d - 1) / 2 from the degree, without joining edges with edges."""
+    d = ends(pairs.where(F.col("cooccurrence_count") >= least)).groupBy("node").agg(F.count("*").alias("d"))
+    d = d.withColumn("bridges", (F.col("d") * (F.col("d") - 1) / 2).cast("long")).where("bridges > 0")
+    return d.select("node", "bridges", (F.col("bridges") / F.max("bridges").over(W.partitionBy())).alias("score"))
+
+
+def concept_score(centrality, semantic, weight: float = 0.3):
+    return weight * centrality + (1 - weight) * semantic
+
+
 def set_similarity(df: DataFrame, key: str, item: str) -> DataFrame:
     """a < b, jaccard of the item sets of each two keys that share an item; df holds distinct (key, item)."""
     n = df.groupBy(key).agg(F.count("*").alias("n"))
@@ -22,3 +286,40 @@ def set_similarity(df: DataFrame, key: str, item: str) -> DataFrame:
     met = x.join(y, "_i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
     met = met.join(n.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
     return met.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+
+
+#: Confidence of a resolved call by how its target was found. Fixed values.
+TIERS = {"lsp": 1.0, "same_file": 1.0, "receiver": 0.97, "caller_class": 0.95, "unique": 0.70, "import": 0.90, "same_package": 0.85}
+
+
+def resolved_stubs(stubs: DataFrame, candidates: DataFrame, fan_out: int = 10) -> DataFrame:
+    """stub, node_id, tier, confidence. The first tier that has a candidate wins, in the order lsp, receiver, same file, caller's class, unique name, import, package; without any, each candidate has 1 / n, or none does above `fan_out`.
+
+    candidates: stub, node_id and boolean columns named as the tiers but unique, which counts.
+    """
+    order = ["lsp", "receiver", "same_file", "caller_class", "unique", "import", "same_package"]
+    x = stubs.join(candidates, "stub").withColumn("n", F.count("*").over(W.partitionBy("stub"))).withColumn("unique", F.col("n") == 1)
+    level = F.lit(len(order))
+    for k in range(len(order) - 1, -1, -1):
+        level = F.when(F.coalesce(F.col(order[k]), F.lit(False)), k).otherwise(level)
+    x = x.withColumn("level", level)
+    x = x.withColumn("best", F.min("level").over(W.partitionBy("stub"))).where("level = best")
+    first = F.row_number().over(W.partitionBy("stub").orderBy("node_id"))
+    x = x.withColumn("_r", first).where(((F.col("best") < len(order)) & (F.col("_r") == 1)) | ((F.col("best") == len(order)) & (F.col("n") <= fan_out)))
+    names, values = F.array(*map(F.lit, [*order, "split"])), F.array(*[F.lit(TIERS[t]) for t in order])
+    confidence = F.when(F.col("best") == len(order), 1.0 / F.col("n")).otherwise(F.get(values, F.col("best")))
+    return x.select("stub", "node_id", F.get(names, F.col("best")).alias("tier"), confidence.alias("confidence"))
+
+
+def merged_nodes(old: DataFrame, new: DataFrame, key: str = "node_id") -> DataFrame:
+    """Upsert: new values where they are not null, else the old ones."""
+    a, b = old.alias("a"), new.alias("b")
+    cols = [F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in old.columns if c != key]
+    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(F.coalesce(f"b.{key}", f"a.{key}").alias(key), *cols)
+
+
+def imports(chunks: DataFrame, id: str, text: str) -> DataFrame:
+    """id, module: what import statements of common languages name."""
+    shapes = [r"(?m)^\s*import\s+([A-Za-z_][\w.]*)", r"(?m)^\s*from\s+([A-Za-z_.][\w.]*)\s+import", r"""(?m)^\s*import\s[^;\n]*?from\s+['"]([^'"]+)['"]""", r"(?m)^\s*use\s+([A-Za-z_][\w:]*)", r"""(?m)^\s*#include\s+[<"]([^>"]+)[>"]"""]
+    found = F.array_distinct(F.concat(*[F.regexp_extract_all(F.col(text), F.lit(s), F.lit(1)) for s in shapes]))
+    return chunks.select(F.col(id), F.explode(found).alias("module"))

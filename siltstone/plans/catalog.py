@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import search_ranked, search_text, telemetry
+from siltstone.plans import graph_queries, search_ranked, search_text, telemetry
 
-MODULES = (search_ranked, telemetry, search_text)
+MODULES = (search_ranked, graph_queries, telemetry, search_text)
 
 
 def queries() -> dict:
