@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -50,3 +52,19 @@ def with_columns(batch: pa.RecordBatch, drop: str | tuple = (), **columns) -> pa
     gone = {drop} if isinstance(drop, str) else set(drop)
     kept = [(n, batch.column(n)) for n in batch.schema.names if n not in gone and n not in columns]
     return pa.RecordBatch.from_arrays([c for _, c in kept] + list(columns.values()), [n for n, _ in kept] + list(columns))
+
+
+def released(function, *clear):
+    """`function` for mapInArrow, after whose task `clear` are called and freed memory goes back to the system: Python workers live on, beside those of later stages."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            for c in clear:
+                c()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from siltstone.llm._common import ALNUM, blobs, pieces, read
+from siltstone.llm._common import ALNUM, blobs, pieces, read, released
 
 WINDOW = 13
 #: Most bytes of benchmark text in one automaton; a larger benchmark is scanned in several passes of at most this size.
@@ -129,7 +129,7 @@ def contamination(
                     [batch.column(n) for n in columns] + [pa.array(made[n], kinds[n]) for n in kinds], [*columns, *kinds]
                 )
 
-        out = out.mapInArrow(scan, schema)
+        out = out.mapInArrow(released(scan), schema)
     return out.drop("__hit")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm._common import blobs, pieces, read
+from siltstone.llm._common import blobs, pieces, read, released
 
 #: Most labelled documents for training, for each language; bytes of a training cut and cuts a document.
 SAMPLE = 400
@@ -129,7 +129,7 @@ def _has_letter(text: bytes | None) -> bool:
     return any(65 <= c <= 90 or 97 <= c <= 122 for c in text[:64]) or any(map(str.isalpha, text.decode()))
 
 
-def label_texts(net: Network, texts: list[bytes | None], labels: int = LABELS, around: int = AROUND, most: int = 2048) -> list[tuple[str, float]]:
+def label_texts(net: Network, texts: list[bytes | None], labels: int = LABELS, around: int = AROUND, most: int = 1024) -> list[tuple[str, float]]:
     """(language, score) of each text: the mean over its bytes of the probabilities at each, and its largest value.
 
     A text is cut into windows of `labels` bytes, each read with `around` bytes before and after, so every byte is
@@ -220,7 +220,7 @@ def identify(documents: DataFrame, net: Network, *, text: str = "text") -> DataF
             got = label_texts(net, blobs(batch.column(text)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*columns, "lang_pred", "score"])
 
-    return kept.mapInArrow(label, schema)
+    return kept.mapInArrow(released(label), schema)
 
 
 def recognised(documents: DataFrame, net: Network | None = None, min_score: float = MIN_SCORE) -> DataFrame:

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import read
+from siltstone.llm._common import read, table
 
 #: Words in a block, words that a shard of a source holds about, the most passes over a document, the seed of the order.
 BLOCK = 8
 SHARD = 500_000
 REPEAT = 3
 SEED = 17
+#: Most rows of sources or shards that are sent to all tasks.
+BROADCAST_ROWS = 200_000
 
 
 def n_words(text: Column) -> Column:
@@ -66,6 +68,12 @@ def apportion(votes: DataFrame, group: list[str], vote: str, seats: str, key: st
     return won.groupBy(*names, "_low").agg(F.sum("_won").alias("_won")).select(*names, (F.col("_low") + F.col("_won")).alias(out))
 
 
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """`df` written and counted: broadcast if it has BROADCAST_ROWS rows at most, else to be joined by a shuffle."""
+    df = table(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def mix(
     documents: DataFrame,
     *,
@@ -89,8 +97,8 @@ def mix(
     Null sources are one source, the last; null and empty texts have size 0 and nothing taken; rows with the same id and
     text are interchangeable, so reruns agree. An empty table gives an empty one. Added names replace columns.
 
-    Two shuffles of documents' narrow columns: the sums by source and shard are made before the exchange; the second
-    deals documents to shards. Only rows for sources and shards are ordered together.
+    Sums by source and shard are made before their exchange. Documents, with whatever columns they have, are shuffled once, to
+    their shards, unless sources or shards are too many to be broadcast. Only rows for sources and shards are ordered together.
     """
     names = ("size", "source_size", "target", "taken")
     kept = documents.drop(*names)
@@ -104,14 +112,15 @@ def mix(
     # seats of sources: as many blocks as all words fill
     goal = goal.withColumn("_one", F.lit(1)).withColumn("_seats", F.floor(total / block + F.lit(0.5)).cast("long")).withColumn("_shards", F.ceil((F.col("source_size") + 1) / shard).cast("long"))
     goal = apportion(goal, ["_one"], "target", "_seats", "place", "_blocks")
-    dealt = keyed.join(goal.select("_source", "source_size", "target", "_shards", "_blocks"), "_source")
+    goal = _small(goal.select("_source", "source_size", "target", "_shards", "_blocks"), "goal")
+    dealt = keyed.join(goal, "_source")
     dealt = dealt.withColumn("_h", F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text))).withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.col("_shards")))
     shards = dealt.groupBy("_source", "_shard").agg(F.sum("size").alias("_words"), F.first("_blocks").alias("_blocks"))
     shards = shards.withColumn("_n", F.ceil(F.col("_words") / block).cast("double"))
     # a shard's quota is at most `repeat` times its blocks, so what rounding gives beyond that is not taken
     quota = apportion(shards.withColumnRenamed("_n", "_votes"), ["_source"], "_votes", "_blocks", "_shard", "_quota")
     quota = quota.select("_source", "_shard", F.col("_votes").cast("long").alias("_n"), F.least("_quota", (F.col("_votes") * repeat).cast("long")).alias("_quota"), "_words")
-    placed = dealt.join(quota, ["_source", "_shard"])
+    placed = dealt.join(_small(quota, "quota"), ["_source", "_shard"])
     before = W.partitionBy("_source", "_shard").orderBy("_h", F.col(doc_id), "size").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("_a", F.coalesce(F.sum("size").over(before), F.lit(0)))
     full = F.when(F.col("_n") > 0, F.floor(F.col("_quota") / F.col("_n"))).otherwise(F.lit(0))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import blobs, pieces, read, table
+from siltstone.llm._common import blobs, pieces, read, released, table
 from siltstone.llm.graph import connected
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ LONG = 4096
 CLASS_SHINGLES = 800_000
 #: Most rows of class members that are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-_MEMO = 300_000
+_MEMO = 60_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -136,7 +136,7 @@ def summary(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             none = [pa.nulls(len(rows), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "text_hash", "n", "node", "sketch", "cell", "counts"])
 
-    return documents.select("doc_id", "text_hash", "text").mapInArrow(scan, _SUMMARY)
+    return documents.select("doc_id", "text_hash", "text").mapInArrow(released(scan, _WORDS.clear), _SUMMARY)
 
 
 def frequent_cells(rows: DataFrame) -> np.ndarray:
@@ -190,13 +190,13 @@ def prefix_blocks(documents: DataFrame, frequent: np.ndarray, buckets: int, shin
                 hashes.append(first)
                 nodes.append((node, len(first)))
                 size += len(first)
-            if size > 1_500_000:
+            if size > 600_000:
                 yield blocks()
                 hashes, nodes, size = [], [], 0
         if size:
             yield blocks()
 
-    return documents.select("text").mapInArrow(scan, "bucket int, entries binary")
+    return documents.select("text").mapInArrow(released(scan, _WORDS.clear), "bucket int, entries binary")
 
 
 def met_in(blocks: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def candidate_edges(met: DataFrame, nodes: DataFrame, percent: int = PERCENT, lo
         if len(held) > 1:
             yield _edges(flush())
 
-    return dealt.select("least", "node", "n", "sketch").mapInArrow(prune, "a long, b long")
+    return dealt.select("least", "node", "n", "sketch").mapInArrow(released(prune), "a long, b long")
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -414,7 +414,7 @@ def joined_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         if held:
             yield _labels(flush())
 
-    return dealt.select("root", "i", "j", "node", "part", "copies", "hashes").mapInArrow(join, "node long, head long, links long")
+    return dealt.select("root", "i", "j", "node", "part", "copies", "hashes").mapInArrow(released(join), "node long, head long, links long")
 
 
 def _labels(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -471,7 +471,7 @@ def jaccard_classes(
             good = pa.array([fingerprint(s) == n for s, n in zip(sets, batch.column(1).to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "part", "parts", "copies")), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "root", "part", "parts", "copies", "hashes"]).filter(good)
 
-    sets = texts.mapInArrow(reread, "node long, root long, part int, parts int, copies long, hashes binary")
+    sets = texts.mapInArrow(released(reread, _WORDS.clear), "node long, root long, part int, parts int, copies long, hashes binary")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j"))))
     tasks = sets.withColumn("_p", pair).select("root", "_p.i", "_p.j", "node", "part", "copies", "hashes")
     found = joined_classes(tasks, percent)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm._common import blobs, pieces, read, shared_dir, table
+from siltstone.llm._common import blobs, pieces, read, released, shared_dir, table
 from siltstone.llm.tokens import tokenizer, tokenizer_path
 
 #: Ids in a block; the last block of a part may hold fewer.
@@ -200,7 +200,7 @@ def write_token_files(documents: DataFrame, target: str, path: str, *, doc_id: s
 
     rows = documents.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
     dealt = rows.repartitionByRange("d", "h").sortWithinPartitions("d", "h").select("d", "t")
-    dealt.mapInArrow(pack, FORMAT).write.mode("overwrite").parquet(target)
+    dealt.mapInArrow(released(pack), FORMAT).write.mode("overwrite").parquet(target)
 
 
 def read_blocks(spark: SparkSession, target: str) -> DataFrame:
@@ -268,7 +268,7 @@ def documents_of(spark: SparkSession, target: str) -> DataFrame:
                     out.append({"part": r["part"], "ordinal": o, "doc_id": d, "at": r["first"] + s, "place": r["first"] + a, "n": e - a, "crc": zlib.crc32(ids[a:e]), "whole": closed})
             yield pa.RecordBatch.from_pylist(out, arrow)
 
-    found = table(parts.mapInArrow(pieces_of, schema), "pieces")  # read twice, small beside the blocks
+    found = table(parts.mapInArrow(released(pieces_of), schema), "pieces")  # read twice, small beside the blocks
     many = found.where("not whole").groupBy("part", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "n", "crc"))).alias("all"))
 
     def joined(batches):
