@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import graph_queries, search_ranked, search_text, telemetry
+from siltstone.plans import enrich_queries, graph_queries, search_ranked, search_text, stream_queries, telemetry
 
-MODULES = (search_ranked, graph_queries, telemetry, search_text)
+MODULES = (search_ranked, enrich_queries, graph_queries, telemetry, search_text, stream_queries)
 
 
 def queries() -> dict:
