@@ -143,9 +143,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> Data
     return contamination(documents, benchmark, **options).where(~is_contaminated()).select(*documents.columns)
 
 
-def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def digest(documents: DataFrame, benchmark: DataFrame, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document."""
-    found = contamination(documents.select("doc_id", "text"), benchmark)
+    found = contamination(documents.select("doc_id", "text"), benchmark, automaton_bytes=automaton_bytes)
     return found.select(
         "doc_id",
         "n_words",
