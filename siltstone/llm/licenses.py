@@ -32,13 +32,15 @@ WORDINGS = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "this work is licensed under a creative commons attribution": "cc-by",
 }
-_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, in text of lower case and of either case.
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _OTHER = "\u212a"
 
 
 def words(text: Column) -> Column:
     """Words of `text` in lower case. U+212A alone turns into an ASCII letter in lower case, which A-Z only should; it is put aside."""
-    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(_OTHER), F.lit("å"))), F.lit(_PATTERN), F.lit(0))
+    return F.array_remove(F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(_OTHER), F.lit("å"))), _GAP), "")
 
 
 def template_grams(spark: SparkSession, base: dict[str, str], wordings: dict[str, str], k: int) -> DataFrame:
@@ -114,7 +116,7 @@ def license_scan(
         F.max("score").alias("score"),
         F.array_sort(F.collect_list(F.struct(F.col("_label").alias("label"), F.col("start").cast("long"), F.col("end").cast("long"), "score"))).alias("spans"),
     )
-    counted = keyed.select("_id", "_text", F.regexp_count(F.coalesce("_body", F.lit("")), F.lit(_COUNTED)).cast("long").alias("n_words"))
+    counted = keyed.select("_id", "_text", F.size(F.array_remove(F.split(F.coalesce("_body", F.lit("")), _GAP_ANY_CASE), "")).cast("long").alias("n_words"))
     f = found.select(F.col("_id").alias("_fid"), F.col("_text").alias("_ftext"), *found.columns[2:])
     both = counted.join(f, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_text") == F.col("_ftext")), "left")
     return both.select(
@@ -130,10 +132,6 @@ def license_scan(
     )
 
 
-#: Words in text of either case: letters A-Z are in words, too.
-_COUNTED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents")).drop("spans")
 
