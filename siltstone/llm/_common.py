@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 
 import pyarrow as pa
@@ -55,12 +56,18 @@ def with_columns(batch: pa.RecordBatch, drop: str | tuple = (), **columns) -> pa
 
 
 def released(function, *clear):
-    """`function` for mapInArrow, after whose task `clear` are called and freed memory goes back to the system: Python workers live on, beside those of later stages."""
+    """`function` for mapInArrow, after whose task `clear` are called and freed memory goes back to the system: Python workers live on, beside those of later stages.
+
+    While it runs, cycles are collected seldom: millions of short strings make none, and each collection would walk them.
+    """
 
     def run(batches):
+        usual = gc.get_threshold()
+        gc.set_threshold(100_000, 20, 100)
         try:
             yield from function(batches)
         finally:
+            gc.set_threshold(*usual)
             for c in clear:
                 c()
             pa.default_memory_pool().release_unused()

@@ -21,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,7 +108,8 @@ def possible(size: np.ndarray, other: np.ndarray, apart: np.ndarray | int = 0, p
 
 # ---------------------------------------------------------------- passes over texts
 
-_SUMMARY = "doc_id long, text_hash long, n long, node long, sketch binary, cell int, counts binary"
+_SUMMARY = "doc_id long, text_hash long, n long, node long, sketch binary, cell int, part int, counts binary"
+_NAMES = ["doc_id", "text_hash", "n", "node", "sketch", "cell", "part", "counts"]
 
 
 def summary(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -127,27 +129,51 @@ def summary(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     np.add.at(counts, (own >> np.uint64(44)).astype(np.int64), np.uint32(1))
             size = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
-                ["doc_id", "text_hash", "n", "node", "sketch", "cell", "counts"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
+                _NAMES,
             )
         if seen:
-            part = 1 << 14
-            rows = [counts[a : a + part].tobytes() for a in range(0, cells, part)]
+            rows = [_pressed(counts[a : a + 16_384].astype(np.int64)) for a in range(0, cells, 16_384)]
             none = [pa.nulls(len(rows), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "text_hash", "n", "node", "sketch", "cell", "counts"])
+            own = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(rows)), pa.int32()), pa.array([own] * len(rows), pa.int32()), pa.array(rows, pa.binary())], _NAMES)
 
     return documents.select("doc_id", "text_hash", "text").mapInArrow(released(scan, _WORDS.clear), _SUMMARY)
 
 
-def frequent_cells(rows: DataFrame) -> np.ndarray:
-    """Which of the CELLS hold far more shingles than chance gives: a bit each, packed. CELLS bounds what the driver gets."""
+def _pressed(counts: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
+
+
+def _counts(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.int64)
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, np.uint32).astype(np.int64) for c in pdf["counts"]], axis=0)
-        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "counts": [total.tobytes()]})
 
-    found = rows.where("cell is not null").groupBy("cell").applyInPandas(add, "cell int, counts binary").collect()
-    counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(found, key=lambda r: r.cell)]) if found else np.zeros(CELLS, np.int64)
+def frequent_cells(rows: DataFrame, fan: int = 64) -> np.ndarray:
+    """Which of the CELLS hold far more shingles than chance gives: a bit each, packed. CELLS bounds what the driver gets.
+
+    The tasks' counts are added up `fan` at a time, then those sums, so no task adds up more than `fan` of them.
+    """
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(16_384, np.int64)
+        for c in pdf["counts"]:
+            total += _counts(c)
+        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], "counts": [_pressed(total)]})
+
+    sums = rows.where("cell is not null").select("cell", "part", "counts")
+    most = sums.agg(F.max("part")).first()[0] or 0
+    while True:
+        most //= fan
+        sums = sums.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("cell", "part").applyInPandas(add, "cell int, part int, counts binary")
+        if not most:
+            break
+    found = sums.collect()
+    counts = np.concatenate([_counts(r.counts) for r in sorted(found, key=lambda r: r.cell)]) if found else np.zeros(CELLS, np.int64)
     usual = float(np.median(counts))
     return np.packbits(counts > usual + 6 * usual**0.5 + 16)
 
@@ -246,14 +272,20 @@ def possible_edges(sizes: np.ndarray, sketches: list[bytes], percent: int = PERC
     """Pairs of places that could link by their sizes and sketches, compared by as many classes as both have."""
     m = len(sizes)
     classes = np.array([2 * len(s) for s in sketches])
-    levels = {int(c): np.stack([unpacked(s, c) if 2 * len(s) >= c else np.zeros(c, np.int16) for s in sketches]) for c in np.unique(classes)}
+    # for each fineness the sketches that have it, and their rows
+    levels, row = {}, {}
+    for c in map(int, np.unique(classes)):
+        own = np.flatnonzero(classes >= c)
+        levels[c] = np.stack([unpacked(sketches[k], c) for k in own])
+        row[c] = np.full(m, -1)
+        row[c][own] = np.arange(len(own))
     left, right = [], []
     for k in range(m - 1):
         rest = np.arange(k + 1, m)
         rest = rest[possible(sizes[k], sizes[rest], 0, percent)]
         for c in {min(int(classes[k]), int(x)) for x in np.unique(classes[rest])}:
             own = rest[np.minimum(classes[rest], classes[k]) == c]
-            own = own[possible(sizes[k], sizes[own], np.abs(levels[c][own] - levels[c][k]).sum(1, dtype=np.int64), percent)]
+            own = own[possible(sizes[k], sizes[own], np.abs(levels[c][row[c][own]] - levels[c][row[c][k]]).sum(1, dtype=np.int64), percent)]
             left.append(np.full(len(own), k))
             right.append(own)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
@@ -261,12 +293,19 @@ def possible_edges(sizes: np.ndarray, sketches: list[bytes], percent: int = PERC
 
 def candidate_edges(met: DataFrame, nodes: DataFrame, percent: int = PERCENT, long: int = LONG) -> DataFrame:
     """Edges a, b that connect whatever could link among the nodes with one `least`, as few as connect it."""
+    # where too many sets share their least, all of them are put in one class, by edges alone
+    crowded = table(met.groupBy("least").count().where(F.col("count") >= long).select("least"), "crowded")
+    whole = None
+    if n := crowded.count():
+        crowded = F.broadcast(crowded) if n <= BROADCAST_ROWS else crowded
+        whole = met.join(crowded, "least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        met = met.join(crowded, "least", "left_anti")
     met = met.unionByName(met.select("least", F.col("least").alias("node")).distinct())
     rows = met.join(nodes.select("node", "n", "sketch"), "node")
     dealt = rows.repartition("least").sortWithinPartitions("least", "node")
 
     def prune(batches):
-        held, key, over = [], None, False
+        held, key = [], None
 
         def flush():
             sizes = np.array([r[1] for r in held], np.int64)
@@ -283,19 +322,14 @@ def candidate_edges(met: DataFrame, nodes: DataFrame, percent: int = PERCENT, lo
             for x, node, n, s in zip(*(batch.column(c).to_pylist() for c in ("least", "node", "n", "sketch")), strict=True):
                 if x != key:
                     out += flush() if len(held) > 1 else []
-                    held, key, over = [], x, False
-                if not over and len(held) == long:  # too many to look at each pair: all of them are put in one class
-                    out += [(r[0], key) for r in held if r[0] != key]
-                    held, over = [], True
-                if not over:
-                    held.append((node, n, s))
-                elif node != key:
-                    out.append((node, key))
+                    held, key = [], x
+                held.append((node, n, s))
             yield _edges(out)
         if len(held) > 1:
             yield _edges(flush())
 
-    return dealt.select("least", "node", "n", "sketch").mapInArrow(released(prune), "a long, b long")
+    edges = dealt.select("least", "node", "n", "sketch").mapInArrow(released(prune), "a long, b long")
+    return edges if whole is None else edges.unionByName(whole)
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -454,7 +488,7 @@ def jaccard_classes(
     buckets = 16
     while buckets < 65_536 and (buckets * BUCKET < entries or buckets < int(spark.conf.get("spark.sql.shuffle.partitions"))):
         buckets *= 2
-    met = met_in(prefix_blocks(own, frequent, buckets, shingle, percent))
+    met = table(met_in(prefix_blocks(own, frequent, buckets, shingle, percent)), "met")
     classes = connected(candidate_edges(met, nodes, percent, long), "candidates")
     members = classes.select("node", F.col("head").alias("root")).join(nodes, "node")
     parts = members.groupBy("root").agg(F.ceil(F.sum("n") / class_shingles).cast("int").alias("parts"))
