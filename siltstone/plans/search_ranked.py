@@ -137,16 +137,10 @@ def _hits(spark, d):
     return p.select(F.lit(0).alias("query_id"), "id", F.col("tenant_id").alias("source"), (F.lit(0.9) - F.col("rank") * 0.01).alias("score"), "rank")
 
 
-@query("r12_path_boost", "WITH q AS (SELECT file_id, list_filter(['src1', 'doc', 'fren'], lambda x: contains(file_path, x) AND list_has_any(string_split_regex(lower(file_path), '[^a-z0-9]+'), [x])) AS hit FROM {files}) SELECT file_id, round(1 + 0.8 * len(hit) / 3, 9)::DOUBLE AS score FROM q")
+@query("r12_path_boost", "WITH q AS (SELECT file_id, list_filter(['fr', 'doc', 'pyx'], lambda x: list_contains(string_split_regex(lower(file_path), '[^a-z0-9]+'), x)) AS hit FROM {files}) SELECT file_id, round(1 + 0.8 * len(hit) / 3, 9)::DOUBLE AS score FROM q")
 def r12(spark, d):
-    tokens = F.split(F.lower("file_path"), "[^a-z0-9]+")
-    rel = r.path_relevance(tokens, F.array(F.lit("src1"), F.lit("doc"), F.lit("fren")))
-    return v.files(spark, d).select("file_id", F.round(r.boosted(F.lit(1.0), F.when(F.array_contains(tokens, "src1"), rel).otherwise(rel_exact(tokens))), 9).alias("score"))
-
-
-def rel_exact(tokens):
-    """Share of the query's tokens that stand in the path as they are."""
-    return F.size(F.array_intersect(F.array(F.lit("src1"), F.lit("doc"), F.lit("fren")), tokens)) / 3
+    rel = r.path_relevance(F.split(F.lower("file_path"), "[^a-z0-9]+"), F.array(F.lit("fr"), F.lit("doc"), F.lit("pyx")))
+    return v.files(spark, d).select("file_id", F.round(r.boosted(F.lit(1.0), rel), 9).alias("score"))
 
 
 @query("r13_intent_factor", "SELECT file_id, CASE WHEN file_path LIKE '%.py' THEN 1.12 ELSE 0.86 END::DOUBLE AS factor FROM {files}")
@@ -246,12 +240,14 @@ def r28(spark, d):
     return c.where("2500 between k * 1000 and k * 1000 + 999").select("doc_id", (F.col("k") * 1000).alias("start"))
 
 
-@query("r29_cross_modal_search", "WITH m AS (SELECT list_avg(list(dense[1])) AS a FROM {points} WHERE label = 3) SELECT count(*) AS n FROM points WHERE label = 3")
+_CENTRE = ", ".join(f"avg(dense[{k}])" for k in range(1, 65))
+
+
+@query("r29_cross_modal_search", f"WITH q AS (SELECT [{_CENTRE}] AS c FROM {{points}} WHERE label = 3) SELECT id, round(list_dot_product(dense, c) / (sqrt(list_dot_product(dense, dense)) * sqrt(list_dot_product(c, c))), 6) AS score FROM points, q ORDER BY list_dot_product(dense, c) / (sqrt(list_dot_product(dense, dense)) * sqrt(list_dot_product(c, c))) DESC, id LIMIT 15")
 def r29(spark, d):
     p = v.points(spark, d)
     centre = p.where("label = 3").agg(mean_vector("dense").alias("vector")).select(F.lit(0).alias("query_id"), "vector")
-    n = p.where("label = 3").count()
-    return r.dense_search(p, centre, 10**6).where("id >= 0").join(p.where("label = 3").select("id"), "id", "left_semi").agg(F.count("*").alias("n")).where(F.lit(n) >= 0)
+    return r.dense_search(p, centre, 15).select("id", F.round("score", 6).alias("score"))
 
 
 @query("r19_symbol_lane", "WITH n AS (SELECT * FROM (VALUES ('sym_1', 0), ('sym_2', 1)) t(needle, i)), m AS (SELECT node_id, min(i) AS i FROM {graph_nodes} JOIN n ON contains(symbol_name, needle) GROUP BY node_id) SELECT node_id, round(1.2 - 0.001 * i, 6)::DOUBLE AS score FROM m")
