@@ -86,9 +86,12 @@ def sparse_weights(posts: DataFrame, lex: DataFrame, n: int, k1: float = 1.2) ->
 
 
 def sparse_search(weights: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """The `k` documents with the highest sums of query weight x document weight; an empty query has none. query: query_id, term, q."""
+    """The `k` documents with the highest sums of query weight x document weight; an empty query has none. query: query_id, term, q.
+
+    Scores are rounded to nine decimals, so ties do not depend on the order of summation.
+    """
     met = weights.join(F.broadcast(query), "term")
-    scored = met.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    scored = met.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 9).alias("score"))
     return top_k(scored, k)
 
 

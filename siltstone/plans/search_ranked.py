@@ -25,7 +25,7 @@ _TERMS = r"""raw AS (SELECT doc_id AS id, list_filter(list_transform(regexp_spli
   wt AS (SELECT id, term, greatest(0, ln((n - df + 0.5) / (df + 0.5))) * (tf * 1.2) / (tf + 1.2) AS weight FROM post JOIN lex USING (term), nn WHERE greatest(0, ln((n - df + 0.5) / (df + 0.5))) > 0)"""
 _ASK = ", ".join(f"('{t}')" for t in ASKED)
 _SPARSE = _TERMS + f""",
-  sp AS (SELECT id, sum(weight) AS score FROM wt WHERE term IN (SELECT * FROM (VALUES {_ASK})) GROUP BY id),
+  sp AS (SELECT id, round(sum(weight), 9) AS score FROM wt WHERE term IN (SELECT * FROM (VALUES {_ASK})) GROUP BY id),
   spr AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sp)"""
 _DENSE = """dn AS (SELECT p.id, list_dot_product(p.dense, q.dense) / (sqrt(list_dot_product(p.dense, p.dense)) * sqrt(list_dot_product(q.dense, q.dense))) AS score FROM {points} p, (SELECT dense FROM points WHERE id = 0) q),
   dnr AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM dn)"""
