@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +22,6 @@ LABELS = 240
 AROUND = 8
 MIN_SCORE = 0.3
 UNKNOWN = "und"
-SALTS = 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -184,10 +185,17 @@ def training_sample(documents: DataFrame, doc_id: str, text: str, lang: str, sam
     n = F.length(text)
     cuts = F.array(F.substring(text, 1, cut), F.substring(F.col(text), F.greatest(F.lit(1), F.floor(n / 2)).cast("int"), F.lit(cut)), F.substring(F.col(text), F.greatest(F.lit(1), n - cut), F.lit(cut)))
     row = mine.select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"), cuts.alias("cuts"))
-    row = row.withColumn("salt", F.pmod("h", F.lit(SALTS)))
-    for keys in (["lang", "salt"], ["lang"]):  # a language with most rows is first ranked in many tasks
-        row = row.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("h"))).where(F.col("r") <= sample)
-    return row.select("lang", "h", "cuts").collect()
+    sizes = {r.lang: r.n for r in row.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4 * sample / n))]), F.col("lang")) if sizes else F.lit(1.0)
+    least = W.partitionBy("lang").orderBy("h")
+    # about four times the sample lie in the lowest part of all hashes, and so the sample itself
+    low = row.where(F.col("h") / 2.0**64 + 0.5 <= share)
+    for rows in (low, row):
+        found = rows.withColumn("r", F.row_number().over(least)).where(F.col("r") <= sample).select("lang", "h", "cuts").collect()
+        got = Counter(r.lang for r in found)
+        if all(got[lang] == min(sample, n) for lang, n in sizes.items()):
+            break  # else many rows are alike: rank all of them
+    return found
 
 
 def train(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, cut: int = CUT) -> Network:
