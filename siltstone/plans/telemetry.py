@@ -7,21 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.operators import telemetry as t
+from siltstone.plans._registry import Registry
 from siltstone.sources import views as v
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
-def query(name: str, sql: str):
-    """Registers a query (spark, dir) -> DataFrame and its SQL twin."""
-
-    def put(f):
-        QUERIES[name] = f
-        ORACLES[name] = v.sql(sql)
-        return f
-
-    return put
+def with_value(df: DataFrame, value: DataFrame) -> DataFrame:
+    """`df` with the columns of `value`, a global aggregate and so one row."""
+    return df.withColumn("_k", F.lit(1)).join(F.broadcast(value.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
 
 @query("a01_group_counts", "SELECT tool, op, count(*) AS n FROM {search_events} GROUP BY ALL")
@@ -168,7 +163,7 @@ def a14(spark, d):
 @query("a15_retention", "WITH p AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'hourly' ELSE 'daily' END AS period, date_diff('second', ts, (SELECT max(ts) FROM events)) AS age FROM events) SELECT event_id, period FROM p WHERE CASE period WHEN 'raw' THEN age <= 86400 WHEN 'hourly' THEN age <= 604800 ELSE age <= 2592000 END")
 def a15(spark, d):
     e = v.base(spark, d, "events").withColumn("period", F.when(F.col("event_id") % 3 == 0, "raw").when(F.col("event_id") % 3 == 1, "hourly").otherwise("daily"))
-    e = e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("as_of"))))
+    e = with_value(e, e.agg(F.max("ts").alias("as_of")))
     return t.retained(e, F.col("as_of"), {"raw": 24, "hourly": 168, "daily": 720}).select("event_id", "period")
 
 
@@ -293,7 +288,7 @@ def d05(spark, d):
 def d06(spark, d):
     q = v.queue(spark, d)
     x = q.groupBy("tenant_id").agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "failed").alias("failed"), F.min(F.when(F.col("status") == "pending", F.col("created_at"))).alias("oldest"))
-    x = x.crossJoin(F.broadcast(q.agg(F.max("created_at").alias("as_of"))))
+    x = with_value(x, q.agg(F.max("created_at").alias("as_of")))
     level = lambda c, high, low: F.when(c >= high, 2).when(c >= low, 1).otherwise(0)
     age = F.datediff(F.col("as_of").cast("date"), F.col("oldest").cast("date"))
     worst = F.greatest(level(F.col("pending"), 50, 20), level(F.col("failed"), 10, 1), level(F.coalesce(age, F.lit(0)), 2501, 1001))
