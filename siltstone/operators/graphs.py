@@ -108,38 +108,49 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def closure(edges: DataFrame, hops: int) -> DataFrame:
-    """a, b: b can be reached from a in 1..hops steps; doubled paths, so rounds are the logarithm of `hops`."""
-    paths = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
-    size, length = paths.count(), 1
-    while length < hops:
-        step = paths.select("a", F.col("b").alias("m")).join(paths.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        paths = cut(paths.unionByName(step).distinct())
-        length *= 2
-        if (now := paths.count()) == size:
-            break
-        size = now
-    return paths
-
-
-def cycles(edges: DataFrame, hops: int = 1 << 20, least: int = 2) -> DataFrame:
+def cycles(edges: DataFrame, least: int = 2) -> DataFrame:
     """node_id, cycle (its least node), size: strongly connected sets of `least` nodes or more, and nodes with an edge to themselves.
 
-    Nodes that lose all edges in or out one after another are on no cycle and are peeled off first; the closure is of the rest.
+    Nodes that lose all edges in or out one after another are on no cycle and are peeled off. Then every node takes the least
+    name that leads to it; the nodes of a name from which that node can be reached back are its set, and are taken out with
+    their edges, until none are left. Rounds follow the graph's diameter; nothing is paired with all it reaches.
     """
     e = cut(edges.select("source", "target").distinct())
-    n = e.count()
-    while n:
-        core = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        core = cut(core.select("source", "target"))
-        if (m := core.count()) == n:
+    loops = e.where("source = target").select(F.col("source").alias("node_id"))
+    found = None
+    e = cut(e.where("source <> target"))
+    while True:
+        n = e.count()
+        while n:
+            core = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+            core = cut(core.select("source", "target"))
+            if (m := core.count()) == n:
+                break
+            e, n = core, m
+        if not n:
             break
-        e, n = core, m
-    c = closure(e, hops)
-    back = c.join(c.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
-    loops = e.where("source = target").select(F.col("source").alias("node_id")).distinct().withColumn("loop", F.lit(True))
-    sets = back.groupBy(F.col("a").alias("node_id")).agg(F.min("b").alias("cycle"), F.count("*").alias("size"))
-    return sets.join(loops, "node_id", "left").where((F.col("size") >= least) | F.col("loop")).select("node_id", "cycle", "size")
+        names = cut(e.groupBy(F.col("source").alias("node_id")).agg(F.first("source").alias("cycle")))
+        while True:
+            got = e.join(names.select(F.col("node_id").alias("source"), "cycle"), "source").groupBy(F.col("target").alias("node_id")).agg(F.min("cycle").alias("c"))
+            new = cut(names.join(got, "node_id", "left").select("node_id", F.least("cycle", F.coalesce("c", "cycle")).alias("cycle"), F.col("cycle").alias("old")))
+            names = new.select("node_id", "cycle")
+            if new.where("cycle <> old").isEmpty():
+                break
+        inner = cut(e.join(names.select(F.col("node_id").alias("source"), "cycle"), "source").join(names.select(F.col("node_id").alias("target"), F.col("cycle").alias("c2")), "target").where("cycle = c2").select("source", "target", "cycle"))
+        known = ring = cut(names.where("node_id = cycle"))
+        while not ring.isEmpty():
+            step = inner.join(ring.select(F.col("node_id").alias("target"), "cycle"), ["target", "cycle"]).select(F.col("source").alias("node_id"), "cycle").distinct()
+            ring = cut(step.join(known, ["node_id", "cycle"], "left_anti"))
+            known = cut(known.unionByName(ring))
+        found = known if found is None else cut(found.unionByName(known))
+        gone = known.select(F.col("node_id").alias("source"))
+        e = cut(e.join(gone, "source", "left_anti").join(gone.withColumnRenamed("source", "target"), "target", "left_anti").select("source", "target"))
+    alone = loops.select("node_id", F.col("node_id").alias("cycle"))
+    if found is not None:
+        alone = found.unionByName(alone.join(found.select("node_id"), "node_id", "left_anti"))
+    sized = alone.join(alone.groupBy("cycle").agg(F.count("*").alias("size")), "cycle")
+    looped = loops.withColumn("loop", F.lit(True))
+    return sized.join(looped, "node_id", "left").where((F.col("size") >= least) | F.col("loop")).select("node_id", "cycle", "size")
 
 
 def test_gaps(nodes: DataFrame, edges: DataFrame, hops: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as ft
-from siltstone.functions.vectors import cosine
+from siltstone.functions.vectors import cosine, mean_vector
 from siltstone.operators import enrich as e
 from siltstone.operators import retrieval as r
 from siltstone.plans._registry import Registry
@@ -48,12 +48,10 @@ def e05(spark, d):
     return v.files(spark, d).select("file_id", now.alias("fingerprint"), e.is_stale(stored, now).alias("stale"))
 
 
-@query("e06_markdown_sections", "WITH l AS (SELECT doc_id, 'intro' || chr(10) || '# A' || (doc_id % 3) || chr(10) || left(text, 30) || chr(10) || '## B' || chr(10) || 'tail' AS t FROM documents) SELECT doc_id, 0 AS index, NULL AS heading, 'intro' AS body FROM l UNION ALL SELECT doc_id, 1, 'A' || (doc_id % 3), trim(left(text, 30), ' ' ) FROM documents WHERE NOT regexp_matches(left(text, 30), '\\n') UNION ALL SELECT doc_id, 2, 'B', 'tail' FROM l")
+@query("e06_markdown_sections")
 def e06(spark, d):
-    t = F.concat(F.lit("intro\n# A"), (F.col("doc_id") % 3).cast("string"), F.lit("\n"), F.left("text", F.lit(30)), F.lit("\n## B\ntail"))
-    s = e.markdown_sections(_docs(spark, d).withColumn("t", t).withColumn("keep", ~F.left("text", F.lit(30)).contains("\n")), "doc_id", "t")
-    s = s.join(_docs(spark, d).select("doc_id", F.left("text", F.lit(30)).contains("\n").alias("nl")), "doc_id")
-    return s.where("not (nl and index = 1)").select("doc_id", "index", "heading", "body")
+    whole = F.concat(F.lit("intro\n# A\n"), "text", F.lit("\n## B\ntail"))
+    return e.markdown_sections(_docs(spark, d).withColumn("text", whole), "doc_id", "text")
 
 
 @query("e07_parent_units", "SELECT file_id, count(*) AS blocks, sum(length(content))::BIGINT AS chars FROM {lines} WHERE trim(content) <> '' GROUP BY file_id")
@@ -66,9 +64,13 @@ def e08(spark, d):
     return _docs(spark, d).select("doc_id", ft.cleaned(F.concat("text", F.lit("\tx\x01  y"))).alias("cleaned"))
 
 
-@query("e09_html_titles", r"SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '') AS title FROM pages WHERE regexp_matches(html, '(?i)<title')")
+def _flat(x: str) -> str:
+    return rf"nullif(trim(regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '')"
+
+
+@query("e09_html_titles", "SELECT page_id, coalesce(" + ", ".join(_flat(f"regexp_extract(html, '{p}', 1)") for p in (r"(?is)<title[^>]*>(.*?)</title>", r"""(?is)<meta[^>]+property=["'']og:title["''][^>]+content=["'']([^"'']*)["'']""", r"(?is)<h1[^>]*>(.*?)</h1>")) + ") AS title FROM pages")
 def e09(spark, d):
-    return v.base(spark, d, "pages").where(F.col("html").rlike("(?i)<title")).select("page_id", ft.html_title(F.col("html")).alias("title"))
+    return v.base(spark, d, "pages").select("page_id", ft.html_title(F.col("html")).alias("title"))
 
 
 @query("e09b_plain_titles", r"WITH l AS (SELECT doc_id, trim(regexp_extract(text, '^\s*([^\n]*)', 1)) AS t FROM documents) SELECT doc_id, CASE WHEN t <> '' AND strlen(t) <= 200 AND NOT regexp_matches(t, '[.,;]$') AND regexp_matches(t, '\p{Lu}') THEN t END AS title FROM l")
@@ -76,17 +78,17 @@ def e09b(spark, d):
     return _docs(spark, d).select("doc_id", ft.plain_title(F.col("text")).alias("title"))
 
 
-@query("e10_redaction", r"""SELECT doc_id, regexp_replace(text, '(?i)\b(token)(\s*[:=]\s*)("?)[^\s"'']{8,}("?)', '\1\2\3[REDACTED]\4', 'g') AS redacted FROM documents WHERE regexp_matches(text, '(?i)token\s*[:=]\s*"')""")
+@query("e10_redaction", r"""SELECT doc_id, regexp_replace(text, '(?i)\b(password|passwd|secret|token|api[_-]?key)(\s*[:=]\s*)("?)[^\s"'']{8,}("?)', '\1\2\3[REDACTED]\4', 'g') AS redacted FROM documents""")
 def e10(spark, d):
-    return _docs(spark, d).where(F.col("text").rlike(r'(?i)token\s*[:=]\s*"')).select("doc_id", ft.redacted(F.col("text")).alias("redacted"))
+    return _docs(spark, d).select("doc_id", ft.redacted(F.col("text")).alias("redacted"))
 
 
-@query("e11_lexical_candidates", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}0-9_]+'), lambda x: length(x) >= 3) AS w FROM documents WHERE doc_id < 30),
+@query("e11_lexical_candidates", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}0-9_]+'), lambda x: length(x) >= 3) AS w FROM documents),
   g AS (SELECT doc_id, w[i + 1] AS phrase, 1 AS n FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM w) UNION ALL SELECT doc_id, w[i + 1] || ' ' || w[i + 2], 2 FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM w WHERE len(w) > 1)
     UNION ALL SELECT doc_id, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3], 3 FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM w WHERE len(w) > 2)),
   c AS (SELECT doc_id, phrase, n, count(*) AS tf, 1 + ln(count(*)) AS score FROM g GROUP BY ALL) SELECT doc_id, phrase, tf, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n DESC, phrase COLLATE "C")::INTEGER AS rank FROM c QUALIFY rank <= 200""".replace(' COLLATE "C"', ""))
 def e11(spark, d):
-    return e.lexical_candidates(_docs(spark, d).where("doc_id < 30"), "doc_id", "text").select("doc_id", "phrase", "tf", F.round("score", 6).alias("score"), "rank")
+    return e.lexical_candidates(_docs(spark, d), "doc_id", "text").select("doc_id", "phrase", "tf", F.round("score", 6).alias("score"), "rank")
 
 
 @query("e12_semantic_rerank", "SELECT id, round(0.6 * s + 0.4 * (id % 10) / 10.0, 6)::DOUBLE AS score FROM (SELECT p.id, list_dot_product(p.dense, q.dense) / (sqrt(list_dot_product(p.dense, p.dense)) * sqrt(list_dot_product(q.dense, q.dense))) AS s FROM {points} p, (SELECT dense FROM points WHERE id = 3) q) WHERE s >= 0.15")
@@ -116,12 +118,18 @@ def e14(spark, d):
     return e.diverse_tags(_tagged(spark, d), "tenant").select("tenant", "tag", "place", F.round("diversity", 6).alias("diversity"))
 
 
-@query("e15_basket_assignment", """WITH t AS (SELECT 'tag' || id AS tag, dense FROM {points} WHERE id < 12), k AS (SELECT id, dense FROM points WHERE id BETWEEN 12 AND 200), s AS (SELECT id, tag, list_dot_product(k.dense, t.dense) / (sqrt(list_dot_product(k.dense, k.dense)) * sqrt(list_dot_product(t.dense, t.dense))) AS s FROM k, t)
-  SELECT id AS keyword, CASE WHEN s >= 0.2 THEN tag ELSE 'misc' END AS basket, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, tag) = 1""")
+_MEANS = "m AS (SELECT label, [" + ", ".join(f"avg(dense[{k}])" for k in range(1, 65)) + "] AS c FROM {points} GROUP BY label)"
+_NEAR = _MEANS + ", s AS (SELECT p.id, m.label, 'tag' || m.label AS tag, list_dot_product(p.dense, m.c) / (sqrt(list_dot_product(p.dense, p.dense)) * sqrt(list_dot_product(m.c, m.c))) AS s FROM points p, m)"
+
+
+def _label_means(spark, d):
+    return v.points(spark, d).groupBy("label").agg(mean_vector("dense").alias("c")).withColumn("tag", F.concat(F.lit("tag"), F.col("label").cast("string")))
+
+
+@query("e15_basket_assignment", "WITH " + _NEAR + " SELECT id AS keyword, CASE WHEN s >= 0.2 THEN tag ELSE 'misc' END AS basket, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, tag) = 1")
 def e15(spark, d):
-    p = v.points(spark, d)
-    tags = p.where("id < 12").select(F.concat(F.lit("tag"), F.col("id").cast("string")).alias("tag"), F.col("dense").alias("tag_vector"))
-    b = e.basket_of(p.where("id between 12 and 200").select(F.col("id").alias("keyword"), F.col("dense").alias("vector")), tags, 0.2)
+    tags = _label_means(spark, d).select("tag", F.col("c").alias("tag_vector"))
+    b = e.basket_of(v.points(spark, d).select(F.col("id").alias("keyword"), F.col("dense").alias("vector")), tags, 0.2)
     return b.select("keyword", "basket", F.round("similarity", 6).alias("similarity"))
 
 
@@ -168,20 +176,20 @@ def e23(spark, d):
     return out
 
 
-@query("e24_taxonomy", """WITH t AS (SELECT 'term' || id AS term, 'c' || (id % 3) AS category, dense FROM {points} WHERE id < 30), k AS (SELECT id, dense FROM points WHERE id >= 30), s AS (SELECT id, term, category, list_dot_product(k.dense, t.dense) / (sqrt(list_dot_product(k.dense, k.dense)) * sqrt(list_dot_product(t.dense, t.dense))) AS s FROM k, t),
-  f AS (SELECT *, max(s) OVER (PARTITION BY id, category) AS b, row_number() OVER (PARTITION BY id, category ORDER BY s DESC, term) AS r FROM s WHERE s >= 0.1) SELECT id, term, round(s, 6) AS similarity, row_number() OVER (PARTITION BY id ORDER BY s DESC, term)::INTEGER AS place FROM f WHERE r = 1 OR b - s > 0.06 QUALIFY place <= 10""")
+@query("e24_taxonomy", "WITH " + _NEAR + """, f AS (SELECT *, max(s) OVER (PARTITION BY id, label % 3) AS b, row_number() OVER (PARTITION BY id, label % 3 ORDER BY s DESC, tag) AS r FROM s WHERE s >= 0.1)
+  SELECT id, tag AS term, round(s, 6) AS similarity, row_number() OVER (PARTITION BY id ORDER BY s DESC, tag)::INTEGER AS place FROM f WHERE r = 1 OR b - s > 0.06 QUALIFY place <= 10""")
 def e24(spark, d):
-    p = v.points(spark, d)
-    terms = p.where("id < 30").select(F.concat(F.lit("term"), F.col("id").cast("string")).alias("term"), F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("category"), F.col("dense").alias("term_vector"))
-    m = e.taxonomy_matches(p.where("id >= 30").select("id", F.col("dense").alias("vector")), terms, 0.1)
+    terms = _label_means(spark, d).select(F.col("tag").alias("term"), (F.col("label") % 3).cast("string").alias("category"), F.col("c").alias("term_vector"))
+    m = e.taxonomy_matches(v.points(spark, d).select("id", F.col("dense").alias("vector")), terms, 0.1)
     return m.select("id", "term", F.round("similarity", 6).alias("similarity"), "place")
 
 
 @query("e26_enrichment_pipeline")
 def e26(spark, d):
-    c = e.lexical_candidates(_docs(spark, d).where("doc_id < 40"), "doc_id", "text", 50)
+    docs = _docs(spark, d)
+    c = e.lexical_candidates(docs, "doc_id", "text", 50)
     df = c.groupBy("phrase").agg(F.countDistinct("doc_id").alias("df"))
-    return e.selected_keywords(c, df, 40, "doc_id", 10).select("doc_id", "phrase", F.round("keyword_score", 6).alias("keyword_score"), "place")
+    return e.selected_keywords(c, df, docs.count(), "doc_id", 10).select("doc_id", "phrase", F.round("keyword_score", 6).alias("keyword_score"), "place")
 
 
 @query("e27_components", "SELECT file_id, CASE WHEN tenant_id = 'src1' AND language = 'de' THEN 'src1.de' ELSE tenant_id END AS component FROM {files} WHERE tenant_id IN ('src1', 'src2')")
@@ -324,15 +332,12 @@ def j05(spark, d):
     return v.base(spark, d, "customer").join(v.base(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("j10_affinity_pairs", """WITH m AS (SELECT label, [avg(dense[1]), avg(dense[2]), avg(dense[3]), avg(dense[4])] AS c FROM {points} GROUP BY label)
-  SELECT a.label AS a, b.label AS b, round(list_dot_product(a.c, b.c) / (sqrt(list_dot_product(a.c, a.c)) * sqrt(list_dot_product(b.c, b.c))), 6) AS similarity FROM m a JOIN m b ON a.label < b.label WHERE list_dot_product(a.c, b.c) / (sqrt(list_dot_product(a.c, a.c)) * sqrt(list_dot_product(b.c, b.c))) >= 0.2""")
+@query("j10_affinity_pairs", "WITH " + _MEANS + " SELECT a.label AS a, b.label AS b, round(list_dot_product(a.c, b.c) / (sqrt(list_dot_product(a.c, a.c)) * sqrt(list_dot_product(b.c, b.c))), 6) AS similarity FROM m a JOIN m b ON a.label < b.label WHERE list_dot_product(a.c, b.c) / (sqrt(list_dot_product(a.c, a.c)) * sqrt(list_dot_product(b.c, b.c))) >= 0.05")
 def j10(spark, d):
-    from siltstone.functions.vectors import mean_vector
-
-    m = v.points(spark, d).groupBy("label").agg(mean_vector("dense", dims=4).alias("c"))
+    m = _label_means(spark, d)
     y = m.select(F.col("label").alias("b"), F.col("c").alias("cb"))
     p = m.join(F.broadcast(y), F.col("label") < F.col("b")).select(F.col("label").alias("a"), "b", cosine(F.col("c"), F.col("cb")).alias("similarity"))
-    return p.where("similarity >= 0.2").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return p.where("similarity >= 0.05").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("d12_primary_branch", "WITH c AS (SELECT tenant_id, language, count(*) AS n FROM {files} GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY tenant_id) AS mx FROM c) SELECT tenant_id, language FROM m QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY (language = 'fr' AND 2 * n >= mx) DESC, n DESC, language) = 1")

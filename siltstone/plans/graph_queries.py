@@ -14,7 +14,7 @@ QUERIES, ORACLES = query.queries, query.oracles
 _BFS = """WITH RECURSIVE e AS (SELECT {a} AS x, {b} AS y, max(weight) AS w FROM {{graph_edges}} GROUP BY ALL),
   t AS (SELECT node_id, 0 AS depth, 1.0::DOUBLE AS c FROM ({start}) UNION SELECT e.y, t.depth + 1, t.c * e.w FROM t JOIN e ON e.x = t.node_id WHERE t.depth < {hops}),
   m AS (SELECT node_id, min(depth) AS depth FROM t GROUP BY node_id)"""
-_SOME = "SELECT DISTINCT source AS node_id FROM graph_edges WHERE edge_type = 'REFERENCES' AND source < 'p12'"
+_SOME = "SELECT node_id FROM {graph_nodes} WHERE symbol_name = 'sym_7'"
 
 
 def _bfs(a, b, start, hops):
@@ -22,7 +22,7 @@ def _bfs(a, b, start, hops):
 
 
 def _some(spark, d):
-    return v.graph_edges(spark, d).where("edge_type = 'REFERENCES' and source < 'p12'").select(F.col("source").alias("node_id")).distinct()
+    return v.graph_nodes(spark, d).where("symbol_name = 'sym_7'").select("node_id")
 
 
 @query("g01_adjacency", """WITH s AS (SELECT source, target, edge_type, max(weight) AS weight FROM {graph_edges} WHERE weight >= 0.6 GROUP BY ALL), n AS (SELECT count(*) AS n FROM {graph_nodes}), nm AS (SELECT symbol_name, count(*) AS c FROM graph_nodes GROUP BY 1),
@@ -76,8 +76,7 @@ def g06b(spark, d):
 
 @query("g07_betweenness")
 def g07(spark, d):
-    e = v.graph_edges(spark, d).where("edge_type = 'USES_TYPE' or source < 'p12'")
-    return g.betweenness(e).select("node_id", F.round("score", 9).alias("score"))
+    return g.betweenness(v.graph_edges(spark, d), sample=32).select("node_id", F.round("score", 9).alias("score"))
 
 
 @query("g08_communities")
@@ -86,21 +85,15 @@ def g08(spark, d):
     return g.communities(e)
 
 
-_ORDERED = "e AS (SELECT DISTINCT source, target FROM {graph_edges} WHERE edge_type = 'REFERENCES' UNION SELECT target, source FROM graph_edges WHERE edge_type = 'REFERENCES' AND source < 'p15')"
-
-
-@query("g09_cycles", "WITH RECURSIVE " + _ORDERED + """, c AS (SELECT source AS a, target AS b FROM e UNION SELECT c.a, e.target FROM c JOIN e ON e.source = c.b),
-  s AS (SELECT x.a AS node_id, min(x.b) AS cycle, count(*) AS size FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT node_id, cycle, size FROM s WHERE size >= 2""")
+@query("g09_cycles")
 def g09(spark, d):
-    e = v.graph_edges(spark, d).where("edge_type = 'REFERENCES'").select("source", "target")
-    back = e.where("source < 'p15'").select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return g.cycles(e.unionByName(back))
+    return g.cycles(v.graph_edges(spark, d))
 
 
-@query("g10_test_gaps", _bfs("source", "target", "SELECT node_id FROM {graph_nodes} WHERE is_test".replace("{", "{{").replace("}", "}}").replace("{{", "{").replace("}}", "}"), 3) + """, dp AS (SELECT target, count(DISTINCT source) AS d FROM graph_edges WHERE source IN (SELECT node_id FROM graph_nodes WHERE NOT is_test) GROUP BY target)
+@query("g10_test_gaps", _bfs("source", "target", "SELECT node_id FROM {graph_nodes} WHERE is_test".replace("{", "{{").replace("}", "}}").replace("{{", "{").replace("}}", "}"), 1) + """, dp AS (SELECT target, count(DISTINCT source) AS d FROM graph_edges WHERE source IN (SELECT node_id FROM graph_nodes WHERE NOT is_test) GROUP BY target)
   SELECT node_id, coalesce(d, 0) AS dependents FROM graph_nodes LEFT JOIN dp ON target = node_id WHERE NOT is_test AND symbol_type = 'function' AND node_id NOT IN (SELECT node_id FROM m)""")
 def g10(spark, d):
-    return g.test_gaps(v.graph_nodes(spark, d), v.graph_edges(spark, d), 3)
+    return g.test_gaps(v.graph_nodes(spark, d), v.graph_edges(spark, d), 1)
 
 
 @query("g11_imports")
@@ -149,9 +142,9 @@ def g16(spark, d):
     return g.degree_centrality(v.pairs(spark, d)).select("node", "degree", F.round("centrality", 9).alias("centrality"))
 
 
-@query("g17_clusters", "WITH RECURSIVE e AS (SELECT symbol_a AS a, symbol_b AS b FROM {pairs} WHERE symbol_a % 3 = 0 UNION SELECT symbol_b, symbol_a FROM pairs WHERE symbol_a % 3 = 0), c AS (SELECT a, a AS b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b) SELECT a AS node, min(b) AS component FROM c GROUP BY a")
+@query("g17_clusters")
 def g17(spark, d):
-    return g.components(v.pairs(spark, d).where("symbol_a % 3 = 0"), "symbol_a", "symbol_b")
+    return g.components(v.pairs(spark, d), "symbol_a", "symbol_b")
 
 
 @query("g18_neighbours", _ENDS + " SELECT other, c AS cooccurrence_count FROM e WHERE node = (SELECT min(symbol_a) FROM pairs) AND c >= 1")
@@ -171,22 +164,25 @@ def g20(spark, d):
     return c.select("node", F.round(g.concept_score(F.col("centrality"), (F.col("node") % 10) / 10.0), 6).alias("score"))
 
 
-@query("g21_affinity_groups", """WITH RECURSIVE m AS (SELECT label, [avg(dense[1]), avg(dense[2]), avg(dense[3])] AS c FROM {points} GROUP BY label), p AS (SELECT x.label AS a, y.label AS b FROM m x JOIN m y ON x.label < y.label AND list_dot_product(x.c, y.c) / (sqrt(list_dot_product(x.c, x.c)) * sqrt(list_dot_product(y.c, y.c))) >= 0.5),
+_MEANS = "m AS (SELECT label, [" + ", ".join(f"avg(dense[{k}])" for k in range(1, 65)) + "] AS c FROM {points} GROUP BY label)"
+
+
+@query("g21_affinity_groups", "WITH RECURSIVE " + _MEANS + """, p AS (SELECT x.label AS a, y.label AS b FROM m x JOIN m y ON x.label < y.label AND list_dot_product(x.c, y.c) / (sqrt(list_dot_product(x.c, x.c)) * sqrt(list_dot_product(y.c, y.c))) >= 0.05),
   e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), c AS (SELECT a, a AS b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b) SELECT a AS node, min(b) AS component FROM c GROUP BY a""")
 def g21(spark, d):
     from siltstone.functions.vectors import cosine, mean_vector
 
-    m = v.points(spark, d).groupBy("label").agg(mean_vector("dense", dims=3).alias("c"))
+    m = v.points(spark, d).groupBy("label").agg(mean_vector("dense").alias("c"))
     # labels are a handful: each is compared with those above it
     y = m.select(F.col("label").alias("b"), F.col("c").alias("cb"))
-    p = m.join(F.broadcast(y), F.col("label") < F.col("b")).where(cosine(F.col("c"), F.col("cb")) >= 0.5)
+    p = m.join(F.broadcast(y), F.col("label") < F.col("b")).where(cosine(F.col("c"), F.col("cb")) >= 0.05)
     return g.components(p.select(F.col("label").alias("a"), "b"), "a", "b")
 
 
-@query("g22_dependency_groups", "WITH s AS (SELECT l_suppkey % 30 AS k, l_partkey % 40 AS i FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY ALL), n AS (SELECT k, count(*) AS n FROM s GROUP BY k), m AS (SELECT x.k AS a, y.k AS b, count(*) AS both_ FROM s x JOIN s y ON x.i = y.i AND x.k < y.k GROUP BY ALL) SELECT a, b, round(both_ / (p.n + q.n - both_), 9) AS jaccard FROM m JOIN n p ON p.k = a JOIN n q ON q.k = b WHERE both_ / (p.n + q.n - both_) >= 0.3")
+@query("g22_dependency_groups", "WITH s AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem), n AS (SELECT k, count(*) AS n FROM s GROUP BY k), m AS (SELECT x.k AS a, y.k AS b, count(*) AS both_ FROM s x JOIN s y ON x.i = y.i AND x.k < y.k GROUP BY ALL) SELECT a, b, round(both_ / (p.n + q.n - both_), 9) AS jaccard FROM m JOIN n p ON p.k = a JOIN n q ON q.k = b WHERE both_ / (p.n + q.n - both_) >= 0.15")
 def g22(spark, d):
-    s = v.base(spark, d, "lineitem").where("l_orderkey % 40 = 0").select((F.col("l_suppkey") % 30).alias("k"), (F.col("l_partkey") % 40).alias("i")).distinct()
-    return g.set_similarity(s, "k", "i").where("jaccard >= 0.3").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    s = v.base(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("i")).distinct()
+    return g.set_similarity(s, "k", "i").where("jaccard >= 0.15").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query("p12_confident_answers", "WITH e AS (SELECT source, target, max(weight) AS w FROM {graph_edges} WHERE weight >= 0.7 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY w DESC, target) AS k, count(*) OVER (PARTITION BY source) AS total FROM e) SELECT source, target, total FROM r WHERE k <= 3")

@@ -59,11 +59,11 @@ def r02(spark, d):
     return r.lexicon(r.postings(v.base(spark, d, "documents"), "doc_id", "text"))
 
 
-@query("r03_sparse_weights", "WITH " + _TERMS + " SELECT id, term, round(weight, 6) AS weight FROM wt WHERE id < 20")
+@query("r03_sparse_weights", "WITH " + _TERMS + " SELECT id, term, round(weight, 6) AS weight FROM wt")
 def r03(spark, d):
     docs = v.base(spark, d, "documents").select("doc_id", "text")
     posts = r.postings(docs, "doc_id", "text")
-    return r.sparse_weights(posts, r.lexicon(posts), docs.count()).where("id < 20").select("id", "term", F.round("weight", 6).alias("weight"))
+    return r.sparse_weights(posts, r.lexicon(posts), docs.count()).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("r04_vocabulary_without_hapaxes", "WITH " + _TERMS + " SELECT count(*) AS terms, sum(df)::BIGINT AS total FROM lex WHERE df > 1")
@@ -128,12 +128,12 @@ def r11(spark, d):
     return more.unionByName(asked)
 
 
-_HITS = "h AS (SELECT id, tenant_id, 0.9 - rank * 0.01 AS score, rank FROM (SELECT id, tenant_id, row_number() OVER (ORDER BY id) AS rank FROM {points} WHERE id < 40))"
+_HITS = _DENSE + ", h AS (SELECT id, tenant_id, 0.9 - rank * 0.01 AS score, rank FROM dnr JOIN points USING (id) WHERE rank <= 60)"
 
 
 def _hits(spark, d):
-    p = v.points(spark, d).where("id < 40").select("id", "tenant_id")
-    p = p.withColumn("rank", F.row_number().over(W.orderBy("id")))
+    """The 60 best hits of a dense search, with evenly spaced scores."""
+    p = _dense(spark, d, 60).select("id", "rank").join(v.points(spark, d).select("id", "tenant_id"), "id")
     return p.select(F.lit(0).alias("query_id"), "id", F.col("tenant_id").alias("source"), (F.lit(0.9) - F.col("rank") * 0.01).alias("score"), "rank")
 
 
@@ -153,7 +153,7 @@ def r15(spark, d):
     return v.files(spark, d).select("file_id", r.deranked(F.lit(1.0), F.col("file_path"), ["/de/", ".md"]).alias("score"))
 
 
-@query("r16_first_of_each_file", "WITH " + _HITS + " SELECT min(id) AS id, tenant_id AS source FROM h GROUP BY tenant_id")
+@query("r16_first_of_each_file", "WITH " + _HITS + " SELECT arg_min(id, rank) AS id, tenant_id AS source FROM h GROUP BY tenant_id")
 def r16(spark, d):
     return r.first_of_each(_hits(spark, d), F.col("source")).select("id", "source")
 
@@ -218,9 +218,9 @@ def w10(spark, d):
     return r.within_budget(docs, "n_chars", 24_000, order="doc_id").select("doc_id")
 
 
-@query("r25_shaped_payloads", "SELECT doc_id, left(text, 1500) AS body, length(text) > 1500 AS cut FROM documents WHERE doc_id < 50")
+@query("r25_shaped_payloads", "SELECT doc_id, left(text, 1500) AS body, length(text) > 1500 AS cut FROM documents")
 def r25(spark, d):
-    return v.base(spark, d, "documents").where("doc_id < 50").select("doc_id", F.left("text", F.lit(1500)).alias("body"), (F.length("text") > 1500).alias("cut"))
+    return v.base(spark, d, "documents").select("doc_id", F.left("text", F.lit(1500)).alias("body"), (F.length("text") > 1500).alias("cut"))
 
 
 @query("r26_keyword_fallback", "SELECT doc_id AS id, 0.5::DOUBLE AS score FROM documents WHERE contains(lower(text), 'the and') ORDER BY doc_id LIMIT 30")

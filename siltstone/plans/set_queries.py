@@ -75,15 +75,15 @@ def j06(spark, d):
     return v.search_events(spark, d).withColumn("_soon", soon).where("_soon = 1").select("id")
 
 
-@query("j07_incident_edge_pairs", "WITH e AS (SELECT symbol_a, symbol_b, row_number() OVER (ORDER BY symbol_a, symbol_b) AS k FROM {pairs} WHERE symbol_a % 5 = 0), p AS (SELECT CASE WHEN x.symbol_a IN (y.symbol_a, y.symbol_b) THEN x.symbol_a ELSE x.symbol_b END AS node FROM e x JOIN e y ON x.k < y.k AND (x.symbol_a IN (y.symbol_a, y.symbol_b) OR x.symbol_b IN (y.symbol_a, y.symbol_b))) SELECT node, count(*) AS bridges FROM p GROUP BY node")
+@query("j07_incident_edge_pairs", "WITH e AS (SELECT symbol_a AS node, symbol_b AS other FROM {pairs} UNION ALL SELECT symbol_b, symbol_a FROM pairs) SELECT x.node, count(*) AS bridges FROM e x JOIN e y ON x.node = y.node AND x.other < y.other GROUP BY x.node")
 def j07(spark, d):
-    return g.bridge_proxy(v.pairs(spark, d).where("symbol_a % 5 = 0")).select("node", "bridges")
+    return g.bridge_proxy(v.pairs(spark, d)).select("node", "bridges")
 
 
-@query("j12_hit_neighbours", "SELECT n.node_id, coalesce(array_to_string(list_sort(list(DISTINCT e.target) FILTER (e.target IS NOT NULL)), ','), '') AS callees FROM {graph_nodes} n LEFT JOIN {graph_edges} e ON e.source = n.node_id AND e.edge_type = 'CALLS' WHERE n.node_id < 'p15' GROUP BY n.node_id")
+@query("j12_hit_neighbours", "SELECT n.node_id, coalesce(array_to_string(list_sort(list(DISTINCT e.target) FILTER (e.target IS NOT NULL)), ','), '') AS callees FROM {graph_nodes} n LEFT JOIN {graph_edges} e ON e.source = n.node_id AND e.edge_type = 'CALLS' GROUP BY n.node_id")
 def j12(spark, d):
     calls = v.graph_edges(spark, d).where("edge_type = 'CALLS'").groupBy(F.col("source").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("callees"))
-    return v.graph_nodes(spark, d).where("node_id < 'p15'").join(calls, "node_id", "left").select("node_id", F.coalesce("callees", F.lit("")).alias("callees"))
+    return v.graph_nodes(spark, d).join(calls, "node_id", "left").select("node_id", F.coalesce("callees", F.lit("")).alias("callees"))
 
 
 @query("j13_context_join", "WITH m AS (SELECT file_id, line_number FROM {lines} WHERE contains(content, 'token')) SELECT m.file_id, m.line_number, count(l.line_number) AS near FROM m LEFT JOIN lines l ON l.file_id = m.file_id AND l.line_number BETWEEN m.line_number - 3 AND m.line_number + 3 AND l.line_number <> m.line_number GROUP BY ALL")
@@ -185,9 +185,9 @@ def e18(spark, d):
     return e.tag_levels(p, "tenant").groupBy(F.col("tenant").alias("tenant_id")).agg(F.count("*").alias("tags"))
 
 
-@query("d11_library_counts", "SELECT tenant_id, count(*) AS documents FROM {files} WHERE tenant_id IN ('src0', 'src1') GROUP BY tenant_id")
+@query("d11_library_counts", "SELECT tenant_id, count(*) AS documents FROM {files} GROUP BY tenant_id")
 def d11(spark, d):
-    return t.group_counts(v.files(spark, d).where(F.col("tenant_id").isin("src0", "src1")), "tenant_id").withColumnRenamed("n", "documents")
+    return t.group_counts(v.files(spark, d), "tenant_id").withColumnRenamed("n", "documents")
 
 
 @query("d21_metric_summary", "SELECT event_type AS metric_name, count(*) AS n, round(avg(value), 6) AS mean, min(ts) AS first_ts, max(ts) AS last_ts FROM events WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY event_type")

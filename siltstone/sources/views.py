@@ -85,9 +85,9 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, tag, score, tag_type from the first words of documents."""
+    """doc_id, tag, score, tag_type from the words of documents."""
     d = base(spark, sf_dir, "documents")
-    w = F.slice(F.split(F.lower("text"), "[^a-z]+"), 1, 30)
+    w = F.split(F.lower("text"), "[^a-z]+")
     x = d.select("doc_id", F.col("source").alias("tenant_id"), F.posexplode(w).alias("pos", "tag")).where(F.length("tag") >= 4)
     return x.select("doc_id", "tenant_id", "tag", F.when(F.length("tag") >= 6, "concept").otherwise("structural").alias("tag_type"), (1.0 / (F.col("pos") + 1)).alias("score"))
 
@@ -102,15 +102,14 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part -> supplier (CALLS), supplier -> nation (USES_TYPE), part -> part in one order (REFERENCES)."""
+    """part -> supplier (CALLS), supplier -> nation (USES_TYPE), part -> part of an order's next line (REFERENCES)."""
     li = base(spark, sf_dir, "lineitem")
     weight = lambda c: F.when(c == 0, 0.5).when(c == 1, 0.7).when(c == 2, 0.9).otherwise(1.0)
-    one = li.where("l_orderkey % 20 = 0").select("l_partkey", "l_suppkey").distinct()
+    one = li.select("l_partkey", "l_suppkey").distinct()
     a = one.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), F.lit("CALLS").alias("edge_type"), weight((F.col("l_partkey") + F.col("l_suppkey")) % 4).alias("weight"))
     s = base(spark, sf_dir, "supplier")
     b = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.lit("USES_TYPE"), F.lit(1.0))
-    x = li.where("l_orderkey % 100 = 0")
-    pair = x.alias("x").join(x.alias("y"), (F.col("x.l_orderkey") == F.col("y.l_orderkey")) & (F.col("y.l_linenumber") == F.col("x.l_linenumber") + 1) & (F.col("x.l_partkey") != F.col("y.l_partkey")))
+    pair = li.alias("x").join(li.alias("y"), (F.col("x.l_orderkey") == F.col("y.l_orderkey")) & (F.col("y.l_linenumber") == F.col("x.l_linenumber") + 1) & (F.col("x.l_partkey") != F.col("y.l_partkey")))
     c = pair.select(F.col("x.l_partkey").alias("a"), F.col("y.l_partkey").alias("b")).distinct().select(F.concat(F.lit("p"), F.col("a").cast("string")), F.concat(F.lit("p"), F.col("b").cast("string")), F.lit("REFERENCES"), weight((F.col("a") + F.col("b")) % 4))
     return a.union(b).union(c)
 
@@ -119,16 +118,15 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols (parts) that occur in one order: symbol_a < symbol_b, cooccurrence_count."""
     from siltstone.operators.graphs import cooccurrence
 
-    li = base(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
-    return cooccurrence(li, "l_orderkey", "l_partkey")
+    return cooccurrence(base(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
 
 SQL = {
     "files": """SELECT doc_id AS file_id, source AS tenant_id, [lang, 'main'] AS branches,
       source || '/' || lang || '/doc_' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.test.ts' ELSE '.txt' END AS file_path,
       CASE WHEN doc_id % 11 <> 0 THEN n_chars END AS size_bytes, doc_id % 7 AS reindex_count, lang AS language, sha256(text) AS file_hash, text AS content FROM documents""",
-    "lines": """SELECT doc_id AS file_id, CAST(i AS INTEGER) AS line_number, l[i] AS content
-      FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
+    "lines": """SELECT doc_id AS file_id, CAST(i AS INTEGER) AS line_number, content
+      FROM (SELECT doc_id, unnest(l) AS content, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
     "points": "SELECT vec_id AS id, 't' || label AS tenant_id, CAST(embedding AS DOUBLE[]) AS dense, label FROM embeddings",
     "search_events": """SELECT event_id AS id, ts, user_id AS session_id,
       CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'open' WHEN 'error' THEN 'grep' WHEN 'signup' THEN 'expand' ELSE 'retrieve' END AS tool,
@@ -147,21 +145,20 @@ SQL = {
       CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_orderdate AS created_at, o_orderkey % 5 AS retry_count,
       CASE o_orderkey % 6 WHEN 0 THEN 'connection refused' WHEN 1 THEN 'file not found' END AS error_message FROM orders""",
     "keywords": """SELECT doc_id, tenant_id, tag, CASE WHEN length(tag) >= 6 THEN 'concept' ELSE 'structural' END AS tag_type, 1.0::DOUBLE / (pos + 1) AS score
-      FROM (SELECT doc_id, tenant_id, pos, w[pos + 1] AS tag FROM (SELECT doc_id, source AS tenant_id,
-        regexp_split_to_array(lower(text), '[^a-z]+')[1:30] AS w, unnest(range(0, least(30, len(regexp_split_to_array(lower(text), '[^a-z]+'))))) AS pos FROM documents))
+      FROM (SELECT doc_id, tenant_id, unnest(w) AS tag, unnest(range(0, len(w))) AS pos FROM (SELECT doc_id, source AS tenant_id, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM documents))
       WHERE length(tag) >= 4""",
     "graph_nodes": """SELECT 'p' || p_partkey AS node_id, 'sym_' || (p_partkey % 50) AS symbol_name, 'function' AS symbol_type, 'src/' || p_brand || '.py' AS file_path, p_partkey % 9 = 0 AS is_test FROM part
       UNION ALL SELECT 's' || s_suppkey, 'sup_' || s_suppkey, 'class', 'lib/' || s_nationkey || '.py', FALSE FROM supplier
       UNION ALL SELECT 'n' || n_nationkey, n_name, 'module', 'lib/all.py', FALSE FROM nation""",
     "graph_edges": """SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target, 'CALLS' AS edge_type,
-        CASE (l_partkey + l_suppkey) % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.7 WHEN 2 THEN 0.9 ELSE 1.0 END::DOUBLE AS weight FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 20 = 0)
+        CASE (l_partkey + l_suppkey) % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.7 WHEN 2 THEN 0.9 ELSE 1.0 END::DOUBLE AS weight FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
       UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'USES_TYPE', 1.0 FROM supplier
       UNION ALL SELECT 'p' || a, 'p' || b, 'REFERENCES', CASE (a + b) % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.7 WHEN 2 THEN 0.9 ELSE 1.0 END::DOUBLE
         FROM (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1
-          WHERE x.l_partkey <> y.l_partkey AND x.l_orderkey % 100 = 0)""",
+          WHERE x.l_partkey <> y.l_partkey)""",
     "pairs": """SELECT x.p AS symbol_a, y.p AS symbol_b, count(*) AS cooccurrence_count
-      FROM (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey % 10 = 0) x
-      JOIN (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey % 10 = 0) y ON x.o = y.o AND x.p < y.p GROUP BY ALL""",
+      FROM (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) x
+      JOIN (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) y ON x.o = y.o AND x.p < y.p GROUP BY ALL""",
 }
 
 
