@@ -140,18 +140,18 @@ def a12(spark, d):
 _HOURLY = "WITH h AS (SELECT event_type AS metric_name, date_trunc('hour', ts) AS ts, avg(value) AS metric_value FROM events GROUP BY ALL)"
 
 
-@query("a13_daily_from_hourly", _HOURLY + " SELECT metric_name, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, round(avg(metric_value), 3) AS metric_value FROM h GROUP BY metric_name, date_trunc('day', ts)")
+@query("a13_daily_from_hourly", _HOURLY + " SELECT metric_name, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, round(avg(metric_value), 10) AS metric_value FROM h GROUP BY metric_name, date_trunc('day', ts)")
 def a13(spark, d):
     e = v.base(spark, d, "events").select(F.col("event_type").alias("metric_name"), F.col("value").alias("metric_value"), "ts")
     daily = t.rolled_up(t.rolled_up(e, "hour"), "day")
-    return daily.select("metric_name", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("metric_value", 3).alias("metric_value"))
+    return daily.select("metric_name", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("metric_value", 10).alias("metric_value"))
 
 
-@query("a13w_weekly_from_daily", _HOURLY + ", y AS (SELECT metric_name, date_trunc('day', ts) AS ts, avg(metric_value) AS metric_value FROM h GROUP BY ALL) SELECT metric_name, CAST(date_trunc('week', ts) AS TIMESTAMP) AS ts, round(avg(metric_value), 3) AS metric_value FROM y GROUP BY metric_name, date_trunc('week', ts)")
+@query("a13w_weekly_from_daily", _HOURLY + ", y AS (SELECT metric_name, date_trunc('day', ts) AS ts, avg(metric_value) AS metric_value FROM h GROUP BY ALL) SELECT metric_name, CAST(date_trunc('week', ts) AS TIMESTAMP) AS ts, round(avg(metric_value), 10) AS metric_value FROM y GROUP BY metric_name, date_trunc('week', ts)")
 def a13w(spark, d):
     e = v.base(spark, d, "events").select(F.col("event_type").alias("metric_name"), F.col("value").alias("metric_value"), "ts")
     weekly = t.rolled_up(t.rolled_up(t.rolled_up(e, "hour"), "day"), "week")
-    return weekly.select("metric_name", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("metric_value", 3).alias("metric_value"))
+    return weekly.select("metric_name", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("metric_value", 10).alias("metric_value"))
 
 
 @query("a14_metric_range", "SELECT event_type AS metric_name, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS lowest, max(value) AS highest FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY event_type")
