@@ -21,7 +21,7 @@ from siltstone.llm.tokens import tokenizer, tokenizer_path
 BLOCK = 65_536
 END_ID = 1
 #: Most words whose ids a Python worker remembers, and as many older ones.
-MEMO = 700_000
+MEMO = 600_000
 
 #: A row is a block. part and block order the blocks; first is the place of its first id inside its part; n its ids; width the
 #: bytes of an id; planes the compressed planes, lowest first; crc the CRC-32 of the ids as stored. The chunk index: for each
