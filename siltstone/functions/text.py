@@ -28,6 +28,23 @@ def terms(text: Column) -> Column:
     return F.concat(whole, parts)
 
 
+def raw_tokens(text: Column) -> Column:
+    """What stands between white space and marks, as an array."""
+    return F.split(F.coalesce(text, F.lit("")), _SPLIT)
+
+
+def terms_of_token(token: Column) -> Column:
+    """The terms of one raw token, as terms() of a text gives them. Only tokens with a sign of parts are looked at closer."""
+    t = F.when(token.rlike(r"^[-_/]|[-_/]$"), F.regexp_replace(token, r"^[-_/]+|[-_/]+$", "")).otherwise(token)
+    none = F.array().cast("array<string>")
+    good = lambda x: ~x.rlike(_JUNK)
+    low = F.lower(t)
+    whole = F.when(good(low), F.array(low)).otherwise(none)
+    parts = F.when(t.rlike(r"[_\-]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]") & ~t.contains("/"), identifier_parts(t)).otherwise(none)
+    both = F.when(F.size(parts) >= 2, F.concat(whole, F.filter(parts, good))).otherwise(whole)
+    return F.when(F.octet_length(t) > 1, both).otherwise(none)
+
+
 def kebab(text: Column) -> Column:
     """Lower case, words joined by hyphens."""
     spaced = F.regexp_replace(text, r"(?<=[a-z0-9])(?=[A-Z])", "-")

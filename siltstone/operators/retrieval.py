@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import terms
+from siltstone.functions.text import raw_tokens, terms_of_token
 from siltstone.functions.vectors import cosine
 
 RRF = 60
@@ -65,8 +65,9 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 
 def postings(documents: DataFrame, id: str, text: str) -> DataFrame:
-    """id, term, tf."""
-    return documents.select(F.col(id).alias("id"), F.explode(terms(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """id, term, tf. Equal tokens of a document are counted first, so each is taken apart once."""
+    tokens = documents.select(F.col(id).alias("id"), F.explode(raw_tokens(F.col(text))).alias("t")).where("t <> ''").groupBy("id", "t").agg(F.count("*").alias("c"))
+    return tokens.select("id", F.explode(terms_of_token(F.col("t"))).alias("term"), "c").groupBy("id", "term").agg(F.sum("c").alias("tf"))
 
 
 def lexicon(posts: DataFrame) -> DataFrame:
