@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the base tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the base tables; texts are spread if they lie in fewer splits than there are cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files give fewer than half as many splits, as one small file with one row group does; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
