@@ -16,9 +16,9 @@ from siltstone.llm._common import pieces, read
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-#: Code points around a digit or at sign that a sequence holds, and the most tokens of one decoded sequence.
+#: Code points around a digit or at sign that a sequence holds, and tokens whose weights are looked up at once.
 CONTEXT = 40
-LONGEST = 256
+BLOCK = 32_768
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -27,7 +27,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_TRIGGER = re.compile(r"[0-9@]+|[(\[] ?at ?[)\]]")
+_TRIGGER = re.compile(r"[0-9@]+|[(\[] ?(?i:at) ?[)\]]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 
 
@@ -121,7 +121,7 @@ def featured(text: str, a: int, b: int) -> tuple[np.ndarray, list[tuple[int, int
     spans = [m.span() for m in _TOKEN.finditer(text, a, b)]
     s = [_shape(text[i:j]) for i, j in spans]
     glued = [k > 0 and spans[k][0] == spans[k - 1][1] for k in range(len(s))]
-    out = np.empty((len(s), _FIELDS), np.int64)
+    out = np.empty((len(s), _FIELDS), np.int32)
     pairs = _SHAPES * 6
     for k in range(len(s)):
         left, right = (s[k - 1] if k else 0), (s[k + 1] if k + 1 < len(s) else 0)
@@ -185,7 +185,7 @@ def labelled_table(rows: int = 480, seed: int = 5) -> list[tuple[str, list[tuple
 
 def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     n = max(map(len, seqs))
-    out = np.full((len(seqs), n, _FIELDS), _SIZE - 1, np.int64)
+    out = np.full((len(seqs), n, _FIELDS), _SIZE - 1, np.int32)
     for k, s in enumerate(seqs):
         out[k, : len(s)] = s
     return out, np.array([len(s) for s in seqs])
@@ -272,14 +272,19 @@ def viterbi(seqs: list[np.ndarray], emit: np.ndarray, move: np.ndarray, most: in
         mine = order[at:upto]
         at = upto
         x, n = _padded([seqs[k] for k in mine])
-        e = emit[x].sum(2)
-        best, back = e[:, 0] + move[tags], np.zeros(e.shape, np.int8)
-        for t in range(1, x.shape[1]):
-            cand = best[:, :, None] + move[None, :tags]
-            back[:, t] = cand.argmax(1)
-            best = np.where((t < n)[:, None], cand.max(1) + e[:, t], best)
+        best, back = None, np.zeros((*x.shape[:2], tags), np.int8)
+        step = max(1, BLOCK // len(mine))
+        for first in range(0, x.shape[1], step):
+            e = emit[x[:, first : first + step]].sum(2)
+            for t in range(first, first + e.shape[1]):
+                if best is None:
+                    best = e[:, 0] + move[tags]
+                    continue
+                cand = best[:, :, None] + move[None, :tags]
+                back[:, t] = cand.argmax(1)
+                best = np.where((t < n)[:, None], cand.max(1) + e[:, t - first], best)
         tag = best.argmax(1)
-        path = np.zeros(x.shape[:2], np.int64)
+        path = np.zeros(x.shape[:2], np.int8)
         for t in range(x.shape[1] - 1, -1, -1):
             path[:, t] = np.where(t < n, tag, 0)
             tag = np.where(t < n, back[np.arange(len(mine)), t, tag], tag) if t else tag
@@ -298,7 +303,7 @@ def plausible(kind: str, what: str) -> bool:
     if kind == "ip":
         parts = re.split(r"[^0-9]+", what)
         return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
-    return bool(re.search(r"@|[(\[] ?at ?[)\]]", what)) and bool(re.search(r"[A-Za-z0-9] ?(\.|[(\[] ?dot ?[)\]]) ?[A-Za-z]", what))
+    return bool(re.search(r"@|[(\[] ?(?i:at) ?[)\]]", what)) and bool(re.search(r"[A-Za-z0-9] ?(\.|[(\[] ?(?i:dot) ?[)\]]) ?[A-Za-z]", what))
 
 
 def found_spans(texts: list[str], emit: np.ndarray, move: np.ndarray) -> list[tuple[list, list]]:
@@ -308,9 +313,9 @@ def found_spans(texts: list[str], emit: np.ndarray, move: np.ndarray) -> list[tu
     for k, t in enumerate(texts):
         for a, b in windows(t) if t else ():
             f, spans = featured(t, a, b)
-            for at in range(0, len(spans), LONGEST):
-                where.append((k, spans[at : at + LONGEST]))
-                seqs.append(f[at : at + LONGEST])
+            if spans:
+                where.append((k, spans))
+                seqs.append(f)
     extra: list[list] = [[] for _ in texts]
     for (k, spans), tags in zip(where, viterbi(seqs, emit, move), strict=True):
         at = 0
