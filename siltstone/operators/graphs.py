@@ -6,6 +6,7 @@ Loops over the graph write each round's table to the shared folder, so plans sta
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,20 +44,22 @@ def adjacency(nodes: DataFrame, edges: DataFrame, *, gate: float = GATE, vendore
     return strong.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi")
 
 
-def reachable(edges: DataFrame, start: DataFrame, hops: int, *, reverse: bool = False, budget: int | None = None) -> DataFrame:
-    """node_id, depth, confidence: nodes within `hops` of `start` (node_id) at their least depth, with the best product of weights among arrivals of that depth. Start nodes have depth 0.
+def reachable(edges: DataFrame, start: DataFrame, hops: int | None, *, reverse: bool = False, budget: int | None = None) -> DataFrame:
+    """node_id, depth, confidence: nodes within `hops` of `start` (node_id), at any distance if None, at their least depth, with the best product of weights among arrivals of that depth. Start nodes have depth 0.
 
     Level by level: a join with the frontier, an anti-join with what is known. With `budget`, no level is begun once as many nodes are known.
     """
     a, b = ("target", "source") if reverse else ("source", "target")
     e = edges.groupBy(F.col(a).alias("node_id"), F.col(b).alias("next")).agg(F.max("weight").alias("w"))
     known = frontier = cut(start.select("node_id").distinct().select("node_id", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence")))
-    for depth in range(1, hops + 1):
+    for depth in count(1) if hops is None else range(1, hops + 1):
         step = frontier.join(e, "node_id").groupBy(F.col("next").alias("node_id")).agg(F.max(F.col("confidence") * F.col("w")).alias("confidence"))
         frontier = cut(step.join(known.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(depth).alias("depth"), "confidence"))
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
+        if depth % 8 == 0:
+            known = cut(known)
         if budget and known.count() >= budget:
             break
     return known
@@ -153,8 +156,8 @@ def cycles(edges: DataFrame, least: int = 2) -> DataFrame:
     return sized.join(looped, "node_id", "left").where((F.col("size") >= least) | F.col("loop")).select("node_id", "cycle", "size")
 
 
-def test_gaps(nodes: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """Production functions that no test reaches within `hops`, with how many production nodes depend on each."""
+def test_gaps(nodes: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
+    """Production functions that no test reaches within `hops`, or at all if None, with how many production nodes depend on each."""
     covered = reachable(edges, nodes.where("is_test").select("node_id"), hops).select("node_id")
     gaps = nodes.where("not is_test and symbol_type = 'function'").join(covered, "node_id", "left_anti")
     product = nodes.where("not is_test").select(F.col("node_id").alias("source"))

@@ -96,6 +96,11 @@ def g10(spark, d):
     return g.test_gaps(v.graph_nodes(spark, d), v.graph_edges(spark, d), 1)
 
 
+@query("g10b_test_gaps_any_depth")
+def g10b(spark, d):
+    return g.test_gaps(v.graph_nodes(spark, d), v.graph_edges(spark, d))
+
+
 @query("g11_imports")
 def g11(spark, d):
     rows = spark.createDataFrame([(1, "import os\nfrom a.b import c\nx = 1"), (2, "use std::fmt;\n#include <stdio.h>"), (3, 'import x from "y"'), (4, None)], "id int, text string")
