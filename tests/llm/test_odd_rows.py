@@ -153,24 +153,6 @@ def test_top_k(spark):
     assert topk.top_k_search(v.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.integers(1, 5), st.integers(1, 90), st.integers(1, 6), st.integers(0, 10**6))
-def test_threshold_walk(dims, n, k, seed):
-    rng = np.random.default_rng(seed)
-    values, query, ids = rng.integers(-3, 4, (n, dims)), rng.integers(-3, 4, dims), rng.permutation(n)
-    order = np.argsort(-values, axis=0, kind="stable").T.copy()
-    got = topk.threshold_top_k(values, ids, order, query, k)
-    want = sorted(zip(-(values @ query), ids))[:k]
-    assert list(zip(got[1].tolist(), got[0].tolist())) == [(-s, i) for s, i in want]
-
-
-def test_threshold_walk_stops_early():
-    values = np.zeros((5000, 2), np.int64)
-    values[:20] = np.arange(20)[:, None] + 100
-    order = np.argsort(-values, axis=0, kind="stable").T.copy()
-    assert topk.threshold_top_k(values, np.arange(5000), order, np.array([1, 1]), 10)[2] < 200
-
-
 def test_licenses(odd, empty, spark):
     got = by_id(licenses.license_scan(clash(odd, "n_words", "labels")))
     assert all(r.n_base == 0 and r.labels == "" and r.first_word is None for rs in got.values() for r in rs)
