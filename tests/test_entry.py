@@ -1,9 +1,12 @@
 """The entry points, with and without the training-data package."""
 
+import shutil
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -15,13 +18,18 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_imports_without_the_llm_package(tmp_path):
-    """A copy of the repository without those folders still imports and lists the other queries."""
-    import shutil
+LLM = ["siltstone/llm", "tests/llm"]
+
 
+@pytest.mark.parametrize("gone", [LLM, [*LLM, "corpus_pipeline.py"], ["corpus_pipeline.py"]], ids=len)
+def test_imports_without_the_llm_package(gone, tmp_path):
+    """A copy of the repository without those folders still imports and lists the other queries, with or without the pipeline's file."""
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
-    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') or k == 'pipeline' for k in q))"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for name in gone:
+        shutil.rmtree(copy / name, ignore_errors=True) if not name.endswith('.py') else (copy / name).unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), sum(k.startswith('op') for k in q), 'pipeline' in q, set(s) <= set(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
-    n, has = out.stdout.split()[-2:]
-    assert int(n) > 150 and has == "False", out.stderr
+    found = out.stdout.split()[-4:]
+    assert int(found[0]) > 150, out.stderr
+    assert found[1:] == ["0" if LLM[0] in gone or not (ROOT / LLM[0]).is_dir() else "10", "False", "True"]
