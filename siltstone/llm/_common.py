@@ -5,10 +5,12 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Byte table that lower-cases A-Z and turns every ASCII byte but 0-9 and letters into a space.
 ALNUM = bytes(
@@ -17,17 +19,53 @@ ALNUM = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only where all is on one machine may it be unset; a cluster without it is an error, since executors do not see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found.rstrip("/") if found else "/tmp/checkpoints"
+    if found:
+        return found.rstrip("/")
+    if re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+        return "/tmp/checkpoints"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def new_place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to, below that of this application: see remove_tables."""
+    return f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siltstone/{uuid.uuid4().hex}/{name}"
+    spark, path = df.sparkSession, new_place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete what table() wrote for `df`, which no plan may read any more."""
+    _delete(df.sparkSession, df.stored_at)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete all that the operators wrote to the shared folder in this application; results that were not written elsewhere go, too."""
+    _delete(spark, f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def placed(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """`df` with its columns named c0, c1 and so on, which no name that an operator adds is like; those names by the columns' own in lower case, and the columns under their own names again."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), {c.lower(): n for n, c in zip(names, df.columns, strict=True)}, [F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)]
+
+
+def without(columns: list[str], backs: list[Column], added: tuple[str, ...]) -> list[Column]:
+    """Those of `backs` whose names, `columns`, are not among the names that are added."""
+    return [b for c, b in zip(columns, backs, strict=True) if c.lower() not in added]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,13 +86,6 @@ def pieces(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
-def with_columns(batch: pa.RecordBatch, drop: str | tuple = (), **columns) -> pa.RecordBatch:
-    """`batch` without the columns `drop`, and with `columns` put at its end."""
-    gone = {drop} if isinstance(drop, str) else set(drop)
-    kept = [(n, batch.column(n)) for n in batch.schema.names if n not in gone and n not in columns]
-    return pa.RecordBatch.from_arrays([c for _, c in kept] + list(columns.values()), [n for n, _ in kept] + list(columns))
-
-
 def released(function, *clear):
     """`function` for mapInArrow, after whose task `clear` are called and freed memory goes back to the system: Python workers live on, beside those of later stages.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm._common import blobs, pieces, read, released
+from siltstone.llm._common import blobs, pieces, placed, read, released
 
 #: Most labelled documents for training, for each language; bytes of a training cut and cuts a document.
 SAMPLE = 400
@@ -232,9 +232,10 @@ def identify(documents: DataFrame, net: Network, *, text: str = "text") -> DataF
 
 
 def recognised(documents: DataFrame, net: Network | None = None, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of `documents` whose language is known with at least `min_score`, with their own columns."""
-    found = identify(documents.withColumn("_text", F.col("text")), net or train(documents), text="_text")
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*documents.columns)
+    """The rows of `documents` whose language is known with at least `min_score`, with all their own columns, whatever their names."""
+    own, at, back = placed(documents)
+    found = identify(own, net or train(documents), text=at["text"])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*back)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import read, table
+from siltstone.llm._common import placed, read, table, without
 
 #: Words in a block, words that a shard of a source holds about, the most passes over a document, the seed of the order.
 BLOCK = 8
@@ -15,6 +15,7 @@ REPEAT = 3
 SEED = 17
 #: Most rows of sources or shards that are sent to all tasks.
 BROADCAST_ROWS = 200_000
+NAMES = ("size", "source_size", "target", "taken")
 
 
 def n_words(text: Column) -> Column:
@@ -95,13 +96,19 @@ def mix(
     a seeded one, once more. So a document is taken whole but at the two ends, never above `repeat` times.
 
     Null sources are one source, the last; null and empty texts have size 0 and nothing taken; rows with the same id and
-    text are interchangeable, so reruns agree. An empty table gives an empty one. Added names replace columns.
+    text are interchangeable, so reruns agree. An empty table gives an empty one. The four added names replace columns; others
+    stay, whatever their names.
 
     Sums by source and shard are made before their exchange. Documents, with whatever columns they have, are shuffled once, to
     their shards, unless sources or shards are too many to be broadcast. Only rows for sources and shards are ordered together.
     """
-    names = ("size", "source_size", "target", "taken")
-    kept = documents.drop(*names)
+    own, at, back = placed(documents)
+    mixed = _mixed(own, at[doc_id.lower()], at[text.lower()], at[source.lower()], weights, block, shard, repeat, seed)
+    return mixed.select(*without(documents.columns, back, NAMES), *NAMES)
+
+
+def _mixed(kept: DataFrame, doc_id: str, text: str, source: str, weights: tuple[int, ...], block: int, shard: int, repeat: int, seed: int) -> DataFrame:
+    """mix() of rows whose columns have names from placed()."""
     sized = kept.withColumn("size", n_words(F.col(text)))
     # (kind, value) tells null from every string and joins on plain equality
     keyed = sized.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")))
@@ -137,11 +144,12 @@ def mix(
     return placed.select(*kept.columns, "size", "source_size", "target", (F.col("size") * F.col("_full") + once).cast("long").alias("taken"))
 
 
-def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """The rows of `documents` as often as the mix takes them, rounded to whole documents; not taken rows go."""
-    found = mix(documents, **options)
+def mixed_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of `documents` as often as the mix takes them, rounded to whole documents, with all their own columns; not taken rows go."""
+    own, at, back = placed(documents)
+    found = mix(own, doc_id=at[doc_id.lower()], text=at[text.lower()], source=at[source.lower()], **options)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(0))
-    return found.withColumn("_t", F.explode(F.sequence(F.lit(0), times.cast("int")))).where("_t > 0").select(*documents.columns)
+    return found.withColumn("_t", F.explode(F.sequence(F.lit(0), times.cast("int")))).where("_t > 0").select(*back)
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

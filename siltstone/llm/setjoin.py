@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import blobs, pieces, read, released, table
+from siltstone.llm._common import blobs, pieces, placed, read, released, table
 from siltstone.llm.graph import connected
 
 SHINGLE = 5
@@ -529,12 +529,13 @@ def jaccard_classes(
     )
 
 
-def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """The rows of `documents` without those that a smaller doc_id is connected with; rows that share an id stay or go together."""
-    found = jaccard_classes(documents, **options)
-    gone = table(found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+def one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `documents`, with all their columns, without those that a smaller id is connected with; rows that share an id stay or go together."""
+    own, at, back = placed(documents)
+    found = jaccard_classes(own.select(F.col(at[doc_id.lower()]).alias("doc_id"), F.col(at[text.lower()]).alias("text")), **options)
+    gone = table(found.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return own.join(gone, F.col(at[doc_id.lower()]) == F.col("gone"), "left_anti").select(*back)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

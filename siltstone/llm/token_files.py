@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import re
-import uuid
 import zlib
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm._common import blobs, pieces, read, released, shared_dir, table
+from siltstone.llm._common import blobs, new_place, pieces, read, released, table
 from siltstone.llm.tokens import tokenizer, tokenizer_path
 
 #: Ids in a block; the last block of a part may hold fewer.
@@ -285,7 +284,7 @@ def documents_of(spark: SparkSession, target: str) -> DataFrame:
 def token_files(documents: DataFrame, path: str, target: str | None = None, **options) -> DataFrame:
     """Write `documents` under `target` (a new place in the shared folder by default), read them back: see documents_of."""
     spark = documents.sparkSession
-    target = target or f"{shared_dir(spark)}/siltstone/{uuid.uuid4().hex}/ids"
+    target = target or new_place(spark, "ids")
     write_token_files(documents, target, path, **options)
     return documents_of(spark, target)
 
