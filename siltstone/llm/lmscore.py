@@ -1,8 +1,9 @@
-"""Language-model scoring by cross-entropy difference: two word bigram models over the vocabulary of all documents, and two character n-gram models over one fixed vocabulary."""
+"""Language-model scoring by cross-entropy difference: two matched word bigram models over the vocabulary of all documents."""
 
 from __future__ import annotations
 
 import re
+import uuid
 from functools import partial
 
 import numpy as np
@@ -12,128 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm._common import blobs, pieces, read, released, table
+from siltstone.llm._common import blobs, new_place, pieces, placed, read, released, table, without
 
-ORDER = 4
 #: Weight of the next lower order: so many imagined observations.
 PRIOR = 4.0
-
-
-def _symbols() -> np.ndarray:
-    """Symbol of each byte: 0 pads, 1 white space, 2 digits, 3-28 letters, then marks in eight classes and other bytes by their last three bits."""
-    out = np.zeros(256, np.int64)
-    for b in range(256):
-        c = chr(b).lower() if b < 128 else ""
-        if b >= 128:
-            out[b] = 37 if b >= 192 else 38 + b % 8
-        elif c.isspace() or b < 32:
-            out[b] = 1
-        elif c.isdigit():
-            out[b] = 2
-        elif c.isalpha():
-            out[b] = 3 + ord(c) - 97
-        else:
-            out[b] = 29 + ".,'-!?".find(c) if c in ".,'-!?" else 35 + (b % 2)
-    return out
-
-
-SYMBOLS = _symbols()
-VOCABULARY = int(SYMBOLS.max()) + 1
-
-
-def grams(text: bytes, order: int = ORDER) -> np.ndarray:
-    """Numbers of the n-grams that end at each byte of `text`, which pads precede; below VOCABULARY ** order."""
-    codes = np.concatenate([np.zeros(order - 1, np.int64), SYMBOLS[np.frombuffer(text, np.uint8)]])
-    out = np.zeros(len(text), np.int64)
-    for k in range(order):
-        out = out * VOCABULARY + codes[k : k + len(text)]
-    return out
-
-
-def corpus_counts(documents: DataFrame, is_target: str, text: str = "text", order: int = ORDER) -> DataFrame:
-    """gram, background, target: how often each n-gram is in all texts, and in those where the column `is_target` holds.
-
-    Every text counts. A task sums its own texts first and sends a row for each n-gram that it met.
-    """
-    cells = VOCABULARY**order
-
-    def count(batches):
-        totals = np.zeros((2, cells), np.int64)
-        for batch in pieces(batches, 256):
-            chosen = batch.column(1).to_pylist()
-            texts = blobs(batch.column(0))
-            for side, own in enumerate((texts, [t for t, c in zip(texts, chosen, strict=True) if c])):
-                if found := [grams(t, order) for t in own if t]:
-                    at, n = np.unique(np.concatenate(found), return_counts=True)
-                    totals[side, at] += n
-        at = np.flatnonzero(totals[0])
-        for a in range(0, len(at), 65_536):
-            own = at[a : a + 65_536]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(totals[0, own]), pa.array(totals[1, own])], ["gram", "background", "target"])
-
-    rows = documents.select(F.col(text).alias("t"), F.coalesce(F.col(is_target), F.lit(False)).alias("c"))
-    found = rows.mapInArrow(count, "gram long, background long, target long")
-    return found.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def losses(gram: np.ndarray, count: np.ndarray, order: int = ORDER, prior: float = PRIOR) -> np.ndarray:
-    """-log p(last symbol | those before) for every possible n-gram, from the counts of those met.
-
-    Each order's estimate leans on the next lower one with `prior` imagined observations; the lowest is uniform over the
-    vocabulary, so no n-gram has probability 0 and models over other texts remain comparable.
-    """
-    dense = np.zeros(VOCABULARY**order)
-    dense[gram] = count
-    p = np.full(VOCABULARY, 1 / VOCABULARY)
-    for n in range(1, order + 1):
-        own = dense.reshape(-1, VOCABULARY**n).sum(0).reshape(-1, VOCABULARY)
-        lower = np.tile(p.reshape(-1, VOCABULARY), (VOCABULARY if n > 1 else 1, 1)).reshape(own.shape)
-        p = ((own + prior * lower) / (own.sum(1, keepdims=True) + prior)).ravel()
-    return -np.log(p)
-
-
-def fit(documents: DataFrame, is_target: str, *, text: str = "text", order: int = ORDER, prior: float = PRIOR) -> list[np.ndarray]:
-    """The losses of the target model (rows where the column `is_target` holds; null does not) and of the background model (all rows)."""
-    counts = corpus_counts(documents, is_target, text, order).toPandas()
-    return [losses(counts["gram"].to_numpy(), counts[side].to_numpy(), order, prior).astype(np.float32) for side in ("target", "background")]
-
-
-def cross_entropy_difference(documents: DataFrame, models: list[np.ndarray], *, text: str = "text", order: int = ORDER) -> DataFrame:
-    """`documents` with n_tokens (bytes), target_loss, background_loss (means a token, in nats) and score, their difference.
-
-    `models` are those of fit(). The lower the score, the more a text is like the target's. Null and empty texts have 0
-    tokens and null losses and score; a target model without any text is uniform. Repeated rows score each time; added
-    names replace columns. One narrow pass.
-
-    Only two tables of VOCABULARY ** order losses, 4.5 million each, are sent to the executors, and fit() gathers at most as
-    many counts on the driver, whatever the input.
-    """
-    names = ("n_tokens", "target_loss", "background_loss", "score")
-    held = documents.sparkSession.sparkContext.broadcast(models)
-    kept = documents.drop(*names)
-    columns = kept.columns
-    schema = T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names[1:])])
-
-    def score(batches):
-        target, background = held.value
-        for batch in pieces(batches, 256):
-            out = []
-            for t in blobs(batch.column(text)):
-                if not t:
-                    out.append((0, None, None, None))
-                    continue
-                own = grams(t, order)
-                a, b = float(target[own].mean(dtype=np.float64)), float(background[own].mean(dtype=np.float64))
-                out.append((len(own), a, b, a - b))
-            sides = [pa.array([o[k] for o in out], pa.float64() if k else pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + sides, [*columns, *names])
-
-    return kept.mapInArrow(score, schema)
-
-
 #: Bytes of text whose n-grams are counted and looked up together, and how many such chunks' counts a task sums on average.
 CHUNK = 4_000_000
 CHUNKS_A_TASK = 6
+#: Most buckets that chunks are written in.
+MOST_BUCKETS = 50_000
 #: A text longer than this is taken apart in pieces that end at white space.
 PIECE = 1_000_000
 _SPACE = re.compile(rb"\s")
@@ -253,13 +141,18 @@ def _unboxed(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def chunked(documents: DataFrame, text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """chunk, rows: the rows of `documents` by chunks of about `chunk` bytes of text, in Arrow's format, written to the shared folder: chunks of a task that ran again might hold other rows."""
+def chunked(documents: DataFrame, id: str, text: str, chunk: int = CHUNK) -> DataFrame:
+    """chunk, ids, rows: the rows of `documents` by chunks of about `chunk` bytes of text, in Arrow's format, and their ids.
+
+    They are written to the shared folder, since chunks of a task that ran again might hold other rows, in buckets by chunk, so
+    that later steps meet them without moving texts again. One narrow pass.
+    """
+    spark = documents.sparkSession
 
     def boxes(batches):
         # the high bits keep chunks of different tasks apart
         number, size, held = TaskContext.get().partitionId() << 32, 0, []
-        box = lambda: pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_boxed(held)], pa.binary())], ["chunk", "rows"])
+        box = lambda: pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([[x for b in held for x in b.column(id).to_pylist()]], pa.list_(held[0].schema.field(id).type)), pa.array([_boxed(held)], pa.binary())], ["chunk", "ids", "rows"])
         for batch in pieces(batches, 256):
             first = 0
             for k, n in enumerate(len(t or b"") for t in blobs(batch.column(text))):
@@ -273,32 +166,26 @@ def chunked(documents: DataFrame, text: str = "text", chunk: int = CHUNK) -> Dat
         if size:
             yield box()
 
-    return table(documents.mapInArrow(released(boxes), "chunk long, rows binary"), "chunks")
-
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(documents.schema[id].dataType)), T.StructField("rows", T.BinaryType())])
+    buckets = min(MOST_BUCKETS, max(1, documents.rdd.getNumPartitions()))
+    name = f"chunks_{uuid.uuid4().hex}"
+    documents.mapInArrow(released(boxes), schema).write.bucketBy(buckets, "chunk").option("path", new_place(spark, name)).saveAsTable(name)
+    return spark.table(name)
 
-def rows_of(chunks: DataFrame, schema: T.StructType) -> DataFrame:
-    """The documents of chunked(), whose columns are `schema`."""
 
-    def open_(batches):
-        for batch in pieces(batches, 1):
-            yield from _unboxed(batch.column(1)[0].as_py()).to_batches(1024)
-
-    return chunks.mapInArrow(released(open_), schema)
-
-
-def _count_chunk(tasks: int, text: str, is_target: str, batches):
+def _count_chunk(tasks: int, text: str, batches):
     """Rows of (task, chunk, keys, background, target): how often the n-grams of a chunk's texts are in them, those of each task apart, also where there are none."""
     for batch in pieces(batches, 1):
         chunk, rows = batch.column(0)[0].as_py(), _unboxed(batch.column(1)[0].as_py())
         grams_, n = _gathered(rows.column(text).to_pylist())
-        flag = np.repeat(np.array([bool(c) for c in rows.column(is_target).to_pylist()], bool), n)
+        flag = np.repeat(_flags(rows.num_rows, batch.column(2)[0].as_py()), n)
         keys, background, target = [], [], []
         for g in grams_:
             k, back = np.unique(g, return_inverse=True)
             keys.append(k)
-            background.append(np.bincount(back, minlength=len(k)))
+            background.append(np.bincount(back, ~flag, minlength=len(k)).astype(np.int64))
             target.append(np.bincount(back, flag, minlength=len(k)).astype(np.int64))
-        k, b, t = np.concatenate([*keys, [_TOTAL]]), np.concatenate([*background, [len(flag)]]), np.concatenate([*target, [flag.sum()]])
+        k, b, t = np.concatenate([*keys, [_TOTAL]]), np.concatenate([*background, [(~flag).sum()]]), np.concatenate([*target, [flag.sum()]])
         order = np.argsort(k)
         ends = np.searchsorted(_task_of(k[order], tasks), np.arange(tasks + 1))
         parts = list(zip(ends, ends[1:]))
@@ -306,6 +193,12 @@ def _count_chunk(tasks: int, text: str, is_target: str, batches):
         yield pa.RecordBatch.from_arrays([pa.array(range(tasks), pa.int64()), pa.array([chunk] * tasks, pa.int64()), pa.array(np.diff(ends), pa.int64()), *(pa.array(o, pa.binary()) for o in out)], ["task", "chunk", "n", "keys", "background", "target"])
 
 
+def _flags(n: int, places: list[int] | None) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[places or []] = True
+    return out
+
+
 def _sum_task(rows: pa.Table) -> pa.Table:
     """Rows of (chunk, task, words, background, target): counts over all chunks for each chunk's n-grams, by key, and how many words this task knows."""
     n = rows.column("n").to_pylist()
@@ -320,12 +213,15 @@ def _sum_task(rows: pa.Table) -> pa.Table:
 
 
 def _score_chunk(tasks: int, text: str, columns: list, prior: float, boxed: pa.Table, counts: pa.Table) -> pa.Table:
-    """The texts of a chunk with their losses by the counts that all tasks gave for its n-grams."""
+    """The texts of a chunk with their losses by the counts that all tasks gave for its n-grams, less what the text itself gave to them."""
     documents = _unboxed(boxed.column("rows")[0].as_py())
-    (word, context, pair), n = _gathered(documents.column(text).to_pylist())
-    places, known = [], [np.array([_TOTAL])]
-    for g in (word, context, pair):
+    own, n = _gathered(documents.column(text).to_pylist())
+    flag, of_text = _flags(len(n), boxed.column("places")[0].as_py()), np.repeat(np.arange(len(n)), n)
+    places, known, inside = [], [np.array([_TOTAL])], []
+    for g in own:
         k, back = np.unique(g, return_inverse=True)
+        _, same, times = np.unique(of_text * np.int64(len(k)) + back, return_inverse=True, return_counts=True)
+        inside.append(times[same])
         places.append(back + sum(map(len, known)))
         known.append(k)
     keys = np.concatenate(known)
@@ -333,64 +229,71 @@ def _score_chunk(tasks: int, text: str, columns: list, prior: float, boxed: pa.T
     size = np.bincount(_task_of(keys, tasks), minlength=tasks)
     counts = counts.sort_by("task")
     vocabulary = max(1, sum(counts.column("words").to_pylist()))
-    means = []
+    sums = []
     for side in ("target", "background"):
         of = np.zeros(len(keys))
         of[order] = np.concatenate([_unpacked(b, int(m)) for b, m in zip(counts.column(side).to_pylist(), size, strict=True)])
-        p = (of[places[0]] + prior / vocabulary) / (of[0] + prior)
-        p = (of[places[2]] + prior * p) / (of[places[1]] + prior)
+        sums.append(of)
+    # the larger side's counts shrink to the smaller's number of words, so `prior` weighs the same in both
+    less = min(sums[0][0], sums[1][0])
+    means, ends = [], np.cumsum(n)
+    for of, mine in zip(sums, (flag, ~flag), strict=True):
+        share = less / of[0] if less else 1.0
+        left = mine[of_text]
+        word, context, pair = (share * (of[at] - times * left) for at, times in zip(places, inside, strict=True))
+        p = (word + prior / vocabulary) / (share * (of[0] - (n * mine)[of_text]) + prior)
+        p = (pair + prior * p) / (context + prior)
         total = np.concatenate([[0.0], np.cumsum(-np.log(p))])
-        ends = np.cumsum(n)
         means.append((total[ends] - total[ends - n]) / np.maximum(n, 1))
     none = n == 0
     sides = [pa.array(n), *(pa.array(m, pa.float64(), mask=none) for m in (*means, means[0] - means[1]))]
-    return pa.table([documents.column(c).combine_chunks() for c in columns] + sides, [*columns, *WORD_NAMES])
+    return pa.table([documents.column(c).combine_chunks() for c in columns] + sides, [*columns, *NAMES])
+
 
+NAMES = ("n_words", "target_loss", "background_loss", "score")
 
-WORD_NAMES = ("n_words", "word_target_loss", "word_background_loss", "word_score")
 
+def cross_entropy_difference(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", prior: float = PRIOR, chunk: int = CHUNK) -> DataFrame:
+    """`documents` with n_words, target_loss, background_loss (means a word, in nats) and score, their difference: the lower, the more a text is like the target's.
 
-def word_scores(documents: DataFrame, is_target: str, *, text: str = "text", prior: float = PRIOR, chunk: int = CHUNK) -> DataFrame:
-    """`documents` with n_words, word_target_loss, word_background_loss (means a word, in nats) and word_score, their difference.
+    Two word bigram models, one of the rows whose `doc_id` is in `targets` (a column of that name), one of all other rows, over
+    one vocabulary: every word of all texts, nothing left out for being rare. They are matched: p(word | the one before) leans
+    with `prior` imagined observations on p(word), and that on the uniform distribution over the vocabulary, and the larger
+    side's counts are scaled to the smaller's number of words. Each text is scored without its own counts, so a target's
+    text, too, by a model that has not seen it. A side without texts is uniform.
 
-    Two word bigram models, of the rows where the column `is_target` holds (null does not) and of all rows, over one
-    vocabulary, every word of all texts; nothing is left out for being rare. p(word | the one before) leans with `prior`
-    imagined observations on p(word), and that on the uniform distribution over the vocabulary. Null texts and texts of
-    white space only have 0 words and null losses. Repeated rows score each time; added names replace columns. Words are told apart by
-    62-bit hashes.
+    Null texts and texts of white space only have 0 words and null losses and score; null ids are no targets; rows with one
+    id are all targets or none, and each is scored; the four added names replace columns, others stay; an empty table gives
+    an empty one. Words are told apart by 62-bit hashes.
 
     The counts are never gathered in one place. Texts are put in chunks of about `chunk` bytes; each chunk sends every n-gram
     once, with its counts, to the task that sums it, and gets the sums back. So a frequent n-gram makes as many entries as there
     are chunks, whatever its count, and needs no salt.
     """
-    kept = documents.drop(*WORD_NAMES)
-    return scored_chunks(chunked(kept, text, chunk), kept.schema, is_target, text=text, prior=prior)
-
-
-def scored_chunks(chunks: DataFrame, schema: T.StructType, is_target: str, *, text: str = "text", prior: float = PRIOR) -> DataFrame:
-    """word_scores() of the documents of chunked(), whose columns are `schema`."""
+    own, at, back = placed(documents)
+    key, text = at[doc_id.lower()], at[text.lower()]
+    chunks = chunked(own, key, text, chunk)
+    held = chunks.select("chunk", F.posexplode("ids").alias("place", "id"))
+    marks = held.join(targets.select(F.col(doc_id).alias("id")).distinct().hint("merge"), "id", "left_semi")
+    marks = table(marks.groupBy("chunk").agg(F.collect_list("place").alias("places")), "marks")
+    marked = chunks.select("chunk", "rows").join(marks.hint("shuffle_hash"), "chunk", "left")
     tasks = max(1, -(-chunks.count() // CHUNKS_A_TASK))
-    counts = chunks.mapInArrow(released(partial(_count_chunk, tasks, text, is_target)), "task long, chunk long, n long, keys binary, background binary, target binary")
+    counts = marked.mapInArrow(released(partial(_count_chunk, tasks, text)), "task long, chunk long, n long, keys binary, background binary, target binary")
     sums = counts.groupBy("task").applyInArrow(_sum_task, "chunk long, task long, words long, background binary, target binary")
-    fields = [T.StructField("n_words", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in WORD_NAMES[1:])]
-    score = partial(_score_chunk, tasks, text, schema.names, prior)
+    fields = [T.StructField("n_words", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in NAMES[1:])]
+    score = partial(_score_chunk, tasks, text, own.columns, prior)
 
     def scored(boxed: pa.Table, counts: pa.Table) -> pa.Table:
         return score(boxed, counts)
 
-    return chunks.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(scored, T.StructType([*schema.fields, *fields]))
+    out = marked.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(scored, T.StructType([*own.schema.fields, *fields]))
+    return out.select(*without(documents.columns, back, NAMES), *NAMES)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents scored by models of those labelled as good, against models of all: by words, and by characters."""
+    """Documents scored by models of those labelled as good, against models of all others."""
     documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    documents = documents.select("doc_id", "text")
-    # labels grow with the documents, so their ids are joined by a shuffle at every size
-    marked = documents.join(good.hint("merge"), F.col("doc_id") == F.col("_good"), "left").select("doc_id", "text", F.col("_good").isNotNull().alias("_target"))
-    chunks = chunked(marked)
-    models = fit(rows_of(chunks, marked.schema), "_target")
-    return cross_entropy_difference(scored_chunks(chunks, marked.schema, "_target"), models).drop("text", "_target")
+    return cross_entropy_difference(documents.select("doc_id", "text"), labels.where("quality = 1")).drop("text")
 
 
 QUERIES = {"op2_lm_scoring": op2_lm_scoring}

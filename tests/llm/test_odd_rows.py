@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate as dc
-from siltstone.llm import langid, licenses, lmscore, mixing, personal, setjoin, token_files, tokens, topk
+from siltstone.llm import langid, licenses, mixing, personal, setjoin, token_files, tokens, topk
 
 BYTE, WORD = (tokens.tokenizer_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -69,16 +69,6 @@ def test_sketches_never_rule_out_a_link(a, more, less):
         assert set(setjoin.prefix(x, hot).tolist()) & set(setjoin.prefix(y, hot).tolist())
 
 
-def test_lm_scores(odd, empty):
-    marked = odd.withColumn("good", F.when(F.col("doc_id") < 5, True))
-    got = by_id(lmscore.cross_entropy_difference(clash(odd, "score", "n_tokens"), lmscore.fit(marked, "good")))
-    assert got[5][0].score is None and got[6][0].n_tokens == 0 and got[1][0].score < got[12][0].score
-    assert got[8][0].n_tokens == len(odd.where("doc_id = 8").first().text)
-    models = lmscore.fit(empty.withColumn("good", F.lit(True)), "good")
-    assert np.allclose(models[0], np.log(lmscore.VOCABULARY)) and lmscore.cross_entropy_difference(empty, models).count() == 0
-    assert np.allclose(np.exp(-lmscore.losses(np.array([5, 99]), np.array([3, 1]))).reshape(-1, lmscore.VOCABULARY).sum(1), 1)
-
-
 def test_language(odd, empty):
     net = langid.train(odd)
     got = by_id(langid.identify(clash(odd, "lang_pred", "score"), net))

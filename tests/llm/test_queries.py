@@ -48,31 +48,6 @@ def test_op1(spark, data, rows):
     assert {d: (r.n_shingles, r.component_id, r.n_links) for d, r in got.items()} == {d: (len(s), head(d), links[d]) for d, s in sets.items()}
 
 
-def test_op2(spark, data, rows, duck):
-    from siltstone.llm import lmscore as m
-
-    good = {r[0] for r in duck.sql("SELECT doc_id FROM labels WHERE quality = 1").fetchall()}
-    counts = [collections.Counter(), collections.Counter()]
-    padded = {d: [0, 0, 0, *(int(m.SYMBOLS[b]) for b in t.encode())] for d, t, _ in rows}
-    for d, s in padded.items():
-        for k in range(3, len(s)):
-            for side in ((0, 1) if d in good else (1,)):
-                for n in range(4):
-                    counts[side][tuple(s[k - n : k + 1])] += 1
-                    counts[side]["of", tuple(s[k - n : k])] += 1
-
-    def p(side, gram):
-        lower = p(side, gram[1:]) if len(gram) > 1 else 1 / m.VOCABULARY
-        return (counts[side][gram] + m.PRIOR * lower) / (counts[side]["of", gram[:-1]] + m.PRIOR)
-
-    got = collected(spark, data, "op2_lm_scoring")
-    assert len(got) == len(rows)
-    for d in list(padded)[:12]:
-        s = padded[d]
-        a, b = (np.mean([-np.log(p(side, tuple(s[k - 3 : k + 1]))) for k in range(3, len(s))]) for side in (0, 1))
-        assert abs(got[d].target_loss - a) < 1e-4 and abs(got[d].background_loss - b) < 1e-4 and abs(got[d].score - (a - b)) < 1e-4
-
-
 def test_op3(spark, data, duck):
     got = collected(spark, data, "op3_language_id")
     truth = dict(duck.sql("SELECT doc_id, lang FROM documents").fetchall())

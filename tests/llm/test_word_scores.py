@@ -12,27 +12,29 @@ WORD = re.compile(r"[　-퟿\U00010000-\U0010ffff]|[0-9a-z\x80-⿿]+|[!-~]")
 
 
 def brute(rows):
-    """n_words, target_loss, background_loss by row number."""
+    """n_words, target_loss, background_loss by row number: each row by the counts of the others."""
     counts = [collections.Counter(), collections.Counter()]
     taken = [WORD.findall((t or "").lower()) for t, _ in rows]
-    for own, (_, good) in zip(taken, rows, strict=True):
-        for a, b in zip([None, *own], own):
-            for side in (0, 1) if good else (1,):
-                counts[side].update([("all",), ("word", b), ("of", a), ("pair", a, b)])
+    grams = [collections.Counter(x for a, b in zip([None, *own], own) for x in (("all",), ("word", b), ("of", a), ("pair", a, b))) for own in taken]
+    for g, (_, good) in zip(grams, rows, strict=True):
+        counts[0 if good else 1].update(g)
     size = len({w for own in taken for w in own})
+    less = min(c["all",] for c in counts)
 
-    def p(side, a, b):
-        c = counts[side]
-        low = (c["word", b] + lmscore.PRIOR / size) / (c["all",] + lmscore.PRIOR)
-        return (c["pair", a, b] + lmscore.PRIOR * low) / (c["of", a] + lmscore.PRIOR)
+    def loss(side, k, a, b):
+        share = less / counts[side]["all",] if less else 1
+        c = lambda *x: share * (counts[side][x] - (grams[k][x] if side == (0 if rows[k][1] else 1) else 0))
+        low = (c("word", b) + lmscore.PRIOR / size) / (c("all") + lmscore.PRIOR)
+        return -np.log((c("pair", a, b) + lmscore.PRIOR * low) / (c("of", a) + lmscore.PRIOR))
 
-    return [(len(own), *(np.mean([-np.log(p(k, a, b)) for a, b in zip([None, *own], own)]) if own else None for k in (0, 1))) for own in taken]
+    return [(len(own), *(np.mean([loss(side, k, a, b) for a, b in zip([None, *own], own)]) if own else None for side in (0, 1))) for k, own in enumerate(taken)]
 
 
 def same(got, want):
     assert got.n_words == want[0]
-    for a, b in zip((got.word_target_loss, got.word_background_loss), want[1:], strict=True):
+    for a, b in zip((got.target_loss, got.background_loss), want[1:], strict=True):
         assert a is None and b is None or abs(a - b) < 1e-6
+    assert got.score is None or abs(got.score - (want[1] - want[2])) < 1e-6
 
 
 def test_words(monkeypatch):
@@ -46,21 +48,36 @@ def test_words(monkeypatch):
     assert (lmscore.words(long) == whole).all() and len(set(whole.tolist())) == 5
 
 
-def test_word_scores_odd(odd, empty):
-    marked = odd.withColumn("good", F.when(F.col("doc_id") < 5, True)).withColumn("n", F.monotonically_increasing_id()).withColumn("n_words", F.lit("x"))
+def test_scores_odd(odd, empty, spark):
+    marked = odd.withColumn("n", F.monotonically_increasing_id()).withColumn("n_words", F.lit("x")).withColumn("chunk", F.lit("own")).withColumn("c1", F.lit("own"))
+    good = spark.createDataFrame([(d,) for d in (1, 2, 3, 4, 4, 99, None)], "doc_id long")
     rows = {r.n: r for r in marked.collect()}
-    want = dict(zip(rows, brute([(r.text, r.good) for r in rows.values()]), strict=True))
+    want = dict(zip(rows, brute([(r.text, r.doc_id in (1, 2, 3, 4)) for r in rows.values()]), strict=True))
     for chunk in (lmscore.CHUNK, 300):
-        got = lmscore.word_scores(marked, "good", chunk=chunk).collect()
+        got = lmscore.cross_entropy_difference(marked, good, chunk=chunk).collect()
         assert len(got) == len(rows)
         for r in got:
             same(r, want[r.n])
-    assert lmscore.word_scores(empty.withColumn("good", F.lit(True)), "good").count() == 0
+            assert r.chunk == r.c1 == "own"
+    assert lmscore.cross_entropy_difference(empty, good).count() == 0
+    alone = lmscore.cross_entropy_difference(odd, good.where("false")).where("doc_id = 9").first()
+    assert abs(alone.target_loss - np.log(len({w for r in rows.values() for w in WORD.findall((r.text or "").lower())}))) < 1e-9
 
 
 def test_op2_words(spark, data, duck):
+    """All rows of the table."""
     rows = duck.sql("SELECT doc_id, text, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) FROM documents").fetchall()
     got = {r.doc_id: r for r in registry.QUERIES["op2_lm_scoring"](spark, data).collect()}
     assert len(got) == len(rows)
     for (d, *_), w in zip(rows, brute([r[1:] for r in rows]), strict=True):
         same(got[d], w)
+
+
+def test_texts_that_occur_twice_stand_apart(spark):
+    """Without its own counts a text that is there once is unlikely, and one with a copy is not."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 60)) for _ in range(40)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *texts[:5]])], "doc_id long, text string")
+    got = {r.doc_id: r.background_loss for r in lmscore.cross_entropy_difference(df, df.where("doc_id between 10 and 20")).collect()}
+    twice = {0, 1, 2, 3, 4, 40, 41, 42, 43, 44}
+    assert max(got[k] for k in twice) < min(v for k, v in got.items() if k not in twice)
