@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from siltstone.llm._common import pieces, read
 
 KINDS = ("email", "ip", "card", "phone")
-TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+#: Kinds that only the random field finds come last.
+ALL_KINDS = (*KINDS, "secret")
+TAGS = ("O", *(f"{p}-{k}" for k in ALL_KINDS for p in "BI"))
 #: Code points around a digit or at sign that a sequence holds, and tokens whose weights are looked up at once.
 CONTEXT = 40
 BLOCK = 32_768
@@ -95,7 +97,8 @@ def windows(text: str) -> list[tuple[int, int]]:
 
 #: Characters with a shape of their own, and words that announce personal data.
 _MARKS = {c: k for k, c in enumerate("@.-_+()[]/:,%#='\"$&*!")}
-_CUES = {w: k for k, ws in enumerate((("email", "mail", "e"), ("ip", "host", "server", "address"), ("card", "visa", "credit", "paid"), ("phone", "tel", "call", "mobile", "fax"), ("at",), ("dot",), ("com", "org", "net", "io", "edu"), ("version", "date", "page", "section", "token", "id", "order", "year"))) for w in ws}
+_CUES = {w: k for k, ws in enumerate((("email", "mail", "e"), ("ip", "host", "server", "address"), ("card", "visa", "credit", "paid"), ("phone", "tel", "call", "mobile", "fax"), ("at",), ("dot",), ("com", "org", "net", "io", "edu"), ("version", "date", "page", "section", "id", "order", "year"), ("token", "secret", "key", "password", "passwd", "apikey", "credential"))) for w in ws}
+_CUE_END = 31
 _SHAPES = 96
 
 
@@ -113,7 +116,7 @@ def _shape(token: str) -> int:
 
 
 _FIELDS = 6
-_SIZE = _SHAPES * (2 + 2 + 2) + 2 * _SHAPES * _SHAPES + 16
+_SIZE = _SHAPES * (2 + 2 + 2) + 2 * _SHAPES * _SHAPES + 41
 
 
 def featured(text: str, a: int, b: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -127,14 +130,14 @@ def featured(text: str, a: int, b: int) -> tuple[np.ndarray, list[tuple[int, int
         left, right = (s[k - 1] if k else 0), (s[k + 1] if k + 1 < len(s) else 0)
         on = k + 1 < len(s) and glued[k + 1]
         letters = (glued[k] and 32 <= left < 43) + 2 * (on and 32 <= right < 43)
-        cue = next((x - 21 for x in s[max(0, k - 4) : k][::-1] if 22 <= x < 30), 0)
+        cue = next((x - 21 for x in s[max(0, k - 4) : k][::-1] if 22 <= x < _CUE_END), 0)
         out[k] = (
             s[k] * 2 + glued[k],
             _SHAPES * 2 + left * 2 + glued[k],
             _SHAPES * 4 + right * 2 + on,
             pairs + s[k] * _SHAPES + right,
             pairs + _SHAPES * _SHAPES + s[k] * _SHAPES + left,
-            pairs + 2 * _SHAPES * _SHAPES + (letters * 4 if letters and s[k] <= 21 else 0) + (0 if letters else min(cue, 3) if s[k] <= 21 else 0),
+            pairs + 2 * _SHAPES * _SHAPES + 10 * letters + cue,
         )
     return out, spans
 
@@ -161,9 +164,12 @@ def labelled_table(rows: int = 480, seed: int = 5) -> list[tuple[str, list[tuple
         n, h, t = r.choice(names), r.choice(hosts), r.choice(tops)
         return r.choice([f"{n}@{h}.{t}", f"{n}@{h}.{t}", f"{n} (at) {h} (dot) {t.split('.')[-1]}", f"{n} [at] {h}.{t}", f"{n} @ {h}.{t}"])
 
-    made = {"email": email, "ip": lambda: ".".join(str(r.randrange(256)) for _ in range(4)), "card": card, "phone": phone}
-    cues = {"email": ["mail", "email:", "write to"], "ip": ["ip", "host", "from address"], "card": ["card", "visa", "paid by card"], "phone": ["tel", "phone:", "call"]}
-    other = [lambda: f"20{d(2)}-0{r.randrange(1, 10)}-{r.randrange(10, 29)}", lambda: f"{r.randrange(10, 24)}:{d(2)}", lambda: f"version {d(1)}.{d(1)}.{d(1)}", lambda: f"${d(2)}.{d(2)}", lambda: "19" + d(2), lambda: f"page {d(3)}", lambda: 'token = "' + "".join(r.choice("0123456789abcdef") for _ in range(40)) + '"', lambda: d(r.choice([1, 2, 3, 4, 5, 6, 7, 20, 24])), lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"order {d(6)}", lambda: f"{d(2)}%", lambda: f"{d(3)} - {d(3)}", lambda: f"@{r.choice(names)}", lambda: f"{d(3)}/{d(2)}", lambda: f"{d(5)}-{d(4)} units"]
+    def secret() -> str:
+        return "".join(r.choice(r.choice(["0123456789abcdef", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])) for _ in range(r.choice([20, 32, 40, 40])))
+
+    made = {"email": email, "ip": lambda: ".".join(str(r.randrange(256)) for _ in range(4)), "card": card, "phone": phone, "secret": secret}
+    cues = {"email": ["mail", "email:", "write to"], "ip": ["ip", "host", "from address"], "card": ["card", "visa", "paid by card"], "phone": ["tel", "phone:", "call"], "secret": ['token = "', "api_key: ", "secret=", "password: ", 'key="', "token "]}
+    other = [lambda: f"20{d(2)}-0{r.randrange(1, 10)}-{r.randrange(10, 29)}", lambda: f"{r.randrange(10, 24)}:{d(2)}", lambda: f"version {d(1)}.{d(1)}.{d(1)}", lambda: f"${d(2)}.{d(2)}", lambda: "19" + d(2), lambda: f"page {d(3)}", lambda: "token " + d(r.choice([1, 2, 4])), lambda: r.choice(["room", "gate"]) + " " + r.choice("abc") + d(2) + r.choice("xyz"), lambda: r.choice(["key", "the password"]) + " " + r.choice(words), lambda: d(r.choice([1, 2, 3, 4, 5, 6, 7, 20, 24])), lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"order {d(6)}", lambda: f"{d(2)}%", lambda: f"{d(3)} - {d(3)}", lambda: f"@{r.choice(names)}", lambda: f"{d(3)}/{d(2)}", lambda: f"{d(5)}-{d(4)} units"]
     out = []
     for k in range(rows):
         text, spans = " ".join(r.choices(words, k=r.randrange(0, 5))), []
@@ -172,12 +178,14 @@ def labelled_table(rows: int = 480, seed: int = 5) -> list[tuple[str, list[tuple
             if k % 2:
                 text += r.choice(other)()
             else:
-                kind = r.choice(KINDS)
-                if r.random() < 0.4:
+                kind = r.choice(ALL_KINDS)
+                if kind == "secret":
+                    text += r.choice(cues[kind])
+                elif r.random() < 0.4:
                     text += r.choice(cues[kind]) + " "
                 what = made[kind]()
                 spans.append((len(text), len(text) + len(what), kind))
-                text += what
+                text += what + ('"' if text.endswith('"') else "")
             text += r.choice(["", ".", ",", "***", " %%"]) + " " + " ".join(r.choices(words, k=r.randrange(1, 4)))
         out.append((text, spans))
     return out
@@ -191,11 +199,6 @@ def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array([len(s) for s in seqs])
 
 
-def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 @lru_cache(maxsize=2)
 def trained(rows: int = 480, steps: int = 90, rate: float = 0.25, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Emission (features x tags) and transition (tags + 1 x tags; the last row begins a sequence) weights.
@@ -221,30 +224,31 @@ def trained(rows: int = 480, steps: int = 90, rate: float = 0.25, decay: float =
     live = np.arange(time)[None] < n[:, None]
     emit, move = np.zeros((_SIZE, tags)), np.zeros((tags + 1, tags))
     emit2, move2 = np.full_like(emit, 1e-3), np.full_like(move, 1e-3)
-    held = np.flatnonzero(np.bincount(x.ravel(), minlength=_SIZE))
+    held = np.flatnonzero(np.bincount(x[live].ravel(), minlength=_SIZE))
     place = np.zeros(_SIZE, np.int64)
     place[held] = np.arange(len(held))
     xs = place[x]
+    # where each weight is used, and what the right tags are
+    order = np.argsort(xs[live].ravel(), kind="stable")
+    users, starts = order // _FIELDS, np.searchsorted(xs[live].ravel()[order], np.arange(len(held)))
+    right = np.zeros((size, time, tags))
+    right[np.arange(size)[:, None], np.arange(time)[None], gold] = live
+    after = live[:, 1:, None]
+    true_pairs = np.concatenate([np.einsum("nta,ntb->ab", right[:, :-1], right[:, 1:] * after), right[:, :1].sum(0)])
     for _ in range(steps):
         e = emit[held][xs].sum(2)
-        alpha, beta = np.empty((size, time, tags)), np.zeros((size, time, tags))
-        alpha[:, 0] = e[:, 0] + move[tags]
-        for t in range(1, time):
-            alpha[:, t] = np.where(live[:, t, None], _sum_exp(alpha[:, t - 1, :, None] + move[None, :tags], 1) + e[:, t], alpha[:, t - 1])
+        e = np.exp(e - e.max(2, keepdims=True))
+        step, first = np.exp(move[:tags]), np.exp(move[tags])
+        alpha, beta, scale = np.empty((size, time, tags)), np.ones((size, time, tags)), np.ones((size, time))
+        for t in range(time):
+            a = e[:, t] * (first if not t else alpha[:, t - 1] @ step)
+            scale[:, t] = np.where(live[:, t], a.sum(1), 1)
+            alpha[:, t] = np.where(live[:, t, None], a / scale[:, t, None], alpha[:, t - 1])
         for t in range(time - 2, -1, -1):
-            beta[:, t] = np.where(live[:, t + 1, None], _sum_exp(move[None, :tags] + (e[:, t + 1] + beta[:, t + 1])[:, None], 2), beta[:, t + 1])
-        z = _sum_exp(alpha[:, -1], 1)
-        p = np.exp(alpha + beta - z[:, None, None]) * live[:, :, None]
-        p[np.arange(size)[:, None], np.arange(time)[None], gold] -= live
-        grad = np.zeros((len(held), tags))
-        for f in range(_FIELDS):
-            np.add.at(grad, xs[:, :, f].ravel(), p.reshape(-1, tags))
-        pair = np.zeros_like(move)
-        pair[tags] = p[:, 0].sum(0)
-        for t in range(1, time):
-            q = np.exp(alpha[:, t - 1, :, None] + move[None, :tags] + (e[:, t] + beta[:, t])[:, None] - z[:, None, None])
-            pair[:tags] += (q * live[:, t, None, None]).sum(0)
-            np.add.at(pair, (gold[live[:, t], t - 1], gold[live[:, t], t]), -1)
+            beta[:, t] = np.where(live[:, t + 1, None], (e[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]) @ step.T, beta[:, t + 1])
+        p = alpha * beta - right
+        grad = np.add.reduceat(p[live][users], starts)
+        pair = np.concatenate([step * np.einsum("nta,ntb->ab", alpha[:, :-1], after * (e * beta / scale[:, :, None])[:, 1:], optimize=True), (alpha * beta)[:, :1].sum(0)]) - true_pairs
         grad = grad / size + decay * emit[held]
         pair = pair / size + decay * move
         emit2[held] += grad**2
@@ -294,12 +298,18 @@ def viterbi(seqs: list[np.ndarray], emit: np.ndarray, move: np.ndarray, most: in
 
 
 def plausible(kind: str, what: str) -> bool:
-    """Whether a decoded span can be of its kind at all."""
+    """Whether a decoded span can be of its kind at all: numbers need their count of digits and their checksum, addresses an at sign or "(at)" and a dot or "(dot)", secrets letters and digits.
+
+    This takes away spans that the field gets wrong by a token, and so loses what it would have found in part, as a card with a
+    mistyped digit or a number with words in it.
+    """
     digits = _NOT_DIGIT.sub("", what)
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 9 <= len(digits) <= 15
+    if kind == "secret":
+        return len(what) >= 16 and what.isascii() and what.isalnum() and bool(digits) and len(digits) < len(what)
     if kind == "ip":
         parts = re.split(r"[^0-9]+", what)
         return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -330,7 +340,7 @@ def found_spans(texts: list[str], emit: np.ndarray, move: np.ndarray) -> list[tu
             if plausible(kind, texts[k][a:b]) and not any(x < b and a < y for x, y, _ in base[k]):
                 extra[k].append((a, b, kind))
             at = end
-    key = lambda s: (s[0], KINDS.index(s[2]), s[1])
+    key = lambda s: (s[0], ALL_KINDS.index(s[2]), s[1])
     return [(b, sorted(b + x, key=key)) for b, x in zip(base, extra, strict=True)]
 
 
@@ -338,9 +348,9 @@ def personal_data(documents: DataFrame, *, text: str = "text", training_rows: in
     """`documents` with base_spans and spans, arrays of (kind, start, end) in code points, end exclusive.
 
     Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its check (parts of at most 255,
-    Luhn, numbers of digits). The random field adds spans: it is trained from `training_rows` made-up labelled sentences
+    Luhn, numbers of digits). The random field adds spans, of those kinds and of secrets (keys, tokens): it is trained from `training_rows` made-up labelled sentences
     on the driver, a fixed amount, and sent with the function. It decodes every part of a text that has a digit or an at sign
-    near by; elsewhere a span cannot be. Null and empty texts have no spans. Repeated rows are each scanned; added names
+    near by; elsewhere a span cannot be. Decoded spans that touch a base span, or are not plausible(), are left out. Null and empty texts have no spans. Repeated rows are each scanned; added names
     replace columns. One narrow pass without a shuffle.
     """
     kept = documents.drop("base_spans", "spans")
@@ -364,7 +374,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(line("base_spans"), 256).alias("base_sha256"), line("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(line("base_spans"), 256).alias("base_sha256"), line("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES = {"op10_personal_data": op10_personal_data}
