@@ -114,14 +114,15 @@ def test_mixing(odd, empty):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
-def test_mixing_with_small_shards(odd):
-    got = [r for rs in by_id(mixing.mix(odd, shard=100, block=4)).values() for r in rs]
+@pytest.mark.parametrize("fan", [2, 5, 1024])
+def test_mixing_with_small_shards(odd, fan):
+    got = [r for rs in by_id(mixing.mix(odd, shard=100, block=4, stretch=3, fan=fan)).values() for r in rs]
     for s in {r.source for r in got}:
         own = [r for r in got if r.source == s]
         assert abs(sum(r.taken for r in own) - own[0].target) <= 0.05 * own[0].target + 40
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(votes=st.lists(st.integers(0, 40), min_size=1, max_size=6), seats=st.integers(0, 60))
 def test_apportionment(spark, votes, seats):
     rows = spark.createDataFrame([(1, k, float(v), seats) for k, v in enumerate(votes)], "g int, k int, v double, s long")
@@ -131,16 +132,34 @@ def test_apportionment(spark, votes, seats):
         best = min((-v / (2 * want[k] + 1), k) for k, v in enumerate(votes) if v)
         want[best[1]] += 1
     assert got == want
-
-
-def test_top_k(spark):
-    rows = [(0, [0.1, 0.2]), (100, [0.1, 0.2]), (1, [0.1, 0.2]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [-0.5, 0.0]), (6, [0.1]), (None, [1.0, 1.0]), (7, [0.1, 0.2])]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
-    got = [tuple(r) for r in topk.top_k_search(v, F.col("vec_id") % 100 == 0, k=2).orderBy("query_id", "rank").collect()]
-    s = 102 * 102 + 204 * 204
-    assert got == [(0, 1, 1, s), (0, 2, 7, s), (100, 1, 0, s), (100, 2, 1, s)]
-    assert got == [tuple(r) for r in topk.top_k_search(v, F.col("vec_id") % 100 == 0, k=2, broadcast_bytes=0).orderBy("query_id", "rank").collect()]
-    assert topk.top_k_search(v.where("false"), F.col("vec_id") % 100 == 0).count() == 0
+    assert want == {r.k: r.out for r in mixing.apportion_all(rows, "v", seats, "k", "out").collect()}
+
+
+def test_order_by_ranges(spark):
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 1000).alias("x"))
+    got = mixing.in_order(rows, [F.col("x").desc()], {"before": F.col("id")}).collect()
+    want = sorted(got, key=lambda r: -r.x)
+    assert [r.row for r in want] == list(range(1000))
+    assert [r.before for r in want] == [sum(q.id for q in want[:k]) for k in range(1000)]
+
+
+def test_draws_take_each_block_once(spark):
+    """Over the documents of a shard the drawn words are the quota, whatever the stretches, and different seeds draw differently."""
+    import random
+
+    rng = random.Random(2)
+    seen = set()
+    for case in range(12):
+        sizes = [rng.randrange(0, 60) for _ in range(30)]
+        total, block, stretch = sum(sizes), 4, rng.choice([1, 3, 10])
+        n = -(-total // block)
+        more = rng.randrange(0, n)
+        rows = spark.createDataFrame([(sum(sizes[:k]), x) for k, x in enumerate(sizes)], "a long, size long")
+        rows = rows.withColumns({"_n": F.lit(n), "_more": F.lit(more).cast("long"), "_stretches": F.lit(n // stretch).cast("long"), "_draw": F.xxhash64(F.lit(case))})
+        got = [r.t for r in rows.select(mixing.drawn(F.col("a"), F.col("size"), block, stretch).alias("t")).collect()]
+        assert all(0 <= t <= x for t, x in zip(got, sizes)) and more * block - block < sum(got) <= more * block
+        seen.add(tuple(got))
+    assert len(seen) > 8
 
 
 def test_licenses(odd, empty, spark):
