@@ -42,6 +42,20 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Most buckets that a table is written in.
+MOST_BUCKETS = 50_000
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As table(), in buckets by `key`: what is grouped or joined by `key` later meets `df` without moving it."""
+    spark, place = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = new_place(spark, name)
+    df.write.bucketBy(max(1, min(buckets, MOST_BUCKETS)), key).option("path", path).saveAsTable(place)
+    out = spark.table(place)
+    out.stored_at = path
+    return out
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete what table() wrote for `df`, which no plan may read any more."""
     _delete(df.sparkSession, df.stored_at)

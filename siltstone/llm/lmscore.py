@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from functools import partial
 
 import numpy as np
@@ -13,15 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm._common import blobs, new_place, pieces, placed, read, released, table, without
+from siltstone.llm._common import blobs, bucketed, pieces, placed, read, released, table, without
 
 #: Weight of the next lower order: so many imagined observations.
 PRIOR = 4.0
 #: Bytes of text whose n-grams are counted and looked up together, and how many such chunks' counts a task sums on average.
 CHUNK = 4_000_000
 CHUNKS_A_TASK = 6
-#: Most buckets that chunks are written in.
-MOST_BUCKETS = 50_000
 #: A text longer than this is taken apart in pieces that end at white space.
 PIECE = 1_000_000
 _SPACE = re.compile(rb"\s")
@@ -147,7 +144,6 @@ def chunked(documents: DataFrame, id: str, text: str, chunk: int = CHUNK) -> Dat
     They are written to the shared folder, since chunks of a task that ran again might hold other rows, in buckets by chunk, so
     that later steps meet them without moving texts again. One narrow pass.
     """
-    spark = documents.sparkSession
 
     def boxes(batches):
         # the high bits keep chunks of different tasks apart
@@ -167,10 +163,7 @@ def chunked(documents: DataFrame, id: str, text: str, chunk: int = CHUNK) -> Dat
             yield box()
 
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(documents.schema[id].dataType)), T.StructField("rows", T.BinaryType())])
-    buckets = min(MOST_BUCKETS, max(1, documents.rdd.getNumPartitions()))
-    name = f"chunks_{uuid.uuid4().hex}"
-    documents.mapInArrow(released(boxes), schema).write.bucketBy(buckets, "chunk").option("path", new_place(spark, name)).saveAsTable(name)
-    return spark.table(name)
+    return bucketed(documents.mapInArrow(released(boxes), schema), "chunks", "chunk", documents.rdd.getNumPartitions())
 
 
 def _count_chunk(tasks: int, text: str, batches):

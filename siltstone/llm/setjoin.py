@@ -3,14 +3,18 @@
 1. One pass makes a row a document: the size of its set of shingle hashes, a fingerprint of the set (equal sets are one node
    from here on), and a sketch: how many of its shingles fall into each class of hashes. It also counts shingles in a fixed
    number of cells; cells that hold far more than others have frequent shingles, which only decides an order.
-2. A second pass sends the prefix of every set to buckets by hash, rare shingles first: two sets that link share a shingle
-   there. Buckets yield for every set the least set with the same shingle; most shingles have none.
+2. A second pass keeps the prefix of every set, rare shingles first, in blocks: two sets that link share a shingle there.
+   Each block finds the least set with each of its shingles and sends that alone to buckets by hash, where the least of all
+   blocks is found and sent back to the blocks that have another; most shingles are in one block. So a shingle that a third of
+   all sets have is as many entries as there are blocks.
 3. Pairs with the same least set are skipped if their sizes or sketches rule a link out: sketches that differ by d have at
    least d shingles not in common. What remains connects nodes to candidate classes; where there are too many sets to look
    at each pair, all are connected.
 4. Sets of one class meet in one task (classes beyond CLASS_SHINGLES in one task for each two of their parts) and are
-   joined exactly over index lists: blocks of positions outside the possible sizes are skipped, and the overlaps of a set are
-   derived from those of the set before it, by the lists of the shingles in which the two differ, if that reads less.
+   joined exactly over index lists that are cut into blocks of one set size, in which entries stand by the position of the
+   shingle in its set: from the first position that leaves too few shingles behind it the rest of a block is skipped. The
+   sets follow each other by minimal hashes, so that most come after a highly similar one, and take its overlaps, less those
+   of the shingles that went and with those of the shingles that came, where that reads less than the sets themselves.
 5. The links of all tasks give the final classes.
 
 No step brings all pairs of a group, or links of all documents, to one place: classes are cut, and the driver sees counts only.
@@ -25,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._common import blobs, pieces, placed, read, released, table
+from siltstone.llm._common import blobs, bucketed, drop_table, pieces, placed, read, released, table
 from siltstone.llm.graph import connected
 
 SHINGLE = 5
@@ -34,11 +38,16 @@ PERCENT = 75
 CELLS = 1 << 20
 #: Entries of a bucket about, the most sets whose pairs' sketches are compared together, shingles of sets that meet in one task about.
 BUCKET = 1 << 20
-LONG = 4096
+LONG = 512
 CLASS_SHINGLES = 800_000
 #: Most rows of class members that are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _MEMO = 60_000
+#: Sets that a task remembers having met, so that copies are not taken twice; beyond them some may be, which changes nothing.
+SEEN = 1_000_000
+#: Entries of a block of prefixes.
+BLOCK = 600_000
+MOST_BUCKETS = 1 << 24
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,11 +102,11 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def unpacked(packed: bytes, classes: int) -> np.ndarray:
-    """A sketch with neighbouring classes put together until there are `classes`."""
+    """A sketch with neighbouring classes put together until there are `classes`, again of 15 at most, as a coarser sketch has them."""
     raw = np.frombuffer(packed, np.uint8)
     n = np.empty(2 * len(raw), np.int16)
     n[0::2], n[1::2] = raw & 15, raw >> 4
-    return n.reshape(classes, -1).sum(1, dtype=np.int16)
+    return np.minimum(n.reshape(classes, -1).sum(1, dtype=np.int16), 15)
 
 
 def possible(size: np.ndarray, other: np.ndarray, apart: np.ndarray | int = 0, percent: int = PERCENT) -> np.ndarray:
@@ -125,6 +134,8 @@ def summary(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 node.append(fingerprint(own) if len(own) else None)
                 sketches.append(sketch(own) if len(own) else None)
                 if len(own) and node[-1] not in seen:
+                    if len(seen) > SEEN:
+                        seen.clear()
                     seen.add(node[-1])
                     np.add.at(counts, (own >> np.uint64(44)).astype(np.int64), np.uint32(1))
             size = batch.num_rows
@@ -187,64 +198,96 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) ->
     return rare[:upto] if len(rare) >= upto else np.concatenate([rare, hashes[often][: upto - len(rare)]])
 
 
-def prefix_blocks(documents: DataFrame, frequent: np.ndarray, buckets: int, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """bucket, entries: prefix shingles with their nodes, 14 bytes each (6 of the hash; the bucket is its low bits), each node once a task."""
+def prefix_blocks(documents: DataFrame, frequent: np.ndarray, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """block, hashes, owners, nodes: prefix shingles by hash, for each the place of its node in nodes; each node once a task. They are written in buckets by block."""
     held = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def scan(batches):
         often = np.unpackbits(held.value).astype(bool)
+        number = TaskContext.get().partitionId() << 32
         seen, hashes, nodes, size = set(), [], [], 0
 
-        def blocks():
-            h, node = np.concatenate(hashes), np.repeat(np.array([n for n, _ in nodes], np.int64), [k for _, k in nodes])
-            at = (h & np.uint64(buckets - 1)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            cells, starts = np.unique(at[order], return_index=True)
-            raw = np.empty((len(h), 14), np.uint8)
-            raw[:, :6] = h[order].view(np.uint8).reshape(-1, 8)[:, 2:]
-            raw[:, 6:] = node[order].view(np.uint8).reshape(-1, 8)
-            ends = [*starts[1:].tolist(), len(h)]
-            return pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([raw[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], ["bucket", "entries"])
+        def block():
+            h, owner = np.concatenate(hashes), np.repeat(np.arange(len(nodes), dtype=np.int32), [len(x) for x in hashes])
+            order = np.argsort(h, kind="stable")
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (h[order], owner[order], np.array(nodes, np.int64)))], ["block", "hashes", "owners", "nodes"])
 
         for batch in pieces(batches):
             for t in blobs(batch.column(0)):
                 own = shingles(t, shingle)
                 if not len(own) or (node := fingerprint(own)) in seen:
                     continue
+                if len(seen) > SEEN:
+                    seen.clear()
                 seen.add(node)
-                first = prefix(own, often, percent)
-                hashes.append(first)
-                nodes.append((node, len(first)))
-                size += len(first)
-            if size > 600_000:
-                yield blocks()
-                hashes, nodes, size = [], [], 0
+                hashes.append(prefix(own, often, percent))
+                nodes.append(node)
+                size += len(hashes[-1])
+            if size > BLOCK:
+                yield block()
+                number, hashes, nodes, size = number + 1, [], [], 0
         if size:
-            yield blocks()
+            yield block()
+
+    rows = documents.select("text")
+    return bucketed(rows.mapInArrow(released(scan, _WORDS.clear), "block long, hashes binary, owners binary, nodes binary"), "blocks", "block", rows.rdd.getNumPartitions())
 
-    return documents.select("text").mapInArrow(released(scan, _WORDS.clear), "bucket int, entries binary")
 
+def _opened(hashes: bytes, owners: bytes, nodes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: the nodes of its entries, the different hashes, where each begins and how many entries it has, its least node."""
+    h, node = np.frombuffer(hashes, np.uint64), np.frombuffer(nodes, np.int64)[np.frombuffer(owners, np.int32)]
+    own, starts = np.unique(h, return_index=True)
+    return node, own, starts, np.diff([*starts, len(h)]), np.minimum.reduceat(node, starts)
 
-def met_in(blocks: DataFrame) -> DataFrame:
+
+def met_in(blocks: DataFrame, buckets: int) -> DataFrame:
     """least, node: each node with the least of those that share a prefix shingle with it, for every such shingle.
 
     Two sets with a common prefix shingle so have a common `least`; a family of similar sets has few of these.
     """
 
+    def sent(batches):
+        for batch in pieces(batches, 1):
+            number = batch.column(0)[0].as_py()
+            _, own, _, _, least = _opened(*(batch.column(c)[0].as_py() for c in (1, 2, 3)))
+            at = (own & np.uint64(buckets - 1)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            cells, starts = np.unique(at[order], return_index=True)
+            raw = np.stack([own.view(np.int64), least], axis=1)[order]
+            ends = [*starts[1:].tolist(), len(own)]
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([number] * len(cells), pa.int64()), pa.array([raw[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], ["bucket", "block", "entries"])
+
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = np.concatenate([np.frombuffer(e, np.uint8).reshape(-1, 14) for e in pdf["entries"]])
-        h = np.zeros((len(raw), 8), np.uint8)
-        h[:, :6] = raw[:, :6]
-        h, node = h.view(np.uint64).ravel(), np.ascontiguousarray(raw[:, 6:]).view(np.int64).ravel()
-        order = np.lexsort((node, h))
-        h, node = h[order], node[order]
+        pairs = [np.frombuffer(e, np.int64).reshape(-1, 2) for e in pdf["entries"]]
+        block = np.repeat(pdf["block"].to_numpy(), [len(p) for p in pairs])
+        h, least = np.concatenate(pairs).T
+        order = np.lexsort((least, h))
+        h, least, block = h[order], least[order], block[order]
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        least = np.repeat(node[starts], np.diff([*starts, len(h)]))
+        first = np.repeat(least[starts], np.diff([*starts, len(h)]))
+        changed = first != least
+        h, first, block = h[changed], first[changed], block[changed]
+        order = np.argsort(block, kind="stable")
+        of, starts = np.unique(block[order], return_index=True)
+        raw = np.stack([h, first], axis=1)[order]
+        ends = [*starts[1:].tolist(), len(h)][: len(starts)]
+        return pd.DataFrame({"block": of, "changes": [raw[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
+
+    def meet(own: pa.Table, changes: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 2, ["least", "node"])
+        node, hashes, _, n, least = _opened(*(own.column(c)[0].as_py() for c in ("hashes", "owners", "nodes")))
+        if changes.num_rows:
+            h, first = np.concatenate([np.frombuffer(c, np.int64).reshape(-1, 2) for c in changes.column("changes").to_pylist()]).T
+            least = least.copy()
+            least[np.searchsorted(hashes, np.ascontiguousarray(h).view(np.uint64))] = first
+        least = np.repeat(least, n)
         apart = least != node
         pairs = np.unique(np.stack([least[apart], node[apart]]), axis=1)
-        return pd.DataFrame({"least": pairs[0], "node": pairs[1]})
+        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], ["least", "node"])
 
-    return blocks.groupBy("bucket").applyInPandas(gather, "least long, node long").distinct()
+    changes = blocks.mapInArrow(released(sent), "bucket int, block long, entries binary").groupBy("bucket").applyInPandas(gather, "block long, changes binary")
+    return blocks.groupBy("block").cogroup(changes.groupBy("block")).applyInArrow(meet, "least long, node long").distinct()
 
 
 # ---------------------------------------------------------------- candidate classes
@@ -346,80 +389,138 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (np.cumsum(n) - n), n)
 
 
-class Overlaps:
-    """Overlaps of each set with all sets of a class, over index lists whose positions follow the sets' sizes."""
+class Index:
+    """The sets of a class, by rising size, and lists of those that hold each shingle."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        """`sets` by rising size."""
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT) -> None:
+        self.percent, self.n = percent, len(sets)
         self.sizes = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        _, token = np.unique(np.concatenate(sets), return_inverse=True)
-        self.sets = np.split(token, np.cumsum(self.sizes)[:-1])
-        order = np.lexsort((owner, token))
-        self.holders = owner[order]
-        self.keys = token[order] * len(sets) + self.holders
-        self.starts = np.searchsorted(token[order], np.arange(token.max() + 2))
-        self.mark = np.zeros(token.max() + 1, bool)
-        self.before: tuple[int, np.ndarray] | None = None
-        self.read = 0
-
-    def _sum(self, tokens: np.ndarray) -> np.ndarray:
-        at = _ranges(self.starts[tokens], self.starts[tokens + 1])
-        self.read += len(at)
-        return np.bincount(self.holders[at], minlength=len(self.sets))
-
-    def of(self, k: int, low: int, high: int) -> np.ndarray:
-        """Overlaps of set k with sets low..high-1."""
-        own, m = self.sets[k], len(self.sets)
-        full = int((self.starts[own + 1] - self.starts[own]).sum())
-        if self.before is not None:
-            j, counts = self.before
-            self.mark[own] = True
-            gone = self.sets[j][~self.mark[self.sets[j]]]
+        owner = np.repeat(np.arange(self.n), self.sizes)
+        kinds, token = np.unique(np.concatenate(sets), return_inverse=True)
+        # shingles are numbered by rising frequency, so sets begin with what few others have
+        order = np.argsort(np.bincount(token), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        token = rank[token]
+        token = token[np.lexsort((token, owner))]
+        self.flat, self.ends = token, np.cumsum(self.sizes)
+        self.begins = self.ends - self.sizes
+        by_token = np.argsort(token, kind="stable")
+        self.holders = owner[by_token]
+        self.starts = np.searchsorted(token[by_token], np.arange(len(order) + 1))
+        # the index proper: entries of prefixes, in blocks of one shingle and one size, by position
+        place = np.arange(len(token)) - self.begins[owner]
+        first = place < self.prefix(self.sizes)[owner]
+        token, owner, place = token[first], owner[first], place[first]
+        size = self.sizes[owner]
+        order = np.lexsort((owner, place, size, token))
+        token, size, self.entries, place = token[order], size[order], owner[order], place[order]
+        self.wide = int(self.sizes.max()) + 1
+        key = token * self.wide + size
+        self.block_starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.blocks, self.block_sizes = key[self.block_starts], size[self.block_starts]
+        self.places = np.repeat(np.arange(len(self.block_starts)), np.diff([*self.block_starts, len(key)])) * self.wide + place
+        # numbers that bring similar sets together
+        hashes = [np.minimum.reduceat(mixed(kinds[np.argsort(rank)][self.flat] + np.uint64(k + 1)), self.begins) for k in range(3)]
+        self.order = np.lexsort((self.sizes, *hashes[::-1]))
+        self.mark, self.slot = np.zeros(len(rank), bool), np.zeros(self.n, np.int64)
+        self.before: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.derived = self.skipped = self.met = 0
+
+    def prefix(self, size):
+        return size - -(-self.percent * size // 100) + 1
+
+    def needed(self, size, other):
+        """The least overlap with which sets of these sizes link."""
+        return -(-self.percent * (size + other) // (100 + self.percent))
+
+    def candidates(self, k: int) -> np.ndarray:
+        """Sets that may link with set k: those that hold one of its first shingles at a position that leaves enough behind it."""
+        n = int(self.sizes[k])
+        own = self.flat[self.begins[k] : self.begins[k] + self.prefix(n)]
+        low, high = -(-self.percent * n // 100), 100 * n // self.percent
+        a = np.searchsorted(self.blocks, own * self.wide + low)
+        b = np.searchsorted(self.blocks, own * self.wide + min(high, self.wide - 1), side="right")
+        at, place = _ranges(a, b), np.repeat(np.arange(len(own)), b - a)
+        need = self.needed(n, self.block_sizes[at])
+        good = (place <= n - need) & (self.block_sizes[at] >= need)
+        at, upto = at[good], (self.block_sizes[at] - need)[good]
+        starts = self.block_starts[at]
+        ends = np.searchsorted(self.places, at * self.wide + upto, side="right")
+        self.met += int((ends - starts).sum())
+        self.skipped += int((np.append(self.block_starts, len(self.entries))[at + 1] - ends).sum())
+        found = np.unique(self.entries[_ranges(starts, ends)])
+        return found[found != k]
+
+    def overlaps(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets that may link with set k, and their overlaps with it."""
+        own, found = self.flat[self.begins[k] : self.ends[k]], self.candidates(k)
+        counts = np.zeros(len(found), np.int64)
+        known = np.zeros(len(found), bool)
+        self.mark[own] = True
+        if self.before is not None and len(found):
+            others, theirs, last = self.before
+            at = np.minimum(np.searchsorted(others, found), len(others) - 1)
+            known = others[at] == found
+            gone = last[~self.mark[last]]
             self.mark[own] = False
-            self.mark[self.sets[j]] = True
+            self.mark[last] = True
             come = own[~self.mark[own]]
-            self.mark[self.sets[j]] = False
+            self.mark[last] = False
+            self.mark[own] = True
             cost = int((self.starts[gone + 1] - self.starts[gone]).sum() + (self.starts[come + 1] - self.starts[come]).sum())
-            if cost < full * (high - low) / m:
-                counts = counts - self._sum(gone) + self._sum(come)
-                self.before = (k, counts)
-                return counts[low:high]
-        if 2 * (high - low) < m:  # skip the blocks of positions before and behind the possible sizes
-            at = _ranges(np.searchsorted(self.keys, own * m + low), np.searchsorted(self.keys, own * m + high))
-            self.read += len(at)
-            return np.bincount(self.holders[at] - low, minlength=high - low)
-        self.before = (k, self._sum(own))
-        return self.before[1][low:high]
+            if cost < int(self.sizes[found[known]].sum()):
+                self.derived += int(known.sum())
+                counts[known] = theirs[at[known]] - self._held(gone, found[known]) + self._held(come, found[known])
+            else:
+                known[:] = False
+        rest = found[~known]
+        if len(rest):
+            sizes = self.sizes[rest]
+            hit = self.mark[self.flat[_ranges(self.begins[rest], self.ends[rest])]].astype(np.int64)
+            counts[~known] = np.add.reduceat(hit, np.cumsum(sizes) - sizes)
+        self.mark[own] = False
+        place = np.searchsorted(found, k)
+        self.before = np.insert(found, place, k), np.insert(counts, place, len(own)), own
+        return found, counts
+
+    def _held(self, tokens: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """How many of `tokens` each set of `of` holds."""
+        at = self.holders[_ranges(self.starts[tokens], self.starts[tokens + 1])]
+        self.slot[of] = np.arange(1, len(of) + 1)
+        out = np.bincount(self.slot[at], minlength=len(of) + 1)[1:]
+        self.slot[of] = 0
+        return out
 
 
 def join_class(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None = None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """For each set the number (of the least set in rising size) that it is connected with, and the copies that it links with.
 
-    With `side`, only pairs of different sides are looked at. Everything is by the order of `sets`.
+    With `side`, only pairs of different sides count.
     """
     m = len(sets)
     order = np.argsort([len(s) for s in sets], kind="stable")
-    sets, copies = [sets[k] for k in order], copies[order]
+    index, copies = Index([sets[k] for k in order], percent), copies[order]
     side = side[order] if side is not None else None
-    overlaps = Overlaps(sets)
-    sizes = overlaps.sizes
     label, links = np.arange(m), np.zeros(m, np.int64)
-    near = sorted(range(m), key=lambda k: overlaps.sets[k][:3].tolist())  # sets with the same first shingles follow each other
-    for k in near:
-        low = int(np.searchsorted(sizes, -(-percent * sizes[k] // 100)))
-        high = int(np.searchsorted(sizes, 100 * sizes[k] // percent, side="right"))
-        inter = overlaps.of(k, low, high)
-        own = np.flatnonzero(100 * inter >= percent * (sizes[low:high] + sizes[k] - inter)) + low
-        own = own[own != k] if side is None else own[side[own] != side[k]]
+
+    def heads_of(x: np.ndarray) -> np.ndarray:
+        x = label[x]
+        while (up := label[x]).tolist() != x.tolist():
+            x = up
+        return x
+
+    for k in index.order:
+        own, inter = index.overlaps(k)
+        linked = 100 * inter >= percent * (index.sizes[own] + index.sizes[k] - inter)
+        own = own[linked if side is None else linked & (side[own] != side[k])]
         links[k] = copies[own].sum()
-        heads = np.unique(label[own])
-        if len(heads) and (len(heads) > 1 or heads[0] != label[k]):
-            heads = np.append(heads, label[k])
-            label[np.isin(label, heads)] = heads.min()
+        own = np.append(own, k)
+        heads = heads_of(own)
+        label[heads] = label[own] = heads.min()
     back = np.empty(m, np.int64)
     back[order] = np.arange(m)
-    return order[label][back], links[back]
+    return order[heads_of(np.arange(m))][back], links[back]
 
 
 def joined_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -486,9 +587,11 @@ def jaccard_classes(
     nodes = table(nodes.select("node", "n", "sketch", "copies", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash")), "nodes")
     entries = (nodes.agg(F.sum("n")).first()[0] or 0) * (100 - percent) / 100
     buckets = 16
-    while buckets < 65_536 and (buckets * BUCKET < entries or buckets < int(spark.conf.get("spark.sql.shuffle.partitions"))):
+    while buckets < MOST_BUCKETS and (buckets * BUCKET < entries or buckets < int(spark.conf.get("spark.sql.shuffle.partitions"))):
         buckets *= 2
-    met = table(met_in(prefix_blocks(own, frequent, buckets, shingle, percent)), "met")
+    blocks = prefix_blocks(own, frequent, shingle, percent)
+    met = table(met_in(blocks, buckets), "met")
+    drop_table(blocks)
     classes = connected(candidate_edges(met, nodes, percent, long), "candidates")
     members = classes.select("node", F.col("head").alias("root")).join(nodes, "node")
     parts = members.groupBy("root").agg(F.ceil(F.sum("n") / class_shingles).cast("int").alias("parts"))

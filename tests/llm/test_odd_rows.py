@@ -40,8 +40,8 @@ def test_jaccard_in_parts_is_the_same(odd):
     assert whole == sorted(map(str, setjoin.jaccard_classes(odd, class_shingles=100, long=2, broadcast_rows=0).collect()))
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 14), min_size=1, max_size=10), min_size=1, max_size=14), st.booleans())
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 14), min_size=1, max_size=12), min_size=1, max_size=18), st.booleans())
 def test_class_join_is_exact(sets, sided):
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
     side = np.arange(len(sets)) % 2 if sided else None
