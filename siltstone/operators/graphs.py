@@ -5,28 +5,21 @@ Loops over the graph write each round's table to the shared folder, so plans sta
 
 from __future__ import annotations
 
-import uuid
 from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Edges below this confidence take no part in algorithms.
+from siltstone.sources.store import cut
+
+#: Edges below this confidence take no part in algorithms, and the bounds of adjacency(). Fixed values.
 GATE = 0.6
 BUDGET = 10_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read again."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{root.rstrip('/')}/siltstone/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def adjacency(nodes: DataFrame, edges: DataFrame, *, gate: float = GATE, vendored: tuple[str, ...] = ("node_modules", "vendor", "target", "dist"), least_names: int = 15, least_degree: int = 50) -> DataFrame:
     """source, target, edge_type, weight: one edge for each source, target and type at `gate` or above between kept nodes.
 
@@ -34,12 +27,12 @@ def adjacency(nodes: DataFrame, edges: DataFrame, *, gate: float = GATE, vendore
     nodes have, or that more than max(50, min(n / 150, 125)) gated edges end at.
     """
     kept = nodes.where(F.col("file_path").isNotNull() & ~F.col("file_path").rlike("(^|/)(" + "|".join(vendored) + ")/"))
-    size = kept.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
+    n = kept.count()
     strong = edges.where(F.col("weight") >= gate).groupBy("source", "target", "edge_type").agg(F.max("weight").alias("weight"))
     names = kept.groupBy("symbol_name").agg(F.count("*").alias("names"))
     degree = strong.groupBy(F.col("target").alias("node_id")).agg(F.count("*").alias("deg"))
-    x = kept.join(names, "symbol_name").join(degree, "node_id", "left").withColumn("_k", F.lit(1)).join(F.broadcast(size), "_k")
-    good = x.where((F.col("names") <= F.greatest(F.lit(least_names), F.floor(F.col("n") / 500))) & (F.coalesce("deg", F.lit(0)) <= F.greatest(F.lit(least_degree), F.least(F.floor(F.col("n") / 150), F.lit(125)))))
+    x = kept.join(names, "symbol_name").join(degree, "node_id", "left")
+    good = x.where((F.col("names") <= max(least_names, n // 500)) & (F.coalesce("deg", F.lit(0)) <= max(least_degree, min(n // 150, 125))))
     ids = good.select("node_id")
     return strong.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi")
 
@@ -50,17 +43,19 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int | None, *, reverse:
     Level by level: a join with the frontier, an anti-join with what is known. With `budget`, no level is begun once as many nodes are known.
     """
     a, b = ("target", "source") if reverse else ("source", "target")
-    e = edges.groupBy(F.col(a).alias("node_id"), F.col(b).alias("next")).agg(F.max("weight").alias("w"))
+    e = cut(edges.groupBy(F.col(a).alias("node_id"), F.col(b).alias("next")).agg(F.max("weight").alias("w")))
     known = frontier = cut(start.select("node_id").distinct().select("node_id", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence")))
+    size = 0
     for depth in count(1) if hops is None else range(1, hops + 1):
         step = frontier.join(e, "node_id").groupBy(F.col("next").alias("node_id")).agg(F.max(F.col("confidence") * F.col("w")).alias("confidence"))
         frontier = cut(step.join(known.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(depth).alias("depth"), "confidence"))
-        if frontier.isEmpty():
+        if not (fresh := frontier.count()):
             break
         known = known.unionByName(frontier)
         if depth % 8 == 0:
             known = cut(known)
-        if budget and known.count() >= budget:
+        size += fresh
+        if budget and start.count() + size >= budget:
             break
     return known
 
@@ -70,20 +65,23 @@ def impact(edges: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
     return reachable(edges, targets, hops, reverse=True).where("depth > 0")
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None) -> DataFrame:
-    """node_id, rank. Edges count as often as they are there; rank of nodes without edges out is shared by all. Stops early once no rank moves by `tolerance`."""
+def page_rank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+    """node_id, rank. Edges count as often as they are there; rank of nodes without edges out is shared by all. Stops early once no rank moves by `tolerance`. The defaults are fixed values."""
     n = nodes.count()
     if not n:
         return nodes.select("node_id", F.lit(0.0).alias("rank"))
     out = edges.groupBy("source").agg(F.count("*").alias("deg"))
     links = cut(edges.groupBy("source", "target").agg(F.count("*").alias("m")).join(out, "source").select("source", "target", (F.col("m") / F.col("deg")).alias("share")))
     ranks = cut(nodes.select("node_id", F.lit(1.0 / n).alias("rank")).join(out.select(F.col("source").alias("node_id"), F.lit(True).alias("out")), "node_id", "left"))
+    lost = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
     for _ in range(iterations):
         got = links.join(ranks.select(F.col("node_id").alias("source"), "rank"), "source").groupBy(F.col("target").alias("node_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        lost = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s")).first()[0]
-        new = cut(ranks.select("node_id", "out", F.col("rank").alias("old")).join(got, "node_id", "left").select("node_id", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"), "old"))
-        moved = new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] if tolerance else None
-        ranks = new.drop("old")
+        new = ranks.select("node_id", "out", F.col("rank").alias("old")).join(got, "node_id", "left").select("node_id", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"), "old")
+        new = cut(new, instead=ranks)
+        # one pass over the new ranks tells how far they moved and what nodes without edges out have to share
+        moved, lost = new.agg(F.max(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0))).first()
+        ranks = new.select("node_id", "out", "rank")
+        ranks.stored_at = new.stored_at
         if tolerance and moved < tolerance:
             break
     return ranks.select("node_id", "rank")
@@ -92,9 +90,8 @@ def page_rank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, iter
 def hotspots(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
     """PageRank times max(0, ln(nodes / nodes of that name))."""
     named = nodes.groupBy("symbol_name").agg(F.count("*").alias("names"))
-    total = nodes.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
-    x = ranks.join(nodes.select("node_id", "symbol_name"), "node_id").join(named, "symbol_name").withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
-    return x.select("node_id", (F.col("rank") * F.greatest(F.lit(0.0), F.ln(F.col("n") / F.col("names")))).alias("score"))
+    x = ranks.join(nodes.select("node_id", "symbol_name"), "node_id").join(named, "symbol_name")
+    return x.select("node_id", (F.col("rank") * F.greatest(F.lit(0.0), F.ln(F.lit(nodes.count()) / F.col("names")))).alias("score"))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -165,74 +162,85 @@ def test_gaps(nodes: DataFrame, edges: DataFrame, hops: int | None = None) -> Da
     return gaps.join(users, "node_id", "left").select("node_id", F.coalesce("dependents", F.lit(0)).alias("dependents"))
 
 
-def _by_tenant(nodes: DataFrame, edges: DataFrame, tenant: str | None):
-    key = F.col(tenant) if tenant else F.lit("")
-    return edges.select(key.alias("tenant"), F.col("source").cast("string"), F.col("target").cast("string")).groupBy("tenant")
-
-
-def betweenness(edges: DataFrame, sample: int | None = None, most_edges: int = 2_000_000) -> DataFrame:
+def betweenness(edges: DataFrame, sample: int | None = None, most_edges: int = 2_000_000, cells: int = 4_000_000) -> DataFrame:
     """node_id, score: Brandes' betweenness on the undirected multigraph, both directions of a pair counted.
 
-    Sources are the first `sample` nodes by id (all by default) and are spread over tasks; each task gets the whole edge list,
-    whose size is checked, since shortest paths need all of it. Scores are scaled to all sources and to (n - 1)(n - 2) / 2, at most 1.
+    Every node is a source unless `sample` asks for the first so many by id. Sources are spread over tasks; each task has the
+    whole edge list as numbers, 24 bytes an edge, since shortest paths need all of it, so its size is checked and an error
+    says so. A task walks some sources at once, level by level, with about `cells` numbers in hand. Scores are scaled to all
+    sources and to (n - 1)(n - 2) / 2, at most 1.
     """
-    n_edges = edges.count()
-    if n_edges > most_edges:
+    links = edges.groupBy(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")).agg(F.count("*").alias("m"))
+    links = cut(links)
+    if (n_edges := links.count()) > most_edges:
         raise ValueError(f"{n_edges} edges; a task holds {most_edges} at most: take a subgraph or raise most_edges")
     spark = edges.sparkSession
-    rows = [(r.source, r.target) for r in edges.select("source", "target").collect()]
-    held = spark.sparkContext.broadcast(rows)
-    ids = edges.select(F.col("source").alias("node_id")).union(edges.select("target")).distinct()
-    n = ids.count()
-    sources = ids.orderBy("node_id").limit(sample) if sample and sample < n else ids
-    scale = (n / sample) if sample and sample < n else 1.0
+    rows = links.toPandas()
+    names, codes = np.unique(np.concatenate([rows["source"].to_numpy(str), rows["target"].to_numpy(str)]) if n_edges else np.empty(0, "<U1"), return_inverse=True)
+    a, b, m, n = codes[:n_edges], codes[n_edges:], rows["m"].to_numpy(float), len(names)
+    held = spark.sparkContext.broadcast((names, a, b, m))
+    chosen = sample if sample and sample < n else n
+    each = max(1, cells // max(1, 2 * n_edges))
 
     def run(batches):
-        names = sorted({x for e in held.value for x in e})
-        at = {x: k for k, x in enumerate(names)}
-        near: list[list[int]] = [[] for _ in names]
-        for a, b in held.value:
-            near[at[a]].append(at[b])
-            near[at[b]].append(at[a])
-        total = [0.0] * len(names)
+        names, a, b, m = held.value
+        source, target, many = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([m, m])
+        order = np.argsort(target, kind="stable")
+        source, target, many = source[order], target[order], many[order, None]
+        heads, starts = np.unique(target, return_index=True)
+
+        def gathered(x: np.ndarray) -> np.ndarray:
+            """For each node the sum of `x` over its neighbours."""
+            out = np.zeros_like(x)
+            out[heads] = np.add.reduceat(x[source] * many, starts, axis=0)
+            return out
+
+        total = np.zeros(len(names))
         for pdf in batches:
-            for s in pdf["node_id"]:
-                root = at[s]
-                dist, paths, order, before = {root: 0}, {root: 1.0}, [], {}
-                ring = [root]
-                while ring:
-                    order += ring
-                    following: list[int] = []
-                    for u in ring:
-                        for w in near[u]:
-                            if w not in dist:
-                                dist[w], paths[w], before[w] = dist[u] + 1, 0.0, []
-                                following.append(w)
-                            if dist[w] == dist[u] + 1:
-                                paths[w] += paths[u]
-                                before[w].append(u)
-                    ring = following
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for u in before.get(w, ()):
-                        share[u] += paths[u] / paths[w] * (1 + share[w])
-                    if w != root:
-                        total[w] += share[w]
+            roots = pdf["id"].to_numpy()
+            for at in range(0, len(roots), each):
+                own = roots[at : at + each]
+                columns = np.arange(len(own))
+                paths = np.zeros((len(names), len(own)))
+                paths[own, columns] = 1
+                depth = np.full(paths.shape, -1)
+                depth[own, columns] = 0
+                level = 0
+                while True:
+                    come = gathered(np.where(depth == level, paths, 0))
+                    fresh = (come > 0) & (depth < 0)
+                    if not fresh.any():
+                        break
+                    level += 1
+                    depth[fresh], paths[fresh] = level, come[fresh]
+                share = np.zeros(paths.shape)
+                for d in range(level, 0, -1):
+                    back = gathered(np.where(depth == d, (1 + share) / np.maximum(paths, 1), 0))
+                    share = np.where(depth == d - 1, paths * back, share)
+                share[own, columns] = 0
+                total += share.sum(1)
         yield pd.DataFrame({"node_id": names, "s": total})
 
-    found = sources.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "node_id string, s double")
+    tasks = max(1, min(-(-chosen // each), 4 * spark.sparkContext.defaultParallelism))
+    found = spark.range(0, chosen, 1, tasks).mapInPandas(run, "node_id string, s double")
     pairs = (n - 1) * (n - 2) / 2
-    score = F.least(F.lit(1.0), F.sum("s") * scale / pairs) if pairs > 0 else F.lit(0.0)
+    score = F.least(F.lit(1.0), F.sum("s") * (n / chosen) / pairs) if pairs > 0 else F.lit(0.0)
     return found.groupBy("node_id").agg(score.alias("score"))
 
 
 def communities(edges: DataFrame, tenant: str | None = None, rounds: int = 50, least: int = 2) -> DataFrame:
     """tenant, node_id, community, size: label propagation in the order of ids, each node at once taking the commonest label around it, ties to the least.
 
-    Its result depends on that order, so a tenant's graph is one group; tenants are spread over tasks.
+    Its result depends on that order, but no label crosses from one connected part of a graph to another: without tenants each
+    part is a group of its own, so only a part is ever in one task. The order inside a part is what it is in the whole.
     """
+    named = edges.select((F.col(tenant) if tenant else F.lit("")).alias("tenant"), F.col("source").cast("string"), F.col("target").cast("string"))
+    if not tenant:
+        named = cut(named)
+        parts = components(named, "source", "target").withColumnRenamed("node", "source")
+        named = named.join(parts, "source")
 
-    def propagate(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def propagate(pdf: pd.DataFrame) -> pd.DataFrame:
         from collections import Counter
 
         near: dict[str, list[str]] = {}
@@ -251,10 +259,10 @@ def communities(edges: DataFrame, tenant: str | None = None, rounds: int = 50, l
             if not moved:
                 break
         sizes = Counter(label.values())
-        rows = [(key[0], x, c, sizes[c]) for x, c in label.items() if sizes[c] >= least]
+        rows = [(pdf["tenant"].iloc[0], x, c, sizes[c]) for x, c in label.items() if sizes[c] >= least]
         return pd.DataFrame(rows, columns=["tenant", "node_id", "community", "size"])
 
-    return _by_tenant(edges, edges, tenant).applyInPandas(propagate, "tenant string, node_id string, community string, size long")
+    return named.groupBy("tenant" if tenant else "component").applyInPandas(propagate, "tenant string, node_id string, community string, size long")
 
 
 def cooccurrence(df: DataFrame, basket: str, item: str) -> DataFrame:

@@ -119,8 +119,9 @@ def export_table(df: DataFrame, path: str, partition: str | None = None) -> None
 
 
 def import_checked(spark: SparkSession, path: str, source: DataFrame) -> DataFrame:
-    """The exported table, if it holds as many rows as `source`; else ValueError."""
+    """The exported table, if it holds the rows of `source`, by their number and the sum of their hashes; else ValueError."""
     out = spark.read.parquet(path)
-    if (a := out.count()) != (b := source.count()):
-        raise ValueError(f"{a} rows were exported of {b}")
+    whole = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in source.columns]).cast("decimal(38,0)"))).first())
+    if (a := whole(out)) != (b := whole(source)):
+        raise ValueError(f"{a[0]} rows were exported of {b[0]}, or other ones")
     return out
