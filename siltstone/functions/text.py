@@ -57,13 +57,31 @@ def cleaned(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[^\S\n]+", " "))
 
 
-#: Placeholder titles. Fixed values.
-PLACEHOLDERS = ("untitled", "document", "new document", "title", "no title", "unknown")
+#: Titles that programs give to new files, alone and numbered. Fixed values.
+PLACEHOLDERS = ("untitled", "document", "presentation", "slide", "book", "new document", "noname")
+_NUMBERED = r"(?i)^(microsoft\s+word\s*[-–—]\s*|document|presentation|slide|book|untitled)\s*\d*$"
 
 
 def accepted_title(title: Column) -> Column:
+    """`title` trimmed, null if it is empty or a placeholder."""
     t = F.trim(title)
-    return F.when((t != "") & ~F.lower(t).isin(*PLACEHOLDERS) & ~t.rlike(r"(?i)^(untitled|document)[\s\-_]*[0-9]*$"), t)
+    return F.when((t != "") & ~F.lower(t).isin(*PLACEHOLDERS) & ~t.rlike(_NUMBERED) & ~F.lower(t).startswith("microsoft word"), t)
+
+
+def name_title(path: Column) -> Column:
+    """The file's name without its extension, `_` and `-` as spaces, each word with a capital; Untitled without a name."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    words = F.filter(F.split(F.translate(name, "_-", "  "), r"\s+"), lambda w: w != "")
+    made = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
+    return F.when(name != "", made).otherwise(F.lit("Untitled"))
+
+
+def document_title(metadata: Column, text: Column, path: Column, kind: Column) -> tuple[Column, Column]:
+    """A document's title and where it comes from: its metadata unless a placeholder, what its text begins with (by `kind`: html, markdown or plain), its file's name."""
+    content = F.when(kind == "html", html_title(text)).when(kind == "markdown", markdown_title(text)).otherwise(plain_title(text))
+    given = accepted_title(metadata)
+    source = F.when(given.isNotNull(), "metadata").when(content.isNotNull(), "content").otherwise("file name")
+    return F.coalesce(given, content, name_title(path)), source
 
 
 def html_title(html: Column) -> Column:
@@ -89,28 +107,92 @@ def plain_title(text: Column) -> Column:
     return F.when((line != "") & (F.octet_length(line) <= 200) & ~line.rlike(r"[.,;]$") & line.rlike(r"\p{Lu}"), line)
 
 
-#: Shapes of secrets and what replaces them. Fixed values.
+#: Tokens that are secrets by their shape. Fixed values.
 SECRETS = {
-    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "git_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
-    "api_key": r"\bsk-[A-Za-z0-9_-]{20,}\b",
-    "chat_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}\b",
-    "web_token": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\b",
-    "maps_key": r"\bAIza[0-9A-Za-z_-]{35}\b",
+    "aws": r"\bAKIA[0-9A-Z]{16}\b",
+    "github": r"\b(?:gh[pousr]|github_pat)_[A-Za-z0-9_]{20,}\b",
+    "gitlab": r"\bglpat-[A-Za-z0-9_\-]{20,}\b",
+    "slack": r"\bxox[abprs]-[A-Za-z0-9\-]{10,}\b",
+    "openai": r"\bsk-(?:proj-)?[A-Za-z0-9_\-]{20,}\b",
+    "stripe": r"\bsk_(?:live|test)_[A-Za-z0-9]{10,}\b",
+    "google": r"\bAIza[0-9A-Za-z_\-]{35}\b",
+    "sendgrid": r"\bSG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}\b",
+    "npm": r"\bnpm_[A-Za-z0-9]{36}\b",
+    "hugging_face": r"\bhf_[A-Za-z0-9]{30,}\b",
+    "jwt": r"\beyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\b",
 }
-_PEM = r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)"
-_PAIR = r"""(?i)\b(password|passwd|secret|token|api[_-]?key)(\s*[:=]\s*)(["']?)(?!\$\{|<|\{\{|changeme|example|xxx)[^\s"']{8,}\3"""
-_URL = r"(?i)\b([a-z][a-z0-9+.-]*://[^\s:/@]+):[^\s@/]+@"
-MARK = "[REDACTED]"
-
-
-def redacted(text: Column, key_values: bool = True) -> Column:
-    """`text` without private keys, passwords in addresses, tokens of known shapes and, with `key_values`, values of keys that name a secret; placeholders stay."""
-    out = F.regexp_replace(text, _PEM, MARK)
-    out = F.regexp_replace(out, _URL, f"$1:{MARK}@")
+#: Words at the end of a key, or in an element's name, whose value is a credential; values that only stand for one; sentences. Fixed values.
+_KEY = r"""(?i)^(\s*(?:export\s+)?(?:-\s+)?["']?[\w.\-\[\]]*?(?:password|passwd|pwd|passphrase|(?:^|[\s_\-.])pass|secret|api[_\-]?key|apikey|access[_\-]?key|private[_\-]?key|token|credentials?)["']?\s*[:=]\s*)(.*)$"""
+_ELEMENT = r"""(?i)(<(?:[\w.\-]*:)?[\w.\-]*(?:password|passwd|secret|api[_\-]?key|apikey|token|credentials?)(?:\s[^>]*)?>)"""
+_HARMLESS = (
+    r"(?i:true|false|null|nil|none|yes|no|on|off|[+-]?\d+(?:\.\d+)?|\$\{.*\}|\$[A-Za-z_][A-Za-z0-9_]*|\$\(.*\)|%[A-Za-z_][A-Za-z0-9_]*%|\{\{.*\}\}|<[^<>]+>|\[[^\[\]]*\]|\*+|x{3,}|\.{3,}"
+    r"|(?:var|local|data|module|env|secrets?|vault|ref|self|this|config|settings)\.[\w.\-]+|[\w.\-]*\(.*\)|change[_\-]?me|changeit|your[_\-][\w\-]*|to[_\-]?do|todo|tbd|placeholder|example|sample|dummy|fixme)"
+)
+_PROSE = r"\p{L}[\p{L}\p{M}'’.,;:!?()\-]*(?:\s+\p{L}[\p{L}\p{M}'’.,;:!?()\-]*)+"
+_ADDRESS = r"""([a-zA-Z][a-zA-Z0-9+.\-]*://[^\s:/@"']+:)"""
+_BEGIN, _END = r"^\s*-{5}BEGIN [A-Z0-9 ]*PRIVATE KEY-{5}", r"^\s*-{5}END [A-Z0-9 ]*PRIVATE KEY-{5}"
+#: Extensions of files of settings. Fixed values.
+SETTINGS = ("properties", "conf", "cfg", "ini", "cnf", "toml", "yaml", "yml", "json", "jsonc", "json5", "xml", "plist", "xcconfig", "tf", "tfvars", "hcl", "env", "example", "sample", "template", "dist")
+#: Folders of translations, where such a value is a label. Fixed values.
+TRANSLATIONS = ("i18n", "l10n", "locale", "locales", "lang", "langs", "translation", "translations", "messages")
+MARK = "<redacted>"
+
+
+def holds_settings(path: Column) -> Column:
+    """Whether a file's lines are settings, so that the value of a key that names a credential is one; not so in translations."""
+    parts = F.transform(F.split(path, "/"), F.lower)
+    name = F.element_at(parts, -1)
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    settings = name.startswith(".env") | F.regexp_extract(name, r".\.([^.]*)$", 1).isin(*SETTINGS)
+    return settings & ~F.arrays_overlap(folders, F.array(*map(F.lit, TRANSLATIONS)))
+
+
+def _without_value(line: Column) -> Column:
+    """A line of settings without the credential in it; null if there is none."""
+    # what begins with a quote has a comment only behind the closing one
+    value = r"""^((?:"[^"]*(?:"|$)|'[^']*(?:'|$))?(?:(?! #| //).)*)(.*)$"""
+    before, whole = F.regexp_extract(line, _KEY, 1), F.regexp_extract(line, _KEY, 2)
+    given = F.rtrim(F.regexp_replace(F.regexp_extract(whole, value, 1), r"\s+$", ""))
+    end = F.regexp_extract(given, r"(\s*[,;])$", 1)
+    body = F.regexp_replace(given, r"\s*[,;]$", "")
+    quote = F.regexp_extract(body, r"""^(["']).*\1$""", 1)
+    inner = F.trim(F.when(quote != "", F.regexp_extract(body, r"^.(.*).$", 1)).otherwise(body))
+    harmless = (F.length(inner) < 4) | inner.rlike(f"^{_HARMLESS}$") | inner.rlike(f"^{_PROSE}$")
+    return F.when(line.rlike(_KEY) & ~harmless, F.concat(before, quote, F.lit(MARK), quote, end, F.regexp_extract(whole, value, 2)))
+
+
+def _without_tokens(line: Column) -> Column:
+    out = F.regexp_replace(line, _ADDRESS + r"(?!" + _HARMLESS + r"""@)[^\s@"']{4,}@""", f"$1{MARK}@")
     for shape in SECRETS.values():
         out = F.regexp_replace(out, shape, MARK)
-    return F.regexp_replace(out, _PAIR, f"$1$2$3{MARK}$3") if key_values else out
+    return out
+
+
+def redacted(text: Column, key_values: Column | bool = True) -> Column:
+    """`text` without what is secret, line by line, as the mark stands for it: lines inside private keys, passwords in addresses, tokens of known shapes and, where `key_values` holds, values of keys and elements that name a credential.
+
+    Values that only stand for one (placeholders, variables, calls, sentences, under four characters) stay. A line whose value
+    is replaced keeps its key, quotes, trailing comma and comment. Texts without any sign of a secret are not taken apart.
+    """
+    settings = key_values if isinstance(key_values, Column) else F.lit(key_values)
+    lines = F.split(text, "\n")
+
+    def clean(line: Column) -> Column:
+        body, end = F.regexp_replace(line, "\r$", ""), F.regexp_extract(line, "(\r)$", 1)
+        in_element = F.regexp_replace(body, _ELEMENT + rf"(?!\s*(?:{_HARMLESS}|{_PROSE})\s*</)(?=\s*[^<\s][^<]{{2,}}[^<\s]\s*<)[^<]{{4,}}(?=</)", f"$1{MARK}")
+        return F.concat(_without_tokens(F.when(settings, F.coalesce(_without_value(body), in_element)).otherwise(body)), end)
+
+    def keyed(found: Column) -> Column:
+        """`found`, lines and their numbers, where lines between the two ends of a private key are the mark."""
+        ends = lambda shape: F.transform(F.filter(found, lambda y: y["x"].rlike(shape)), lambda y: y["k"])
+        last = lambda shape, k: F.coalesce(F.array_max(F.filter(ends(shape), lambda z: z < k)), F.lit(-1))
+        inside = lambda y: (last(_BEGIN, y["k"]) > last(_END, y["k"])) & ~y["x"].rlike(_END)
+        armour = lambda y: y["x"].rlike(_BEGIN) | y["x"].rlike(_END)
+        return F.transform(found, lambda y: F.when(inside(y), F.concat(F.lit(MARK), F.regexp_extract(y["x"], "(\r)$", 1))).when(armour(y), y["x"]).otherwise(clean(y["x"])))
+
+    numbered = F.transform(lines, lambda x, k: F.struct(x.alias("x"), k.alias("k")))
+    sign = text.rlike(r"(?i)pass|pwd|secret|key|token|credential|://|AKIA|gh[pousr]_|github_pat|glpat-|xox|sk[-_]|AIza|SG\.|npm_|hf_|eyJ")
+    return F.when(text.contains("PRIVATE KEY-----"), F.array_join(keyed(numbered), "\n")).when(sign, F.array_join(F.transform(lines, clean), "\n")).otherwise(text)
 
 
 def accent_folded(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.paths import base_name, extension
-from siltstone.functions.vectors import cosine, dot, norm
+from siltstone.functions.vectors import cosine, dimensions, dot, mean_vector, norm
 
 _CHUNK = T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("content", T.StringType())]))
 
@@ -93,23 +93,49 @@ def markdown_sections(df: DataFrame, id: str, text: str) -> DataFrame:
     return parts.select(id, "index", F.nullif(head, F.lit("")).alias("heading"), F.regexp_replace(F.regexp_replace("part", r"^#{1,6} [^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body"))
 
 
+def _words(text: Column) -> Column:
+    """Words of three characters or more, in lower case."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}0-9_]+"), lambda x: F.length(x) >= 3)
+
+
+def _counted(df: DataFrame, id: str, text: str, longest: int, stop: tuple[str, ...], most: int | None) -> DataFrame:
+    """`id`, phrase, n, tf, rank of the runs of words of each row: a row's runs never leave it, so they are counted where it lies."""
+    import pyarrow as pa
+
+    ends = frozenset(stop)
+    schema = T.StructType([df.schema[id], T.StructField("phrase", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("tf", T.LongType()), T.StructField("rank", T.IntegerType())])
+
+    def count(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                ids, out = [], ([], [], [], [])
+                for k, words in enumerate(batch.column(1).slice(at, 64).to_pylist()):
+                    found: dict[tuple[str, int], int] = {}
+                    for n in range(1, longest + 1):
+                        for run in zip(*(words[x:] for x in range(n))):
+                            if run[0] not in ends and run[-1] not in ends:
+                                key = (" ".join(run), n)
+                                found[key] = found.get(key, 0) + 1
+                    best = sorted(found.items(), key=lambda x: (-x[1], -x[0][1], x[0][0]))[:most]
+                    ids += [at + k] * len(best)
+                    out[0].extend(p for (p, _), _ in best)
+                    out[1].extend(n for (_, n), _ in best)
+                    out[2].extend(c for _, c in best)
+                    out[3].extend(range(1, len(best) + 1))
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(o, t) for o, t in zip(out, kinds, strict=True))], [id, "phrase", "n", "tf", "rank"])
+
+    return df.select(id, _words(F.col(text)).alias("w")).mapInArrow(count, schema)
+
+
 def lexical_candidates(df: DataFrame, id: str, text: str, most: int = 200, longest: int = 3, stop: tuple[str, ...] = ()) -> DataFrame:
-    """`id`, phrase, n, tf, score = 1 + ln(tf), rank: runs of one to `longest` words, none with a stop word at an end; best first, longer first, then by name."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}0-9_]+"), lambda x: F.length(x) >= 3)
-    rows = df.select(id, words.alias("w"))
-    grams = [F.when(F.size("w") >= n, _grams(n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
-    out = rows.select(id, F.explode(F.concat(*grams)).alias("phrase")).groupBy(id, "phrase").agg(F.count("*").alias("tf"))
-    parts = F.split("phrase", " ")
-    out = out.withColumn("n", F.size(parts))
-    if stop:
-        out = out.where(~F.element_at(parts, 1).isin(*stop) & ~F.element_at(parts, -1).isin(*stop))
-    out = out.withColumn("score", 1 + F.ln("tf"))
-    w = W.partitionBy(id).orderBy(F.desc("score"), F.desc("n"), "phrase")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    """`id`, phrase, n, tf, score = 1 + ln(tf), rank: runs of one to `longest` words, none with a stop word at an end; best first, longer first, then by name. One narrow pass: `id` names a row, so nothing is shuffled."""
+    return _counted(df, id, text, longest, stop, most).withColumn("score", 1 + F.ln("tf"))
 
 
-def _grams(n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
+def phrase_frequencies(df: DataFrame, id: str, text: str, longest: int = 3, stop: tuple[str, ...] = ()) -> DataFrame:
+    """phrase, df: in how many rows each run of words is, of all runs of all rows."""
+    return _counted(df, id, text, longest, stop, None).groupBy("phrase").agg(F.count("*").alias("df"))
 
 
 def semantic_rerank(lexical: Column, semantic: Column, least: float = 0.15) -> Column:
@@ -149,14 +175,64 @@ def diverse_tags(df: DataFrame, group: str, most: int = 8, trade: float = 0.7, a
     return df.groupBy(group).applyInPandas(pick, f"{group} {kind}, tag string, place int, diversity double")
 
 
+#: Most terms of a vocabulary that are sent to all tasks.
+VOCABULARY = 100_000
+
+
 def basket_of(keywords: DataFrame, tags: DataFrame, least: float = 0.4) -> DataFrame:
-    """keyword, basket, similarity: the nearest of `tags` (tag, tag_vector; a document's or a small vocabulary's, broadcast) at `least` similarity, else misc."""
-    listed = tags.agg(F.collect_list(F.struct("tag", "tag_vector")).alias("ts")).withColumn("_k", F.lit(1))
-    met = keywords.withColumn("_k", F.lit(1)).join(F.broadcast(listed), "_k")
-    # the nearest; of equals the first name, by the least of negated similarity and name
-    best = F.array_min(F.transform("ts", lambda t: F.struct((-cosine(F.col("vector"), t["tag_vector"])).alias("d"), t["tag"].alias("tag"))))
-    x = met.select("keyword", best.alias("b")).select("keyword", F.struct((-F.col("b.d")).alias("s"), F.col("b.tag").alias("tag")).alias("b"))
-    return x.select("keyword", F.when(F.col("b.s") >= least, F.col("b.tag")).otherwise("misc").alias("basket"), F.col("b.s").alias("similarity"))
+    """keyword, basket, similarity: the nearest of `tags` (tag, tag_vector; a small vocabulary, whose size is checked) at `least` similarity, else misc. Keywords without any tag to choose from are misc with similarity 0."""
+    from pyspark.sql.functions import pandas_udf
+
+    rows = sorted(((r.tag, list(r.tag_vector)) for r in _bounded(tags.select("tag", "tag_vector"))), key=lambda r: r[0])
+    names, table = [r[0] for r in rows], _units([r[1] for r in rows])
+
+    @pandas_udf("struct<tag:string,s:double>")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        if not names:
+            return pd.DataFrame({"tag": [None] * len(vectors), "s": 0.0})
+        s = np.round(_units(vectors.tolist(), table.shape[1]) @ table.T, 12)
+        best = s.argmax(1)  # of equals the first name
+        return pd.DataFrame({"tag": np.array(names, object)[best], "s": s[np.arange(len(s)), best]})
+
+    x = keywords.select("keyword", nearest("vector").alias("b"))
+    return x.select("keyword", F.when((F.col("b.s") >= least) & F.col("b.tag").isNotNull(), F.col("b.tag")).otherwise("misc").alias("basket"), F.col("b.s").alias("similarity"))
+
+
+def similar_pairs(groups: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """a < b, similarity of the groups whose vectors are at `least` similarity. Groups are a fixed list like a vocabulary, whose size is checked; each is held against the list in its task."""
+    rows = sorted(((r[0], list(r[1])) for r in _bounded(groups.select(key, vector))), key=lambda r: r[0])
+    names, table = [r[0] for r in rows], _units([r[1] for r in rows])
+    kind = groups.schema[key].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("similarity", T.DoubleType())])
+
+    def compare(batches):
+        for pdf in batches:
+            out = []
+            for k in pdf["k"]:
+                s = table[k + 1 :] @ table[k]
+                out += [(names[k], names[k + 1 + x], float(s[x])) for x in np.flatnonzero(s >= least)]
+            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    spark = groups.sparkSession
+    return spark.range(len(rows)).select(F.col("id").alias("k")).mapInPandas(compare, schema)
+
+
+def _bounded(terms: DataFrame) -> list:
+    """The rows of a vocabulary, whose size is checked: it is a fixed list, not data."""
+    rows = terms.limit(VOCABULARY + 1).collect()
+    if len(rows) > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} terms: a vocabulary is sent to all tasks")
+    return rows
+
+
+def _units(vectors: list, dims: int | None = None) -> np.ndarray:
+    """Vectors over their lengths; 0 where a vector is null, of another length than `dims` or tiny."""
+    dims = dims if dims is not None else max((len(v) for v in vectors if v is not None), default=0)
+    out = np.zeros((len(vectors), dims))
+    for k, v in enumerate(vectors):
+        if v is not None and len(v) == dims and dims and (size := np.linalg.norm(np.asarray(v, float))) > 1e-12:
+            out[k] = np.asarray(v, float) / size
+    return out
 
 
 def merged_tags(df: DataFrame, tenant: str, alike: float = 0.85) -> DataFrame:
@@ -181,64 +257,134 @@ def merged_tags(df: DataFrame, tenant: str, alike: float = 0.85) -> DataFrame:
     return df.groupBy(tenant).applyInPandas(merge, f"{tenant} string, tag string, canonical string, documents long")
 
 
-def tag_levels(df: DataFrame, tenant: str, near: float = 0.7, wide: float = 0.5, least: int = 10, most: int = 4000) -> DataFrame:
-    """tenant, tag, level2, level1: average-linkage groups of tags at `near` similarity, and groups of those groups' means at `wide`; named by their least member. Tenants of fewer than `least` tags have none; beyond `most` those with the most documents are kept, which bounds the matrix. Input: tenant, tag, documents, vector."""
-
-    def linked(v: np.ndarray, at: float) -> np.ndarray:
-        u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        s, size = u @ u.T, np.ones(len(v))
-        np.fill_diagonal(s, -np.inf)
-        label = np.arange(len(v))
-        while len(v) > 1:
-            k = int(s.argmax())
-            a, b = divmod(k, len(v))
-            if s[a, b] < at:
+def average_linkage(v: np.ndarray, at: float) -> np.ndarray:
+    """The least member of each row's group after average linkage of the rows' cosine similarities down to `at`.
+
+    The mean similarity of two groups is the product of their mean unit vectors, so groups are kept as vectors and nothing
+    as a matrix of pairs: chains of nearest neighbours take n * n * dimensions steps and n * dimensions numbers. A group whose
+    nearest is below `at` is done, as merging others cannot bring them nearer to it than the nearer of them was.
+    """
+    means = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    size, label, open_ = np.ones(len(v)), np.arange(len(v)), np.ones(len(v), bool)
+    chain: list[int] = []
+    while True:
+        if not chain:
+            left = np.flatnonzero(open_)
+            if len(left) < 2:
                 break
-            row = (size[a] * s[a] + size[b] * s[b]) / (size[a] + size[b])
-            s[a], s[:, a] = row, row
-            s[a, a] = -np.inf
-            s[b], s[:, b] = -np.inf, -np.inf
+            chain = [int(left[0])]
+        k = chain[-1]
+        near = np.where(open_, means @ means[k], -np.inf)
+        near[k] = -np.inf
+        best = int(near.argmax())
+        if len(chain) > 1 and near[chain[-2]] >= near[best]:
+            best = chain[-2]
+        if near[best] < at:
+            open_[k] = False
+            chain.pop()
+        elif len(chain) > 1 and best == chain[-2]:
+            del chain[-2:]
+            a, b = min(k, best), max(k, best)
+            means[a] = (size[a] * means[a] + size[b] * means[b]) / (size[a] + size[b])
             size[a] += size[b]
             label[label == b] = a
-        return label
+            open_[b] = False
+        else:
+            chain.append(best)
+    return label
+
+
+def tag_levels(df: DataFrame, tenant: str, near: float = 0.7, wide: float = 0.5, least: int = 10, most: int = 32_768) -> DataFrame:
+    """tenant, tag, level2, level1: average-linkage groups of tags at `near` similarity, and groups of those groups' means at `wide`; named by their least member. Tenants of fewer than `least` tags have none. Input: tenant, tag, documents, vector.
+
+    A tenant's tags are one group of rows, since any two may be linked. Beyond `most`, which bounds the time, those with the
+    most documents are linked and the others are groups of their own at both levels; no tag is left out.
+    """
 
     def levels(pdf: pd.DataFrame) -> pd.DataFrame:
         names = [tenant, "tag", "level2", "level1"]
         if len(pdf) < least:
             return pd.DataFrame(columns=names)
-        pdf = pdf.sort_values(["documents", "tag"], ascending=[False, True]).head(most).sort_values("tag").reset_index(drop=True)
+        pdf = pdf.sort_values(["documents", "tag"], ascending=[False, True])
+        rest, pdf = pdf.iloc[most:], pdf.iloc[:most].sort_values("tag").reset_index(drop=True)
         v = np.stack(pdf["vector"].map(np.asarray)).astype(float)
-        two = linked(v, near)
+        two = average_linkage(v, near)
         heads = np.unique(two)
-        one = linked(np.stack([v[two == h].mean(axis=0) for h in heads]), wide)
-        of = {h: heads[one[k]] for k, h in enumerate(heads)}
-        name = lambda labels, h: pdf.loc[labels == h, "tag"].min()
-        up = np.array([of[x] for x in two])
-        return pd.DataFrame([(pdf.at[0, tenant], t, name(two, two[k]), name(up, up[k])) for k, t in enumerate(pdf["tag"])], columns=names)
+        one = average_linkage(np.stack([v[two == h].mean(axis=0) for h in heads]), wide)
+        up = heads[one[np.searchsorted(heads, two)]]
+        tags = pdf["tag"].to_numpy(object)
+        out = pd.DataFrame({"tag": tags, "a": two, "b": up})
+        out["level2"], out["level1"] = out.groupby("a")["tag"].transform("min"), out.groupby("b")["tag"].transform("min")
+        alone = pd.DataFrame({"tag": rest["tag"], "level2": rest["tag"], "level1": rest["tag"]})
+        out = pd.concat([out[["tag", "level2", "level1"]], alone])
+        out.insert(0, tenant, pdf.at[0, tenant])
+        return out[names]
 
     return df.groupBy(tenant).applyInPandas(levels, f"{tenant} string, tag string, level2 string, level1 string")
 
 
 def taxonomy_matches(vectors: DataFrame, terms: DataFrame, least: float = 0.35, margin: float = 0.06, most: int = 10) -> DataFrame:
-    """id, term, category, similarity, place: terms at `least` similarity; in a category the best, and later ones only if more than `margin` below it; `most` of each id. terms (term, category, term_vector) is a fixed vocabulary, broadcast."""
-    listed = terms.agg(F.collect_list(F.struct("term", "category", "term_vector")).alias("ts")).withColumn("_k", F.lit(1))
-    met = vectors.withColumn("_k", F.lit(1)).join(F.broadcast(listed), "_k").select("id", "vector", F.explode("ts").alias("t"))
-    x = met.select("id", "t.term", "t.category", cosine(F.col("vector"), F.col("t.term_vector")).alias("similarity")).where(F.col("similarity") >= least)
-    c = W.partitionBy("id", "category")
-    x = x.withColumn("_best", F.max("similarity").over(c)).withColumn("_r", F.row_number().over(c.orderBy(F.desc("similarity"), "term")))
-    x = x.where((F.col("_r") == 1) | (F.col("_best") - F.col("similarity") > margin))
-    return x.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "term"))).where(F.col("place") <= most).drop("_best", "_r")
-
-
-def gist(chunks: DataFrame, id: str, index: str, vector: str, most: int = 3) -> DataFrame:
-    """The `most` chunks of each document nearest on average to its others. The mean similarity of a unit vector to all is its product with the sum of all, so chunks are not paired."""
-    unit = F.transform(vector, lambda x: x / F.greatest(norm(F.col(vector)), F.lit(1e-12)))
-    x = chunks.select(id, index, unit.alias("u"))
-    n = F.size("u")
-    total = x.groupBy(id).agg(F.count("*").alias("m"), F.array(*[F.sum(F.element_at("u", k + 1)) for k in range(64)]).alias("s"))
-    y = x.join(total, id).withColumn("centrality", F.when(F.col("m") > 1, (dot(F.col("u"), F.slice("s", 1, n)) - 1) / (F.col("m") - 1)).otherwise(F.lit(1.0)))
-    w = W.partitionBy(id).orderBy(F.desc(F.round("centrality", 9)), index)
-    return y.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(id, index, "centrality", "place")
+    """id, term, category, similarity, place: terms at `least` similarity; in a category the best, and later ones only if more than `margin` below it; `most` of each id. terms (term, category, term_vector) is a fixed vocabulary, whose size is checked. One narrow pass: `id` names a row."""
+    import pyarrow as pa
+
+    rows = sorted(((r.term, r.category, list(r.term_vector)) for r in _bounded(terms.select("term", "category", "term_vector"))), key=lambda r: r[0])
+    names, kinds, table = [r[0] for r in rows], [r[1] for r in rows], _units([r[2] for r in rows])
+    schema = T.StructType([vectors.schema["id"], T.StructField("term", T.StringType()), T.StructField("category", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("place", T.IntegerType())])
+
+    def match(batches):
+        for batch in batches:
+            near = np.round(_units(batch.column(1).to_pylist(), table.shape[1]) @ table.T, 12) if names else np.zeros((batch.num_rows, 0))
+            out = []
+            for k, s in enumerate(near):
+                order = [int(x) for x in np.argsort(-s, kind="stable") if s[x] >= least]
+                best: dict = {}
+                kept = []
+                for x in order:  # by category, the best comes first
+                    if kinds[x] not in best or best[kinds[x]] - s[x] > margin:
+                        kept.append(x)
+                    best.setdefault(kinds[x], s[x])
+                out += [(k, names[x], kinds[x], float(s[x]), place) for place, x in enumerate(kept[:most], 1)]
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.int32())], ["id", "term", "category", "similarity", "place"])
+
+    return vectors.select("id", "vector").mapInArrow(match, schema)
+
+
+def _unit(vector: str) -> Column:
+    return F.transform(vector, lambda x: x / F.greatest(norm(F.col(vector)), F.lit(1e-12)))
+
+
+def central_weights(chunks: DataFrame, id: str, index: str, vector: str) -> DataFrame:
+    """`id`, `index`, `vector`, weight: how near on average each chunk of a document is to its others, 1 for a lone one. The mean similarity of a unit vector to all is its product with the sum of all, so chunks are not paired."""
+    dims = dimensions(chunks, vector)
+    x = chunks.select(id, index, vector, _unit(vector).alias("u"))
+    total = x.groupBy(id).agg(F.count("*").alias("m"), F.array(*[F.sum(F.get("u", F.lit(k))) for k in range(dims)]).alias("s"))
+    weight = F.when(F.col("m") > 1, (dot(F.col("u"), F.slice("s", 1, F.size("u"))) - 1) / (F.col("m") - 1)).otherwise(F.lit(1.0))
+    return x.join(total, id).select(id, index, vector, weight.alias("weight"))
+
+
+def term_weights(chunks: DataFrame, id: str, index: str, vector: str, tokens: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """`id`, `index`, `vector`, weight: for code, the sum over a chunk's terms of ln((n - df + .5) / (df + .5)), 0 at least, times the saturated count, with n chunks in the document of which df hold the term; 0.01 at least."""
+    sizes = chunks.groupBy(id).agg(F.count("*").alias("_n"), F.avg(F.size(tokens)).alias("_mean"))
+    terms = chunks.select(id, index, F.size(tokens).alias("_len"), F.explode(tokens).alias("_t")).groupBy(id, index, "_len", "_t").agg(F.count("*").alias("_tf"))
+    terms = terms.withColumn("_df", F.count("*").over(W.partitionBy(id, "_t"))).join(sizes, id)
+    rare = F.greatest(F.lit(0.0), F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
+    often = F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_mean")))
+    sums = terms.groupBy(id, index).agg(F.sum(rare * often).alias("_w"))
+    return chunks.select(id, index, vector).join(sums, [id, index], "left").select(id, index, vector, F.greatest(F.coalesce("_w", F.lit(0.0)), F.lit(0.01)).alias("weight"))
+
+
+def gist(chunks: DataFrame, id: str, index: str, vector: str, most: int = 3, tokens: str | None = None) -> DataFrame:
+    """`id`, `index`, centrality, place: the `most` weightiest chunks of each document, by central_weights for prose, by term_weights with `tokens` for code."""
+    y = central_weights(chunks, id, index, vector) if tokens is None else term_weights(chunks, id, index, vector, tokens)
+    w = W.partitionBy(id).orderBy(F.desc(F.round("weight", 9)), index)
+    return y.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(id, index, F.col("weight").alias("centrality"), "place")
+
+
+def summary_vector(chunks: DataFrame, id: str, index: str, vector: str, tokens: str | None = None) -> DataFrame:
+    """`id`, vector: the mean of a document's chunk vectors by the weights of gist(), 0.01 at least."""
+    y = central_weights(chunks, id, index, vector) if tokens is None else term_weights(chunks, id, index, vector, tokens)
+    return y.groupBy(id).agg(mean_vector(vector, dimensions(chunks, vector), F.greatest("weight", F.lit(0.01))).alias("vector"))
 
 
 #: Words in paths that tell a framework, a build tool or a layer. Fixed values.
@@ -347,6 +493,44 @@ def tag_votes(df: DataFrame, group: str, tags: str, most: int = 10) -> DataFrame
     return x.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), "tag"))).where(F.col("place") <= most).select(group, "tag", "score", "place")
 
 
+def enriched(docs: DataFrame, model: Callable[[list[str]], np.ndarray], *, id: str = "doc_id", text: str = "text", path: str = "path", language: str = "language", candidates: int = 200, keywords: int = 50, tags: int = 8, chunk: int = 384, least: float = 0.15, basket: float = 0.4) -> DataFrame:
+    """`id`, kind, name, place, score: all that enrichment says about each document, step by step.
+
+    1. The `candidates` best runs of words. 2. Their similarity to the document by `model`, mixed in; those below `least` go.
+    3. keyword: the best by rarity, with document frequencies over all phrases of all documents. 4. tag: up to `tags` diverse
+    ones. 5. basket: the tag that each keyword is nearest to, else misc. 6. structural: tags of the path. 7. gist: the places of
+    the most central chunks. Each phrase is embedded once for a document; documents without words have no keywords.
+    """
+    from siltstone.sources.store import cut
+
+    n = docs.count()
+    found = lexical_candidates(docs, id, text, candidates)
+    own = embedded(docs.select(id, text), text, model).select(id, F.col("vector").alias("whole"))
+    known = cut(embedded(found.select(id, "phrase", "score"), "phrase", model).join(own, id))
+    near = F.round(cosine(F.col("vector"), F.col("whole")), 9)
+    ranked = known.withColumn("score", semantic_rerank(F.col("score"), near, least)).where("score is not null")
+    best = cut(selected_keywords(ranked, phrase_frequencies(docs, id, text), n, id, keywords))
+    chosen = diverse_tags(best.select(id, F.col("phrase").alias("tag"), F.col("keyword_score").alias("score"), "vector"), id, tags)
+    chosen = cut(chosen.join(best.select(id, F.col("phrase").alias("tag"), F.col("vector").alias("tag_vector")), [id, "tag"]))
+    # a document's own few tags beside each of its keywords
+    beside = best.select(id, "phrase", "place", "vector").join(chosen.groupBy(id).agg(F.collect_list(F.struct("tag", "tag_vector")).alias("ts")), id)
+    first = F.array_min(F.transform("ts", lambda t: F.struct((-F.round(cosine(F.col("vector"), t["tag_vector"]), 9)).alias("d"), t["tag"].alias("tag"))))
+    beside = beside.withColumn("b", first)
+    chunks = embedded(chunked(docs, id, text, paragraph_chunks, size=chunk), "content", model)
+    rows = lambda df, kind, name, place, score: df.select(id, F.lit(kind).alias("kind"), name.alias("name"), place.cast("int").alias("place"), F.round(score, 6).alias("score"))
+    parts = [
+        rows(best, "keyword", F.col("phrase"), F.col("place"), F.col("keyword_score")),
+        rows(chosen, "tag", F.col("tag"), F.col("place"), F.col("diversity")),
+        rows(beside, "basket", F.concat_ws(": ", F.when(-F.col("b.d") >= basket, F.col("b.tag")).otherwise("misc"), "phrase"), F.col("place"), -F.col("b.d")),
+        rows(docs.select(id, F.posexplode(structural_tags(F.col(path), F.col(language))).alias("k", "tag")), "structural", F.col("tag"), F.col("k") + 1, F.lit(1.0)),
+        rows(gist(chunks, id, "index", "vector"), "gist", F.col("index").cast("string"), F.col("place"), F.col("centrality")),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def folder_tree(files: DataFrame, path: str, top: int = 4) -> DataFrame:
     """folder, files, extensions: files below each folder, and counts of its `top` commonest extensions and of others."""
     parts = F.split(path, "/")

@@ -240,6 +240,26 @@ def upserted(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFram
     return old.unionByName(new).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def containing(documents: DataFrame, parts: DataFrame, shift: int = 24) -> DataFrame:
+    """query_id, id of the documents (id, text) whose text holds a part (query_id, part), as they are. Empty and null parts are in none.
+
+    A part's first `shift` characters, or all of a shorter one, are its key. Texts are cut at every character to keys of the
+    lengths that parts have, those that no part has go before anything is shuffled where the parts are few, and only what meets
+    by a key is searched for the whole part.
+    """
+    keyed = parts.where(F.length("part") > 0).select("query_id", "part", F.substring("part", 1, shift).alias("key"))
+    sizes = [x.n for x in keyed.select(F.length("key").alias("n")).distinct().collect()]  # `shift` of them at most
+    found = None
+    for n in sizes:
+        own = keyed.where(F.length("key") == n)
+        grams = documents.where(F.length("text") >= n).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda k: F.xxhash64(F.substring(F.col("text"), k, F.lit(n)))))).alias("h"))
+        met = grams.join(own.select(F.xxhash64("key").alias("h"), "query_id", "part"), "h").select("id", "query_id", "part")
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return parts.select("query_id").join(documents.select("id").limit(0), F.lit(False))
+    return found.join(documents, "id").where(F.col("text").contains(F.col("part"))).select("query_id", "id").distinct()
+
+
 def retrieval_quality(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
     """Per query: top1, top3, top10, recall and precision at `k`, reciprocal rank. ranked: query_id, id, rank; expected: query_id, id; queries without hits count 0."""
     w = expected.groupBy("query_id").agg(F.count("*").alias("wanted"))

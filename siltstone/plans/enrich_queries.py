@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as ft
-from siltstone.functions.vectors import cosine, mean_vector
+from siltstone.functions.vectors import cosine, dimensions, mean_vector
 from siltstone.operators import enrich as e
 from siltstone.operators import retrieval as r
 from siltstone.plans._registry import Registry
@@ -48,7 +48,9 @@ def e05(spark, d):
     return v.files(spark, d).select("file_id", now.alias("fingerprint"), e.is_stale(stored, now).alias("stale"))
 
 
-@query("e06_markdown_sections")
+@query("e06_markdown_sections", r"""WITH l AS (SELECT doc_id, unnest(ls) AS x, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, string_split('intro' || chr(10) || '# A' || chr(10) || text || chr(10) || '## B' || chr(10) || 'tail', chr(10)) AS ls FROM documents)),
+  g AS (SELECT *, sum(CASE WHEN regexp_matches(x, '^#{1,6} ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l), h AS (SELECT doc_id, k, string_agg(x, chr(10) ORDER BY i) AS part, arg_min(x, i) AS first_ FROM g GROUP BY doc_id, k)
+  SELECT doc_id, k::INTEGER AS index, CASE WHEN k > 0 THEN nullif(regexp_extract(first_, '^#{1,6} +(.*)', 1), '') END AS heading, regexp_replace(CASE WHEN k > 0 THEN regexp_replace(part, '^#{1,6} [^\n]*\n?', '') ELSE part END, '^\s+|\s+$', '', 'g') AS body FROM h WHERE trim(part) <> ''""")
 def e06(spark, d):
     whole = F.concat(F.lit("intro\n# A\n"), "text", F.lit("\n## B\ntail"))
     return e.markdown_sections(_docs(spark, d).withColumn("text", whole), "doc_id", "text")
@@ -78,9 +80,26 @@ def e09b(spark, d):
     return _docs(spark, d).select("doc_id", ft.plain_title(F.col("text")).alias("title"))
 
 
-@query("e10_redaction", r"""SELECT doc_id, regexp_replace(text, '(?i)\b(password|passwd|secret|token|api[_-]?key)(\s*[:=]\s*)("?)[^\s"'']{8,}("?)', '\1\2\3[REDACTED]\4', 'g') AS redacted FROM documents""")
+@query("e09c_document_titles", r"""WITH l AS (SELECT *, trim(regexp_extract(content, '^\s*([^\n]*)', 1)) AS t, CASE file_id % 4 WHEN 0 THEN 'Report ' || file_id WHEN 1 THEN 'Slide ' || file_id END AS m FROM {files}),
+  x AS (SELECT *, CASE WHEN t <> '' AND strlen(t) <= 200 AND NOT regexp_matches(t, '[.,;]$') AND regexp_matches(t, '\p{Lu}') THEN t END AS c FROM l)
+  SELECT file_id, coalesce(CASE WHEN file_id % 4 = 0 THEN m END, c, 'Doc ' || file_id || CASE WHEN file_id % 5 = 2 THEN '.test' ELSE '' END) AS title, CASE WHEN file_id % 4 = 0 THEN 'metadata' WHEN c IS NOT NULL THEN 'content' ELSE 'file name' END AS source FROM x""")
+def e09c(spark, d):
+    f = v.files(spark, d)
+    meta = F.when(F.col("file_id") % 4 == 0, F.concat(F.lit("Report "), F.col("file_id").cast("string"))).when(F.col("file_id") % 4 == 1, F.concat(F.lit("Slide "), F.col("file_id").cast("string")))
+    title, source = ft.document_title(meta, F.col("content"), F.col("file_path"), F.lit("plain"))
+    return f.select("file_id", title.alias("title"), source.alias("source"))
+
+
+@query("e10_redaction", r"""WITH x AS (SELECT doc_id, doc_id % 2 = 0 AS settings, list_concat(['db_password: "s3cr3t-' || doc_id || 'x", # note', 'see https://me:pw' || doc_id || 'pw@host/x', 'id AKIA' || lpad(doc_id::VARCHAR, 16, '0') || ' end', '<token>tok' || doc_id || 'en</token>', 'secret: ${S}'], string_split(text, chr(10))) AS ls FROM documents),
+  y AS (SELECT doc_id, list_transform(list_concat([CASE WHEN settings THEN 'db_password: "<redacted>", # note' ELSE ls[1] END, 'see https://me:<redacted>@host/x', 'id <redacted> end', CASE WHEN settings THEN '<token><redacted></token>' ELSE ls[4] END, 'secret: ${S}'], ls[6:]),
+    lambda l: CASE WHEN settings AND regexp_matches(l, '(?i)^\s*[\w.-]*token = ".{7,}') THEN regexp_replace(regexp_replace(l, '(?i)^(\s*[\w.-]*token = )"[^"]*"\s*([,;]?)\s*$', '\1"<redacted>"\2'), '(?i)^(\s*[\w.-]*token = )"[^"]*" .*?([,;]?)\s*$', '\1<redacted>\2') ELSE l END) AS ls FROM x)
+  SELECT doc_id, array_to_string(ls, chr(10)) AS redacted FROM y""")
 def e10(spark, d):
-    return _docs(spark, d).select("doc_id", ft.redacted(F.col("text")).alias("redacted"))
+    """Settings and other files in turn, each with secrets of several kinds before its own text."""
+    n = F.col("doc_id").cast("string")
+    head = F.concat(F.lit('db_password: "s3cr3t-'), n, F.lit('x", # note\nsee https://me:pw'), n, F.lit("pw@host/x\nid AKIA"), F.lpad(n, 16, "0"), F.lit(" end\n<token>tok"), n, F.lit("en</token>\nsecret: ${S}\n"))
+    path = F.when(F.col("doc_id") % 2 == 0, "app/conf.yaml").otherwise("lang/conf.yaml")
+    return _docs(spark, d).select("doc_id", ft.redacted(F.concat(head, "text"), ft.holds_settings(path)).alias("redacted"))
 
 
 @query("e11_lexical_candidates", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}0-9_]+'), lambda x: length(x) >= 3) AS w FROM documents),
@@ -123,7 +142,8 @@ _NEAR = _MEANS + ", s AS (SELECT p.id, m.label, 'tag' || m.label AS tag, list_do
 
 
 def _label_means(spark, d):
-    return v.points(spark, d).groupBy("label").agg(mean_vector("dense").alias("c")).withColumn("tag", F.concat(F.lit("tag"), F.col("label").cast("string")))
+    p = v.points(spark, d)
+    return p.groupBy("label").agg(mean_vector("dense", dimensions(p, "dense")).alias("c")).withColumn("tag", F.concat(F.lit("tag"), F.col("label").cast("string")))
 
 
 @query("e15_basket_assignment", "WITH " + _NEAR + " SELECT id AS keyword, CASE WHEN s >= 0.2 THEN tag ELSE 'misc' END AS basket, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, tag) = 1")
@@ -149,6 +169,22 @@ def e19(spark, d):
     return e.gist(v.points(spark, d), "label", "id", "dense").select("label", "id", F.round("centrality", 6).alias("centrality"), "place")
 
 
+@query("e19b_code_gist", r"""WITH c AS (SELECT file_id, line_number, list_filter(regexp_split_to_array(lower(content), '[^a-z]+'), lambda x: length(x) >= 2) AS w FROM {lines}), n AS (SELECT file_id, count(*) AS n, avg(len(w)) AS m FROM c GROUP BY file_id),
+  t AS (SELECT file_id, line_number, len(w) AS l, unnest(w) AS t FROM c), f AS (SELECT file_id, line_number, l, t, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT *, count(*) OVER (PARTITION BY file_id, t) AS df FROM f),
+  s AS (SELECT file_id, line_number, sum(greatest(0, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))) AS s FROM d JOIN n USING (file_id) GROUP BY ALL)
+  SELECT c.file_id, c.line_number, round(greatest(coalesce(s, 0), 0.01), 6)::DOUBLE AS weight FROM c LEFT JOIN s USING (file_id, line_number)""")
+def e19b(spark, d):
+    tokens = F.filter(F.split(F.lower("content"), "[^a-z]+"), lambda x: F.length(x) >= 2)
+    chunks = v.lines(spark, d).withColumn("tokens", tokens).withColumn("vector", F.array(F.lit(1.0)))
+    return e.term_weights(chunks, "file_id", "line_number", "vector", "tokens").select("file_id", "line_number", F.round("weight", 6).alias("weight"))
+
+
+@query("e19c_summary_vectors", "WITH u AS (SELECT label, id, dense, list_transform(dense, lambda x: x / sqrt(list_dot_product(dense, dense))) AS u FROM {points}), c AS (SELECT a.label, a.id, greatest(0.01, avg(list_dot_product(a.u, b.u))) AS c FROM u a JOIN u b ON a.label = b.label AND a.id <> b.id GROUP BY a.label, a.id) SELECT u.label, round(sum(dense[1] * c) / sum(c), 6) AS x1, round(sum(dense[len(dense)] * c) / sum(c), 6) AS x_last FROM u JOIN c USING (label, id) GROUP BY u.label")
+def e19c(spark, d):
+    s = e.summary_vector(v.points(spark, d), "label", "id", "dense")
+    return s.select("label", F.round(F.get("vector", F.lit(0)), 6).alias("x1"), F.round(F.element_at("vector", -1), 6).alias("x_last"))
+
+
 @query("e20_structural_tags", "SELECT file_id, array_to_string(list_sort(list_concat(['language:' || language], CASE WHEN contains(lower(file_path), '.md') THEN ['layer:docs'] ELSE [] END)), ',') AS tags FROM {files}")
 def e20(spark, d):
     return v.files(spark, d).select("file_id", F.array_join(e.structural_tags(F.col("file_path"), F.col("language")), ",").alias("tags"))
@@ -166,13 +202,19 @@ def e22(spark, d):
     return v.files(spark, d).select("file_id", F.array_join(e.path_tags(F.col("file_path")), ",").alias("tags"))
 
 
-@query("e23_dependency_names", "SELECT * FROM (VALUES ('cargo', 'serde,tokio'), ('npm', '@a/b,react'), ('pip', 'numpy,pandas'), ('go', 'github.com/a/b')) t(kind, names)")
+@query("e23_dependency_names", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'cargo' WHEN 1 THEN 'npm' WHEN 2 THEN 'pip' ELSE 'go' END AS kind,
+  CASE doc_id % 4 WHEN 0 THEN 'serde-' || lang || ',tokio' WHEN 1 THEN '@a/' || lang || ',react' WHEN 2 THEN 'numpy,pandas-' || lang ELSE 'github.com/a/' || lang END AS names FROM documents""")
 def e23(spark, d):
-    texts = {"cargo": 'serde = "1.0"\ntokio = { version = "1" }\n[x]', "npm": '{"react": "^18.0", "@a/b": "1.2"}', "pip": "numpy>=1.0\npandas\n# x", "go": "require github.com/a/b v1.2.3"}
+    """Manifests of each kind, made from a document's language."""
+    docs = v.base(spark, d, "documents").select("doc_id", "lang")
+    made = {
+        "cargo": F.concat(F.lit("serde-"), "lang", F.lit(' = "1.0"\ntokio = { version = "1" }\n[x]')), "npm": F.concat(F.lit('{"react": "^18.0", "@a/'), "lang", F.lit('": "1.2"}')),
+        "pip": F.concat(F.lit("numpy>=1.0\npandas-"), "lang", F.lit("\n# x")), "go": F.concat(F.lit("require github.com/a/"), "lang", F.lit(" v1.2.3")),
+    }
     out = None
-    for kind, t in texts.items():
-        row = spark.createDataFrame([(kind, t)], "kind string, t string").select("kind", F.array_join(e.dependency_names(F.col("t"), kind), ",").alias("names"))
-        out = row if out is None else out.unionByName(row)
+    for k, (kind, text) in enumerate(made.items()):
+        rows = docs.where(F.col("doc_id") % 4 == k).select("doc_id", F.lit(kind).alias("kind"), F.array_join(e.dependency_names(text, kind), ",").alias("names"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -186,10 +228,8 @@ def e24(spark, d):
 
 @query("e26_enrichment_pipeline")
 def e26(spark, d):
-    docs = _docs(spark, d)
-    c = e.lexical_candidates(docs, "doc_id", "text", 50)
-    df = c.groupBy("phrase").agg(F.countDistinct("doc_id").alias("df"))
-    return e.selected_keywords(c, df, docs.count(), "doc_id", 10).select("doc_id", "phrase", F.round("keyword_score", 6).alias("keyword_score"), "place")
+    f = v.files(spark, d).select(F.col("file_id").alias("doc_id"), F.col("content").alias("text"), F.col("file_path").alias("path"), "language")
+    return e.enriched(f, _letters)
 
 
 @query("e27_components", "SELECT file_id, CASE WHEN tenant_id = 'src1' AND language = 'de' THEN 'src1.de' ELSE tenant_id END AS component FROM {files} WHERE tenant_id IN ('src1', 'src2')")
@@ -214,6 +254,13 @@ def _model(texts):
     return np.array([[len(t), t.count("e"), t.count(" ")] for t in texts], float)
 
 
+def _letters(texts):
+    """A stand-in for a text model: how often a text has each letter."""
+    import numpy as np
+
+    return np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in (x.lower() for x in texts)], float).reshape(-1, 26)
+
+
 @query("e30_embedding_hook", "SELECT doc_id, [length(text), length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, ' ', ''))]::DOUBLE[] AS vector FROM documents")
 def e30(spark, d):
     return e.embedded(_docs(spark, d), "text", _model).select("doc_id", "vector")
@@ -334,10 +381,8 @@ def j05(spark, d):
 
 @query("j10_affinity_pairs", "WITH " + _MEANS + " SELECT a.label AS a, b.label AS b, round(list_dot_product(a.c, b.c) / (sqrt(list_dot_product(a.c, a.c)) * sqrt(list_dot_product(b.c, b.c))), 6) AS similarity FROM m a JOIN m b ON a.label < b.label WHERE list_dot_product(a.c, b.c) / (sqrt(list_dot_product(a.c, a.c)) * sqrt(list_dot_product(b.c, b.c))) >= 0.05")
 def j10(spark, d):
-    m = _label_means(spark, d)
-    y = m.select(F.col("label").alias("b"), F.col("c").alias("cb"))
-    p = m.join(F.broadcast(y), F.col("label") < F.col("b")).select(F.col("label").alias("a"), "b", cosine(F.col("c"), F.col("cb")).alias("similarity"))
-    return p.where("similarity >= 0.05").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    p = e.similar_pairs(_label_means(spark, d), "label", "c", 0.05)
+    return p.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("d12_primary_branch", "WITH c AS (SELECT tenant_id, language, count(*) AS n FROM {files} GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY tenant_id) AS mx FROM c) SELECT tenant_id, language FROM m QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY (language = 'fr' AND 2 * n >= mx) DESC, n DESC, language) = 1")

@@ -189,13 +189,12 @@ _MEANS = "m AS (SELECT label, [" + ", ".join(f"avg(dense[{k}])" for k in range(1
 @query("g21_affinity_groups", "WITH RECURSIVE " + _MEANS + """, p AS (SELECT x.label AS a, y.label AS b FROM m x JOIN m y ON x.label < y.label AND list_dot_product(x.c, y.c) / (sqrt(list_dot_product(x.c, x.c)) * sqrt(list_dot_product(y.c, y.c))) >= 0.05),
   e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), c AS (SELECT a, a AS b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b) SELECT a AS node, min(b) AS component FROM c GROUP BY a""")
 def g21(spark, d):
-    from siltstone.functions.vectors import cosine, mean_vector
+    from siltstone.functions.vectors import dimensions, mean_vector
+    from siltstone.operators.enrich import similar_pairs
 
-    m = v.points(spark, d).groupBy("label").agg(mean_vector("dense").alias("c"))
-    # labels are a handful: each is compared with those above it
-    y = m.select(F.col("label").alias("b"), F.col("c").alias("cb"))
-    p = m.join(F.broadcast(y), F.col("label") < F.col("b")).where(cosine(F.col("c"), F.col("cb")) >= 0.05)
-    return g.components(p.select(F.col("label").alias("a"), "b"), "a", "b")
+    x = v.points(spark, d)
+    m = x.groupBy("label").agg(mean_vector("dense", dimensions(x, "dense")).alias("c"))
+    return g.components(similar_pairs(m, "label", "c", 0.05).select("a", "b"), "a", "b")
 
 
 @query("g22_dependency_groups", "WITH s AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem), n AS (SELECT k, count(*) AS n FROM s GROUP BY k), m AS (SELECT x.k AS a, y.k AS b, count(*) AS both_ FROM s x JOIN s y ON x.i = y.i AND x.k < y.k GROUP BY ALL) SELECT a, b, round(both_ / (p.n + q.n - both_), 9) AS jaccard FROM m JOIN n p ON p.k = a JOIN n q ON q.k = b WHERE both_ / (p.n + q.n - both_) >= 0.15")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as ft
 from siltstone.functions.paths import below_prefix
-from siltstone.functions.vectors import cosine, mean_vector
+from siltstone.functions.vectors import cosine, dimensions, mean_vector
 from siltstone.operators import retrieval as r
 from siltstone.plans._registry import Registry
 from siltstone.sources import views as v
@@ -189,7 +189,9 @@ def r22(spark, d):
     return v.points(spark, d).join(F.broadcast(members), "tenant_id", "left_semi").select("id")
 
 
-@query("r23_source_diversity")
+@query("r23_source_diversity", "WITH RECURSIVE " + _HITS + """, t AS (SELECT rank, id, tenant_id, (0.9::DOUBLE - rank * 0.01::DOUBLE) AS score, 0 AS tier, (0.9::DOUBLE - rank * 0.01::DOUBLE) AS top FROM h WHERE rank = 1 UNION ALL SELECT h.rank, h.id, h.tenant_id, (0.9::DOUBLE - h.rank * 0.01::DOUBLE), t.tier + CASE WHEN t.top - (0.9::DOUBLE - h.rank * 0.01::DOUBLE) > 0.05::DOUBLE THEN 1 ELSE 0 END, CASE WHEN t.top - (0.9::DOUBLE - h.rank * 0.01::DOUBLE) > 0.05::DOUBLE THEN (0.9::DOUBLE - h.rank * 0.01::DOUBLE) ELSE t.top END FROM t JOIN h ON h.rank = t.rank + 1),
+  b AS (SELECT *, row_number() OVER (PARTITION BY tier, tenant_id ORDER BY rank) AS turn, min(rank) OVER (PARTITION BY tier, tenant_id) AS f FROM t), c AS (SELECT *, row_number() OVER (ORDER BY tier, turn, f) AS seq FROM b), e AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY seq) AS nth FROM c)
+  SELECT id, tenant_id AS source, tier::INTEGER AS tier, row_number() OVER (ORDER BY seq)::INTEGER AS place FROM e WHERE nth <= 3""")
 def r23(spark, d):
     return r.interleaved(r.score_tiers(_hits(spark, d))).select("id", "source", "tier", "place")
 
@@ -214,7 +216,8 @@ def r24(spark, d):
 
 @query("w10_byte_budget", "WITH s AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS t FROM documents) SELECT doc_id FROM s WHERE t <= 24000 OR doc_id = 0")
 def w10(spark, d):
-    docs = v.base(spark, d, "documents").select(F.lit(0).alias("query_id"), "doc_id", "n_chars")
+    """Hits are in order and each takes a byte at least, so no more of them than the budget has bytes are looked at, and each task keeps its own first ones."""
+    docs = v.base(spark, d, "documents").select(F.lit(0).alias("query_id"), "doc_id", "n_chars").orderBy("doc_id").limit(24_000)
     return r.within_budget(docs, "n_chars", 24_000, order="doc_id").select("doc_id")
 
 
@@ -246,7 +249,7 @@ _CENTRE = ", ".join(f"avg(dense[{k}])" for k in range(1, 65))
 @query("r29_cross_modal_search", f"WITH q AS (SELECT [{_CENTRE}] AS c FROM {{points}} WHERE label = 3) SELECT id, round(list_dot_product(dense, c) / (sqrt(list_dot_product(dense, dense)) * sqrt(list_dot_product(c, c))), 6) AS score FROM points, q ORDER BY list_dot_product(dense, c) / (sqrt(list_dot_product(dense, dense)) * sqrt(list_dot_product(c, c))) DESC, id LIMIT 15")
 def r29(spark, d):
     p = v.points(spark, d)
-    centre = p.where("label = 3").agg(mean_vector("dense").alias("vector")).select(F.lit(0).alias("query_id"), "vector")
+    centre = p.where("label = 3").agg(mean_vector("dense", dimensions(p, "dense")).alias("vector")).select(F.lit(0).alias("query_id"), "vector")
     return r.dense_search(p, centre, 15).select("id", F.round("score", 6).alias("score"))
 
 
@@ -277,8 +280,7 @@ def s04(spark, d):
 @query("s05_counts_and_existence", "SELECT (SELECT count(*) FROM {points} WHERE tenant_id = 't1') AS n, (SELECT count(*) FROM points WHERE id IN (1, 2, 999999)) AS known")
 def s05(spark, d):
     p = v.points(spark, d)
-    asked = spark.createDataFrame([(1,), (2,), (999999,)], "id long")
-    return p.agg(F.count_if(F.col("tenant_id") == "t1").alias("n")).join(asked.join(p.select("id"), "id", "left_semi").agg(F.count("*").alias("known")))
+    return p.agg(F.count_if(F.col("tenant_id") == "t1").alias("n"), F.count_if(F.col("id").isin(1, 2, 999999)).alias("known"))
 
 
 @query("s06_upsert_latest", "SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM {points}")
@@ -356,17 +358,15 @@ def u05(spark, d):
 
 @query("a21_document_vectors", "SELECT label, round(sum(dense[1] * (id % 3 + 1)) / sum(id % 3 + 1), 6) AS x1, round(sum(dense[64] * (id % 3 + 1)) / sum(id % 3 + 1), 6) AS x64 FROM {points} GROUP BY label")
 def a21(spark, d):
-    m = v.points(spark, d).groupBy("label").agg(mean_vector("dense", F.col("id") % 3 + 1).alias("m"))
+    p = v.points(spark, d)
+    m = p.groupBy("label").agg(mean_vector("dense", dimensions(p, "dense"), F.col("id") % 3 + 1).alias("m"))
     return m.select("label", F.round(F.element_at("m", 1), 6).alias("x1"), F.round(F.element_at("m", 64), 6).alias("x64"))
 
 
 @query("m05_retrieval_quality", """WITH e AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), k AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY (id * 7) % 13, id) AS rank FROM e),
   z AS (SELECT *, rank % 2 = 0 OR rank = 1 AS keep FROM k) SELECT query_id, max(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS top1, (count(*) FILTER (keep AND rank <= 10) / count(*))::DOUBLE AS recall, max(CASE WHEN keep THEN 1.0 / rank ELSE 0 END)::DOUBLE AS rr FROM z GROUP BY query_id""")
 def m05(spark, d):
-    b, docs = v.base(spark, d, "benchmark"), v.base(spark, d, "documents")
-    items = b.agg(F.collect_list(F.struct("item_id", "text")).alias("items")).withColumn("_k", F.lit(1))
-    met = docs.select("doc_id", "text").withColumn("_k", F.lit(1)).join(F.broadcast(items), "_k")
-    e = met.select(F.col("doc_id").alias("id"), F.explode(F.filter("items", lambda x: F.col("text").contains(x["text"]))).alias("i")).select(F.col("i.item_id").alias("query_id"), "id")
+    e = r.containing(v.base(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), v.base(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("part")))
     ranked = e.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy((F.col("id") * 7) % 13, "id"))).where("rank % 2 = 0 or rank = 1")
     return r.retrieval_quality(ranked, e).select("query_id", "top1", "recall", "rr")
 

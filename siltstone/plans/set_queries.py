@@ -179,10 +179,10 @@ def e04(spark, d):
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"))
 
 
-@query("e18_hierarchy_rebuild", "SELECT tenant_id, count(*) AS tags FROM {points} GROUP BY tenant_id HAVING count(*) >= 10")
+@query("e18_hierarchy_rebuild")
 def e18(spark, d):
     p = v.points(spark, d).select(F.col("tenant_id").alias("tenant"), F.concat(F.lit("tag"), F.col("id").cast("string")).alias("tag"), F.col("id").alias("documents"), F.col("dense").alias("vector"))
-    return e.tag_levels(p, "tenant").groupBy(F.col("tenant").alias("tenant_id")).agg(F.count("*").alias("tags"))
+    return e.tag_levels(p, "tenant", 0.3, 0.1)
 
 
 @query("d11_library_counts", "SELECT tenant_id, count(*) AS documents FROM {files} GROUP BY tenant_id")

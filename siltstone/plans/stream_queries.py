@@ -76,7 +76,13 @@ def x09(spark, d):
     return s.triaged(v.queue(spark, d)).select("queue_id", "verdict")
 
 
-@query("x10_breaker")
+@query("x10_breaker", """WITH RECURSIVE o AS (SELECT (user_id % 20)::VARCHAR AS key, event_id AS id, value < 60 AS ok, epoch_us(ts::TIMESTAMP) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id % 20 ORDER BY epoch_us(ts::TIMESTAMP), event_id) AS n FROM events),
+  s AS (SELECT key, 0::BIGINT AS n, 0::BIGINT AS id, 0.0::DOUBLE AS sec, 0 AS run, 0 AS good, 0 AS level, -1.0::DOUBLE AS until FROM (SELECT DISTINCT key FROM o) UNION ALL
+    SELECT o.key, o.n, o.id, o.sec, CASE WHEN NOT o.ok THEN s.run + 1 WHEN s.good + 1 >= 3 THEN 0 ELSE s.run END, CASE WHEN o.ok THEN s.good + 1 ELSE 0 END,
+      CASE WHEN NOT o.ok THEN s.level + 1 WHEN s.good + 1 >= 3 THEN 0 ELSE greatest(0, s.level - 1) END, CASE WHEN o.ok THEN CASE WHEN s.good + 1 >= 3 THEN -1.0 ELSE s.until END WHEN s.run + 1 >= 20 THEN o.sec + 3600.0 ELSE s.until END
+    FROM s JOIN o ON o.key = s.key AND o.n = s.n + 1)
+  SELECT key, id, CASE WHEN until >= 0 THEN CASE WHEN sec < until THEN 'disabled' ELSE 'half_open' END WHEN run >= 5 THEN 'backoff' WHEN run >= 3 THEN 'degraded' ELSE 'healthy' END AS status,
+    CASE WHEN until >= 0 THEN CASE WHEN sec < until THEN until - sec ELSE 0 END WHEN run >= 5 THEN least(300.0, pow(2.0, least(level, 60))) ELSE 0 END::DOUBLE AS delay_s FROM s WHERE n > 0""")
 def x10(spark, d):
     e = v.base(spark, d, "events")
     rows = e.select((F.col("user_id") % 20).cast("string").alias("key"), F.col("event_id").alias("id"), (F.col("value") < 60).alias("ok"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
