@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.text import raw_tokens, terms_of_token
 from siltstone.functions.vectors import cosine
 
 RRF = 60
-#: Most query rows that are broadcast; more are an error, since queries of a search are few.
+#: Most queries of a search that meet the points at once.
 MOST_QUERIES = 10_000
 
 
@@ -45,18 +46,20 @@ def scope_filter(*, tenant: str | None = None, branch: str | None = None, fallba
 def dense_search(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """query_id, id, score, rank: the `k` points most similar to each query (query_id, vector), ties to smaller ids.
 
-    Queries are few by nature and their number is checked; they go to the points, which are read once and not moved. Each
-    task keeps its own k best for a query before the exchange.
+    Queries are cut into blocks of MOST_QUERIES at most; a block is few vectors, goes to the points, which are not moved, and
+    stands in the plan as a constant. Each task keeps its own k best for a query before the exchange.
     """
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; use the exact top-k search over blocks")
-    q = queries.agg(F.collect_list(F.struct("query_id", "vector")).alias("qs")).withColumn("_k", F.lit(1))
-    met = points.withColumn("_k", F.lit(1)).join(F.broadcast(q), "_k").select("id", "dense", F.explode("qs").alias("q"))
-    scored = met.select(F.col("q.query_id").alias("query_id"), "id", cosine(F.col("dense"), F.col("q.vector")).alias("score"))
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
-    return top_k(scored, k)
+    asked = queries.select("query_id", "vector").collect()
+    parts = [asked[a : a + MOST_QUERIES] for a in range(0, len(asked), MOST_QUERIES)] or [[]]
+    spark, found = points.sparkSession, None
+    kind = T.ArrayType(T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vector", T.ArrayType(T.DoubleType()))]))
+    for part in parts:
+        # a hash join on the number of the block: the right side is one row of at most MOST_QUERIES vectors
+        block = spark.createDataFrame([(0, [(r.query_id, None if r.vector is None else [float(x) for x in r.vector]) for r in part])], T.StructType([T.StructField("_block", T.IntegerType()), T.StructField("qs", kind)]))
+        met = points.select("id", "dense", F.lit(0).alias("_block")).join(F.broadcast(block), "_block").select("id", "dense", F.explode("qs").alias("q"))
+        scored = met.select(F.col("q.query_id").alias("query_id"), "id", cosine(F.col("dense"), F.col("q.vector")).alias("score"))
+        found = scored if found is None else found.unionByName(scored)
+    return top_k(found if threshold is None else found.where(F.col("score") >= threshold), k)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -70,6 +73,30 @@ def postings(documents: DataFrame, id: str, text: str) -> DataFrame:
     return tokens.select("id", F.explode(terms_of_token(F.col("t"))).alias("term"), "c").groupBy("id", "term").agg(F.sum("c").alias("tf"))
 
 
+def query_postings(documents: DataFrame, id: str, text: str, terms: list[str]) -> DataFrame:
+    """The postings of `terms` alone. A term is a token in lower case or a part of one, so tokens without one of them are dropped where they stand, before anything is counted or moved."""
+    if not terms:
+        return postings(documents.limit(0), id, text)
+    near = lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(t) for t in terms])
+    rows = documents.where(near(F.col(text))).select(F.col(id).alias("id"), F.explode(raw_tokens(F.col(text))).alias("t")).where(near(F.col("t")))
+    tokens = rows.groupBy("id", "t").agg(F.count("*").alias("c"))
+    found = tokens.select("id", F.explode(terms_of_token(F.col("t"))).alias("term"), "c").where(F.col("term").isin(*terms))
+    return found.groupBy("id", "term").agg(F.sum("c").alias("tf"))
+
+
+def write_index(posts: DataFrame, path: str, buckets: int = 64) -> None:
+    """Postings for later searches: in `buckets` folders by a term's hash, sorted by term in each file, so that a search reads a folder for each of its terms, and of a file the row groups that hold them. A frequent term's postings are spread by id over many files."""
+    made = posts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    dealt = made.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def indexed_postings(spark: SparkSession, path: str, terms: list[str], buckets: int = 64) -> DataFrame:
+    """id, term, tf of `terms` from what write_index() wrote; folders and row groups without them are not read."""
+    at = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
+    return spark.read.parquet(path).where(F.col("bucket").isin(*at) & F.col("term").isin(*terms)).select("id", "term", "tf")
+
+
 def lexicon(posts: DataFrame) -> DataFrame:
     """term, df: in how many documents a term is."""
     return posts.groupBy("term").agg(F.count("*").alias("df"))

@@ -155,9 +155,13 @@ def follow_up_parent(df: DataFrame, window_s: float = 60, stop: tuple[str, ...]
     return linked.groupBy("id").agg(F.max(F.struct("pus", "pid")).getField("pid").alias("parent"))
 
 
-def zero_filled(df: DataFrame, rows: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts of every pair of `rows` and `columns`, both small dimension tables, 0 where there are none."""
-    grid = rows.withColumn("_k", F.lit(1)).join(columns.withColumn("_k", F.lit(1)), "_k").drop("_k")
+def zero_filled(df: DataFrame, rows: DataFrame, columns: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
+    """Counts of every pair of `rows` and `columns`, 0 where there are none. `columns` is a short list of kinds, whose size is checked; each row is unfolded by it."""
+    listed = columns.limit(most + 1).collect()
+    if len(listed) > most:
+        raise ValueError(f"more than {most} columns of a grid")
+    kinds = F.array(*[F.struct(*[F.lit(r[c]).cast(columns.schema[c].dataType).alias(c) for c in columns.columns]) for r in listed])
+    grid = (rows.select("*", F.explode(kinds).alias("_c")) if listed else rows.select("*", F.lit(None).alias("_c")).limit(0)).select(*rows.columns, *([F.col(f"_c.{c}").alias(c) for c in columns.columns] if listed else [F.lit(None).cast(columns.schema[c].dataType).alias(c) for c in columns.columns]))
     return grid.join(df.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left").na.fill(0, ["n"])
 
 

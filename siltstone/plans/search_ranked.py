@@ -36,12 +36,17 @@ def _dense(spark, d, k, threshold=None):
     return r.dense_search(p, p.where("id = 0").select(F.lit(0).alias("query_id"), F.col("dense").alias("vector")), k, threshold)
 
 
+def _asked(spark):
+    return spark.createDataFrame([(0, t, 1.0) for t in ASKED], "query_id int, term string, q double")
+
+
 def _sparse(spark, d, k):
+    from siltstone.sources.store import cut
+
     docs = v.base(spark, d, "documents").select("doc_id", "text")
-    posts = r.postings(docs, "doc_id", "text")
-    w = r.sparse_weights(posts, r.lexicon(posts), docs.count())
-    q = spark.createDataFrame([(0, t, 1.0) for t in ASKED], "query_id int, term string, q double")
-    return r.sparse_search(w, q, k)
+    posts = cut(r.query_postings(docs, "doc_id", "text", list(ASKED)))
+    n = spark.read.parquet(f"{d}/documents.parquet").count()  # from the files' metadata
+    return r.sparse_search(r.sparse_weights(posts, r.lexicon(posts), n), _asked(spark), k)
 
 
 @query("s01_dense_search", "WITH " + _DENSE + " SELECT id, round(score, 6) AS score, rank::INTEGER AS rank FROM dnr WHERE rank <= 20")
@@ -88,6 +93,17 @@ def s02(spark, d):
     return _sparse(spark, d, 20).select("id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("s02b_indexed_search", "WITH " + _SPARSE + " SELECT id, round(score, 6) AS score, rank::INTEGER AS rank FROM spr WHERE rank <= 20")
+def s02b(spark, d):
+    """The same search over an index that is written once and read by terms."""
+    from siltstone.sources.store import new_place
+
+    docs, path = v.base(spark, d, "documents").select("doc_id", "text"), new_place(spark, "index")
+    r.write_index(r.postings(docs, "doc_id", "text"), path)
+    posts = r.indexed_postings(spark, path, list(ASKED))
+    return r.sparse_search(r.sparse_weights(posts, r.lexicon(posts), docs.count()), _asked(spark), 20).select("id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("r07_hybrid_rrf", "WITH " + _SPARSE + ", " + _DENSE + """, u AS (SELECT id, 1.0 / (60 + rank) AS s FROM spr WHERE rank <= 40 UNION ALL SELECT id, 0.7 / (60 + rank) FROM dnr WHERE rank <= 40), f AS (SELECT id, sum(s)::DOUBLE AS score FROM u GROUP BY id)
   SELECT id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM f QUALIFY rank <= 20""")
 def r07(spark, d):

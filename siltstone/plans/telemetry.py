@@ -15,8 +15,9 @@ QUERIES, ORACLES = query.queries, query.oracles
 
 
 def with_value(df: DataFrame, value: DataFrame) -> DataFrame:
-    """`df` with the columns of `value`, a global aggregate and so one row."""
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(value.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    """`df` with the columns of `value`, a global aggregate and so one row, as constants."""
+    row = value.first()
+    return df.select("*", *[F.lit(row[c]).cast(value.schema[c].dataType).alias(c) for c in value.columns])
 
 
 @query("a01_group_counts", "SELECT tool, op, count(*) AS n FROM {search_events} GROUP BY ALL")
