@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -99,31 +100,34 @@ def _words(text: Column) -> Column:
 
 
 def _counted(df: DataFrame, id: str, text: str, longest: int, stop: tuple[str, ...], most: int | None) -> DataFrame:
-    """`id`, phrase, n, tf, rank of the runs of words of each row: a row's runs never leave it, so they are counted where it lies."""
+    """`id`, phrase, n, tf, rank of the runs of words of each row, in no order without `most`: a row's runs never leave it, so they are counted where it lies."""
     import pyarrow as pa
 
     ends = frozenset(stop)
     schema = T.StructType([df.schema[id], T.StructField("phrase", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("tf", T.LongType()), T.StructField("rank", T.IntegerType())])
 
+    def runs(words: list[str]) -> Counter:
+        found = Counter(words if not ends else (w for w in words if w not in ends))
+        for n in range(2, longest + 1):
+            own = zip(*(words[x:] for x in range(n)))
+            found.update(map(" ".join, own if not ends else (r for r in own if r[0] not in ends and r[-1] not in ends)))
+        return found
+
     def count(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                ids, out = [], ([], [], [], [])
+                ids, phrases, counts, ranks = [], [], [], []
                 for k, words in enumerate(batch.column(1).slice(at, 64).to_pylist()):
-                    found: dict[tuple[str, int], int] = {}
-                    for n in range(1, longest + 1):
-                        for run in zip(*(words[x:] for x in range(n))):
-                            if run[0] not in ends and run[-1] not in ends:
-                                key = (" ".join(run), n)
-                                found[key] = found.get(key, 0) + 1
-                    best = sorted(found.items(), key=lambda x: (-x[1], -x[0][1], x[0][0]))[:most]
+                    best = runs(words).items()
+                    if most is not None:  # those of a count below the last one's that fits are not put in order
+                        least = sorted((c for _, c in best), reverse=True)[most - 1] if len(best) > most else 0
+                        best = sorted((x for x in best if x[1] >= least), key=lambda x: (-x[1], -x[0].count(" "), x[0]))[:most]
                     ids += [at + k] * len(best)
-                    out[0].extend(p for (p, _), _ in best)
-                    out[1].extend(n for (_, n), _ in best)
-                    out[2].extend(c for _, c in best)
-                    out[3].extend(range(1, len(best) + 1))
-                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(o, t) for o, t in zip(out, kinds, strict=True))], [id, "phrase", "n", "tf", "rank"])
+                    phrases += [p for p, _ in best]
+                    counts += [c for _, c in best]
+                    ranks += range(1, len(best) + 1)
+                sizes = [p.count(" ") + 1 for p in phrases]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64()), pa.array(ranks, pa.int32())], [id, "phrase", "n", "tf", "rank"])
 
     return df.select(id, _words(F.col(text)).alias("w")).mapInArrow(count, schema)
 
