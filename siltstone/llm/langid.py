@@ -20,6 +20,7 @@ HIDDEN = 8
 #: Bytes that a window labels, and bytes of context on either side of it.
 LABELS = 240
 AROUND = 8
+#: Below this a text's language is not known: most of it is of scripts that were not learned, or no language stands out.
 MIN_SCORE = 0.3
 UNKNOWN = "und"
 
@@ -91,6 +92,22 @@ class Network:
         self.ahead, self.back = Direction(rng, hidden), Direction(rng, hidden)
         self.out = rng.normal(0, 0.3, (2 * hidden, len(languages))).astype(np.float32)
         self.base = np.zeros(len(languages), np.float32)
+        # bytes beyond ASCII that training texts hold, and which follow each other inside a character there; all until they are known
+        self.leads, self.pairs = np.ones(256, bool), np.ones((256, 256), bool)
+
+    def learn_characters(self, texts: list[bytes]) -> Network:
+        """From here on characters beyond ASCII that are not in `texts` count against any language."""
+        self.leads, self.pairs = np.arange(256) < 128, np.zeros((256, 256), bool)
+        for t in texts:
+            raw = np.frombuffer(t, np.uint8)
+            self.leads[raw] = True
+            self.pairs[raw[:-1], raw[1:]] = True
+        return self
+
+    def foreign(self, raw: np.ndarray) -> np.ndarray:
+        """Which bytes of a text are of characters beyond ASCII that no training text has."""
+        before = np.concatenate([np.zeros(1, np.uint8), raw[:-1]])
+        return (raw >= 128) & ~np.where(raw < 192, self.pairs[before, raw], self.leads[raw])
 
     def logits(self, codes: np.ndarray) -> np.ndarray:
         size = self.ahead.hidden
@@ -131,7 +148,7 @@ def _has_letter(text: bytes | None) -> bool:
 
 
 def label_texts(net: Network, texts: list[bytes | None], labels: int = LABELS, around: int = AROUND, most: int = 1024) -> list[tuple[str, float]]:
-    """(language, score) of each text: the mean over its bytes of the probabilities at each, and its largest value.
+    """(language, score) of each text: the mean over its bytes of the probabilities at each, and its largest value times the share of bytes that are not foreign().
 
     A text is cut into windows of `labels` bytes, each read with `around` bytes before and after, so every byte is
     labelled once, with context on both sides. Bytes that are neither ASCII letters nor of longer characters have no vote
@@ -140,7 +157,7 @@ def label_texts(net: Network, texts: list[bytes | None], labels: int = LABELS, a
     width = labels + 2 * around
     known = [k for k, t in enumerate(texts) if _has_letter(t)]
     sums = np.zeros((len(texts), len(net.languages)))
-    counts = np.zeros(len(texts))
+    counts, usual = np.zeros(len(texts)), np.ones(len(texts))
     if known:
         own = np.repeat(known, [-(-len(texts[k]) // labels) for k in known])
         rows = np.zeros((len(own), width), np.uint8)
@@ -154,6 +171,7 @@ def label_texts(net: Network, texts: list[bytes | None], labels: int = LABELS, a
             rows[at : at + n] = np.lib.stride_tricks.sliding_window_view(whole, width)[::labels]
             votes = np.zeros(n * labels, bool)
             votes[: len(raw)] = ((raw | 32) - 97 < 26) | (raw >= 128)
+            usual[k] = 1 - np.count_nonzero(net.foreign(raw)) / np.count_nonzero(votes)
             live[at : at + n] = votes.reshape(n, labels)
             at += n
         for a in range(0, len(own), most):
@@ -172,7 +190,7 @@ def label_texts(net: Network, texts: list[bytes | None], labels: int = LABELS, a
         else:
             mean = sums[k] / counts[k]
             best = int(mean.argmax())
-            out.append((net.languages[best], float(min(1.0, max(0.0, mean[best])))))
+            out.append((net.languages[best], float(min(1.0, max(0.0, mean[best] * usual[k])))))
     return out
 
 
@@ -210,7 +228,7 @@ def train(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
                 labels.append(languages.index(r.lang))
     if len(languages) < 2:
         return Network(languages or [UNKNOWN])
-    return Network(languages).fit(np.array(codes), np.array(labels))
+    return Network(languages).fit(np.array(codes), np.array(labels)).learn_characters([(c or "").encode() for r in rows for c in r.cuts])
 
 
 def identify(documents: DataFrame, net: Network, *, text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
@@ -26,8 +27,12 @@ def tokenizer_path(name: str) -> str:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
-    """The tokenizer of a .json file, without truncation and padding; one a Python worker."""
+    """The tokenizer of a .json file, without truncation and padding, or of a .model file; one a Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path)
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
@@ -36,6 +41,16 @@ def tokenizer(path: str):
     return found
 
 
+def splits_at_space(path: str) -> bool:
+    """Whether stable() holds for the tokenizer at `path`: byte-level pieces by its usual pattern, nothing changed before, added after or taken together with white space."""
+    if not path.endswith(".json"):
+        return False
+    made = json.loads(tokenizer(path).to_str())
+    first = made.get("pre_tokenizer") or {}
+    usual = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+    return usual and made.get("normalizer") is None and all(not (a["lstrip"] or a["rstrip"]) and not any(map(str.isspace, a["content"])) for a in made["added_tokens"])
+
+
 def stable(text: str, at: int) -> bool:
     """Whether every encoding of a text around text[at] has a token border before it.
 
@@ -89,11 +104,12 @@ def _regrown(text, at, size, encode, ours, counted):
 
 
 def token_counts(documents: DataFrame, path: str, *, text: str = "text", limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """`documents` with n_bytes (UTF-8), n_tokens, n_chunks and over_limit (n_tokens > limit), as the tokenizer at `path` counts.
+    """`documents` with n_bytes (UTF-8), n_tokens, n_chunks (encodings that were made) and over_limit (n_tokens > limit), as the tokenizer at `path` counts.
 
     Nothing is added, cut or padded; special strings inside texts are taken as the library does by default. Null is taken
     as the empty text with 0 bytes and 0 tokens. Repeated rows are each counted; columns with the added names are replaced.
-    One narrow pass without a shuffle: short texts are encoded in batches, texts over `chunk` code points chunk by chunk.
+    One narrow pass without a shuffle: short texts are encoded in batches, texts over `chunk` code points chunk by chunk,
+    where splits_at_space() shows that chunks can be joined; with any other tokenizer texts are encoded whole.
     """
     added = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "n_chunks": T.LongType(), "over_limit": T.BooleanType()}
     kept = documents.drop(*added)
@@ -101,17 +117,27 @@ def token_counts(documents: DataFrame, path: str, *, text: str = "text", limit:
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in added.items())])
 
     def count(batches):
-        own = tokenizer(path)
-        one = lambda s: own.encode(s, add_special_tokens=False)
+        own, cut = tokenizer(path), splits_at_space(path)
+        calls = 0
+
+        def one(s: str):
+            nonlocal calls
+            calls += 1
+            return own.encode(s, add_special_tokens=False)
+
         for batch in pieces(batches, 256):
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            short = [k for k, t in enumerate(texts) if len(t) <= chunk]
+            short = [k for k, t in enumerate(texts) if len(t) <= chunk or not cut]
             n, parts = [0] * len(texts), [1] * len(texts)
-            for k, e in zip(short, own.encode_batch_fast([texts[k] for k in short], add_special_tokens=False), strict=True):
-                n[k] = len(e.ids)
-            for k in set(range(len(texts))) - set(short):
-                n[k] = chunked_count(texts[k], one, chunk, overlap)[0]
-                parts[k] = -(-len(texts[k]) // chunk)
+            if path.endswith(".model"):
+                n = [len(own.encode(t)) for t in texts]
+            else:
+                for k, e in zip(short, own.encode_batch_fast([texts[k] for k in short], add_special_tokens=False), strict=True):
+                    n[k] = len(e.ids)
+                for k in set(range(len(texts))) - set(short):
+                    calls = 0
+                    n[k] = chunked_count(texts[k], one, chunk, overlap)[0]
+                    parts[k] = calls
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in columns]
                 + [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(parts, pa.int64()), pa.array([x > limit for x in n])],

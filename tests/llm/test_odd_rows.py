@@ -87,6 +87,47 @@ def test_language_labels_do_not_depend_on_the_batch():
     assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 for a, b in zip(one, langid.label_texts(net, texts)))
 
 
+def brute_label(net, text):
+    """Language and score by plain loops over the network's equations, byte for byte."""
+    raw = text.encode()
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(d, codes):
+        h, out, size = np.zeros(d.hidden), [], d.hidden
+        for c in codes:
+            x, r = d.table[c].astype(float), h @ d.recur + d.bias
+            z, g = sigmoid(x[:size] + r[:size]), sigmoid(x[size : 2 * size] + r[size : 2 * size])
+            h = z * h + (1 - z) * np.tanh(x[2 * size :] + g * r[2 * size :])
+            out.append(h)
+        return np.array(out)
+
+    sums, votes, foreign = np.zeros(len(net.languages)), 0, 0
+    for at in range(0, len(raw), langid.LABELS):
+        codes = [raw[k] if 0 <= k < len(raw) else 0 for k in range(at - langid.AROUND, at + langid.LABELS + langid.AROUND)]
+        both = np.concatenate([states(net.ahead, codes), states(net.back, codes[::-1])[::-1]], 1)
+        e = np.exp(both @ net.out + net.base)
+        for k in range(at, min(len(raw), at + langid.LABELS)):
+            if raw[k] >= 128 or chr(raw[k]).isalpha():
+                sums += (e / e.sum(1, keepdims=True))[k - at + langid.AROUND]
+                votes += 1
+                foreign += raw[k] >= 128 and not (net.leads[raw[k]] if raw[k] >= 192 else net.pairs[raw[k - 1], raw[k]])
+    best = int(sums.argmax())
+    return net.languages[best], sums[best] / votes * (1 - foreign / votes)
+
+
+def test_labels_by_plain_loops(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    net = langid.train(docs)
+    texts = [r.text for r in docs.select("text").collect() if r.text and len(r.text.encode()) <= 700]
+    texts += ["x", "12 a", "Привет как дела", "日本語 the and", "naïve café of the", "ß"]
+    assert len(texts) > 30
+    for t, (lang, score) in zip(texts, langid.label_texts(net, [t.encode() for t in texts]), strict=True):
+        want = brute_label(net, t)
+        assert lang == want[0] and abs(score - want[1]) < 1e-4
+    scores = dict(zip(texts, (s for _, s in langid.label_texts(net, [t.encode() for t in texts]))))
+    assert scores["Привет как дела"] < langid.MIN_SCORE
+
+
 def test_network_gradient():
     """Backpropagation through time against differences."""
     rng = np.random.default_rng(0)
@@ -207,6 +248,23 @@ def test_splicing_is_exact(text, chunk, overlap):
     assert tokens.chunked_count(text, encode, chunk, overlap)[0] == len(encode(text).ids)
 
 
+def test_other_tokenizers_take_texts_whole(odd):
+    """Chunks are joined only where the tokenizer's pieces allow it; others, and sentence pieces, encode whole texts."""
+    import os
+
+    import public_tokenizers
+
+    assert tokens.splits_at_space(BYTE) and not tokens.splits_at_space(WORD)
+    own = tokens.tokenizer(WORD)
+    for r in tokens.token_counts(odd, WORD, chunk=200, overlap=20).collect():
+        assert r.n_tokens == len(own.encode(r.text or "", add_special_tokens=False).ids) and r.n_chunks == 1
+    for name in sorted(os.listdir(os.path.dirname(BYTE))):
+        if name.endswith(".model"):
+            path = public_tokenizers.path(name)
+            for r in tokens.token_counts(odd.where("doc_id <> 13"), path, chunk=200).collect():
+                assert r.n_tokens == len(tokens.tokenizer(path).encode(r.text or ""))
+
+
 def test_overlaps_widen():
     own = tokens.tokenizer(BYTE)
     encode = lambda s: own.encode(s, add_special_tokens=False)

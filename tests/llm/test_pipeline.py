@@ -22,13 +22,15 @@ def ids(df):
 
 
 def test_stages(kept, spark, data):
-    from siltstone.llm import decontaminate, setjoin
+    from siltstone.llm import decontaminate, langid, setjoin
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     assert [n for n, _ in c.STAGES] == list(kept)
     for name in list(kept)[:-1]:
         assert kept[name].columns == docs.columns
-    assert ids(kept["language_id"]) == ids(docs)  # all are prose
+    net = langid.train(docs)
+    known = collections.Counter(r.doc_id for r in docs.collect() if langid.label_texts(net, [(r.text or "").encode()])[0][1] >= langid.MIN_SCORE)
+    assert ids(kept["language_id"]) == known and sum(known.values()) > 0.99 * docs.count()
     found = setjoin.jaccard_classes(kept["language_id"]).collect()
     assert ids(kept["near_duplicates"]) == collections.Counter(r.doc_id for r in found if r.doc_id == r.component_id)
     items = {str(r.item_id): r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
@@ -47,6 +49,13 @@ def test_run_is_the_stages(kept, spark, data):
     assert got == sorted(map(tuple, kept["token_output"].collect()))
 
 
+def test_texts_without_a_known_language_go(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    odd = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(["1234 5678 !!", "", None, "Привет, как дела? Это русский текст.", "日本語のテキストです。これは長い文章。", "שלום עולם"])], "doc_id long, text string")
+    kept = dict(c.STAGES)["language_id"](spark, docs.unionByName(odd, allowMissingColumns=True), data)
+    assert kept.where("doc_id >= 1000000000").count() == 0 and kept.count() > 0.99 * docs.count()
+
+
 @pytest.mark.parametrize("which", ["odd", "empty"])
 def test_odd_rows(which, request, spark, data):
     docs = request.getfixturevalue(which)
