@@ -149,3 +149,22 @@ def is_test_file(path: Column) -> Column:
     named = stem.rlike(r"(?i)^test_|_test$|\.(test|spec)$|^conftest$") | (ext.isin("java", "kt", "scala") & stem.rlike(r"(Test|Tests|IT|Spec)$"))
     folder = F.lower(path).rlike(r"(^|/)(tests?|__tests__|spec|specs)/")
     return ext.isin(*CLASSES["code"].split()) & (named | folder)
+
+
+#: Hosts that an ingest must not ask: names of this machine, and IPv4 and IPv6 ranges that are not public (this network, private, shared, loopback, link-local, unique local, mapped IPv4). Fixed values.
+PRIVATE_HOSTS = (
+    r"localhost", r"[^/]*\.localhost", r"[^/]*\.local", r"[^/]*\.internal",
+    r"0(?:\.\d+){3}", r"10(?:\.\d+){3}", r"100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])(?:\.\d+){2}", r"127(?:\.\d+){3}", r"169\.254(?:\.\d+){2}", r"172\.(?:1[6-9]|2\d|3[01])(?:\.\d+){2}", r"192\.168(?:\.\d+){2}",
+    r"\d+", r"0x[0-9a-f]+", r"\[::1?\]", r"\[f[cd][0-9a-f]*:[^\]]*\]", r"\[fe[89ab][0-9a-f]:[^\]]*\]", r"\[::ffff:[^\]]*\]",
+)
+
+
+def url_host(url: Column) -> Column:
+    """The host of an http(s) address in lower case, without user and port; empty for other addresses."""
+    return F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1))
+
+
+def public_url(url: Column) -> Column:
+    """Whether an address is http(s) and its host is none of PRIVATE_HOSTS, as far as its name tells; what a name resolves to is to be asked again before a fetch."""
+    host = F.regexp_replace(url_host(url), r"\.$", "")
+    return F.coalesce((host != "") & ~host.rlike("^(?:" + "|".join(PRIVATE_HOSTS) + ")$"), F.lit(False))

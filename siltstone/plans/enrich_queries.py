@@ -429,7 +429,9 @@ def d24(spark, d):
     return v.files(spark, d).groupBy("tenant_id").agg(F.countDistinct("file_hash").alias("base_points"))
 
 
-@query("r01_terms", "SELECT * FROM (VALUES ('parseHTTPRequest in my_file', 'file,http,in,my,my_file,parse,parsehttprequest,request'), ('deadbeef99 v1.2 a/b 0xff 42 -kept-', 'kept,v1')) t(text, terms)")
+@query("r01_terms", "SELECT doc_id, 'file,http,in,my,my_file,parse,parsehttprequest' || lang || ',request' || lang || ',v1' AS terms FROM documents")
 def r01(spark, d):
-    rows = spark.createDataFrame([("parseHTTPRequest in my_file",), ("deadbeef99 v1.2 a/b 0xff 42 -kept-",)], "text string")
-    return rows.withColumn("terms", F.array_join(F.array_sort(F.array_distinct(ft.terms(F.col("text")))), ","))
+    """Terms of an identifier made from each document's language, beside marks, numbers, paths and hashes that are none."""
+    text = F.concat(F.lit("parseHTTPRequest"), "lang", F.lit(" in my_file deadbeef99 v1.2 a/b 0xff 42 -"))
+    docs = v.base(spark, d, "documents").select("doc_id", text.alias("text"))
+    return docs.select("doc_id", F.array_join(F.array_sort(F.array_distinct(ft.terms(F.col("text")))), ",").alias("terms"))

@@ -126,9 +126,15 @@ def p04(spark, d):
     return v.files(spark, d).where(p.included(F.col(_PATH), "doc_1*.{py,md}")).select("file_id")
 
 
-@query("p05_normalised_globs", "SELECT * FROM (VALUES ('/abs/x', '/abs/x'), ('**/a', '**/a'), ('*.rs', '**/*.rs'), ('src/', '**/src/**'), ('name', '**/name{,/**}')) t(pattern, made)")
+@query("p05_normalised_globs", """SELECT g.pattern, g.made, count(f.file_id) AS files FROM (VALUES ('/src1/en/*.md', '/src1/en/*.md', '^/src1/en/[^/]*[.]md$'), ('**/de/*.py', '**/de/*.py', '^(.*/)?de/[^/]*[.]py$'), ('*.md', '**/*.md', '^(.*/)?[^/]*[.]md$'), ('src2/', '**/src2/**', '^(.*/)?src2/.*$'), ('fr', '**/fr{,/**}', '^(.*/)?fr(/.*)?$')) g(pattern, made, shape)
+  LEFT JOIN {files} f ON regexp_matches('/' || f.file_path, g.shape) GROUP BY g.pattern, g.made""")
 def p05(spark, d):
-    return spark.createDataFrame([(g, p.normal_glob(g)) for g in ("/abs/x", "**/a", "*.rs", "src/", "name")], "pattern string, made string")
+    """How patterns are completed, and how many files each finds."""
+    globs = ("/src1/en/*.md", "**/de/*.py", "*.md", "src2/", "fr")
+    path = F.concat(F.lit("/"), "file_path")
+    counts = v.files(spark, d).agg(*[F.count_if(p.included(path, p.normal_glob(g))).alias(f"n{k}") for k, g in enumerate(globs)])
+    rows = F.array(*[F.struct(F.lit(g).alias("pattern"), F.lit(p.normal_glob(g)).alias("made"), F.col(f"n{k}").alias("files")) for k, g in enumerate(globs)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
 @query("p06_exclude_glob", "SELECT file_id FROM {files} WHERE NOT regexp_matches(file_path, '^(.*/)?src1[^/]*(/.*)?$')")
@@ -143,10 +149,11 @@ def p07(spark, d):
     return f.where(F.col("abs").startswith(p.literal_prefix(g)) & p.included(F.col("abs"), g)).select("file_id")
 
 
-@query("p08_foreign_worktrees", "SELECT * FROM (VALUES ('src/a.py', false), ('.claude/worktrees/x/a.py', true), ('y/.claude/worktrees/me/a.py', false)) t(path, hidden)")
+@query("p08_foreign_worktrees", "SELECT file_id, file_id % 3 = 1 AS hidden FROM {files}")
 def p08(spark, d):
-    rows = spark.createDataFrame([("src/a.py",), (".claude/worktrees/x/a.py",), ("y/.claude/worktrees/me/a.py",)], "path string")
-    return rows.withColumn("hidden", p.foreign_worktree(F.col("path"), "me"))
+    f = v.files(spark, d)
+    path = F.when(F.col("file_id") % 3 == 1, F.concat(F.lit(".claude/worktrees/x/"), "file_path")).when(F.col("file_id") % 3 == 2, F.concat(F.lit("y/.claude/worktrees/me/"), "file_path")).otherwise(F.col("file_path"))
+    return f.select("file_id", p.foreign_worktree(path, "me").alias("hidden"))
 
 
 @query("p10_component_match", "SELECT file_id FROM {files} WHERE tenant_id || '.' || language = 'src1' OR starts_with(tenant_id || '.' || language, 'src1.')")

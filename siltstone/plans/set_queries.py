@@ -23,10 +23,20 @@ def s13(spark, d):
     return v.base(spark, d, "pages").select("page_id", cleaned(F.regexp_replace("html", "<[^>]*>", "")).alias("body"))
 
 
-@query("s15_web_ingest", r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_matches(html, '(?i)<title') AS titled FROM pages WHERE NOT regexp_matches(url, '://(localhost|127\.|10\.|192\.168\.)')")
+_HOSTS = ("localhost:8080", "127.0.0.1", "10.1.2.3", "172.20.0.1", "172.32.0.1", "169.254.169.254", "192.168.1.1", "0.0.0.0", "[::1]:80", "[fd00::1]", "[fe80::1]", "[2001:db8::1]", "u:p@10.0.0.1", "100.64.0.1", "8.8.8.8", "a.internal")
+
+
+@query("s15_web_ingest", r"""WITH p AS (SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN 'http://' || (["""
+    + ", ".join(f"'{h}'" for h in _HOSTS)
+    + r"""])[page_id // 3 % 16 + 1] || '/x' ELSE url END AS url, page_id % 3 <> 0 OR page_id // 3 % 16 IN (4, 11, 14) AS good FROM pages)
+  SELECT page_id, lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1)) AS host, regexp_matches(html, '(?i)<title') AS titled FROM p WHERE good""")
 def s15(spark, d):
-    p = v.base(spark, d, "pages").where(~F.col("url").rlike(r"://(localhost|127\.|10\.|192\.168\.)"))
-    return p.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.col("html").rlike("(?i)<title").alias("titled"))
+    """Pages whose address may be asked; every third has an address of this machine, of a private range or like one."""
+    from siltstone.functions.paths import public_url, url_host
+
+    made = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.floor(F.col("page_id") / 3) % len(_HOSTS) + 1).cast("int"))
+    p = v.base(spark, d, "pages").withColumn("url", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("http://"), made, F.lit("/x"))).otherwise(F.col("url")))
+    return p.where(public_url(F.col("url"))).select("page_id", url_host(F.col("url")).alias("host"), F.col("html").rlike("(?i)<title").alias("titled"))
 
 
 def _scoped(spark, d):

@@ -129,3 +129,12 @@ def test_readers(spark, tmp_path):
     assert got["a.txt"].text == "é" and got["b.csv"].text == "x | y\n1 | 2" and got["c.rtf"].text == "Hello\nWorld"
     assert got["e.docx"].text == "One & two\nthree" and got["f.ipynb"].text == "a\nb"
     assert got["d.pdf"].text is None and got["g.docx"].error
+
+
+@pytest.mark.parametrize(
+    ("url", "host", "open_"),
+    [("https://Example.com:8080/x", "example.com", True), ("http://u:p@10.0.0.1/", "10.0.0.1", False), ("http://172.31.255.1", "172.31.255.1", False), ("http://172.32.0.1", "172.32.0.1", True), ("http://169.254.169.254/latest", "169.254.169.254", False), ("http://[::1]:80/", "[::1]", False), ("http://[fd12::1]/", "[fd12::1]", False), ("http://[2001:db8::1]/", "[2001:db8::1]", True), ("http://0.0.0.0", "0.0.0.0", False), ("http://2130706433/", "2130706433", False), ("http://localhost./", "localhost.", False), ("ftp://a.b", "", False), ("file:///etc", "", False), (None, None, False)],
+)
+def test_addresses(spark, url, host, open_):
+    row = spark.createDataFrame([(url,)], "u string").select(p.url_host(F.col("u")), p.public_url(F.col("u"))).first()
+    assert tuple(row) == (host, open_)
