@@ -34,6 +34,11 @@ def cut(df: DataFrame, name: str = "table", instead: DataFrame | None = None) ->
     return out
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete what cut() wrote for `df`, which no plan may read any more."""
+    _delete(df.sparkSession, df.stored_at)
+
+
 def remove_tables(spark: SparkSession) -> None:
     """Delete all that operators wrote to the shared folder in this application; results that were not written elsewhere go, too."""
     _delete(spark, f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}")
