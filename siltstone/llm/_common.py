@@ -5,45 +5,29 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.store import cut, drop_table, new_place, shared_dir
+
+__all__ = ["ALNUM", "blobs", "bucketed", "drop_table", "new_place", "pieces", "placed", "read", "released", "shared_dir", "table", "without"]
+
 #: Byte table that lower-cases A-Z and turns every ASCII byte but 0-9 and letters into a space.
 ALNUM = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Only where all is on one machine may it be unset; a cluster without it is an error, since executors do not see each other's disks."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
-        return "/tmp/checkpoints"
-    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-
-
-def new_place(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has been written to, below that of this application: see remove_tables."""
-    return f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+#: Most buckets that a table is written in.
+MOST_BUCKETS = 50_000
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, new_place(df.sparkSession, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-#: Most buckets that a table is written in.
-MOST_BUCKETS = 50_000
+    return cut(df, name)
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
@@ -56,21 +40,6 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete what table() wrote for `df`, which no plan may read any more."""
-    _delete(df.sparkSession, df.stored_at)
-
-
-def remove_tables(spark: SparkSession) -> None:
-    """Delete all that the operators wrote to the shared folder in this application; results that were not written elsewhere go, too."""
-    _delete(spark, f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def placed(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
     """`df` with its columns named c0, c1 and so on, which no name that an operator adds is like; those names by the columns' own in lower case, and the columns under their own names again."""
     names = [f"c{k}" for k in range(len(df.columns))]
