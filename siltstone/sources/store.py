@@ -28,7 +28,7 @@ def cut(df: DataFrame, name: str = "table", instead: DataFrame | None = None) ->
     spark, path = df.sparkSession, new_place(df.sparkSession, name)
     df.write.parquet(path)
     if instead is not None:
-        _delete(spark, instead.stored_at)
+        remove(spark, instead.stored_at)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -36,14 +36,15 @@ def cut(df: DataFrame, name: str = "table", instead: DataFrame | None = None) ->
 
 def drop_table(df: DataFrame) -> None:
     """Delete what cut() wrote for `df`, which no plan may read any more."""
-    _delete(df.sparkSession, df.stored_at)
+    remove(df.sparkSession, df.stored_at)
 
 
 def remove_tables(spark: SparkSession) -> None:
     """Delete all that operators wrote to the shared folder in this application; results that were not written elsewhere go, too."""
-    _delete(spark, f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}")
+    remove(spark, f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete `path` with all below it, on whatever store it is; nothing if there is none."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
