@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.sources.store import cut, drop_table, new_place, shared_dir
+from siltstone.sources.store import cut, drop_table, new_place, remove, shared_dir
 
-__all__ = ["ALNUM", "blobs", "bucketed", "drop_table", "new_place", "pieces", "placed", "read", "released", "shared_dir", "table", "without"]
+__all__ = ["ALNUM", "attached", "blobs", "bucketed", "drop_table", "new_place", "pieces", "placed", "read", "released", "remove", "shared_dir", "table", "without"]
 
 #: Byte table that lower-cases A-Z and turns every ASCII byte but 0-9 and letters into a space.
 ALNUM = bytes(
@@ -51,6 +51,24 @@ def without(columns: list[str], backs: list[Column], added: tuple[str, ...]) ->
     return [b for c, b in zip(columns, backs, strict=True) if c.lower() not in added]
 
 
+#: A group with more than one row in so many is met by a broadcast; there are fewer such groups than this.
+HEAVY = 2_000
+
+
+def attached(rows: DataFrame, groups: DataFrame, key: str, size: Column, total: int) -> DataFrame:
+    """`rows` with the columns of the one row of `groups` that has the same `key`, null and null alike; `groups` has every key of `rows`, `size` is how many of the `total` rows have it.
+
+    Rows of groups that hold more than one row in 2,000 do not move: fewer than 2,000 groups can be that large, so these are broadcast
+    whatever the data. All others meet by a join on the key, of which no key has more rows than that.
+    """
+    other = "_other_key"
+    heavy = groups.where(size * HEAVY > total).withColumnRenamed(key, other)
+    light = groups.where(size * HEAVY <= total).withColumnRenamed(key, other)
+    same = F.col(key).eqNullSafe(F.col(other))
+    left = rows.join(F.broadcast(heavy.select(other)), same, "left_anti")
+    return rows.join(F.broadcast(heavy), same).unionByName(left.join(light, same)).drop(other)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
