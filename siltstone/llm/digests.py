@@ -14,9 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.llm._common import MOST_BUCKETS, attached, blobs, drop_table, new_place, pieces, placed, read, released, remove, table
 
-#: Digests of a bucket about, and the fewest buckets, of an index that is made for a table.
+#: Digests of a bucket about.
 BUCKET_ROWS = 1_000_000
-LEAST_BUCKETS = 8
 
 
 def digest(text: bytes | None) -> bytes:
@@ -24,6 +23,11 @@ def digest(text: bytes | None) -> bytes:
     return hashlib.sha256((text or b"").lower()).digest()
 
 
+def usual_buckets(spark: SparkSession, rows: int = 0) -> int:
+    """One for each million digests, but as many as a shuffle has partitions at least: a task then writes one bucket, not a file for each of many."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / BUCKET_ROWS))
+
+
 def with_digest(docs: DataFrame, text: str, name: str = "digest") -> DataFrame:
     """`docs` with the digest of each whole text as binary; a narrow pass."""
     columns = docs.columns
@@ -150,7 +154,7 @@ def duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", p
     rows = table(with_digest(own, "t").select("id", "digest", F.monotonically_increasing_id().alias("row")), "digests")
     total, borders = rows.agg(F.count("*"), F.expr(f"percentile_approx(id, array({', '.join(str(k / deliveries) for k in range(1, deliveries)) or '0.0'}), 1000)")).first()
     borders = sorted(set(borders or []), reverse=True)[: max(0, deliveries - 1)]
-    with DigestIndex(spark, path or new_place(spark, "digest_index"), buckets or max(LEAST_BUCKETS, math.ceil(total / BUCKET_ROWS))) as index:
+    with DigestIndex(spark, path or new_place(spark, "digest_index"), buckets or usual_buckets(spark, total)) as index:
         number, above = [], None
         for least in [*borders, None]:
             part = rows if above is None else rows.where(F.col("id").isNull() | (F.col("id") < above))
@@ -171,10 +175,10 @@ def duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", p
     return out
 
 
-def without_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def without_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """The rows of `docs` that duplicates() keeps, with all their own columns: a delivery to a new index."""
     spark = docs.sparkSession
-    with DigestIndex(spark, new_place(spark, "digest_index"), options.get("buckets") or LEAST_BUCKETS) as index:
+    with DigestIndex(spark, new_place(spark, "digest_index"), buckets or usual_buckets(spark)) as index:
         return table(index.new_documents(docs, doc_id=doc_id, text=text), "kept")
 
 
