@@ -9,6 +9,7 @@ from siltstone.functions import text as ft
 from siltstone.functions.paths import below_prefix
 from siltstone.functions.vectors import cosine, dimensions, mean_vector
 from siltstone.operators import retrieval as r
+from siltstone.plans import indexes
 from siltstone.plans._registry import Registry
 from siltstone.sources import views as v
 
@@ -40,13 +41,8 @@ def _asked(spark):
     return spark.createDataFrame([(0, t, 1.0) for t in ASKED], "query_id int, term string, q double")
 
 
-def _sparse(spark, d, k):
-    from siltstone.sources.store import cut
-
-    docs = v.base(spark, d, "documents").select("doc_id", "text")
-    posts = cut(r.query_postings(docs, "doc_id", "text", list(ASKED)))
-    n = spark.read.parquet(f"{d}/documents.parquet").count()  # from the files' metadata
-    return r.sparse_search(r.sparse_weights(posts, r.lexicon(posts), n), _asked(spark), k)
+def _sparse(spark, d, k, segments=1):
+    return indexes.sparse(spark, d, segments).search(_asked(spark), k)
 
 
 @query("s01_dense_search", "WITH " + _DENSE + " SELECT id, round(score, 6) AS score, rank::INTEGER AS rank FROM dnr WHERE rank <= 20")
@@ -95,13 +91,32 @@ def s02(spark, d):
 
 @query("s02b_indexed_search", "WITH " + _SPARSE + " SELECT id, round(score, 6) AS score, rank::INTEGER AS rank FROM spr WHERE rank <= 20")
 def s02b(spark, d):
-    """The same search over an index that is written once and read by terms."""
-    from siltstone.sources.store import new_place
+    """The same search over an index that was appended in three segments."""
+    return _sparse(spark, d, 20, 3).select("id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("s02c_sparse_filtered", "WITH " + _SPARSE + """, f AS (SELECT sp.id, sp.score FROM sp JOIN documents d ON d.doc_id = sp.id WHERE d.lang = 'en' AND sp.score >= 1.0)
+  SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM f QUALIFY rank <= 20""")
+def s02c(spark, d):
+    """With a least score, among the documents of a filter."""
+    among = v.base(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
+    return indexes.sparse(spark, d).search(_asked(spark), 20, threshold=1.0, among=among).select("id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("s02d_sparse_batch", "WITH " + _TERMS + """, q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(list_transform(regexp_split_to_array(text, ' '), lambda x: lower(x)), lambda x: regexp_matches(x, '^[a-z]{4,}$'))) AS term FROM benchmark),
+  sc AS (SELECT query_id, id, round(sum(weight), 9) AS score FROM wt JOIN q USING (term) GROUP BY query_id, id)
+  SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM sc QUALIFY rank <= 5""")
+def s02d(spark, d):
+    """Every item of the benchmark as a query of its words, in one search."""
+    words = F.filter(F.transform(F.split("text", " "), F.lower), lambda x: x.rlike("^[a-z]{4,}$"))
+    asked = v.base(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words).alias("term")).distinct().withColumn("q", F.lit(1.0))
+    return indexes.sparse(spark, d).search(asked, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
 
-    docs, path = v.base(spark, d, "documents").select("doc_id", "text"), new_place(spark, "index")
-    r.write_index(r.postings(docs, "doc_id", "text"), path)
-    posts = r.indexed_postings(spark, path, list(ASKED))
-    return r.sparse_search(r.sparse_weights(posts, r.lexicon(posts), docs.count()), _asked(spark), 20).select("id", F.round("score", 6).alias("score"), "rank")
+@query("r02b_index_lexicon", "WITH " + _TERMS + " SELECT term, df FROM lex")
+def r02b(spark, d):
+    """Document frequencies out of the index."""
+    return indexes.sparse(spark, d, 3).lexicon()
 
 
 @query("r07_hybrid_rrf", "WITH " + _SPARSE + ", " + _DENSE + """, u AS (SELECT id, 1.0 / (60 + rank) AS s FROM spr WHERE rank <= 40 UNION ALL SELECT id, 0.7 / (60 + rank) FROM dnr WHERE rank <= 40), f AS (SELECT id, sum(s)::DOUBLE AS score FROM u GROUP BY id)

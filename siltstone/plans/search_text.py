@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import paths as p
 from siltstone.operators import textsearch as t
+from siltstone.plans import indexes
 from siltstone.plans._registry import Registry
 from siltstone.sources import views as v
 
@@ -39,6 +40,44 @@ def t03(spark, d):
     return t.regex_matches(v.lines(spark, d), "License|token = .[0-9a-f]+").select("file_id", "line_number")
 
 
+_GROUPS = "(under|with) (the|a) [A-Za-z]+ licen[cs]e|token = .[0-9a-f]+"
+
+
+@query("t02b_indexed_regex", f"SELECT file_id, line_number, content FROM {{lines}} WHERE regexp_matches(content, '{_GROUPS}')")
+def t02b(spark, d):
+    """Groups and alternations by way of the trigram index."""
+    return indexes.lines(spark, d).search(_GROUPS)
+
+
+@query("t02c_indexed_without_literals", "SELECT file_id, line_number FROM {lines} WHERE regexp_matches(content, '^[A-Z][a-z]* [0-9]{2,}|(?:q|z).x')")
+def t02c(spark, d):
+    """A pattern that asks for no trigram: all units are read."""
+    return indexes.lines(spark, d).search("^[A-Z][a-z]* [0-9]{2,}|(?:q|z).x").select("file_id", "line_number")
+
+
+@query("t03b_indexed_any_case", "SELECT file_id, line_number FROM {lines} WHERE regexp_matches(content, '(?i)(api|access)[_ ]?(key|token)|copyright [(]c[)]')")
+def t03b(spark, d):
+    return indexes.lines(spark, d).search("(api|access)[_ ]?(key|token)|copyright [(]c[)]", ignore_case=True).select("file_id", "line_number")
+
+
+@query("t01d_indexed_substring", "SELECT file_id, line_number FROM {lines} WHERE contains(content, 'License')")
+def t01d(spark, d):
+    """Over an index that was appended in two segments."""
+    return indexes.lines(spark, d, 2).exact("License").select("file_id", "line_number")
+
+
+@query("t01e_indexed_ignoring_case", "SELECT file_id, line_number FROM {lines} WHERE contains(lower(content), 'permission is')")
+def t01e(spark, d):
+    return indexes.lines(spark, d, 2).exact("Permission IS", ignore_case=True).select("file_id", "line_number")
+
+
+@query("s09b_line_index_search", "SELECT l.file_id, l.line_number, f.file_path FROM {lines} l JOIN {files} f USING (file_id) WHERE f.tenant_id = 'src3' AND regexp_matches(l.content, 'Licen[cs]e|warrant(y|ies)')")
+def s09b(spark, d):
+    """Matches out of the index, then the files in scope."""
+    found = t.scoped(indexes.lines(spark, d).search("Licen[cs]e|warrant(y|ies)"), v.files(spark, d), tenant="src3")
+    return found.select("file_id", "line_number", "file_path")
+
+
 @query("t04_unique_matches", "SELECT DISTINCT f.tenant_id, l.content FROM {lines} l JOIN {files} f USING (file_id) WHERE contains(l.content, 'License')")
 def t04(spark, d):
     m = t.scoped(t.exact_matches(v.lines(spark, d), "License"), v.files(spark, d))

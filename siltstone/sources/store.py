@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 
@@ -44,6 +45,20 @@ def remove_tables(spark: SparkSession) -> None:
     remove(spark, f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def kept_place(spark: SparkSession, source: str, name: str) -> str:
+    """The path in the shared folder of what is kept for later sessions about the files at `source`: another one once these change. It is not below that of an application."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [at] if store.getFileStatus(at).isFile() else [f.getPath() for f in store.listStatus(at)]
+    marks = sorted(f"{f} {store.getFileStatus(f).getLen()} {store.getFileStatus(f).getModificationTime()}" for f in files)
+    return f"{shared_dir(spark)}/siltstone/kept/{hashlib.sha256(chr(10).join(marks).encode()).hexdigest()}/{name}"
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete `path` with all below it, on whatever store it is; nothing if there is none."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
