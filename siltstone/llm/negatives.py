@@ -28,11 +28,12 @@ ANCHORS_EACH = 4_096
 BLOCKS_EACH = 64
 #: Anchors whose best scores a task remembers from block to block.
 KNOWN = 100_000
+LONG = (1 << 63) - 1
 _BLOCK = T.StructType([T.StructField(n, T.BinaryType()) for n in ("ids", "numbers", "labels", "values", "far")])
 
 
 class Space:
-    """Vectors x of at most the norm M as points (x, sqrt(M^2 - x.x)), queries q as (q, 0): |q' - x'|^2 = q.q + M^2 - 2 q.x, so the nearest points have the highest inner products.
+    """Vectors x of at most the norm M as points (x, sqrt(M^2 - x.x)), queries q as (q M/|q|, 0), so that all have the norm M: |q' - x'|^2 = 2 M^2 - 2 q.x M/|q|, and the nearest points have the highest inner products.
 
     Distances to pivots, which are points themselves, bracket all others by the triangle inequality, and so the inner products.
     """
@@ -53,13 +54,20 @@ class Space:
     def far(self, values: np.ndarray, query: bool = False) -> np.ndarray:
         """Distances of the points of `values` (or of queries) to each pivot."""
         squares = (values**2).sum(1)
-        last = np.zeros(len(values)) if query else np.sqrt(np.maximum(self.square - squares, 0))
+        if query:
+            values, last = values * np.sqrt(self.square / np.where(squares > 0, squares, 1))[:, None], np.zeros(len(values))
+        else:
+            last = np.sqrt(np.maximum(self.square - squares, 0))
         points = np.concatenate([values, last[:, None]], axis=1)
         return np.sqrt(np.maximum((points**2).sum(1)[:, None] + (self.pivots**2).sum(1)[None] - 2 * points @ self.pivots.T, 0))
 
-    def slack(self, query: float) -> float:
+    def score(self, distance, square: float):
+        """The inner product of a query with this square and a point at this distance."""
+        return (self.square - distance**2 / 2) * math.sqrt(square / self.square) if self.square else distance * 0
+
+    def slack(self, square: float) -> float:
         """What rounding can add to a bracket of scores of a query with this square."""
-        return 1e-6 * (query + self.square) + 1
+        return 1e-6 * math.sqrt(square * self.square) + 1
 
 
 class Block:
@@ -79,25 +87,28 @@ class Block:
         self.compared = 0
 
     def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """Exact inner products of some rows: in doubles or longs where these hold them, else in Python's integers."""
+        """Exact inner products of some rows, held at the ends of a long: in doubles or longs where these hold them, else in Python's integers."""
         self.compared += len(rows)
         most = self.top * max(-int(query.min()), int(query.max())) * len(query)
         if most < 1 << 53:
             return (self.doubles[rows] @ query.astype(np.float64)).astype(np.int64)
-        kind = np.int64 if most < 1 << 63 else object
-        return self.values[rows].astype(kind) @ query.astype(kind)
+        if most < 1 << 63:
+            return self.values[rows] @ query
+        found = self.values[rows].astype(object) @ query.astype(object)
+        return np.array([max(-LONG - 1, min(s, LONG)) for s in found.tolist()], np.int64)
 
     def brackets(self, rows: np.ndarray, far: np.ndarray, square: float) -> tuple[np.ndarray, np.ndarray]:
         """What the scores of `rows` cannot be below and above, for a query with these distances to the pivots."""
         own = self.far[rows]
         least, most = np.abs(own - far).max(1), (own + far).min(1)
-        middle, slack = (square + self.space.square) / 2, self.space.slack(square)
-        return middle - most**2 / 2 - slack, middle - least**2 / 2 + slack
+        slack = self.space.slack(square)
+        held = lambda x: np.clip(x, -float(LONG), float(LONG))
+        return held(self.space.score(most, square)) - slack, held(self.space.score(least, square)) + slack
 
     def above(self, far: np.ndarray, square: float) -> float:
         """What no score of the whole block exceeds."""
         least = np.maximum(np.maximum(self.near - far, far - self.farthest), 0).max()
-        return (square + self.space.square) / 2 - least**2 / 2 + self.space.slack(square)
+        return float(self.space.score(least, square)) + self.space.slack(square)
 
     def best_of_label(self, label: int, number: int, id_: int, query: np.ndarray, far: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
         """(score, id) of the `k` best other rows of a label that score `floor` at least."""
@@ -216,10 +227,6 @@ def _floor(known: dict, key, k: int) -> int | None:
     return best[-1] if len(best) == k else None
 
 
-def _held(score: int) -> int:
-    return max(-(1 << 63), min(score, (1 << 63) - 1))
-
-
 def hard_negatives(
     vectors: DataFrame,
     is_anchor: Column,
@@ -236,12 +243,12 @@ def hard_negatives(
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score: for each anchor and each of its positives the hardest rows of other labels.
 
-    Components become floor(scale * x), held at the ends of a long; scores are integer inner products. An anchor's positives are its
+    Components become floor(scale * x), and scores are integer inner products, both held at the ends of a long. An anchor's positives are its
     `positives` best other rows of its label; of the other labels' rows with low * positive_score <= 100 * score <= high *
     positive_score the `negatives` best are returned. Higher scores come first, ties by smaller id. Fewer candidates give fewer
     rows; a pair without a negative gives none, nor does an empty table. Rows with a null id, label or vector, with a null
     or non-finite component, or whose vector has another length than most take no part. Rows that repeat an id are an anchor each and a candidate
-    each, but none for an anchor of their own id as a positive. Scores beyond a long are held at its ends in the result only. Other columns are not read. Labels other than integers
+    each, but none for an anchor of their own id as a positive. Other columns are not read. Labels other than integers
     are told apart by 64-bit hashes.
 
     Every row is a candidate for every anchor. Candidates lie in blocks with their distances to `pivots` pivots, chosen far apart among
@@ -265,7 +272,7 @@ def hard_negatives(
     def ask_positives(block: Block, a: dict, known: dict):
         found = block.best_of_label(a["label"], a["number"], a["id"], a["v"], a["far"], positives, _floor(known, a["number"], positives))
         _noted(known, a["number"], found, positives)
-        return [(a["number"], i, _held(s)) for s, i in found]
+        return [(a["number"], i, s) for s, i in found]
 
     columns = "number long, positive_id long, positive_score long"
     found = _walk(_met(blocks, anchors, asked, n_blocks), space, dims, ask_positives, columns)
@@ -281,7 +288,7 @@ def hard_negatives(
         got = block.best_between(a["label"], a["v"], a["far"], [r for _, r in ranges], negatives, [_floor(known, k, negatives) for k in keys])
         for key, pairs in zip(keys, got, strict=True):
             _noted(known, key, pairs, negatives)
-        return [(n, p, i, _held(s)) for (n, p), pairs in zip(keys, got, strict=True) for s, i in pairs]
+        return [(n, p, i, s) for (n, p), pairs in zip(keys, got, strict=True) for s, i in pairs]
 
     columns = "number long, place long, negative_id long, negative_score long"
     found = _walk(_met(blocks, anchors.join(mine, "number"), asked, n_blocks), space, dims, ask_negatives, columns)
