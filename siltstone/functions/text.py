@@ -129,6 +129,7 @@ _HARMLESS = (
     r"|(?:var|local|data|module|env|secrets?|vault|ref|self|this|config|settings)\.[\w.\-]+|[\w.\-]*\(.*\)|change[_\-]?me|changeit|your[_\-][\w\-]*|to[_\-]?do|todo|tbd|placeholder|example|sample|dummy|fixme)"
 )
 _PROSE = r"\p{L}[\p{L}\p{M}'’.,;:!?()\-]*(?:\s+\p{L}[\p{L}\p{M}'’.,;:!?()\-]*)+"
+#: An address with a password, and the two ends of a private key. Fixed values.
 _ADDRESS = r"""([a-zA-Z][a-zA-Z0-9+.\-]*://[^\s:/@"']+:)"""
 _BEGIN, _END = r"^\s*-{5}BEGIN [A-Z0-9 ]*PRIVATE KEY-{5}", r"^\s*-{5}END [A-Z0-9 ]*PRIVATE KEY-{5}"
 #: Extensions of files of settings. Fixed values.
@@ -163,9 +164,11 @@ def _without_value(line: Column) -> Column:
 
 def _without_tokens(line: Column) -> Column:
     out = F.regexp_replace(line, _ADDRESS + r"(?!" + _HARMLESS + r"""@)[^\s@"']{4,}@""", f"$1{MARK}@")
+    marked = out
     for shape in SECRETS.values():
-        out = F.regexp_replace(out, shape, MARK)
-    return out
+        marked = F.regexp_replace(marked, shape, MARK)
+    # one look at a line tells whether any of the shapes is in it
+    return F.when(out.rlike("|".join(SECRETS.values())), marked).otherwise(out)
 
 
 def redacted(text: Column, key_values: Column | bool = True) -> Column:
@@ -182,17 +185,25 @@ def redacted(text: Column, key_values: Column | bool = True) -> Column:
         in_element = F.regexp_replace(body, _ELEMENT + rf"(?!\s*(?:{_HARMLESS}|{_PROSE})\s*</)(?=\s*[^<\s][^<]{{2,}}[^<\s]\s*<)[^<]{{4,}}(?=</)", f"$1{MARK}")
         return F.concat(_without_tokens(F.when(settings, F.coalesce(_without_value(body), in_element)).otherwise(body)), end)
 
-    def keyed(found: Column) -> Column:
-        """`found`, lines and their numbers, where lines between the two ends of a private key are the mark."""
-        ends = lambda shape: F.transform(F.filter(found, lambda y: y["x"].rlike(shape)), lambda y: y["k"])
-        last = lambda shape, k: F.coalesce(F.array_max(F.filter(ends(shape), lambda z: z < k)), F.lit(-1))
-        inside = lambda y: (last(_BEGIN, y["k"]) > last(_END, y["k"])) & ~y["x"].rlike(_END)
-        armour = lambda y: y["x"].rlike(_BEGIN) | y["x"].rlike(_END)
-        return F.transform(found, lambda y: F.when(inside(y), F.concat(F.lit(MARK), F.regexp_extract(y["x"], "(\r)$", 1))).when(armour(y), y["x"]).otherwise(clean(y["x"])))
+    def keyed() -> Column:
+        """The lines, those between the two ends of a private key as the mark. The text is cut before each line that begins a key, and what follows before the first line that ends one, so each line is looked at once."""
+        ends = lambda x: x.rlike(_END)
+        armour = lambda x: x.rlike(_BEGIN) | ends(x)
+        plain = lambda xs: F.transform(xs, lambda x: F.when(armour(x), x).otherwise(clean(x)))
+        marked = lambda x: F.concat(F.lit(MARK), F.regexp_extract(x, "(\r)$", 1))
+        before = lambda end: r"\n(?=" + end.replace(r"^\s*", r"[^\S\n]*") + ")"
+
+        def part(chunk: Column) -> Column:
+            halves = F.split(chunk, before(_END), 2)
+            inside, rest = F.split(halves[0], "\n"), F.when(F.size(halves) > 1, F.split(F.get(halves, F.lit(1)), "\n")).otherwise(F.array().cast("array<string>"))
+            begun = inside[0].rlike(_BEGIN) & ~ends(inside[0])
+            key = F.concat(F.slice(inside, 1, 1), F.transform(F.slice(inside, 2, F.greatest(F.lit(0), F.size(inside) - 1)), marked))
+            return F.concat(F.when(begun, key).otherwise(plain(inside)), plain(rest))
+
+        return F.flatten(F.transform(F.split(text, before(_BEGIN)), part))
 
-    numbered = F.transform(lines, lambda x, k: F.struct(x.alias("x"), k.alias("k")))
     sign = text.rlike(r"(?i)pass|pwd|secret|key|token|credential|://|AKIA|gh[pousr]_|github_pat|glpat-|xox|sk[-_]|AIza|SG\.|npm_|hf_|eyJ")
-    return F.when(text.contains("PRIVATE KEY-----"), F.array_join(keyed(numbered), "\n")).when(sign, F.array_join(F.transform(lines, clean), "\n")).otherwise(text)
+    return F.when(text.contains("PRIVATE KEY-----"), F.array_join(keyed(), "\n")).when(sign, F.array_join(F.transform(lines, clean), "\n")).otherwise(text)
 
 
 def accent_folded(text: Column) -> Column:

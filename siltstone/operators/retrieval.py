@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions.text import raw_tokens, terms_of_token
 from siltstone.functions.vectors import cosine
+from siltstone.sources.store import cut
 
 RRF = 60
 #: Most queries of a search that meet the points at once.
@@ -236,6 +237,32 @@ def within_budget(hits: DataFrame, size: str, budget: int, by: str = "query_id",
     return hits.withColumn("_over", over).withColumn("_n", F.row_number().over(w)).where("_over = 0 or _n = 1").drop("_over", "_n")
 
 
+def first_within_budget(rows: DataFrame, size: str, budget: int, order: list[str]) -> DataFrame:
+    """within_budget() of one list that is a whole table in `order`, which leaves no ties: rows before their sizes add up to more than `budget`, the first in any case.
+
+    Sizes that are null or below 0 count as 0. Rows are dealt by ranges and summed in each; only a row for each range is brought together, and
+    running sums are made in the one range in which the budget ends; ranges behind it are not looked at again.
+    """
+    if budget <= 0:
+        return rows
+    taken = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
+    dealt = cut(rows.repartitionByRange(*order).withColumns({"_part": F.spark_partition_id(), "_size": taken}), "ranges")
+    sums = sorted(dealt.groupBy("_part").agg(F.sum("_size").alias("s")).collect())
+    before, whole, last = 0, [], None
+    for r in sums:
+        if before + r.s > budget:
+            last = r._part
+            break
+        before, whole = before + r.s, [*whole, r._part]
+    out = dealt.where(F.col("_part").isin(whole))
+    if last is not None:
+        w = W.partitionBy("_part").orderBy(*order)
+        running = F.sum("_size").over(w.rowsBetween(W.unboundedPreceding, 0)) + before
+        ending = dealt.where(F.col("_part") == last).withColumns({"_sum": running, "_n": F.row_number().over(w)})
+        out = out.unionByName(ending.where((F.col("_sum") <= budget) | ((F.col("_n") == 1) & F.lit(not whole))).drop("_sum", "_n"))
+    return out.drop("_part", "_size")
+
+
 def page(hits: DataFrame, offset: int, limit: int, order: list, by: str = "query_id") -> DataFrame:
     """Rows offset + 1 .. offset + limit of each query, and whether there are more."""
     w = W.partitionBy(by)

@@ -247,9 +247,7 @@ def r24(spark, d):
 
 @query("w10_byte_budget", "WITH s AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS t FROM documents) SELECT doc_id FROM s WHERE t <= 24000 OR doc_id = 0")
 def w10(spark, d):
-    """Hits are in order and each takes a byte at least, so no more of them than the budget has bytes are looked at, and each task keeps its own first ones."""
-    docs = v.base(spark, d, "documents").select(F.lit(0).alias("query_id"), "doc_id", "n_chars").orderBy("doc_id").limit(24_000)
-    return r.within_budget(docs, "n_chars", 24_000, order="doc_id").select("doc_id")
+    return r.first_within_budget(v.base(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", 24_000, ["doc_id"]).select("doc_id")
 
 
 @query("r25_shaped_payloads", "SELECT doc_id, left(text, 1500) AS body, length(text) > 1500 AS cut FROM documents")
