@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions.diff import edits
 from siltstone.functions.paths import excluded, included
 
 COUNT_CAP = 10_000
@@ -114,19 +116,29 @@ def line_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("state", F.when(F.col("old_line").isNull(), "inserted").when(F.col("new_line").isNull(), "deleted").otherwise("unchanged"))
 
 
-def line_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Ordered diff of each file's lines: tag (equal, replace, insert, delete), and the line ranges of both sides. A file is one group."""
-    import difflib
-
-    import pandas as pd
-
-    def diff(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = (s.sort_values("line_number")["content"].tolist() for s in (a, b))
-        ops = difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
-        return pd.DataFrame([(key[0], *o) for o in ops], columns=["file_id", "tag", "old_from", "old_to", "new_from", "new_to"])
-
-    sides = [s.select("file_id", "line_number", "content").groupBy("file_id") for s in (old, new)]
-    return sides[0].cogroup(sides[1]).applyInPandas(diff, "file_id long, tag string, old_from long, old_to long, new_from long, new_to long")
+def line_diff(old: DataFrame, new: DataFrame, content: str = "content") -> DataFrame:
+    """file_id, place, op, old_line, new_line, text: a shortest edit script of each file from `old` to `new` (file_id, content), in order.
+
+    op is unchanged, changed, inserted or deleted; text is the new line where there is one to write. Lines stand between line feeds; those of `new` end without a carriage
+    return, so a line that differs by it is changed. Files of one side only, and null contents, are all inserted or all deleted. A file is a row, so its two contents are what a task holds at a
+    time, and a few numbers for each line.
+    """
+
+    def run(batches):
+        names = ["file_id", "place", "op", "old_line", "new_line", "text"]
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+        for batch in batches:
+            for i, a, b in zip(*(batch.column(k) for k in range(3)), strict=True):
+                x, y = ([] if s.as_py() is None else s.as_py().split("\n") for s in (a, b))
+                y = [line.removesuffix("\r") for line in y]
+                found = edits(x, y)
+                for at in range(0, len(found), 10_000):
+                    part = found[at : at + 10_000]
+                    columns = [[i.as_py()] * len(part), range(at, at + len(part)), *zip(*part, strict=True), [y[n - 1] if op in ("changed", "inserted") else None for op, _, n in part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    both = old.select("file_id", F.col(content).alias("a")).join(new.select("file_id", F.col(content).alias("b")), "file_id", "full_outer")
+    return both.select(F.col("file_id").cast("long"), "a", "b").mapInArrow(run, "file_id long, place int, op string, old_line int, new_line int, text string")
 
 
 def branch_repairs(mirror: DataFrame, tracked: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import enrich_queries, graph_queries, search_ranked, search_text, set_queries, stream_queries, telemetry
+from siltstone.plans import code_queries, enrich_queries, graph_queries, search_ranked, search_text, set_queries, stream_queries, telemetry
 
-MODULES = (search_ranked, enrich_queries, graph_queries, telemetry, search_text, set_queries, stream_queries)
+MODULES = (search_ranked, enrich_queries, graph_queries, telemetry, search_text, set_queries, stream_queries, code_queries)
 
 
 def queries() -> dict:

@@ -122,6 +122,19 @@ def t09(spark, d):
     return t.line_changes(old, new).groupBy("file_id", "state").agg(F.count("*").alias("n"))
 
 
+@query("t09b_shortest_edits", """WITH n AS (SELECT file_id, count(*) AS old, count(*) FILTER (line_number % 7 <> 0) AS new, count(*) FILTER (line_number % 7 <> 0 AND line_number % 5 <> 0) AS kept FROM {lines} GROUP BY file_id)
+  SELECT file_id, kept AS unchanged, old - kept AS removed, new - kept AS added FROM n""")
+def t09b(spark, d):
+    """Every seventh line is taken out, of the rest every fifth is written anew in a way that no other line has: a longest common part is all others."""
+    files = v.base(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content")).where("content is not null")
+    at = F.transform(F.split("content", "\n"), lambda x, k: F.struct(x.alias("x"), (k + 1).alias("k")))
+    kept = F.filter(at, lambda y: y["k"] % 7 != 0)
+    new = F.transform(kept, lambda y: F.when(y["k"] % 5 == 0, F.concat(F.lit("line "), y["k"].cast("string"), F.lit(" of another text \u2603"))).otherwise(y["x"]))
+    edits = t.line_diff(files, files.select("file_id", F.array_join(new, "\n").alias("content")))
+    count = lambda *ops: F.count_if(F.col("op").isin(*ops))
+    return edits.groupBy("file_id").agg(count("unchanged").alias("unchanged"), count("changed", "deleted").alias("removed"), count("changed", "inserted").alias("added"))
+
+
 @query("t10_line_sequence", "SELECT file_id, line_number, line_number * 1000.0::DOUBLE AS seq FROM {lines}")
 def t10(spark, d):
     return t.line_sequence(v.lines(spark, d)).select("file_id", "line_number", "seq")

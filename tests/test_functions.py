@@ -92,13 +92,6 @@ def test_bad_patterns(spark):
     assert t.exact_matches(lines, "").count() == 0
 
 
-def test_line_diff(spark):
-    old = spark.createDataFrame([(1, k, c) for k, c in enumerate("abcd", 1)], "file_id long, line_number int, content string")
-    new = spark.createDataFrame([(1, k, c) for k, c in enumerate("acxd", 1)], "file_id long, line_number int, content string")
-    ops = sorted(tuple(r)[1:] for r in t.line_diff(old, new).collect())
-    assert ("delete", 1, 2, 1, 1) in ops and ("insert", 3, 3, 2, 3) in ops
-
-
 def test_betweenness_of_a_path(spark):
     e_ = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "source string, target string")
     got = {r.node_id: round(r.score, 6) for r in g.betweenness(e_).collect()}
