@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.operators.sparse_index import SparseIndex
 from siltstone.operators.trigram_index import TrigramIndex
+from siltstone.operators.vector_index import VectorIndex
 from siltstone.sources import views as v
 from siltstone.sources.store import kept_place
 
@@ -30,3 +31,11 @@ def lines(spark: SparkSession, sf_dir: str, segments: int = 1) -> TrigramIndex:
         docs = documents(spark, sf_dir)
         index.append(docs.where(f"doc_id % {segments} = {k}") if segments > 1 else docs, "doc_id", "text")
     return index
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The index of all points, appended in two segments."""
+    index = VectorIndex(spark, kept_place(spark, f"{sf_dir}/embeddings.parquet", "vectors"))
+    for k in range(len(index.segments()), 2):
+        index.append(v.points(spark, sf_dir).where(f"id % 2 = {k}"))
+    return index

@@ -50,6 +50,32 @@ def s01(spark, d):
     return _dense(spark, d, 20).select("id", F.round("score", 6).alias("score"), "rank")
 
 
+def _twentieth(spark, d):
+    return v.points(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("dense").alias("vector"))
+
+
+@query("s01b_ann_search")
+def s01b(spark, d):
+    """About the ten most similar points of every twentieth, out of the index; tested by its recall."""
+    return indexes.vectors(spark, d).search(_twentieth(spark, d), 10)
+
+
+@query("s01c_ann_recall", "SELECT count(*) AS queries, true AS nine_in_ten FROM {points} WHERE id % 20 = 0")
+def s01c(spark, d):
+    """Whether the index finds nine in ten of what a scan of all points finds."""
+    asked = _twentieth(spark, d)
+    exact = r.dense_search(v.points(spark, d), asked, 10).select("query_id", "id")
+    found = indexes.vectors(spark, d).search(asked, 10).select("query_id", "id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("nine_in_ten"))
+
+
+@query("s01d_ann_all_cells", "WITH q AS (SELECT id AS query_id, dense AS v FROM {points} WHERE id % 20 = 0), s AS (SELECT query_id, p.id, list_dot_product(p.dense, v) / (sqrt(list_dot_product(p.dense, p.dense)) * sqrt(list_dot_product(v, v))) AS score FROM points p, q) SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 3")
+def s01d(spark, d):
+    """With all cells read, codes tell the best of which exact scores are taken."""
+    return indexes.vectors(spark, d).search(_twentieth(spark, d), 3, probe=1 << 20, rescore=40).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("p09_score_threshold", "WITH " + _DENSE + " SELECT id, round(score, 6) AS score FROM dnr WHERE score >= 0.2 AND rank <= 50")
 def p09(spark, d):
     return _dense(spark, d, 50, 0.2).select("id", F.round("score", 6).alias("score"))
