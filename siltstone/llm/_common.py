@@ -30,12 +30,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return cut(df, name)
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """As table(), in buckets by `key`: what is grouped or joined by `key` later meets `df` without moving it."""
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, forget: bool = False) -> DataFrame:
+    """As table(), in buckets by `key`: what is grouped or joined by `key` later meets `df` without moving it. With `forget` the session's catalogue knows the table only until its plan is made."""
     spark, place = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     path = new_place(spark, name)
     df.write.bucketBy(max(1, min(buckets, MOST_BUCKETS)), key).option("path", path).saveAsTable(place)
     out = spark.table(place)
+    if forget:
+        spark.sql(f"DROP TABLE {place}")
     out.stored_at = path
     return out
 

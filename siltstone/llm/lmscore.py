@@ -163,11 +163,11 @@ def chunked(documents: DataFrame, id: str, text: str, chunk: int = CHUNK) -> Dat
             yield box()
 
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(documents.schema[id].dataType)), T.StructField("rows", T.BinaryType())])
-    return bucketed(documents.mapInArrow(released(boxes), schema), "chunks", "chunk", documents.rdd.getNumPartitions())
+    return bucketed(documents.mapInArrow(released(boxes), schema), "chunks", "chunk", documents.rdd.getNumPartitions(), forget=True)
 
 
 def _count_chunk(tasks: int, text: str, batches):
-    """Rows of (task, chunk, keys, background, target): how often the n-grams of a chunk's texts are in them, those of each task apart, also where there are none."""
+    """Rows of (task, chunk, keys, background, target): how often the n-grams of a chunk's texts are in them, those of each task apart; a task that has none of them gets no row, so a chunk sends no more rows than it has n-grams."""
     for batch in pieces(batches, 1):
         chunk, rows = batch.column(0)[0].as_py(), _unboxed(batch.column(1)[0].as_py())
         grams_, n = _gathered(rows.column(text).to_pylist())
@@ -181,9 +181,17 @@ def _count_chunk(tasks: int, text: str, batches):
         k, b, t = np.concatenate([*keys, [_TOTAL]]), np.concatenate([*background, [(~flag).sum()]]), np.concatenate([*target, [flag.sum()]])
         order = np.argsort(k)
         ends = np.searchsorted(_task_of(k[order], tasks), np.arange(tasks + 1))
-        parts = list(zip(ends, ends[1:]))
+        held = np.flatnonzero(np.diff(ends))
+        parts = [(ends[x], ends[x + 1]) for x in held]
         out = [[_packed(np.diff(k[order[i:j]], prepend=np.uint64(0))) for i, j in parts], *([_packed(x[order[i:j]]) for i, j in parts] for x in (b, t))]  # steps between keys are shorter than keys
-        yield pa.RecordBatch.from_arrays([pa.array(range(tasks), pa.int64()), pa.array([chunk] * tasks, pa.int64()), pa.array(np.diff(ends), pa.int64()), *(pa.array(o, pa.binary()) for o in out)], ["task", "chunk", "n", "keys", "background", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([chunk] * len(held), pa.int64()), pa.array(np.diff(ends)[held], pa.int64()), *(pa.array(o, pa.binary()) for o in out)], ["task", "chunk", "n", "keys", "background", "target"])
+
+
+def _word_keys(text: str, batches):
+    """The distinct words of each chunk's texts."""
+    for batch in pieces(batches, 1):
+        grams_, _ = _gathered(_unboxed(batch.column(0)[0].as_py()).column(text).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(grams_[0]).view(np.int64))], ["word"])
 
 
 def _flags(n: int, places: list[int] | None) -> np.ndarray:
@@ -193,7 +201,7 @@ def _flags(n: int, places: list[int] | None) -> np.ndarray:
 
 
 def _sum_task(rows: pa.Table) -> pa.Table:
-    """Rows of (chunk, task, words, background, target): counts over all chunks for each chunk's n-grams, by key, and how many words this task knows."""
+    """Rows of (chunk, task, background, target): counts over all chunks for each chunk's n-grams, by key."""
     n = rows.column("n").to_pylist()
     known, at = np.unique(np.concatenate([np.cumsum(_unpacked(b, k), dtype=np.uint64) for b, k in zip(rows.column("keys").to_pylist(), n, strict=True)]), return_inverse=True)
     ends, sides = np.cumsum([0, *n]), []
@@ -201,12 +209,11 @@ def _sum_task(rows: pa.Table) -> pa.Table:
         met = np.concatenate([_unpacked(b, k) for b, k in zip(rows.column(side).to_pylist(), n, strict=True)])
         counts = np.bincount(at, met, minlength=len(known)).astype(np.uint64)
         sides.append(pa.array([_packed(counts[at[a:b]]) for a, b in zip(ends, ends[1:])], pa.binary()))
-    vocabulary = int(((known & np.uint64(3)) == _WORD).sum())
-    return pa.table([rows.column("chunk"), rows.column("task"), pa.array([vocabulary] * len(n), pa.int64()), *sides], ["chunk", "task", "words", "background", "target"])
+    return pa.table([rows.column("chunk"), rows.column("task"), *sides], ["chunk", "task", "background", "target"])
 
 
-def _score_chunk(tasks: int, text: str, columns: list, prior: float, boxed: pa.Table, counts: pa.Table) -> pa.Table:
-    """The texts of a chunk with their losses by the counts that all tasks gave for its n-grams, less what the text itself gave to them."""
+def _score_chunk(tasks: int, vocabulary: int, text: str, columns: list, prior: float, boxed: pa.Table, counts: pa.Table) -> pa.Table:
+    """The texts of a chunk with their losses by the counts that tasks gave for its n-grams, less what the text itself gave to them."""
     documents = _unboxed(boxed.column("rows")[0].as_py())
     own, n = _gathered(documents.column(text).to_pylist())
     flag, of_text = _flags(len(n), boxed.column("places")[0].as_py()), np.repeat(np.arange(len(n)), n)
@@ -221,7 +228,7 @@ def _score_chunk(tasks: int, text: str, columns: list, prior: float, boxed: pa.T
     order = np.argsort(keys)
     size = np.bincount(_task_of(keys, tasks), minlength=tasks)
     counts = counts.sort_by("task")
-    vocabulary = max(1, sum(counts.column("words").to_pylist()))
+    size = size[counts.column("task").to_numpy()]
     sums = []
     for side in ("target", "background"):
         of = np.zeros(len(keys))
@@ -261,7 +268,8 @@ def cross_entropy_difference(documents: DataFrame, targets: DataFrame, *, doc_id
 
     The counts are never gathered in one place. Texts are put in chunks of about `chunk` bytes; each chunk sends every n-gram
     once, with its counts, to the task that sums it, and gets the sums back. So a frequent n-gram makes as many entries as there
-    are chunks, whatever its count, and needs no salt.
+    are chunks, whatever its count, and needs no salt. A row holds what a chunk and a task have in common, and there is none without an n-gram, so rows never outnumber
+    the chunks' distinct n-grams, however many tasks there are. The vocabulary is counted on its own, by a distinct count that shrinks in each task first.
     """
     own, at, back = placed(documents)
     key, text = at[doc_id.lower()], at[text.lower()]
@@ -272,9 +280,10 @@ def cross_entropy_difference(documents: DataFrame, targets: DataFrame, *, doc_id
     marked = chunks.select("chunk", "rows").join(marks.hint("shuffle_hash"), "chunk", "left")
     tasks = max(1, -(-chunks.count() // CHUNKS_A_TASK))
     counts = marked.mapInArrow(released(partial(_count_chunk, tasks, text)), "task long, chunk long, n long, keys binary, background binary, target binary")
-    sums = counts.groupBy("task").applyInArrow(_sum_task, "chunk long, task long, words long, background binary, target binary")
+    sums = counts.groupBy("task").applyInArrow(_sum_task, "chunk long, task long, background binary, target binary")
     fields = [T.StructField("n_words", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in NAMES[1:])]
-    score = partial(_score_chunk, tasks, text, own.columns, prior)
+    vocabulary = chunks.select("rows").mapInArrow(released(partial(_word_keys, text)), "word long").distinct().count()
+    score = partial(_score_chunk, tasks, max(1, vocabulary), text, own.columns, prior)
 
     def scored(boxed: pa.Table, counts: pa.Table) -> pa.Table:
         return score(boxed, counts)

@@ -81,3 +81,19 @@ def test_texts_that_occur_twice_stand_apart(spark):
     got = {r.doc_id: r.background_loss for r in lmscore.cross_entropy_difference(df, df.where("doc_id between 10 and 20")).collect()}
     twice = {0, 1, 2, 3, 4, 40, 41, 42, 43, 44}
     assert max(got[k] for k in twice) < min(v for k, v in got.items() if k not in twice)
+
+
+def test_rows_exchanged_grow_with_keys_not_with_chunks_times_tasks(spark, monkeypatch):
+    """Eight times as many chunks, and with them tasks: what is sent stays below the chunks' n-grams, and nothing stays in the catalogue."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * 7 + j * j) % 50}" for j in range(8))) for k in range(600)], "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(lmscore, "CHUNKS_A_TASK", 1)
+    sent = []
+    for chunk in (3200, 400):
+        chunks = lmscore.chunked(docs, "doc_id", "text", chunk).select("chunk", "rows", F.lit(None).cast("array<long>").alias("places"))
+        tasks = chunks.count()
+        rows = chunks.mapInArrow(lmscore.partial(lmscore._count_chunk, tasks, "text"), "task long, chunk long, n long, keys binary, background binary, target binary")
+        n, keys = rows.agg(F.count("*"), F.sum("n")).first()
+        assert n <= keys and rows.where("n = 0").count() == 0
+        sent.append((tasks, n))
+    assert sent[1][0] >= 6 * sent[0][0] and sent[1][1] < 0.8 * sent[1][0] ** 2
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
