@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from siltstone.functions.paths import base_name, extension
 from siltstone.functions.vectors import cosine, dimensions, dot, mean_vector, norm
+from siltstone.operators.graphs import components
+from siltstone.sources.store import cut
 
 _CHUNK = T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("content", T.StringType())]))
 
@@ -239,8 +241,51 @@ def _units(vectors: list, dims: int | None = None) -> np.ndarray:
     return out
 
 
+#: Vectors of a block that is held against others when parts are looked for.
+PART_ROWS = 2_048
+
+
+def alike_parts(df: DataFrame, within: str, vector: str, least: float) -> DataFrame:
+    """`df` with `number`, which tells its rows apart, and `part`: rows of one `within` that chains of similarities of `least` or more join have the same.
+
+    Groups of rows whose mean similarity, or whose similarity to one of them, is above `least` never go beyond a part, since one pair at least must be that similar. The vectors of a `within`
+    meet block by block, each pair of blocks in a task of its own; of it only as many pairs go on as it takes to join what is alike. Rounding is allowed
+    for, so a part may be larger than it must be, never smaller.
+    """
+    rows = cut(df.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    blocks = rows.groupBy(within).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("_blocks"))
+    own = rows.select(within, "number", F.col(vector).alias("_v")).join(blocks, within).withColumn("_own", F.pmod(F.xxhash64("number"), F.col("_blocks")).cast("int"))
+    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select(within, "number", "_v", "_own", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"))
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, names = pdf["_own"].to_numpy() == pdf["_low"].iloc[0], pdf["number"].to_numpy()
+        u = _units(pdf["_v"].tolist())
+        sides = (np.arange(len(pdf)),) * 2 if pdf["_low"].iloc[0] == pdf["_high"].iloc[0] else (np.flatnonzero(low), np.flatnonzero(~low))
+        near = u[sides[0]] @ u[sides[1]].T >= least - 1e-9
+        # the rows of the first side in the order in which a walk from one to all that it reaches meets them
+        free, out = [np.ones(len(x), bool) for x in sides], []
+        for start in range(len(sides[0])):
+            todo = [(0, start)] if free[0][start] else []
+            free[0][start] = False
+            while todo:
+                side, k = todo.pop()
+                met = np.flatnonzero((near[k] if side == 0 else near[:, k]) & free[1 - side])
+                free[1 - side][met] = False
+                out += [(names[sides[side][k]], names[sides[1 - side][m]]) for m in met]
+                todo += [(1 - side, int(m)) for m in met]
+        return pd.DataFrame([(a, b) for a, b in out if a != b], columns=["a", "b"], dtype="int64")
+
+    edges = cut(dealt.groupBy(within, "_low", "_high").applyInPandas(joined, "a long, b long"), "alike")
+    found = components(edges, "a", "b")
+    return rows.join(found.withColumnRenamed("node", "number"), "number", "left").withColumn("part", F.coalesce("component", "number")).drop("component")
+
+
 def merged_tags(df: DataFrame, tenant: str, alike: float = 0.85) -> DataFrame:
-    """tenant, tag, canonical, documents: tags by falling document count each begin a group that takes all later ones above `alike`; a group is named after its member nearest to the mean. Input: tenant, tag, documents, vector."""
+    """tenant, tag, canonical, documents: tags by falling document count each begin a group that takes all later ones above `alike`; a group is named after its member nearest to the mean. Input: tenant, tag, documents, vector.
+
+    A group lies in one part of tags that are alike (alike_parts), and the parts of a tenant are merged apart from each other, which gives what one walk over all its tags gives.
+    """
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["documents", "tag"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -258,7 +303,8 @@ def merged_tags(df: DataFrame, tenant: str, alike: float = 0.85) -> DataFrame:
             out += [(pdf.at[0, tenant], pdf.at[int(i), "tag"], name, total) for i in own]
         return pd.DataFrame(out, columns=[tenant, "tag", "canonical", "documents"])
 
-    return df.groupBy(tenant).applyInPandas(merge, f"{tenant} string, tag string, canonical string, documents long")
+    parts = alike_parts(df.select(tenant, "tag", "documents", "vector"), tenant, "vector", alike)
+    return parts.groupBy(tenant, "part").applyInPandas(merge, f"{tenant} string, tag string, canonical string, documents long")
 
 
 def average_linkage(v: np.ndarray, at: float) -> np.ndarray:
@@ -298,33 +344,32 @@ def average_linkage(v: np.ndarray, at: float) -> np.ndarray:
     return label
 
 
-def tag_levels(df: DataFrame, tenant: str, near: float = 0.7, wide: float = 0.5, least: int = 10, most: int = 32_768) -> DataFrame:
+def tag_levels(df: DataFrame, tenant: str, near: float = 0.7, wide: float = 0.5, least: int = 10) -> DataFrame:
     """tenant, tag, level2, level1: average-linkage groups of tags at `near` similarity, and groups of those groups' means at `wide`; named by their least member. Tenants of fewer than `least` tags have none. Input: tenant, tag, documents, vector.
 
-    A tenant's tags are one group of rows, since any two may be linked. Beyond `most`, which bounds the time, those with the
-    most documents are linked and the others are groups of their own at both levels; no tag is left out.
+    Groups are linked part by part (alike_parts), at both levels, which is exact: no group leaves a part. A part is one task, whatever a tenant's size; a tag that is like no other is a part of its own.
     """
-
-    def levels(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [tenant, "tag", "level2", "level1"]
-        if len(pdf) < least:
-            return pd.DataFrame(columns=names)
-        pdf = pdf.sort_values(["documents", "tag"], ascending=[False, True])
-        rest, pdf = pdf.iloc[most:], pdf.iloc[:most].sort_values("tag").reset_index(drop=True)
-        v = np.stack(pdf["vector"].map(np.asarray)).astype(float)
-        two = average_linkage(v, near)
-        heads = np.unique(two)
-        one = average_linkage(np.stack([v[two == h].mean(axis=0) for h in heads]), wide)
-        up = heads[one[np.searchsorted(heads, two)]]
-        tags = pdf["tag"].to_numpy(object)
-        out = pd.DataFrame({"tag": tags, "a": two, "b": up})
-        out["level2"], out["level1"] = out.groupby("a")["tag"].transform("min"), out.groupby("b")["tag"].transform("min")
-        alone = pd.DataFrame({"tag": rest["tag"], "level2": rest["tag"], "level1": rest["tag"]})
-        out = pd.concat([out[["tag", "level2", "level1"]], alone])
-        out.insert(0, tenant, pdf.at[0, tenant])
-        return out[names]
-
-    return df.groupBy(tenant).applyInPandas(levels, f"{tenant} string, tag string, level2 string, level1 string")
+    enough = df.groupBy(tenant).count().where(F.col("count") >= least).select(tenant)
+    tags = alike_parts(df.select(tenant, "tag", "vector").join(enough, tenant, "left_semi"), tenant, "vector", near)
+
+    def linked(at: float, name: str):
+        def link(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values([name, "number"]).reset_index(drop=True)
+            v = np.stack(pdf["vector"].map(np.asarray)).astype(float)
+            label = average_linkage(v, at)
+            # the mean of a group stands in the row of its first member
+            means = [v[label == k].mean(axis=0).tolist() if label[k] == k else None for k in range(len(pdf))]
+            return pd.DataFrame({tenant: pdf[tenant], "tag": pdf[name], "own": pdf["number"], "head": pdf["number"].to_numpy()[label], "group": pdf[name].to_numpy(object)[label], "mean": means})
+
+        return link
+
+    kind = f"{tenant} string, tag string, own long, head long, group string, mean array<double>"
+    two = cut(tags.groupBy(tenant, "part").applyInPandas(linked(near, "tag"), kind), "level2")
+    heads = two.where("mean is not null").select(tenant, F.col("group").alias("tag"), F.col("head").alias("below"), F.col("mean").alias("vector"))
+    up = alike_parts(heads, tenant, "vector", wide)
+    one = up.groupBy(tenant, "part").applyInPandas(linked(wide, "tag"), kind).select(F.col("own").alias("number"), F.col("group").alias("level1"))
+    one = up.select("number", "below").join(one, "number").select(F.col("below").alias("head"), "level1")
+    return two.join(one, "head").select(tenant, "tag", F.col("group").alias("level2"), "level1")
 
 
 def taxonomy_matches(vectors: DataFrame, terms: DataFrame, least: float = 0.35, margin: float = 0.06, most: int = 10) -> DataFrame:

@@ -67,19 +67,49 @@ def tags(spark, n, dims=4, seed=0):
     return rows, spark.createDataFrame(rows, "tenant string, tag string, documents long, score double, vector array<double>")
 
 
-def test_tag_levels_keep_every_tag(spark):
-    rows, df = tags(spark, 40)
-    v, names = np.array([r[4] for r in rows]), [r[1] for r in rows]
-    two = naive_linkage(v, 0.6)
+def naive_levels(rows, near, wide):
+    """{tag: (level2, level1)} of one tenant's (tag, vector)."""
+    names, v = [r[0] for r in sorted(rows)], np.array([r[1] for r in sorted(rows)])
+    two = naive_linkage(v, near)
     heads = np.unique(two)
-    one = naive_linkage(np.stack([v[two == h].mean(axis=0) for h in heads]), 0.3)
+    one = naive_linkage(np.stack([v[two == h].mean(axis=0) for h in heads]), wide)
     up = np.array([heads[one[list(heads).index(h)]] for h in two])
-    want = {n: (min(names[k] for k in np.flatnonzero(two == two[i])), min(names[k] for k in np.flatnonzero(up == up[i]))) for i, n in enumerate(names)}
+    return {n: (min(names[k] for k in np.flatnonzero(two == two[i])), min(names[k] for k in np.flatnonzero(up == up[i]))) for i, n in enumerate(names)}
+
+
+@pytest.mark.parametrize("part_rows", [2_048, 7])
+def test_tag_levels_keep_every_tag(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(e, "PART_ROWS", part_rows)
+    rows, df = tags(spark, 40)
     got = {r.tag: (r.level2, r.level1) for r in e.tag_levels(df, "tenant", 0.6, 0.3).collect()}
-    assert got == want
-    few = {r.tag: (r.level2, r.level1) for r in e.tag_levels(df, "tenant", 0.6, 0.3, most=25).collect()}
-    rest = sorted(rows, key=lambda r: (-r[2], r[1]))[25:]
-    assert set(few) == set(want) and all(few[r[1]] == (r[1], r[1]) for r in rest)
+    assert got == naive_levels([(r[1], r[4]) for r in rows], 0.6, 0.3)
+    assert e.tag_levels(df.where("tag < 'tag09'"), "tenant").count() == 0
+
+
+def test_parts_join_what_is_alike(spark, monkeypatch):
+    monkeypatch.setattr(e, "PART_ROWS", 5)
+    rows, df = tags(spark, 60, dims=3, seed=7)
+    unit = np.array([np.array(r[4]) / np.linalg.norm(r[4]) for r in rows])
+    part = np.arange(60)
+    for _ in range(60):
+        part = np.array([part[unit @ unit[k] >= 0.9].min() for k in range(60)])
+    got = {r.tag: r.part for r in e.alike_parts(df, "tenant", "vector", 0.9).collect()}
+    same = np.array([got[r[1]] for r in rows])
+    assert ((same[:, None] == same[None]) == (part[:, None] == part[None])).all() and 1 < len(set(part)) < 60
+
+
+def test_hierarchy_rebuild_is_the_plain_one(spark, data):
+    """The registered query over its whole table."""
+    from siltstone.plans import catalog
+    from siltstone.sources import views as v
+
+    tenants = collections.defaultdict(list)
+    for r in v.points(spark, data).collect():
+        tenants[r.tenant_id].append((f"tag{r.id}", r.dense))
+    got = collections.defaultdict(dict)
+    for r in catalog.queries()["e18_hierarchy_rebuild"](spark, data).collect():
+        got[r.tenant][r.tag] = (r.level2, r.level1)
+    assert got == {t: naive_levels(rows, 0.3, 0.1) for t, rows in tenants.items() if len(rows) >= 10}
 
 
 def test_diverse_tags(spark):
