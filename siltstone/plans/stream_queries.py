@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.plans._registry import Registry
 from siltstone.sources import views as v
 from siltstone.streaming import ingest as s
+from siltstone.streaming import leases
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -55,6 +56,15 @@ def x06(spark, d):
     return s.claimable(q, F.lit("1996-01-01").cast("timestamp_ntz")).select("queue_id")
 
 
+@query("x06b_lease_history", """WITH RECURSIVE c AS (SELECT DISTINCT user_id AS item_id, epoch_us(ts) // 1000 AS at_ms FROM events),
+  g AS (SELECT item_id, min(at_ms) AS at_ms FROM c GROUP BY item_id UNION ALL SELECT c.item_id, min(c.at_ms) FROM g JOIN c ON c.item_id = g.item_id AND c.at_ms > g.at_ms + 86400000 GROUP BY c.item_id)
+  SELECT item_id, at_ms, at_ms + 86400000 AS lease_until_ms FROM g""")
+def x06b(spark, d):
+    """Every event claims its user's item for a day: which claims are granted."""
+    claims = v.base(spark, d, "events").select(F.col("user_id").alias("item_id"), F.col("event_id").alias("id"), F.lit("claim").alias("kind"), F.lit("w").alias("worker"), F.col("ts").cast("timestamp").alias("at"))
+    return leases.lease_history(claims, 86_400).where("outcome = 'granted'").select("item_id", "at_ms", "lease_until_ms")
+
+
 @query("k05_priority_order", "SELECT queue_id FROM {queue} WHERE status = 'pending' ORDER BY CASE WHEN date_diff('day', CAST(created_at AS DATE), DATE '1998-08-02') > 2000 THEN 0 ELSE priority END, CASE WHEN op = 'delete' THEN 0 ELSE 1 END, retry_count, created_at, queue_id LIMIT 40")
 def k05(spark, d):
     q = v.queue(spark, d).where("status = 'pending'")
