@@ -19,6 +19,8 @@ PRIOR = 4.0
 #: Bytes of text whose n-grams are counted and looked up together, and how many such chunks' counts a task sums on average.
 CHUNK = 4_000_000
 CHUNKS_A_TASK = 6
+#: Words of several chunks that a task holds while it counts distinct ones.
+WORDS_HELD = 2_000_000
 #: A text longer than this is taken apart in pieces that end at white space.
 PIECE = 1_000_000
 _SPACE = re.compile(rb"\s")
@@ -188,10 +190,20 @@ def _count_chunk(tasks: int, text: str, batches):
 
 
 def _word_keys(text: str, batches):
-    """The distinct words of each chunk's texts."""
+    """The distinct words of a task's texts, handed on when they are many."""
+    held, size = [], 0
     for batch in pieces(batches, 1):
-        grams_, _ = _gathered(_unboxed(batch.column(0)[0].as_py()).column(text).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(grams_[0]).view(np.int64))], ["word"])
+        own = [np.unique(words(t)) for t in _unboxed(batch.column(0)[0].as_py()).column(text).to_pylist()]
+        held.append(np.unique(np.concatenate([np.empty(0, np.uint64), *own]) & ~np.uint64(3)))
+        size += len(held[-1])
+        if size > WORDS_HELD:
+            held = [np.unique(np.concatenate(held))]
+            size = len(held[0])
+            if size > WORDS_HELD // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64))], ["word"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)).view(np.int64))], ["word"])
 
 
 def _flags(n: int, places: list[int] | None) -> np.ndarray:
