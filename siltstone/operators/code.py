@@ -12,6 +12,8 @@ from siltstone.sources.store import cut
 
 #: Characters of a chunk: tokens that a model reads, four characters each.
 CHUNK_CHARS = 512 * 4
+#: Rows that Python holds before it hands them on.
+ROWS = 2_000
 #: Most definitions of a name among which an edge is split.
 SPLIT = 10
 _ROWS = "file_id long, number int, symbol string, symbol_kind string, first_line int, last_line int, kind string, name string, target int"
@@ -26,10 +28,16 @@ def _each(files: DataFrame, file_id: str, content: str, language: Column | str,
     lang = F.col(language) if isinstance(language, str) else language
 
     def run(batches):
+        held: list[tuple] = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
         for batch in batches:
             for i, source, kind in zip(*(batch.column(k) for k in range(3)), strict=True):
-                if found := [(i.as_py(), *r) for r in rows(source.as_py(), kind.as_py() or "")]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+                held += [(i.as_py(), *r) for r in rows(source.as_py(), kind.as_py() or "")]
+                if len(held) >= ROWS:
+                    yield pack()
+                    held.clear()
+        if held:
+            yield pack()
 
     return files.select(F.col(file_id).cast("long"), F.col(content), lang).where(F.col(content).isNotNull()).mapInArrow(run, schema)
 
