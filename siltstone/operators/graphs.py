@@ -60,6 +60,24 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int | None, *, reverse:
     return known
 
 
+def relations(edges: DataFrame, start: DataFrame, hops: int, *, budget: int | None = 10_000) -> DataFrame:
+    """node_id, depth, confidence, path: as reachable(), with the way to each node as `start -> ... -> node_id`: that of the best product among arrivals of its least depth, of equals the first by name. Start nodes are their own path. `budget` is a fixed value."""
+    e = cut(edges.groupBy(F.col("source").alias("node_id"), F.col("target").alias("next")).agg(F.max("weight").alias("w")))
+    known = frontier = cut(start.select("node_id").distinct().select("node_id", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence"), F.col("node_id").cast("string").alias("path")))
+    size = known.count()
+    for depth in range(1, hops + 1):
+        met = frontier.join(e, "node_id").join(known.select(F.col("node_id").alias("next")), "next", "left_anti")
+        way = F.struct((-F.col("confidence") * F.col("w")).alias("less"), F.concat_ws(" -> ", "path", F.col("next").cast("string")).alias("path"))
+        step = met.groupBy(F.col("next").alias("node_id")).agg(F.min(way).alias("best"))
+        frontier = cut(step.select("node_id", F.lit(depth).alias("depth"), (-F.col("best.less")).alias("confidence"), "best.path"))
+        if not (fresh := frontier.count()):
+            break
+        known, size = known.unionByName(frontier), size + fresh
+        if budget and size >= budget:
+            break
+    return known
+
+
 def impact(edges: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
     """Nodes that depend on any of `targets`, at their least distance."""
     return reachable(edges, targets, hops, reverse=True).where("depth > 0")
@@ -162,6 +180,31 @@ def test_gaps(nodes: DataFrame, edges: DataFrame, hops: int | None = None) -> Da
     return gaps.join(users, "node_id", "left").select("node_id", F.coalesce("dependents", F.lit(0)).alias("dependents"))
 
 
+#: Share of covered symbols below which tests that are there cannot have been followed; fewest symbols of a language that is judged; share of the best language's share below which one is doubted. Fixed values.
+IMPLAUSIBLE, JUDGED, BEHIND = 0.05, 50, 0.5
+
+
+def test_coverage(nodes: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
+    """language, production, covered, tests, doubt: how many production functions tests reach, for each file extension, and for all (language null).
+
+    doubt is unreliable for all if tests reach implausibly few, which tells of edges that were not found rather than of tests. If all is well, it is partial for
+    languages with tests that lie there on their own or far behind the best. A language without tests is a finding, not a doubt.
+    """
+    covered = reachable(edges, nodes.where("is_test").select("node_id"), hops).select("node_id", F.lit(True).alias("met"))
+    each = nodes.join(covered, "node_id", "left").withColumn("language", F.coalesce(F.nullif(F.regexp_extract("file_path", r"\.([^./]+)$", 1), F.lit("")), F.lit("none")))
+    product = ~F.col("is_test") & (F.col("symbol_type") == "function")
+    sums = [F.count_if(product).alias("production"), F.count_if(product & F.col("met").isNotNull()).alias("covered"), F.count_if("is_test").alias("tests")]
+    one = cut(each.groupBy("language").agg(*sums).where("production > 0"), "coverage")
+    total = each.agg(*sums)
+    share = F.col("covered") / F.col("production")
+    bad = (F.col("tests") > 0) & (F.col("production") > 0) & (share < IMPLAUSIBLE)
+    judged = (F.col("production") >= JUDGED) & (F.col("tests") > 0)
+    all_bad, best = total.select(F.coalesce(bad, F.lit(False))).first()[0], one.where(judged).agg(F.max(share)).first()[0] or 0.0
+    doubt = F.when(F.lit(not all_bad) & judged & ((share < IMPLAUSIBLE) | (share < BEHIND * best)), "partial")
+    parts = one.select("language", "production", "covered", "tests", doubt.alias("doubt"))
+    return parts.unionByName(total.select(F.lit(None).cast("string").alias("language"), "production", "covered", "tests", F.when(bad, "unreliable").alias("doubt")))
+
+
 def betweenness(edges: DataFrame, sample: int | None = None, most_edges: int = 2_000_000, cells: int = 4_000_000) -> DataFrame:
     """node_id, score: Brandes' betweenness on the undirected multigraph, both directions of a pair counted.
 

@@ -7,15 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltstone.functions.text import raw_tokens, terms_of_token
 from siltstone.functions.vectors import cosine
 from siltstone.sources.store import cut
 
 RRF = 60
-#: Most queries of a search that meet the points at once.
-MOST_QUERIES = 10_000
+#: Queries of a search that meet points as one row, about.
+BLOCK_QUERIES = 1_024
 
 
 def payload_filter(conditions: dict) -> Column:
@@ -44,22 +43,30 @@ def scope_filter(*, tenant: str | None = None, branch: str | None = None, fallba
     return out
 
 
-def dense_search(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """query_id, id, score, rank: the `k` points most similar to each query (query_id, vector), ties to smaller ids.
+def similarities(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, id, score of every point for each query (query_id, vector): a stated query set against all points, in blocks.
 
-    Queries are cut into blocks of MOST_QUERIES at most; a block is few vectors, goes to the points, which are not moved, and
-    stands in the plan as a constant. Each task keeps its own k best for a query before the exchange.
+    Queries are dealt to blocks of about BLOCK_QUERIES by a hash. Where one block holds them all, it is one row that goes to the points, which are not
+    moved; else points meet every block by its number and by a slice of the points, so no key has more of them than a slice.
     """
-    asked = queries.select("query_id", "vector").collect()
-    parts = [asked[a : a + MOST_QUERIES] for a in range(0, len(asked), MOST_QUERIES)] or [[]]
-    spark, found = points.sparkSession, None
-    kind = T.ArrayType(T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vector", T.ArrayType(T.DoubleType()))]))
-    for part in parts:
-        # a hash join on the number of the block: the right side is one row of at most MOST_QUERIES vectors
-        block = spark.createDataFrame([(0, [(r.query_id, None if r.vector is None else [float(x) for x in r.vector]) for r in part])], T.StructType([T.StructField("_block", T.IntegerType()), T.StructField("qs", kind)]))
-        met = points.select("id", "dense", F.lit(0).alias("_block")).join(F.broadcast(block), "_block").select("id", "dense", F.explode("qs").alias("q"))
-        scored = met.select(F.col("q.query_id").alias("query_id"), "id", cosine(F.col("dense"), F.col("q.vector")).alias("score"))
-        found = scored if found is None else found.unionByName(scored)
+    n = queries.count()
+    blocks = max(1, -(-n // BLOCK_QUERIES))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    dealt = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = points.select("id", "dense", every(blocks).alias("_block"))
+    if blocks == 1:
+        met = own.join(F.broadcast(dealt), "_block")
+    else:
+        slices = max(1, points.sparkSession.sparkContext.defaultParallelism)
+        own = own.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+        met = own.join(dealt.withColumn("_slice", every(slices)), ["_block", "_slice"])
+    return met.select("id", "dense", F.explode("qs").alias("q")).select(F.col("q.query_id").alias("query_id"), "id", cosine(F.col("dense"), F.col("q.vector")).alias("score"))
+
+
+def dense_search(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+    """query_id, id, score, rank: the `k` points most similar to each query (query_id, vector), ties to smaller ids. Each task keeps its own k best for a query before the exchange."""
+    found = similarities(points, queries)
     return top_k(found if threshold is None else found.where(F.col("score") >= threshold), k)
 
 

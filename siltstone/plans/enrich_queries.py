@@ -114,7 +114,7 @@ def e11(spark, d):
 def e12(spark, d):
     p = v.points(spark, d)
     q = p.where("id = 3").select(F.lit(0).alias("query_id"), F.col("dense").alias("vector"))
-    near = r.dense_search(p, q, 1 << 30)
+    near = r.similarities(p, q)
     return near.select("id", F.round(e.semantic_rerank((F.col("id") % 10) / 10.0, F.col("score")), 6).alias("score")).where("score is not null")
 
 

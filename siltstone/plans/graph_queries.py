@@ -45,6 +45,17 @@ def g02(spark, d):
     return g.reachable(v.graph_edges(spark, d), _some(spark, d), 3).select("node_id", "depth", F.round("confidence", 6).alias("confidence"))
 
 
+@query("g02b_relation_paths", """WITH RECURSIVE e AS (SELECT source, target, max(weight) AS w FROM {graph_edges} GROUP BY ALL), s AS (SELECT node_id FROM {graph_nodes} WHERE symbol_name = 'sym_7'),
+  d AS (SELECT node_id, 0 AS depth FROM s UNION SELECT e.target, d.depth + 1 FROM d JOIN e ON e.source = d.node_id WHERE d.depth < 2), m AS (SELECT node_id, min(depth) AS depth FROM d GROUP BY node_id),
+  p0 AS (SELECT node_id, 1.0::DOUBLE AS c, node_id AS path FROM s),
+  p1 AS (SELECT e.target AS node_id, p.c * w AS c, p.path || ' -> ' || e.target AS path FROM p0 p JOIN e ON e.source = p.node_id JOIN m ON m.node_id = e.target AND m.depth = 1 QUALIFY row_number() OVER (PARTITION BY e.target ORDER BY p.c * w DESC, path) = 1),
+  p2 AS (SELECT e.target AS node_id, p.c * w AS c, p.path || ' -> ' || e.target AS path FROM p1 p JOIN e ON e.source = p.node_id JOIN m ON m.node_id = e.target AND m.depth = 2 QUALIFY row_number() OVER (PARTITION BY e.target ORDER BY p.c * w DESC, path) = 1)
+  SELECT node_id, 0 AS depth, round(c, 6) AS confidence, path FROM p0 UNION ALL SELECT node_id, 1, round(c, 6), path FROM p1 UNION ALL SELECT node_id, 2, round(c, 6), path FROM p2""")
+def g02b(spark, d):
+    """With the way to each node, within two steps."""
+    return g.relations(v.graph_edges(spark, d), _some(spark, d), 2, budget=None).select("node_id", "depth", F.round("confidence", 6).alias("confidence"), "path")
+
+
 @query("g03_impact", _bfs("target", "source", "SELECT 's1' AS node_id UNION SELECT 's2'", 2) + " SELECT node_id, depth FROM m WHERE depth > 0")
 def g03(spark, d):
     t = spark.createDataFrame([("s1",), ("s2",)], "node_id string")
@@ -102,6 +113,18 @@ def g10b(spark, d):
     return g.test_gaps(v.graph_nodes(spark, d), v.graph_edges(spark, d))
 
 
+@query("g10c_test_coverage", _bfs("source", "target", "SELECT node_id FROM {graph_nodes} WHERE is_test".replace("{", "{{").replace("}", "}}").replace("{{", "{").replace("}}", "}"), 1) + """, k AS (SELECT x.*, 'l' || substr(file_path, 11, 1) AS language FROM graph_nodes x WHERE symbol_type = 'function'), a AS (
+  SELECT language, count(*) FILTER (NOT is_test) AS production, count(*) FILTER (NOT is_test AND node_id IN (SELECT node_id FROM m)) AS covered, count(*) FILTER (is_test) AS tests FROM k GROUP BY language),
+  z AS (SELECT sum(production)::BIGINT AS production, sum(covered)::BIGINT AS covered, sum(tests)::BIGINT AS tests FROM a), b AS (SELECT max(covered / production) FILTER (production >= 50 AND tests > 0) AS best FROM a)
+  SELECT language, a.production, a.covered, a.tests, CASE WHEN NOT (z.tests > 0 AND z.covered / z.production < 0.05) AND a.production >= 50 AND a.tests > 0 AND (a.covered / a.production < 0.05 OR a.covered / a.production < 0.5 * best) THEN 'partial' END AS doubt FROM a, z, b WHERE a.production > 0
+  UNION ALL SELECT NULL, production, covered, tests, CASE WHEN tests > 0 AND covered / production < 0.05 THEN 'unreliable' END FROM z""")
+def g10c(spark, d):
+    """By a letter of the part's brand as the language of its file."""
+    nodes = v.graph_nodes(spark, d).where("symbol_type = 'function'")
+    nodes = nodes.withColumn("file_path", F.concat(F.lit("src/x.l"), F.substring("file_path", 11, 1)))
+    return g.test_coverage(nodes, v.graph_edges(spark, d), 1)
+
+
 @query("g11_imports", r"""WITH t AS (SELECT doc_id, 'import os.m' || doc_id % 7 || chr(10) || '  from a.b' || doc_id % 5 || ' import c' || chr(10) || 'use std::x' || doc_id % 3 || ';' || chr(10) || '#include <s' || doc_id % 4 || '.h>' || chr(10) || 'import q from "y/' || doc_id % 6 || '"' || chr(10) || coalesce(text, '') AS t FROM documents)
   SELECT doc_id, unnest(list_distinct(list_concat(regexp_extract_all(t, '(?m)^\s*import\s+([A-Za-z_][\w.]*)', 1), regexp_extract_all(t, '(?m)^\s*from\s+([A-Za-z_.][\w.]*)\s+import', 1), regexp_extract_all(t, '(?m)^\s*import\s[^;\n]*?from\s+[''"]([^''"]+)[''"]', 1),
     regexp_extract_all(t, '(?m)^\s*use\s+([A-Za-z_][\w:]*)', 1), regexp_extract_all(t, '(?m)^\s*#include\s+[<"]([^>"]+)[>"]', 1)))) AS module FROM t""")

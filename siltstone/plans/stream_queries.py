@@ -34,6 +34,19 @@ def x02(spark, d):
     return s.moves(_file_events(spark, d), 36_000)
 
 
+@query("x02b_folder_moves", """WITH f AS (SELECT event_id % 5 = 0 AS folder, CASE WHEN event_id % 5 > 0 THEN user_id END AS file_id, ts, event_id % 2 = 0 AS gone, 'd' || (event_id % 3) || '/f' || (event_id % 500) AS path FROM events), i AS (SELECT *, coalesce('id ' || file_id, CASE WHEN folder THEN 'name ' || string_split(path, '/')[2] END) AS k FROM f),
+  m AS (SELECT a.path AS fp, b.path AS tp, k, a.ts AS ta, b.ts AS tb, epoch_us(b.ts) - epoch_us(a.ts) AS gap FROM i a JOIN i b USING (k) WHERE a.gone AND NOT b.gone AND epoch_us(b.ts) - epoch_us(a.ts) BETWEEN 0 AND 360000000000),
+  p AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY k, fp, ta ORDER BY gap, fp, tp) = 1), q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY k, tp, tb ORDER BY gap, fp, tp) = 1)
+  SELECT fp AS from_path, tp AS to_path, CASE WHEN string_split(fp, '/')[1] = string_split(tp, '/')[1] THEN 'rename' ELSE 'move' END AS kind FROM q""")
+def x02b(spark, d):
+    """Every fifth event is of a folder, which has no id and is known by its name."""
+    e = v.base(spark, d, "events")
+    path = F.concat(F.lit("d"), (F.col("event_id") % 3).cast("string"), F.lit("/f"), (F.col("event_id") % 500).cast("string"))
+    folder = F.col("event_id") % 5 == 0
+    files = e.select(F.when(~folder, F.col("user_id")).alias("file_id"), "ts", F.when(F.col("event_id") % 2 == 0, "removed").otherwise("created").alias("kind"), path.alias("path"), folder.alias("folder"))
+    return s.moves(files, 360_000, is_folder="folder")
+
+
 @query("x03_bounded_buffer", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")
 def x03(spark, d):
     return s.newest(v.base(spark, d, "events").select("event_id", "user_id", "ts"), 3, [F.desc("ts"), F.desc("event_id")], "user_id").select("event_id")

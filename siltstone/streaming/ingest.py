@@ -21,10 +21,15 @@ def debounced_stream(events: DataFrame, key: str, ts: str, quiet: str, late: str
     return debounced(events.withWatermark(ts, late), key, ts, quiet, id)
 
 
-def moves(events: DataFrame, within_s: int, id: str = "file_id", ts: str = "ts") -> DataFrame:
-    """from_path, to_path, kind for each removal that is followed within `within_s` by a creation of the same file: rename in one folder, else move. Each event is used once: the nearest creation, the nearest removal."""
-    a = events.where("kind = 'removed'").select(F.col(id).alias("_id"), F.col("path").alias("from_path"), F.col(ts).alias("a"))
-    b = events.where("kind = 'created'").select(F.col(id).alias("_id"), F.col("path").alias("to_path"), F.col(ts).alias("b"))
+def moves(events: DataFrame, within_s: int, id: str = "file_id", ts: str = "ts", is_folder: str | None = None) -> DataFrame:
+    """from_path, to_path, kind for each removal that is followed within `within_s` by a creation of the same file: rename in one folder, else move. Each event is used once: the nearest creation, the nearest removal.
+
+    Folders without an id, where `is_folder` tells which rows are folders, are the same if they have the same name; other rows without an id have no partner.
+    """
+    name = F.regexp_extract("path", r"([^/]*)/?$", 1)
+    same = F.concat(F.lit("id "), F.col(id).cast("string")) if is_folder is None else F.coalesce(F.concat(F.lit("id "), F.col(id).cast("string")), F.when(F.col(is_folder), F.concat(F.lit("name "), name)))
+    a = events.where("kind = 'removed'").select(same.alias("_id"), F.col("path").alias("from_path"), F.col(ts).alias("a"))
+    b = events.where("kind = 'created'").select(same.alias("_id"), F.col("path").alias("to_path"), F.col(ts).alias("b"))
     gap = F.timestamp_diff("MICROSECOND", F.col("a"), F.col("b"))
     met = a.join(b, "_id").where((gap >= 0) & (gap <= within_s * 1_000_000)).withColumn("_gap", gap)
     for side in (["_id", "from_path", "a"], ["_id", "to_path", "b"]):
@@ -75,10 +80,11 @@ def prioritised(queue: DataFrame, batch: int, *, oldest_first: bool = True, prom
 def fair_turns(queue: DataFrame, high: int = 10, low: int = 3, limit: int = 130) -> DataFrame:
     """Items in turns of `high` urgent ones and `low` others, each in order of age; place is the position."""
     urgent = F.col("priority") <= 2
-    n = F.row_number().over(W.partitionBy("_u").orderBy("created_at", "queue_id")) - 1
-    x = queue.withColumn("_u", urgent).withColumn("_n", n)
+    n = F.row_number().over(W.partitionBy("_u").orderBy("created_at", "queue_id"))
+    x = queue.withColumn("_u", urgent).withColumn("_r", n)
     size = F.when(F.col("_u"), high).otherwise(low)
-    x = x.where(F.col("_n") < limit).withColumn("_turn", F.floor(F.col("_n") / size))
+    # each task keeps its own first `limit` before any rows move
+    x = x.where(F.col("_r") <= limit).withColumn("_n", F.col("_r") - 1).drop("_r").withColumn("_turn", F.floor(F.col("_n") / size))
     return x.withColumn("place", F.row_number().over(W.orderBy("_turn", F.desc("_u"), "_n"))).where(F.col("place") <= limit).drop("_u", "_n", "_turn")
 
 
