@@ -14,14 +14,14 @@ QUERIES, ORACLES = query.queries, query.oracles
 
 _INDENTED = """import os
 # class Hidden: pass
-class C{1}(B{2}):
+class C{1}(C{2}):
     '''def hidden(): x()'''
     def m_{3}(self, q: T{4}):
         return self.n_{4}(q)
     def n_{4}(self): return C{1}(1)
 """
 _BRACED = """// class Hidden {
-class C{1} extends B{2} implements I{3} {
+class C{1} extends C{2} implements I{3} {
   String s = "} class Hidden {";
   int m_{3}(T{4} q) { return n_{4}(q); }
   int n_{4}(int z) { return new C{1}(z).go_{2}(); }
@@ -29,7 +29,7 @@ class C{1} extends B{2} implements I{3} {
 """
 _WORDS = "w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}') AS w FROM documents), s AS (SELECT doc_id, doc_id % 2 = 0 AS py, w[1] AS a, w[2] AS b, w[3] AS c, w[4] AS d FROM w WHERE len(w) >= 4)"
 _EDGES = _WORDS + """, e AS (
-  SELECT doc_id, 'C' || a AS symbol, 'EXTENDS' AS kind, 'B' || b AS name FROM s UNION ALL SELECT doc_id, 'C' || a, 'IMPLEMENTS', 'I' || c FROM s WHERE NOT py
+  SELECT doc_id, 'C' || a AS symbol, 'EXTENDS' AS kind, 'C' || b AS name FROM s UNION ALL SELECT doc_id, 'C' || a, 'IMPLEMENTS', 'I' || c FROM s WHERE NOT py
   UNION ALL SELECT doc_id, 'C' || a, 'CONTAINS', 'm_' || c FROM s UNION ALL SELECT doc_id, 'C' || a, 'CONTAINS', 'n_' || d FROM s
   UNION ALL SELECT doc_id, 'm_' || c, 'USES_TYPE', 'T' || d FROM s UNION ALL SELECT doc_id, 'm_' || c, 'CALLS', 'n_' || d FROM s
   UNION ALL SELECT doc_id, 'n_' || d, 'CALLS', 'C' || a FROM s UNION ALL SELECT doc_id, 'n_' || d, 'CALLS', 'go_' || b FROM s WHERE NOT py)"""

@@ -49,15 +49,15 @@ def t02b(spark, d):
     return indexes.lines(spark, d).search(_GROUPS)
 
 
-@query("t02c_indexed_without_literals", "SELECT file_id, line_number FROM {lines} WHERE regexp_matches(content, '^[A-Z][a-z]* [0-9]{2,}|(?:q|z).x')")
+@query("t02c_indexed_without_literals", "SELECT file_id, line_number FROM {lines} WHERE regexp_matches(content, '[0-9]{3}.?[0-9]{4}$|^.{1,3}$')")
 def t02c(spark, d):
     """A pattern that asks for no trigram: all units are read."""
-    return indexes.lines(spark, d).search("^[A-Z][a-z]* [0-9]{2,}|(?:q|z).x").select("file_id", "line_number")
+    return indexes.lines(spark, d).search("[0-9]{3}.?[0-9]{4}$|^.{1,3}$").select("file_id", "line_number")
 
 
-@query("t03b_indexed_any_case", "SELECT file_id, line_number FROM {lines} WHERE regexp_matches(content, '(?i)(api|access)[_ ]?(key|token)|copyright [(]c[)]')")
+@query("t03b_indexed_any_case", "SELECT file_id, line_number FROM {lines} WHERE regexp_matches(content, '(?i)(mit|apache|gpl|bsd)[ -]licen[cs]e|(api|access)[_ ]?(key|token)')")
 def t03b(spark, d):
-    return indexes.lines(spark, d).search("(api|access)[_ ]?(key|token)|copyright [(]c[)]", ignore_case=True).select("file_id", "line_number")
+    return indexes.lines(spark, d).search("(mit|apache|gpl|bsd)[ -]licen[cs]e|(api|access)[_ ]?(key|token)", ignore_case=True).select("file_id", "line_number")
 
 
 @query("t01d_indexed_substring", "SELECT file_id, line_number FROM {lines} WHERE contains(content, 'License')")
@@ -66,9 +66,9 @@ def t01d(spark, d):
     return indexes.lines(spark, d, 2).exact("License").select("file_id", "line_number")
 
 
-@query("t01e_indexed_ignoring_case", "SELECT file_id, line_number FROM {lines} WHERE contains(lower(content), 'permission is')")
+@query("t01e_indexed_ignoring_case", "SELECT file_id, line_number FROM {lines} WHERE contains(lower(content), 'under the mit')")
 def t01e(spark, d):
-    return indexes.lines(spark, d, 2).exact("Permission IS", ignore_case=True).select("file_id", "line_number")
+    return indexes.lines(spark, d, 2).exact("UNDER the mit", ignore_case=True).select("file_id", "line_number")
 
 
 @query("s09b_line_index_search", "SELECT l.file_id, l.line_number, f.file_path FROM {lines} l JOIN {files} f USING (file_id) WHERE f.tenant_id = 'src3' AND regexp_matches(l.content, 'Licen[cs]e|warrant(y|ies)')")
