@@ -13,14 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.sources.store import cut
+from siltstone.sources.store import cut, drop_table
 
 #: Edges below this confidence take no part in algorithms, and the bounds of adjacency(). Fixed values.
 GATE = 0.6
 BUDGET = 10_000
 
 
-def adjacency(nodes: DataFrame, edges: DataFrame, *, gate: float = GATE, vendored: tuple[str, ...] = ("node_modules", "vendor", "target", "dist"), least_names: int = 15, least_degree: int = 50) -> DataFrame:
+#: Most nodes of a name, or a share of all, and most edges that end at a node, or a share within a bound, before they are too generic. Fixed values.
+MOST_NAMES, NAMES_SHARE, MOST_DEGREE, DEGREE_SHARE, DEGREE_BOUND = 15, 500, 50, 150, 125
+
+
+def adjacency(nodes: DataFrame, edges: DataFrame, *, gate: float = GATE, vendored: tuple[str, ...] = ("node_modules", "vendor", "target", "dist"), least_names: int = MOST_NAMES, least_degree: int = MOST_DEGREE) -> DataFrame:
     """source, target, edge_type, weight: one edge for each source, target and type at `gate` or above between kept nodes.
 
     Nodes without a file or below a vendored folder are dropped, and those too generic: whose name more than max(15, n / 500)
@@ -32,7 +36,7 @@ def adjacency(nodes: DataFrame, edges: DataFrame, *, gate: float = GATE, vendore
     names = kept.groupBy("symbol_name").agg(F.count("*").alias("names"))
     degree = strong.groupBy(F.col("target").alias("node_id")).agg(F.count("*").alias("deg"))
     x = kept.join(names, "symbol_name").join(degree, "node_id", "left")
-    good = x.where((F.col("names") <= max(least_names, n // 500)) & (F.coalesce("deg", F.lit(0)) <= max(least_degree, min(n // 150, 125))))
+    good = x.where((F.col("names") <= max(least_names, n // NAMES_SHARE)) & (F.coalesce("deg", F.lit(0)) <= max(least_degree, min(n // DEGREE_SHARE, DEGREE_BOUND))))
     ids = good.select("node_id")
     return strong.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi")
 
@@ -113,17 +117,17 @@ def hotspots(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """node, component (its least node) by spreading least labels and jumping to labels' labels."""
+    """node, component (its least node) by spreading least labels and jumping to labels' labels. Each round's table is deleted once the next is written."""
     both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
     labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("c"))
-        low = labels.join(near, "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
+        low = labels.select("node", "component").join(near, "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("c2"))
-        new = cut(low.join(up, "component", "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component"), "old"))
-        if new.where("component <> old").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+        labels = cut(low.join(up, "component", "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component"), "old"), instead=labels)
+        if labels.where("component <> old").isEmpty():
+            drop_table(both)
+            return labels.select("node", "component")
 
 
 def cycles(edges: DataFrame, least: int = 2) -> DataFrame:

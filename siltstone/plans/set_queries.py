@@ -13,6 +13,8 @@ from siltstone.operators import telemetry as t
 from siltstone.operators import textsearch as x
 from siltstone.plans._registry import Registry
 from siltstone.sources import views as v
+from siltstone.sources.readers import read_files
+from siltstone.sources.store import new_place
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -23,6 +25,16 @@ def s13(spark, d):
     return v.base(spark, d, "pages").select("page_id", cleaned(F.regexp_replace("html", "<[^>]*>", "")).alias("body"))
 
 
+@query("s13b_read_files", "SELECT page_id, length(html) + 1 AS characters, md5(html || chr(10)) AS md5, 'utf-8' AS encoding FROM pages WHERE html IS NOT NULL")
+def s13b(spark, d):
+    """Each page as a file of its own, found and read again by the reader of files."""
+    place = new_place(spark, "files")
+    v.base(spark, d, "pages").where("html is not null").select("page_id", "html").write.partitionBy("page_id").text(place)
+    found = read_files(spark, place, "*.txt").where("error is null")
+    page = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("long")
+    return found.select(page.alias("page_id"), F.length("text").cast("long").alias("characters"), F.md5("text").alias("md5"), "encoding")
+
+
 _HOSTS = ("localhost:8080", "127.0.0.1", "10.1.2.3", "172.20.0.1", "172.32.0.1", "169.254.169.254", "192.168.1.1", "0.0.0.0", "[::1]:80", "[fd00::1]", "[fe80::1]", "[2001:db8::1]", "u:p@10.0.0.1", "100.64.0.1", "8.8.8.8", "a.internal")
 
 
