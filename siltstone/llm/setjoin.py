@@ -8,8 +8,9 @@
    blocks is found and sent back to the blocks that have another; most shingles are in one block. So a shingle that a third of
    all sets have is as many entries as there are blocks.
 3. Pairs with the same least set are skipped if their sizes or sketches rule a link out: sketches that differ by d have at
-   least d shingles not in common. What remains connects nodes to candidate classes; where there are too many sets to look
-   at each pair, all are connected.
+   least d shingles not in common. What remains connects nodes to candidate classes. Where many sets have one least, as a long
+   set gathers in a large corpus that shares a shingle here and there, they are compared part by part; only where there are
+   too many for that, all are connected.
 4. Sets of one class meet in one task (classes beyond CLASS_SHINGLES in one task for each two of their parts) and are
    joined exactly over index lists that are cut into blocks of one set size, in which entries stand by the position of the
    shingle in its set: from the first position that leaves too few shingles behind it the rest of a block is skipped. The
@@ -26,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm._common import blobs, bucketed, drop_table, pieces, placed, read, released, table
@@ -39,6 +40,8 @@ CELLS = 1 << 20
 #: Entries of a bucket about, the most sets whose pairs' sketches are compared together, shingles of sets that meet in one task about.
 BUCKET = 1 << 20
 LONG = 512
+#: Most parts, of 2 * LONG sets, of sets with one least whose sketches are compared.
+MOST_PARTS = 32
 CLASS_SHINGLES = 800_000
 #: Most rows of class members that are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -336,16 +339,21 @@ def possible_edges(sizes: np.ndarray, sketches: list[bytes], percent: int = PERC
 
 def candidate_edges(met: DataFrame, nodes: DataFrame, percent: int = PERCENT, long: int = LONG) -> DataFrame:
     """Edges a, b that connect whatever could link among the nodes with one `least`, as few as connect it."""
-    # where too many sets share their least, all of them are put in one class, by edges alone
-    crowded = table(met.groupBy("least").count().where(F.col("count") >= long).select("least"), "crowded")
+    # where many sets share their least, each two of their parts meet in a task; beyond MOST_PARTS, which only copies reach, all are put in one class
+    parts = F.ceil(F.col("count") / (2 * long)).cast("int").alias("parts")
+    crowded = table(met.groupBy("least").count().where(F.col("count") >= long).select(F.col("least").alias("_least"), parts), "crowded")
+    n, most = crowded.agg(F.count("*"), F.max("parts")).first()
+    met = met.unionByName(met.select("least", F.col("least").alias("node")).distinct()).withColumn("parts", F.lit(1))
     whole = None
-    if n := crowded.count():
+    if n:
         crowded = F.broadcast(crowded) if n <= BROADCAST_ROWS else crowded
-        whole = met.join(crowded, "least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-        met = met.join(crowded, "least", "left_anti")
-    met = met.unionByName(met.select("least", F.col("least").alias("node")).distinct())
-    rows = met.join(nodes.select("node", "n", "sketch"), "node")
-    dealt = rows.repartition("least").sortWithinPartitions("least", "node")
+        met = met.drop("parts").join(crowded, F.col("least") == F.col("_least"), "left").select("least", "node", F.coalesce("parts", F.lit(1)).alias("parts"))
+        if most > MOST_PARTS:
+            whole = met.where((F.col("parts") > MOST_PARTS) & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b"))
+            met = met.where(F.col("parts") <= MOST_PARTS)
+    rows = met.join(nodes.select("node", "n", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("_p", _pairs_of_parts()).select("least", "_p.i", "_p.j", "node", "n", "sketch")
+    dealt = rows.repartition("least", "i", "j").sortWithinPartitions("least", "i", "j", "node")
 
     def prune(batches):
         held, key = [], None
@@ -362,7 +370,7 @@ def candidate_edges(met: DataFrame, nodes: DataFrame, percent: int = PERCENT, lo
 
         for batch in pieces(batches, 2048):
             out = []
-            for x, node, n, s in zip(*(batch.column(c).to_pylist() for c in ("least", "node", "n", "sketch")), strict=True):
+            for *x, node, n, s in zip(*(batch.column(c).to_pylist() for c in ("least", "i", "j", "node", "n", "sketch")), strict=True):
                 if x != key:
                     out += flush() if len(held) > 1 else []
                     held, key = [], x
@@ -371,10 +379,15 @@ def candidate_edges(met: DataFrame, nodes: DataFrame, percent: int = PERCENT, lo
         if len(held) > 1:
             yield _edges(flush())
 
-    edges = dealt.select("least", "node", "n", "sketch").mapInArrow(released(prune), "a long, b long")
+    edges = dealt.select("least", "i", "j", "node", "n", "sketch").mapInArrow(released(prune), "a long, b long")
     return edges if whole is None else edges.unionByName(whole)
 
 
+def _pairs_of_parts() -> Column:
+    """A row for each two parts (i <= j) of `parts` of which one is `part`."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j"))))
+
+
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
@@ -609,8 +622,7 @@ def jaccard_classes(
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "part", "parts", "copies")), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "root", "part", "parts", "copies", "hashes"]).filter(good)
 
     sets = texts.mapInArrow(released(reread, _WORDS.clear), "node long, root long, part int, parts int, copies long, hashes binary")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j"))))
-    tasks = sets.withColumn("_p", pair).select("root", "_p.i", "_p.j", "node", "part", "copies", "hashes")
+    tasks = sets.withColumn("_p", _pairs_of_parts()).select("root", "_p.i", "_p.j", "node", "part", "copies", "hashes")
     found = joined_classes(tasks, percent)
     if (most or 1) > 1:
         found = table(found, "links")

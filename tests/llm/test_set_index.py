@@ -56,3 +56,17 @@ def test_connected(spark):
                 head[a] = head[b] = min(head[a], head[b])
         linked = {x for a, b in edges if a != b for x in (a, b)}
         assert got == {x: h for x, h in head.items() if x in linked}
+
+
+def test_many_sets_that_share_one_shingle_each_with_a_long_one_are_no_class(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    one = np.unique(rng.integers(1 << 62, size=300).astype(np.uint64))
+    sets = [np.unique(np.append(rng.integers(1 << 62, size=40).astype(np.uint64), one[k])) for k in range(40)]
+    sets[7] = np.append(sets[6], np.uint64(1 << 63))
+    rows = [(k - 1, len(s), setjoin.sketch(s)) for k, s in enumerate([one, *sets])]
+    nodes = spark.createDataFrame(rows, "node long, n long, sketch binary")
+    met = spark.createDataFrame([(-1, k) for k in range(40)], "least long, node long")
+    edges = {tuple(sorted(r)) for r in setjoin.candidate_edges(met, nodes, long=4).collect()}
+    assert edges == {(6, 7)}
+    monkeypatch.setattr(setjoin, "MOST_PARTS", 2)
+    assert {tuple(sorted(r)) for r in setjoin.candidate_edges(met, nodes, long=4).collect()} == {(-1, k) for k in range(40)}
