@@ -28,12 +28,12 @@ def moves(events: DataFrame, within_s: int, id: str = "file_id", ts: str = "ts",
     """
     name = F.regexp_extract("path", r"([^/]*)/?$", 1)
     same = F.concat(F.lit("id "), F.col(id).cast("string")) if is_folder is None else F.coalesce(F.concat(F.lit("id "), F.col(id).cast("string")), F.when(F.col(is_folder), F.concat(F.lit("name "), name)))
-    a = events.where("kind = 'removed'").select(same.alias("_id"), F.col("path").alias("from_path"), F.col(ts).alias("a"))
-    b = events.where("kind = 'created'").select(same.alias("_id"), F.col("path").alias("to_path"), F.col(ts).alias("b"))
-    gap = F.timestamp_diff("MICROSECOND", F.col("a"), F.col("b"))
-    met = a.join(b, "_id").where((gap >= 0) & (gap <= within_s * 1_000_000)).withColumn("_gap", gap)
-    for side in (["_id", "from_path", "a"], ["_id", "to_path", "b"]):
-        met = met.withColumn("_r", F.row_number().over(W.partitionBy(*side).orderBy("_gap", "from_path", "to_path"))).where("_r = 1")
+    known = events.where("kind in ('removed', 'created')").select(same.alias("_id"), "path", F.col(ts).alias("t"), (F.col("kind") == "removed").alias("gone")).where("_id is not null and t is not null")
+    # latest first, so the least creation so far is the next one: events of a file are never paired
+    next_ = F.min(F.when(~F.col("gone"), F.struct(F.col("t").alias("b"), F.col("path").alias("to_path")))).over(W.partitionBy("_id").orderBy(F.desc("t")).rangeBetween(W.unboundedPreceding, 0))
+    met = known.withColumn("_n", next_).where("gone and _n is not null").select("_id", F.col("path").alias("from_path"), "_n.to_path", "_n.b", F.timestamp_diff("MICROSECOND", F.col("t"), F.col("_n.b")).alias("_gap"))
+    met = met.where(F.col("_gap") <= within_s * 1_000_000)
+    met = met.withColumn("_r", F.row_number().over(W.partitionBy("_id", "to_path", "b").orderBy("_gap", "from_path"))).where("_r = 1")
     folder = lambda c: F.regexp_replace(c, r"/?[^/]*$", "")
     return met.select("from_path", "to_path", F.when(folder("from_path") == folder("to_path"), "rename").otherwise("move").alias("kind"))
 
