@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.text import raw_tokens, terms_of_token
 from siltstone.functions.vectors import cosine
@@ -288,23 +291,71 @@ def upserted(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFram
     return old.unionByName(new).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def containing(documents: DataFrame, parts: DataFrame, shift: int = 24) -> DataFrame:
+def rolling(data: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each `n` bytes in a row of `data`, in doubling steps."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    each = np.arange(1, 257, dtype=np.uint64) * odd
+    each = (each ^ (each >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    power, step, done, out = (each ^ (each >> np.uint64(27)))[data], 1, 0, None
+    while True:
+        if n & step:
+            ends = power[done : done + len(data) - n + 1]
+            out = ends if out is None else (out ^ (out >> np.uint64(29))) * odd + ends
+            done += step
+        if done == n:
+            break
+        power = (power[:-step] ^ (power[:-step] >> np.uint64(31))) * odd + power[step:]
+        step *= 2
+    return out
+
+
+def containing(documents: DataFrame, parts: DataFrame, shift: int = 24, most_keys: int = 1_000_000) -> DataFrame:
     """query_id, id of the documents (id, text) whose text holds a part (query_id, part), as they are. Empty and null parts are in none.
 
-    A part's first `shift` characters, or all of a shorter one, are its key. Texts are cut at every character to keys of the
-    lengths that parts have, those that no part has go before anything is shuffled where the parts are few, and only what meets
-    by a key is searched for the whole part.
+    A part's first `shift` bytes, or all of a shorter one, are its key. Texts are hashed at every byte over the lengths that keys
+    have; hashes that no key has go before anything is shuffled, unless there are more than `most_keys`, and only what meets by a key
+    is searched for the whole part.
     """
-    keyed = parts.where(F.length("part") > 0).select("query_id", "part", F.substring("part", 1, shift).alias("key"))
-    sizes = [x.n for x in keyed.select(F.length("key").alias("n")).distinct().collect()]  # `shift` of them at most
-    found = None
-    for n in sizes:
-        own = keyed.where(F.length("key") == n)
-        grams = documents.where(F.length("text") >= n).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda k: F.xxhash64(F.substring(F.col("text"), k, F.lit(n)))))).alias("h"))
-        met = grams.join(own.select(F.xxhash64("key").alias("h"), "query_id", "part"), "h").select("id", "query_id", "part")
-        found = met if found is None else found.unionByName(met)
-    if found is None:
-        return parts.select("query_id").join(documents.select("id").limit(0), F.lit(False))
+
+    def key(batches):
+        for batch in batches:
+            raw = [t.encode()[:shift] for t in batch.column(1).to_pylist()]
+            found = [rolling(np.frombuffer(r, np.uint8), len(r)).view(np.int64)[0] for r in raw]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(r) for r in raw], pa.int32()), pa.array(found, pa.int64())], ["query_id", "part", "n", "h"])
+
+    own = parts.where(F.length("part") > 0).select("query_id", F.col("part").cast("string").alias("part"))
+    own = cut(own.mapInArrow(key, T.StructType([*own.schema.fields, T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())])), "parts")
+    sizes = [x.n for x in own.select("n").distinct().collect()]  # `shift` of them at most
+    rows = own.select("n", "h").distinct().limit(most_keys + 1).collect()
+    few = {n: np.sort(np.array([r.h for r in rows if r.n == n], np.int64).view(np.uint64)) for n in sizes} if len(rows) <= most_keys else None
+    held = documents.sparkSession.sparkContext.broadcast(few)
+
+    def meet(batches):
+        marks = {}
+        for n, keys in (held.value or {}).items():
+            marks[n] = np.zeros(1 << 16, bool)
+            marks[n][(keys >> np.uint64(48)).astype(np.int64)] = True
+        for batch in batches:
+            at, lengths, hashes = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                data = np.frombuffer((text or "").encode(), np.uint8)
+                for n in sizes:
+                    if len(data) < n:
+                        continue
+                    h = rolling(data, n)
+                    if held.value is not None:
+                        h = h[marks[n][(h >> np.uint64(48)).astype(np.int64)]]
+                        h = h[np.isin(h, held.value[n])] if len(h) else h
+                    h = np.unique(h).view(np.int64)
+                    at += [k] * len(h)
+                    lengths += [n] * len(h)
+                    hashes.append(h)
+            hashes = np.concatenate(hashes) if hashes else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(lengths, pa.int32()), pa.array(hashes, pa.int64())], ["id", "n", "h"])
+
+    texts = documents.select("id", "text")
+    grams = texts.mapInArrow(meet, T.StructType([texts.schema["id"], T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())]))
+    found = grams.join(own, ["n", "h"]).select("id", "query_id", "part").distinct()
     return found.join(documents, "id").where(F.col("text").contains(F.col("part"))).select("query_id", "id").distinct()
 
 
