@@ -18,6 +18,8 @@ from siltstone.sources.store import cut
 RRF = 60
 #: Queries of a search that meet points as one row, about.
 BLOCK_QUERIES = 1_024
+#: Tasks for each split of the input, of 128 MB of compressed texts at most, that count its words.
+SPLIT_TASKS = 8
 
 
 def payload_filter(conditions: dict) -> Column:
@@ -78,9 +80,16 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def by_id(documents: DataFrame) -> DataFrame:
+    """`documents` dealt by `id`, over more tasks the more input there is, so that what a task counts does not grow with the table."""
+    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), SPLIT_TASKS * documents.rdd.getNumPartitions())
+    return documents.repartition(tasks, "id")
+
+
 def postings(documents: DataFrame, id: str, text: str) -> DataFrame:
-    """id, term, tf. Equal tokens of a document are counted first, so each is taken apart once."""
-    tokens = documents.select(F.col(id).alias("id"), F.explode(raw_tokens(F.col(text))).alias("t")).where("t <> ''").groupBy("id", "t").agg(F.count("*").alias("c"))
+    """id, term, tf. Equal tokens of a document are counted first, so each is taken apart once. Texts move once, by id, so that neither count moves tokens."""
+    placed = by_id(documents.select(F.col(id).alias("id"), F.col(text).alias("text")))
+    tokens = placed.select("id", F.explode(raw_tokens(F.col("text"))).alias("t")).where("t <> ''").groupBy("id", "t").agg(F.count("*").alias("c"))
     return tokens.select("id", F.explode(terms_of_token(F.col("t"))).alias("term"), "c").groupBy("id", "term").agg(F.sum("c").alias("tf"))
 
 
