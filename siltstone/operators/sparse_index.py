@@ -9,15 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import raw_tokens, terms_of_token
-from siltstone.operators.retrieval import idf, top_k
+from siltstone.operators.retrieval import by_id, idf, top_k
 from siltstone.operators.segments import NAMED, Segments, bucket, of_keys
 from siltstone.sources.store import cut, drop_table
 
 K1 = 1.2
 #: Documents of a range about: the postings of a term in a range are one block.
 RANGE_DOCS = 128
-#: Documents for each folder of terms, the fewest folders, and the files of each.
-BUCKET_DOCS, LEAST_BUCKETS, SLICES = 50_000, 16, 4
+#: Documents for each folder of terms, the fewest folders, the fewest files of each, and bytes of text whose postings are a file about.
+BUCKET_DOCS, LEAST_BUCKETS, SLICES, SLICE_BYTES = 50_000, 16, 4, 16 << 20
 _BLOCKS = "term string, range long, n int, max_tf int, ids array<long>, tfs array<int>, segment int, bucket int"
 _LEXICON = "term string, df long, segment int, bucket int"
 
@@ -43,16 +43,18 @@ class SparseIndex(Segments):
         number = max((s.segment for s in before), default=-1) + 1
         docs = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
         kind = F.floor(2 * F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).cast("int")
-        sizes = {r.kind: r["count"] for r in docs.groupBy(kind.alias("kind")).count().collect()}
+        rows = docs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+        sizes = {r.kind: r.n for r in rows}
         n = sum(sizes.values())
         buckets = before[0].buckets if before else max(LEAST_BUCKETS, math.ceil(n / BUCKET_DOCS))
+        slices = max(SLICES, math.ceil(sum(r.bytes or 0 for r in rows) / (buckets * SLICE_BYTES)))
         parts = F.array(*[F.lit(max(1, math.ceil(sizes.get(c, 0) / RANGE_DOCS))).cast("long") for c in range(max(sizes, default=0) + 1)])
         ranged = docs.withColumn("range", F.shiftleft(kind.cast("long"), 40) + F.pmod(F.xxhash64("id"), F.get(parts, kind)))
         # a document's rows stay where its id lies, so neither count needs an exchange
-        tokens = ranged.repartition("id").select("id", "range", F.explode(raw_tokens(F.col("text"))).alias("t")).where("t <> ''")
+        tokens = by_id(ranged).select("id", "range", F.explode(raw_tokens(F.col("text"))).alias("t")).where("t <> ''")
         tokens = tokens.groupBy("id", "range", "t").agg(F.count("*").alias("c"))
         posts = tokens.select("id", "range", F.explode(terms_of_token(F.col("t"))).alias("term"), "c").groupBy("id", "range", "term").agg(F.sum("c").cast("int").alias("tf"))
-        placed = posts.withColumns({"bucket": bucket("term", buckets), "slice": F.pmod(F.xxhash64("range"), F.lit(SLICES)).cast("int")}).repartition("bucket", "slice")
+        placed = posts.withColumns({"bucket": bucket("term", buckets), "slice": F.pmod(F.xxhash64("range"), F.lit(slices)).cast("int")}).repartition(buckets * slices, "bucket", "slice")
         blocks = placed.groupBy("bucket", "slice", "term", "range").agg(F.array_sort(F.collect_list(F.struct("id", "tf"))).alias("p"), F.max("tf").alias("max_tf"))
         blocks = blocks.select("term", "range", F.size("p").alias("n"), "max_tf", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), "bucket")
         blocks.sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(self.place("blocks", number))
