@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 
+from siltstone.operators import graphs
 from siltstone.operators import retrieval as r
 from siltstone.streaming import ingest
 
@@ -46,3 +47,12 @@ def test_rolling_hashes_are_of_the_bytes_alone():
     for n in (1, 2, 3, 5, 7, 8, 13, 24):
         h, seen = r.rolling(data, n), {}
         assert len(h) == 201 - n and all(seen.setdefault(bytes(data[k : k + n]), h[k]) == h[k] for k in range(len(h))) and len(set(seen.values())) == len(seen)
+
+
+def test_betweenness_beyond_the_edges_of_a_task_is_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(13)] + [("x", "y"), ("n1", "n2"), ("n1", "n2"), ("n3", "n3")]
+    edges = spark.createDataFrame(rows, "source string, target string")
+    monkeypatch.setattr(graphs, "WALKED", 60)
+    near = lambda df: {x.node_id: round(x.score, 9) for x in df.collect()}
+    assert near(graphs.betweenness(edges, most_edges=0)) == near(graphs.betweenness(edges))
