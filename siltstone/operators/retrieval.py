@@ -70,11 +70,105 @@ def similarities(points: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def dense_search(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """query_id, id, score, rank: the `k` points most similar to each query (query_id, vector), ties to smaller ids. Each task keeps its own k best for a query before the exchange."""
-    found = similarities(points, queries)
+    """query_id, id, score, rank: the `k` points most similar to each query (query_id, vector), ties to smaller ids. Each task keeps its own k best for a query before the exchange.
+
+    More queries than one block are scanned for by scan_best(), of whose pairs only a slice's best become rows.
+    """
+    many = points.schema["id"].dataType in (T.LongType(), T.IntegerType()) and queries.count() > BLOCK_QUERIES
+    found = scan_best(points, queries, k) if many else similarities(points, queries)
     return top_k(found if threshold is None else found.where(F.col("score") >= threshold), k)
 
 
+#: Points of a slice and queries of a set of scan_best(), which are in one task, and points that a set meets at once.
+SLICE, SET, AT_ONCE = 32_768, 8_192, 1_024
+
+
+def scan_best(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score: of each slice of `points` (id, dense) the `k` most similar to each query (query_id, vector), ties to smaller ids; scores are those of cosine().
+
+    Slices and sets of queries meet by their numbers, both of a bounded size, so all pairs are compared but only a slice's best are rows.
+    """
+    slices, sets = (max(1, -(-df.count() // n)) for df, n in ((points, SLICE), (queries, SET)))
+    dealt = lambda id, n: F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = points.select("id", F.col("dense").cast("array<double>").alias("dense"), dealt("id", slices).alias("_slice"), every(sets).alias("_set"))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), dealt("query_id", sets).alias("_set"), every(slices).alias("_slice"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, columns, scores = _best_pairs(left["dense"], np.asarray(left["id"].cast(pa.int64()).fill_null(np.iinfo(np.int64).min)), right["vector"], k)
+        return pa.table({"query_id": right["query_id"].take(columns), "id": left["id"].take(rows), "score": pa.array(scores)})
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, score double"
+    return own.groupBy("_slice", "_set").cogroup(asked.groupBy("_slice", "_set")).applyInArrow(best, kinds)
+
+
+def _by_length(vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length the places and the vectors of that length, less those that are null or hold a null."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes, out = np.asarray(vectors.value_lengths().fill_null(-1)), {}
+    for n in np.unique(sizes[sizes >= 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        flat = vectors.take(pa.array(at)).flatten()
+        x = np.asarray(flat.cast(pa.float64()).fill_null(0.0)).reshape(len(at), n)
+        whole = ~np.asarray(flat.is_null()).reshape(len(at), n).any(axis=1)
+        out[n] = at[whole], x[whole]
+    return out
+
+
+def _summed(x: np.ndarray) -> np.ndarray:
+    """Sums of rows from left to right, as cosine() adds."""
+    return np.cumsum(x, axis=1)[:, -1] + 0.0 if x.shape[1] else np.zeros(len(x))
+
+
+def _best_pairs(dense, ids: np.ndarray, vectors, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the point, place of the query and score of the `k` best points of each query.
+
+    Products of blocks rule out points that lie below a query's kth best by more than their error; what is left is scored as cosine() does.
+    """
+    own, asked = _by_length(dense), _by_length(vectors)
+    empty = np.empty(0, np.int64)
+    held = [(empty, np.empty(0))] * len(vectors)
+    alike: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    with np.errstate(all="ignore"):
+        for n, (columns, q) in asked.items():
+            alike.update(dict.fromkeys(columns.tolist(), own.get(n, (empty, None))[0]))
+            rows, x = own.get(n, (empty, np.empty((0, n))))
+            far, wide = np.sqrt(_summed(x * x)), np.sqrt(_summed(q * q))
+            for a in range(0, len(columns), AT_ONCE):
+                part = slice(a, a + AT_ONCE)
+                floor = np.full(len(columns[part]), -np.inf)
+                for b in range(0, len(rows), AT_ONCE):
+                    some = slice(b, b + AT_ONCE)
+                    size = wide[part, None] * far[None, some]
+                    near = q[part] @ x[some].T / size
+                    near[size <= 1e-12] = 0.0
+                    near[np.isnan(near)] = np.inf
+                    if near.shape[1] >= k:
+                        floor = np.maximum(floor, np.partition(near, -k, axis=1)[:, -k])
+                    hits, places = np.nonzero(near >= floor[:, None] - 1e-9)
+                    got = places + b
+                    score = _summed(x[got] * q[part][hits]) / (both := far[got] * wide[part][hits])
+                    score[both <= 1e-12] = 0.0
+                    cuts = np.searchsorted(hits, np.arange(len(floor) + 1))
+                    for c in np.unique(hits).tolist():
+                        mine = slice(cuts[c], cuts[c + 1])
+                        place, known = held[columns[a + c]]
+                        place, known = np.concatenate([place, rows[got[mine]]]), np.concatenate([known, score[mine]])
+                        order = np.lexsort((ids[place], -np.where(np.isnan(known), np.inf, known)))[:k]
+                        held[columns[a + c]] = place[order], known[order]
+                        if len(order) == k:
+                            floor[c] = max(floor[c], np.nan_to_num(known[order[-1]], nan=np.inf))
+        if sum(len(rows) for rows, _ in own.values()) < len(dense) or len(own) > 1 or own.keys() != asked.keys() or sum(map(len, (c for c, _ in asked.values()))) < len(vectors):
+            # pairs of other lengths, and with nulls, score 0
+            for c in range(len(vectors)):
+                other = np.setdiff1d(np.arange(len(dense)), alike.get(c, empty))
+                other = other[np.argsort(ids[other], kind="stable")][:k]
+                place, known = np.concatenate([held[c][0], other]), np.concatenate([held[c][1], np.zeros(len(other))])
+                order = np.lexsort((ids[place], -np.where(np.isnan(known), np.inf, known)))[:k]
+                held[c] = place[order], known[order]
+    return np.concatenate([h[0] for h in held] + [empty]), np.repeat(np.arange(len(held)), [len(h[0]) for h in held]), np.concatenate([h[1] for h in held] + [np.empty(0)])
+
+
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     w = W.partitionBy(by).orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
