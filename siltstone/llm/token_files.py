@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm._common import blobs, new_place, pieces, read, released, table
+from siltstone.llm._common import blobs, new_place, pieces, read, released, remembered, table
 from siltstone.llm.tokens import tokenizer, tokenizer_path
 
 #: Ids in a block; the last block of a part may hold fewer.
 BLOCK = 65_536
 END_ID = 1
 #: Most words whose ids a Python worker remembers, and as many older ones.
-MEMO = 600_000
+MEMO = 300_000
 
 #: A row is a block. part and block order the blocks; first is the place of its first id inside its part; n its ids; width the
 #: bytes of an id; planes the compressed planes, lowest first; crc the CRC-32 of the ids as stored. The chunk index: for each
@@ -127,7 +127,6 @@ class WordIds(dict):
 #: Letters that are the same in every normal form, each in lower case or made so on its own.
 _LETTERS = re.compile("(?:[a-z]|\u00c3[\u0080-\u0096\u0098-\u00b6\u00b8-\u00bf])+".encode("latin-1"))
 _CUT = re.compile(rb"[.,!?;:*#$%&](?<=[a-z0-9].)")
-_MEMOS: dict[tuple[str, int], WordIds] = {}
 
 
 def drops_space(path: str) -> bool:
@@ -148,14 +147,25 @@ def drops_space(path: str) -> bool:
     )
 
 
+#: The work of write_token_files(), under which workers remember words.
+PACK = f"{__name__}.pack"
+
+
 def encoder(path: str, width: int):
-    """A function from texts as UTF-8 to their ids as bytes of `width` an id."""
+    """A function from texts as UTF-8 to their ids as bytes of `width` an id. Words are remembered until the worker is given other work."""
     if drops_space(path):
-        return _MEMOS.setdefault((path, width), WordIds(path, width)).encode
+        return _words(path, width).encode
     own = tokenizer(path)
     return lambda texts: [np.array(e.ids, f"<u{width}").tobytes() for e in own.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
 
+def _words(path: str, width: int) -> WordIds:
+    held = remembered(PACK)
+    if (path, width) not in held:
+        held[path, width] = WordIds(path, width)
+    return held[path, width]
+
+
 def write_token_files(documents: DataFrame, target: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, block: int = BLOCK, planes: str = "byte") -> None:
     """Write the ids of all `documents`, each closed by `end_id`, in ascending order of `doc_id` under `target`.
 

@@ -63,3 +63,17 @@ def test_odd_rows(which, request, spark, data):
         out = stage(spark, docs, data)
         assert which != "empty" or out.count() == 0
         out.collect()
+
+
+def test_words_are_forgotten_once_a_worker_has_other_work():
+    from siltstone.llm import _common, token_files
+    from siltstone.llm.tokens import tokenizer_path
+
+    token_files.encoder(tokenizer_path("word_bpe_49k.json"), 2)([b"some words"])
+    held = _common.remembered(token_files.PACK)
+    assert len(held) == 1
+    pack = lambda batches: iter(batches)
+    pack.__module__, pack.__name__ = token_files.__name__, "pack"
+    assert list(_common.released(pack)([1])) == [1] and _common.remembered(token_files.PACK) is held and len(held) == 1
+    assert list(_common.released(lambda batches: iter(batches))([1])) == [1]
+    assert not _common.remembered(token_files.PACK)
