@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from siltstone.functions.paths import base_name, extension
 from siltstone.functions.vectors import cosine, dimensions, dot, mean_vector, norm
 from siltstone.operators.graphs import components
-from siltstone.sources.store import cut
+from siltstone.sources.store import cut, drop_table
 
 _CHUNK = T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("content", T.StringType())]))
 
@@ -548,21 +548,22 @@ def enriched(docs: DataFrame, model: Callable[[list[str]], np.ndarray], *, id: s
     1. The `candidates` best runs of words. 2. Their similarity to the document by `model`, mixed in; those below `least` go.
     3. keyword: the best by rarity, with document frequencies over all phrases of all documents. 4. tag: up to `tags` diverse
     ones. 5. basket: the tag that each keyword is nearest to, else misc. 6. structural: tags of the path. 7. gist: the places of
-    the most central chunks. Each phrase is embedded once for a document; documents without words have no keywords.
+    the most central chunks. A phrase is embedded once for a document as a candidate, and again as a keyword and as a tag, rather
+    than kept with its vector; documents without words have no keywords.
     """
-    from siltstone.sources.store import cut
-
     n = docs.count()
-    found = lexical_candidates(docs, id, text, candidates)
-    own = embedded(docs.select(id, text), text, model).select(id, F.col("vector").alias("whole"))
-    known = cut(embedded(found.select(id, "phrase", "score"), "phrase", model).join(own, id))
-    near = F.round(cosine(F.col("vector"), F.col("whole")), 9)
-    ranked = known.withColumn("score", semantic_rerank(F.col("score"), near, least)).where("score is not null")
-    best = cut(selected_keywords(ranked, phrase_frequencies(docs, id, text), n, id, keywords))
-    chosen = diverse_tags(best.select(id, F.col("phrase").alias("tag"), F.col("keyword_score").alias("score"), "vector"), id, tags)
-    chosen = cut(chosen.join(best.select(id, F.col("phrase").alias("tag"), F.col("vector").alias("tag_vector")), [id, "tag"]))
+    # a document's own vector goes along with its id, and vectors of phrases are made where they are needed: none is stored or moved
+    whole = embedded(docs.select(id, text), text, model).select(F.struct(id, F.col("vector").alias("whole")).alias("_own"), text)
+    known = embedded(lexical_candidates(whole, "_own", text, candidates), "phrase", model)
+    near = F.round(cosine(F.col("vector"), F.col("_own.whole")), 9)
+    # written before it is filtered, or the model would be asked once more by the filter
+    scored = cut(known.select(F.col("_own")[id].alias(id), "phrase", semantic_rerank(F.col("score"), near, least).alias("score")))
+    best = cut(selected_keywords(scored.where("score is not null"), phrase_frequencies(docs, id, text), n, id, keywords).select(id, "phrase", "place", "keyword_score"))
+    drop_table(scored)
+    picked = embedded(best.select(id, F.col("phrase").alias("tag"), F.col("keyword_score").alias("score")).repartition(id), "tag", model)
+    chosen = cut(embedded(diverse_tags(picked, id, tags), "tag", model).withColumnRenamed("vector", "tag_vector"))
     # a document's own few tags beside each of its keywords
-    beside = best.select(id, "phrase", "place", "vector").join(chosen.groupBy(id).agg(F.collect_list(F.struct("tag", "tag_vector")).alias("ts")), id)
+    beside = embedded(best.select(id, "phrase", "place").join(chosen.groupBy(id).agg(F.collect_list(F.struct("tag", "tag_vector")).alias("ts")), id), "phrase", model)
     first = F.array_min(F.transform("ts", lambda t: F.struct((-F.round(cosine(F.col("vector"), t["tag_vector"]), 9)).alias("d"), t["tag"].alias("tag"))))
     beside = beside.withColumn("b", first)
     chunks = embedded(chunked(docs, id, text, paragraph_chunks, size=chunk), "content", model)

@@ -205,3 +205,16 @@ def test_titles_by_source(spark):
     title, source = ft.document_title(F.col("m"), F.col("t"), F.col("p"), F.col("k"))
     for r in df.select(title.alias("title"), source.alias("from"), "want", "source").collect():
         assert (r.title, r["from"]) == (r.want, r.source)
+
+
+def test_enrichment_stores_no_vectors_of_candidates(spark, monkeypatch):
+    import numpy as np
+
+    from siltstone.operators import enrich
+
+    kept, own = [], enrich.cut
+    monkeypatch.setattr(enrich, "cut", lambda df, *more, **options: kept.append(df.columns) or own(df, *more, **options))
+    docs = spark.createDataFrame([(1, "alpha beta gamma alpha", "a/b.md", "en"), (2, "delta alpha", "c.py", "en")], "doc_id long, text string, path string, language string")
+    out = enrich.enriched(docs, lambda texts: np.array([[len(t), t.count("a") + 1.0] for t in texts], float))
+    assert {x.kind for x in out.collect()} >= {"keyword", "tag", "basket"}
+    assert len(kept) == 3 and not any({"vector", "whole"} & set(c) for c in kept)
