@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.sources.store import cut, drop_table
+from siltstone.sources.store import cut, drop_table, spread_by
 
 #: Edges below this confidence take no part in algorithms, and the bounds of adjacency(). Fixed values.
 GATE = 0.6
@@ -361,11 +361,12 @@ def communities(edges: DataFrame, tenant: str | None = None, rounds: int = 50, l
 
 
 def cooccurrence(df: DataFrame, basket: str, item: str) -> DataFrame:
-    """symbol_a < symbol_b, cooccurrence_count: in how many baskets both are."""
-    x = df.select(F.col(basket).alias("_b"), F.col(item).alias("_i")).distinct()
+    """symbol_a < symbol_b, cooccurrence_count: in how many baskets both are. Baskets move once, over tasks that grow with the input."""
+    x = spread_by(df.select(F.col(basket).alias("_b"), F.col(item).alias("_i")), df.count(), "_b").distinct()
     y = x.select("_b", F.col("_i").alias("_j"))
     met = x.join(y, "_b").where(F.col("_i") < F.col("_j"))
-    return met.groupBy(F.col("_i").alias("symbol_a"), F.col("_j").alias("symbol_b")).agg(F.count("*").alias("cooccurrence_count"))
+    met = spread_by(met.select(F.col("_i").alias("symbol_a"), F.col("_j").alias("symbol_b")), 2 * df.count(), "symbol_a", "symbol_b")
+    return met.groupBy("symbol_a", "symbol_b").agg(F.count("*").alias("cooccurrence_count"))
 
 
 def ends(pairs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from siltstone.operators import textsearch as x
 from siltstone.plans._registry import Registry
 from siltstone.sources import views as v
 from siltstone.sources.readers import read_files
-from siltstone.sources.store import new_place
+from siltstone.sources.store import new_place, spread_by
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -129,7 +129,9 @@ def a16(spark, d):
 @query("a20_pair_upsert", "SELECT symbol_a, symbol_b, cooccurrence_count * 2 AS cooccurrence_count FROM {pairs}")
 def a20(spark, d):
     p = v.pairs(spark, d)
-    return p.unionByName(p).groupBy("symbol_a", "symbol_b").agg(F.sum("cooccurrence_count").alias("cooccurrence_count"))
+    # an order's lines make about one and a half pairs each, which come twice
+    both = spread_by(p.unionByName(p), 3 * v.base(spark, d, "lineitem").count(), "symbol_a", "symbol_b")
+    return both.groupBy("symbol_a", "symbol_b").agg(F.sum("cooccurrence_count").alias("cooccurrence_count"))
 
 
 @query("w02_line_numbers", "SELECT file_id, line_number, row_number() OVER (PARTITION BY file_id ORDER BY line_number DESC) AS rn FROM {lines}")

@@ -56,3 +56,13 @@ def test_betweenness_beyond_the_edges_of_a_task_is_the_same(spark, monkeypatch):
     monkeypatch.setattr(graphs, "WALKED", 60)
     near = lambda df: {x.node_id: round(x.score, 9) for x in df.collect()}
     assert near(graphs.betweenness(edges, most_edges=0)) == near(graphs.betweenness(edges))
+
+
+def test_tasks_of_pairs_grow_with_the_rows(spark, monkeypatch):
+    from siltstone.operators import graphs
+    from siltstone.sources import store
+
+    monkeypatch.setattr(store, "TASK_ROWS", 10)
+    rows = spark.range(600).selectExpr("id div 3 as o", "id % 7 as p")
+    pairs = graphs.cooccurrence(rows, "o", "p")
+    assert pairs.rdd.getNumPartitions() == 120 and pairs.agg({"cooccurrence_count": "sum"}).first()[0] == 600
