@@ -66,3 +66,28 @@ def test_tasks_of_pairs_grow_with_the_rows(spark, monkeypatch):
     rows = spark.range(600).selectExpr("id div 3 as o", "id % 7 as p")
     pairs = graphs.cooccurrence(rows, "o", "p")
     assert pairs.rdd.getNumPartitions() == 120 and pairs.agg({"cooccurrence_count": "sum"}).first()[0] == 600
+
+
+def test_cycles_over_several_cells_are_those_of_a_plain_walk(spark, monkeypatch):
+    from siltstone.operators import graph_cells
+
+    monkeypatch.setattr(graph_cells, "CELL_EDGES", 5)
+    rng = random.Random(6)
+    rows = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(70)] + [("x", "y"), ("y", "x"), ("l", "l"), ("z", "x"), (None, "x")]
+    near = {a: {b for c, b in rows if c == a} for a, _ in rows}
+
+    def ahead(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in near.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    reach = {a: ahead(a) for a in near if a}
+    sets = {a: frozenset({b for b in reach[a] if a in reach.get(b, ())}) for a in reach if a in reach[a]}
+    wanted = sorted((a, min(s), len(s)) for a, s in sets.items())
+    found = graphs.cycles(spark.createDataFrame(rows, "source string, target string"))
+    assert sorted(map(tuple, found.collect())) == wanted and len({c for _, c, _ in wanted}) > 2
+    assert graphs.cycles(spark.createDataFrame([], "source string, target string")).isEmpty()
