@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.operators.graph_cells import Cells, as_numbers, numbered
-from siltstone.sources.store import cut, drop_table, spread_by
+from siltstone.sources.store import TASK_ROWS, cut, drop_table, spread_by
 
 #: Edges below this confidence take no part in algorithms, and the bounds of adjacency(). Fixed values.
 GATE = 0.6
@@ -482,10 +482,12 @@ def concept_score(centrality, semantic, weight: float = 0.3):
 
 def set_similarity(df: DataFrame, key: str, item: str) -> DataFrame:
     """a < b, jaccard of the item sets of each two keys that share an item; df holds distinct (key, item)."""
-    n = df.groupBy(key).agg(F.count("*").alias("n"))
-    x = df.select(F.col(key).alias("a"), F.col(item).alias("_i"))
-    y = df.select(F.col(key).alias("b"), F.col(item).alias("_i"))
-    met = x.join(y, "_i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    df = cut(df.select(key, item))
+    n, rows = df.groupBy(key).agg(F.count("*").alias("n")), df.count()
+    # neighbouring items lie in a task, so that pairs which share several are counted before they move
+    held = df.where(F.col(item).isNotNull()).repartitionByRange(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), item).groupBy(item).agg(F.sort_array(F.collect_list(key)).alias("_k"))
+    after = held.select("_k", F.posexplode("_k").alias("_p", "a")).select("a", F.explode(F.slice("_k", F.col("_p") + 2, F.greatest(F.size("_k") - F.col("_p") - 1, F.lit(0)))).alias("b"))
+    met = after.groupBy("a", "b").agg(F.count("*").alias("both"))
     met = met.join(n.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
     return met.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 
