@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import types as T
 from siltstone.functions.paths import base_name, extension
 from siltstone.functions.vectors import cosine, dimensions, dot, mean_vector, norm
 from siltstone.operators.graphs import components
-from siltstone.sources.store import cut, drop_table
+from siltstone.sources.store import cut, drop_table, spread_by
 
 _CHUNK = T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("content", T.StringType())]))
 
@@ -101,35 +100,70 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}0-9_]+"), lambda x: F.length(x) >= 3)
 
 
+#: Words that are counted at once, about; a longer row is counted on its own.
+COUNTED_WORDS = 100_000
+
+
 def _counted(df: DataFrame, id: str, text: str, longest: int, stop: tuple[str, ...], most: int | None) -> DataFrame:
-    """`id`, phrase, n, tf, rank of the runs of words of each row, in no order without `most`: a row's runs never leave it, so they are counted where it lies."""
+    """`id`, phrase, n, tf, rank of the runs of words of each row, in no order without `most`: a row's runs never leave it, so they are counted where it lies.
+
+    Runs are numbers, whose order is that of their words: a run of n words is the run of its first n - 1 and a word. Only those that are returned are spelled out.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    ends = frozenset(stop)
     schema = T.StructType([df.schema[id], T.StructField("phrase", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("tf", T.LongType()), T.StructField("rank", T.IntegerType())])
 
-    def runs(words: list[str]) -> Counter:
-        found = Counter(words if not ends else (w for w in words if w not in ends))
-        for n in range(2, longest + 1):
-            own = zip(*(words[x:] for x in range(n)))
-            found.update(map(" ".join, own if not ends else (r for r in own if r[0] not in ends and r[-1] not in ends)))
-        return found
+    def best(words: pa.Array, row: np.ndarray):
+        """row, phrase, n, tf, rank of the runs in `words`, of which each is in a row; rows ascend."""
+        coded = words.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        w = place[coded.indices.to_numpy()]
+        ends = np.isin(w, place[np.flatnonzero(pc.is_in(coded.dictionary, pa.array(stop, pa.string())).to_numpy(zero_copy_only=False))]) if stop else np.zeros(len(w), bool)
+        run, found = row, []
+        for n in range(1, longest + 1):
+            at = np.arange(max(0, len(w) - n + 1))
+            at = at[row[at] == row[at + n - 1]]
+            # runs in a row of one word less begin at a place more in each row, and stand in the order of places
+            whole = run[at] * len(order) + w[at + n - 1]
+            _, first, number, tf = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+            run = np.zeros(len(w), np.int64)
+            run[at] = number
+            kept = ~(ends[at[first]] | ends[at[first] + n - 1])
+            found.append((at[first][kept], np.full(kept.sum(), n), tf[kept]))
+        begin, size, tf = (np.concatenate([x[k] for x in reversed(found)]) for k in range(3))
+        # longer runs come first and runs of a length by name, which a stable order keeps among equals
+        order = np.lexsort((-tf, row[begin]))
+        begin, size, tf = begin[order], size[order], tf[order]
+        own = row[begin]
+        rank = np.arange(len(own)) - np.searchsorted(own, own) + 1
+        if most is not None:
+            few = rank <= most
+            begin, size, tf, own, rank = begin[few], size[few], tf[few], own[few], rank[few]
+        phrase, back = [], []
+        for n in range(1, longest + 1):
+            of = np.flatnonzero(size == n)
+            phrase.append(pc.binary_join_element_wise(*(words.take(pa.array(begin[of] + k)) for k in range(n)), " "))
+            back.append(of)
+        where = np.empty(len(size), np.int64)
+        where[np.concatenate(back)] = np.arange(len(size))
+        return own, pa.concat_arrays(phrase).take(pa.array(where)), size, tf, rank
 
     def count(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                ids, phrases, counts, ranks = [], [], [], []
-                for k, words in enumerate(batch.column(1).slice(at, 64).to_pylist()):
-                    best = runs(words).items()
-                    if most is not None:  # those of a count below the last one's that fits are not put in order
-                        least = sorted((c for _, c in best), reverse=True)[most - 1] if len(best) > most else 0
-                        best = sorted((x for x in best if x[1] >= least), key=lambda x: (-x[1], -x[0].count(" "), x[0]))[:most]
-                    ids += [at + k] * len(best)
-                    phrases += [p for p, _ in best]
-                    counts += [c for _, c in best]
-                    ranks += range(1, len(best) + 1)
-                sizes = [p.count(" ") + 1 for p in phrases]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64()), pa.array(ranks, pa.int32())], [id, "phrase", "n", "tf", "rank"])
+            lists = batch.column(1)
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            total, at = np.cumsum(lengths), 0
+            while at < len(lengths):
+                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + COUNTED_WORDS, "right")))
+                part = lists.slice(at, end - at)
+                words = part.flatten()
+                if len(words):
+                    own, phrase, size, tf, rank = best(words, np.repeat(np.arange(end - at), lengths[at:end]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own + at)), phrase, pa.array(size.astype(np.int32)), pa.array(tf.astype(np.int64)), pa.array(rank.astype(np.int32))], [id, "phrase", "n", "tf", "rank"])
+                at = end
 
     return df.select(id, _words(F.col(text)).alias("w")).mapInArrow(count, schema)
 
@@ -414,13 +448,15 @@ def central_weights(chunks: DataFrame, id: str, index: str, vector: str) -> Data
 
 def term_weights(chunks: DataFrame, id: str, index: str, vector: str, tokens: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """`id`, `index`, `vector`, weight: for code, the sum over a chunk's terms of ln((n - df + .5) / (df + .5)), 0 at least, times the saturated count, with n chunks in the document of which df hold the term; 0.01 at least."""
-    sizes = chunks.groupBy(id).agg(F.count("*").alias("_n"), F.avg(F.size(tokens)).alias("_mean"))
-    terms = chunks.select(id, index, F.size(tokens).alias("_len"), F.explode(tokens).alias("_t")).groupBy(id, index, "_len", "_t").agg(F.count("*").alias("_tf"))
+    # chunks move by document, over tasks that grow with them, and their terms are counted where these come to lie
+    own = spread_by(chunks.select(id, index, vector, tokens), chunks.count(), id)
+    sizes = own.groupBy(id).agg(F.count("*").alias("_n"), F.avg(F.size(tokens)).alias("_mean"))
+    terms = own.select(id, index, F.size(tokens).alias("_len"), F.explode(tokens).alias("_t")).groupBy(id, index, "_len", "_t").agg(F.count("*").alias("_tf"))
     terms = terms.withColumn("_df", F.count("*").over(W.partitionBy(id, "_t"))).join(sizes, id)
     rare = F.greatest(F.lit(0.0), F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
     often = F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_mean")))
     sums = terms.groupBy(id, index).agg(F.sum(rare * often).alias("_w"))
-    return chunks.select(id, index, vector).join(sums, [id, index], "left").select(id, index, vector, F.greatest(F.coalesce("_w", F.lit(0.0)), F.lit(0.01)).alias("weight"))
+    return own.select(id, index, vector).join(sums, [id, index], "left").select(id, index, vector, F.greatest(F.coalesce("_w", F.lit(0.0)), F.lit(0.01)).alias("weight"))
 
 
 def gist(chunks: DataFrame, id: str, index: str, vector: str, most: int = 3, tokens: str | None = None) -> DataFrame:

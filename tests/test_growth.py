@@ -91,3 +91,48 @@ def test_cycles_over_several_cells_are_those_of_a_plain_walk(spark, monkeypatch)
     found = graphs.cycles(spark.createDataFrame(rows, "source string, target string"))
     assert sorted(map(tuple, found.collect())) == wanted and len({c for _, c, _ in wanted}) > 2
     assert graphs.cycles(spark.createDataFrame([], "source string, target string")).isEmpty()
+
+
+def test_pairs_of_neighbouring_items_are_counted_before_they_move(spark):
+    rng = random.Random(7)
+    rows = sorted({(rng.randrange(12), rng.choice([None, *range(15)])) for _ in range(70)}, key=str)
+    sets = {k: {i for a, i in rows if a == k and i is not None} for k, _ in rows}
+    all_of = {k: sum(a == k for a, _ in rows) for k in sets}
+    wanted = sorted((a, b, round(len(x & y) / (all_of[a] + all_of[b] - len(x & y)), 9)) for a, x in sets.items() for b, y in sets.items() if a < b and x & y)
+    found = graphs.set_similarity(spark.createDataFrame(rows, "k int, i int"), "k", "i")
+    assert sorted((a, b, round(j, 9)) for a, b, j in found.collect()) == wanted
+    assert "rangepartitioning(i" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_of_words_are_those_of_a_plain_count(spark, monkeypatch):
+    from collections import Counter
+
+    from siltstone.operators import enrich
+
+    monkeypatch.setattr(enrich, "COUNTED_WORDS", 30)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["abc", "Abd", "été", "the", "abc_1", "zz9", "of"]) for _ in range(rng.choice([0, 1, 2, 9, 60]))) for _ in range(40)] + [None, "one"]
+    for stop, most in (((), 12), (("the", "nowhere"), 5), (("the",), 1000)):
+        wanted = []
+        for k, t in enumerate(texts):
+            w = [x for x in (t or "").lower().split() if len(x) >= 3]
+            runs = Counter(tuple(w[a : a + n]) for n in (1, 2, 3) for a in range(len(w) - n + 1) if w[a] not in stop and w[a + n - 1] not in stop)
+            best = sorted(((" ".join(r), len(r), c) for r, c in runs.items()), key=lambda x: (-x[2], -x[1], x[0]))[:most]
+            wanted += [(k, *x, place) for place, x in enumerate(best, 1)]
+        found = enrich.lexical_candidates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text", most=most, stop=stop)
+        assert sorted(map(tuple, found.select("id", "phrase", "n", "tf", "rank").collect())) == sorted(wanted)
+
+
+def test_terms_of_chunks_do_not_move(spark):
+    import re
+
+    from siltstone.operators import enrich
+
+    chunks = spark.range(40).selectExpr("id div 4 as f", "id as c", "array(1.0) as v", "transform(sequence(0, int(id % 5)), x -> concat('t', x % 3)) as w")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = enrich.term_weights(chunks, "f", "c", "v", "w")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "hashpartitioning(f" in plan and not re.search(r"hashpartitioning\([^()]*_t#", plan)
