@@ -58,6 +58,17 @@ def test_betweenness_beyond_the_edges_of_a_task_is_the_same(spark, monkeypatch):
     assert near(graphs.betweenness(edges, most_edges=0)) == near(graphs.betweenness(edges))
 
 
+def test_betweenness_looks_at_each_edge_of_a_walk_about_once(spark):
+    # a path of 2,000 nodes: as many levels, over which all edges were looked at again for each
+    path = spark.range(2000).selectExpr("concat('n', lpad(id, 5, '0')) AS source", "concat('n', lpad(id + 1, 5, '0')) AS target").unionByName(spark.createDataFrame([(None, "n00000")], "source string, target string"))
+    begun = time.time()
+    found = {x.node_id: x.score for x in graphs.betweenness(path, sample=200).collect()}
+    assert time.time() - begun < 60 and len(found) == 2001
+    ends = lambda k: sum((2000 - k) if r < k else k if r > k else 0 for r in range(200))
+    pairs = 2000 * 1999 / 2
+    assert all(abs(found[f"n{k:05d}"] - min(1.0, ends(k) * 2001 / 200 / pairs)) < 1e-9 for k in (0, 1, 150, 1000, 2000))
+
+
 def test_tasks_of_pairs_grow_with_the_rows(spark, monkeypatch):
     from siltstone.operators import graphs
     from siltstone.sources import store
