@@ -100,19 +100,31 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}0-9_]+"), lambda x: F.length(x) >= 3)
 
 
+def _vectors(model: Callable[[list[str]], np.ndarray], texts: list[str], batch: int = 64) -> np.ndarray:
+    """A row for each text by `model`, called on batches."""
+    return np.concatenate([np.asarray(model(texts[a : a + batch]), float) for a in range(0, len(texts), batch)])
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As cosine(), of each row of `a` with that of `b`, or with each of `b` where `b` has a dimension more."""
+    size = np.sqrt((a * a).sum(-1)) * np.sqrt((b * b).sum(-1))
+    return np.divide((a * b).sum(-1), size, out=np.zeros(size.shape), where=size > 1e-12)
+
+
 #: Words that are counted at once, about; a longer row is counted on its own.
 COUNTED_WORDS = 100_000
 
 
-def _counted(df: DataFrame, id: str, text: str, longest: int, stop: tuple[str, ...], most: int | None) -> DataFrame:
+def _counted(df: DataFrame, id: str, text: str, longest: int, stop: tuple[str, ...], most: int | None, model: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
     """`id`, phrase, n, tf, rank of the runs of words of each row, in no order without `most`: a row's runs never leave it, so they are counted where it lies.
+    With `model`, near is the similarity of each run to the row's text by it; no vector leaves the task.
 
     Runs are numbers, whose order is that of their words: a run of n words is the run of its first n - 1 and a word. Only those that are returned are spelled out.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    schema = T.StructType([df.schema[id], T.StructField("phrase", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("tf", T.LongType()), T.StructField("rank", T.IntegerType())])
+    schema = T.StructType([df.schema[id], T.StructField("phrase", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("tf", T.LongType()), T.StructField("rank", T.IntegerType()), *([T.StructField("near", T.DoubleType())] if model else [])])
 
     def best(words: pa.Array, row: np.ndarray):
         """row, phrase, n, tf, rank of the runs in `words`, of which each is in a row; rows ascend."""
@@ -162,10 +174,19 @@ def _counted(df: DataFrame, id: str, text: str, longest: int, stop: tuple[str, .
                 words = part.flatten()
                 if len(words):
                     own, phrase, size, tf, rank = best(words, np.repeat(np.arange(end - at), lengths[at:end]))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own + at)), phrase, pa.array(size.astype(np.int32)), pa.array(tf.astype(np.int64)), pa.array(rank.astype(np.int32))], [id, "phrase", "n", "tf", "rank"])
+                    out = [batch.column(0).take(pa.array(own + at)), phrase, pa.array(size.astype(np.int32)), pa.array(tf.astype(np.int64)), pa.array(rank.astype(np.int32))]
+                    if model:
+                        coded = phrase.dictionary_encode()
+                        v, which = _vectors(model, coded.dictionary.to_pylist()), coded.indices.to_numpy()
+                        mine = _vectors(model, [x or "" for x in batch.column(2).slice(at, end - at).to_pylist()])
+                        near = np.empty(len(own))
+                        for a in range(0, len(own), 10_000):
+                            near[a : a + 10_000] = _cosines(v[which[a : a + 10_000]], mine[own[a : a + 10_000]])
+                        out.append(pa.array(near))
+                    yield pa.RecordBatch.from_arrays(out, schema.names)
                 at = end
 
-    return df.select(id, _words(F.col(text)).alias("w")).mapInArrow(count, schema)
+    return df.select(id, _words(F.col(text)).alias("w"), *([text] if model else [])).mapInArrow(count, schema)
 
 
 def lexical_candidates(df: DataFrame, id: str, text: str, most: int = 200, longest: int = 3, stop: tuple[str, ...] = ()) -> DataFrame:
@@ -193,23 +214,28 @@ def selected_keywords(candidates: DataFrame, df: DataFrame, n: int, id: str, mos
     return x.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
+def _diverse(score: np.ndarray, vectors: np.ndarray, most: int, trade: float, alike: float) -> list[tuple[int, float]]:
+    """The picks of diverse_tags() among tags, best first, and how far each is from those before."""
+    v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    near, left, out = np.zeros(len(v)), np.ones(len(v), bool), []
+    while left.any() and len(out) < most:
+        value = np.where(left & ((near <= alike) | (not out)), trade * score - (1 - trade) * near, -np.inf)
+        k = int(value.argmax())
+        if value[k] == -np.inf:
+            break
+        out.append((k, float(1 - near[k])))
+        left[k] = False
+        near = np.maximum(near, v @ v[k])
+    return out
+
+
 def diverse_tags(df: DataFrame, group: str, most: int = 8, trade: float = 0.7, alike: float = 0.8) -> DataFrame:
     """group, tag, place, diversity: greedy picks by trade * score - (1 - trade) * similarity to those picked; tags more than `alike` to a picked one never are. Input: group, tag, score, vector."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "tag"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        v = np.stack(pdf["vector"].map(np.asarray)).astype(float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        near, left, out = np.zeros(len(pdf)), np.ones(len(pdf), bool), []
-        while left.any() and len(out) < most:
-            value = np.where(left & ((near <= alike) | (not out)), trade * pdf["score"].to_numpy(float) - (1 - trade) * near, -np.inf)
-            k = int(value.argmax())
-            if value[k] == -np.inf:
-                break
-            out.append((pdf.at[0, group], pdf.at[k, "tag"], len(out) + 1, float(1 - near[k])))
-            left[k] = False
-            near = np.maximum(near, v @ v[k])
-        return pd.DataFrame(out, columns=[group, "tag", "place", "diversity"])
+        picked = _diverse(pdf["score"].to_numpy(float), np.stack(pdf["vector"].map(np.asarray)).astype(float), most, trade, alike)
+        return pd.DataFrame([(pdf.at[0, group], pdf.at[k, "tag"], place, diversity) for place, (k, diversity) in enumerate(picked, 1)], columns=[group, "tag", "place", "diversity"])
 
     kind = dict(df.dtypes)[group]
     return df.groupBy(group).applyInPandas(pick, f"{group} {kind}, tag string, place int, diversity double")
@@ -584,32 +610,70 @@ def enriched(docs: DataFrame, model: Callable[[list[str]], np.ndarray], *, id: s
     1. The `candidates` best runs of words. 2. Their similarity to the document by `model`, mixed in; those below `least` go.
     3. keyword: the best by rarity, with document frequencies over all phrases of all documents. 4. tag: up to `tags` diverse
     ones. 5. basket: the tag that each keyword is nearest to, else misc. 6. structural: tags of the path. 7. gist: the places of
-    the most central chunks. A phrase is embedded once for a document as a candidate, and again as a keyword and as a tag, rather
+    the most central chunks. A phrase is embedded once for a document as a candidate, and again as a keyword, rather
     than kept with its vector; documents without words have no keywords.
     """
     n = docs.count()
-    # a document's own vector goes along with its id, and vectors of phrases are made where they are needed: none is stored or moved
-    whole = embedded(docs.select(id, text), text, model).select(F.struct(id, F.col("vector").alias("whole")).alias("_own"), text)
-    known = embedded(lexical_candidates(whole, "_own", text, candidates), "phrase", model)
-    near = F.round(cosine(F.col("vector"), F.col("_own.whole")), 9)
-    # written before it is filtered, or the model would be asked once more by the filter
-    scored = cut(known.select(F.col("_own")[id].alias(id), "phrase", semantic_rerank(F.col("score"), near, least).alias("score")))
+    # vectors of phrases are made and compared in one task: none is stored, moved or handed over
+    scored = _counted(docs, id, text, 3, (), candidates, model).select(id, "phrase", semantic_rerank(1 + F.ln("tf"), F.round("near", 9), least).alias("score"))
     best = cut(selected_keywords(scored.where("score is not null"), phrase_frequencies(docs, id, text), n, id, keywords).select(id, "phrase", "place", "keyword_score"))
-    drop_table(scored)
-    picked = embedded(best.select(id, F.col("phrase").alias("tag"), F.col("keyword_score").alias("score")).repartition(id), "tag", model)
-    chosen = cut(embedded(diverse_tags(picked, id, tags), "tag", model).withColumnRenamed("vector", "tag_vector"))
-    # a document's own few tags beside each of its keywords
-    beside = embedded(best.select(id, "phrase", "place").join(chosen.groupBy(id).agg(F.collect_list(F.struct("tag", "tag_vector")).alias("ts")), id), "phrase", model)
-    first = F.array_min(F.transform("ts", lambda t: F.struct((-F.round(cosine(F.col("vector"), t["tag_vector"]), 9)).alias("d"), t["tag"].alias("tag"))))
-    beside = beside.withColumn("b", first)
+
+    def told(batches):
+        """Each document's tags, and beside each of its keywords how near it is to them; a document's keywords stand together, best first."""
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            # the last document may go on in the next batch
+            whole = int(np.flatnonzero(held["place"].to_numpy() == 1)[-1])
+            if whole:
+                yield from of_documents(held.slice(0, whole).combine_chunks())
+            held = held.slice(whole)
+        if held is not None and len(held):
+            yield from of_documents(held.combine_chunks())
+
+    def of_documents(rows):
+        import pyarrow as pa
+
+        if not len(rows):
+            return
+        own, names, place, score = rows[id].combine_chunks(), rows["phrase"].combine_chunks(), rows["place"].to_numpy(), rows["keyword_score"].to_numpy()
+        coded = names.dictionary_encode()
+        v = _vectors(model, coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        begins = np.flatnonzero(place == 1)
+        tag, tag_place, diversity, of, near, sizes = [], [], [], [], [], []
+        for lo, hi in zip(begins, [*begins[1:], len(place)]):
+            picked = _diverse(score[lo:hi], v[lo:hi], tags, 0.7, 0.8)
+            at = np.array([lo + k for k, _ in picked])
+            tag += at.tolist()
+            tag_place += range(1, len(at) + 1)
+            diversity += [d for _, d in picked]
+            near.append(_cosines(v[lo:hi, None], v[None, at]).ravel())
+            of.append(np.tile(at, hi - lo))
+            sizes += [len(at)] * (hi - lo)
+        none = lambda kind: pa.nulls(len(tag), kind)
+        schema = ["kind", "name", "place", "score", "tags", "near"]
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        taken = pa.array(np.array(tag))
+        yield pa.RecordBatch.from_arrays([own.take(taken), pa.array(["tag"] * len(tag)), names.take(taken), pa.array(np.array(tag_place, np.int32)), pa.array(diversity, pa.float64()), none(pa.list_(pa.string())), none(pa.list_(pa.float64()))], [id, *schema])
+        beside = [pa.ListArray.from_arrays(ends, names.take(pa.array(np.concatenate(of)))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(near)))]
+        yield pa.RecordBatch.from_arrays([own, pa.array(["basket"] * len(own)), names, pa.array(place.astype(np.int32)), pa.nulls(len(own), pa.float64()), *beside], [id, *schema])
+
+    kind = dict(best.dtypes)[id]
+    together = spread_by(best, best.count(), id).sortWithinPartitions(id, "place")
+    beside = cut(together.mapInArrow(told, f"{id} {kind}, kind string, name string, place int, score double, tags array<string>, near array<double>"))
+    nearest = F.array_min(F.zip_with("near", "tags", lambda c, t: F.struct((-F.round(c, 9)).alias("d"), t.alias("tag"))))
+    chosen, beside = beside.where("kind = 'tag'"), beside.where("kind = 'basket'").withColumn("b", nearest)
     chunks = embedded(chunked(docs, id, text, paragraph_chunks, size=chunk), "content", model)
+    central = cut(gist(chunks, id, "index", "vector"))
     rows = lambda df, kind, name, place, score: df.select(id, F.lit(kind).alias("kind"), name.alias("name"), place.cast("int").alias("place"), F.round(score, 6).alias("score"))
     parts = [
         rows(best, "keyword", F.col("phrase"), F.col("place"), F.col("keyword_score")),
-        rows(chosen, "tag", F.col("tag"), F.col("place"), F.col("diversity")),
-        rows(beside, "basket", F.concat_ws(": ", F.when(-F.col("b.d") >= basket, F.col("b.tag")).otherwise("misc"), "phrase"), F.col("place"), -F.col("b.d")),
+        rows(chosen, "tag", F.col("name"), F.col("place"), F.col("score")),
+        rows(beside, "basket", F.concat_ws(": ", F.when(-F.col("b.d") >= basket, F.col("b.tag")).otherwise("misc"), "name"), F.col("place"), -F.col("b.d")),
         rows(docs.select(id, F.posexplode(structural_tags(F.col(path), F.col(language))).alias("k", "tag")), "structural", F.col("tag"), F.col("k") + 1, F.lit(1.0)),
-        rows(gist(chunks, id, "index", "vector"), "gist", F.col("index").cast("string"), F.col("place"), F.col("centrality")),
+        rows(central, "gist", F.col("index").cast("string"), F.col("place"), F.col("centrality")),
     ]
     out = parts[0]
     for x in parts[1:]:

@@ -147,3 +147,23 @@ def test_terms_of_chunks_do_not_move(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert "hashpartitioning(f" in plan and not re.search(r"hashpartitioning\([^()]*_t#", plan)
+
+
+def test_vectors_of_phrases_stay_in_their_task_whatever_a_batch_holds(spark, monkeypatch):
+    from siltstone.operators import enrich
+
+    asked, own = [], enrich.embedded
+    monkeypatch.setattr(enrich, "embedded", lambda df, text, model, *more: asked.append(text) or own(df, text, model, *more))
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choice(["abc", "bed", "cab", "dead", "ace", "fade"]) for _ in range(rng.choice([0, 1, 6, 30]))), "a/b.md", "en") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string, language string")
+    letters = lambda texts: np.array([[t.count(c) for c in "abcdef"] for t in texts], float).reshape(-1, 6)
+    held, found = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    try:
+        for most in (held, "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            found.append(sorted(map(tuple, enrich.enriched(docs, letters).collect()), key=repr))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert found[0] == found[1] and {x[1] for x in found[0]} == {"keyword", "tag", "basket", "structural", "gist"}
+    assert set(asked) == {"content"}
