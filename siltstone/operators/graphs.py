@@ -513,18 +513,87 @@ def concept_score(centrality, semantic, weight: float = 0.3):
     return weight * centrality + (1 - weight) * semantic
 
 
-def set_similarity(df: DataFrame, key: str, item: str) -> DataFrame:
-    """a < b, jaccard of the item sets of each two keys that share an item; df holds distinct (key, item)."""
+#: Rows of items that a task of near_candidates() holds, about, and pairs that it counts at once.
+HELD_ROWS, PAIRED = 4_000_000, 2_000_000
+
+
+def set_similarity(df: DataFrame, key: str, item: str, least: float = 0.0) -> DataFrame:
+    """a < b, jaccard of the item sets of each two keys that share an item, `least` or more; df holds distinct (key, item).
+
+    With `least`, pairs that cannot reach it are left out before any pair moves (near_candidates), unless it takes more rows
+    to count those left one by one than to count all; either way is exact.
+    """
     df = cut(df.select(key, item))
     n, rows = df.groupBy(key).agg(F.count("*").alias("n")), df.count()
+    if least > 0:
+        near = cut(near_candidates(df, rows, key, item, least).distinct())
+        sizes = n.select(F.col(key).alias("a"), "n")
+        one_by_one = near.join(sizes, "a").agg(F.sum("n")).first()[0] or 0
+        of_all = df.where(F.col(item).isNotNull()).groupBy(item).agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
+        if one_by_one <= of_all:
+            its = df.where(F.col(item).isNotNull()).select(F.col(key).alias("a"), F.col(item).alias("_i"))
+            met = near.join(its, "a").join(its.withColumnRenamed("a", "b"), ["b", "_i"]).groupBy("a", "b").agg(F.count("*").alias("both"))
+            return _jaccard(met, n, key).where(F.col("jaccard") >= least)
     # neighbouring items lie in a task, so that pairs which share several are counted before they move
     held = df.where(F.col(item).isNotNull()).repartitionByRange(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), item).groupBy(item).agg(F.sort_array(F.collect_list(key)).alias("_k"))
     after = held.select("_k", F.posexplode("_k").alias("_p", "a")).select("a", F.explode(F.slice("_k", F.col("_p") + 2, F.greatest(F.size("_k") - F.col("_p") - 1, F.lit(0)))).alias("b"))
-    met = after.groupBy("a", "b").agg(F.count("*").alias("both"))
+    return _jaccard(after.groupBy("a", "b").agg(F.count("*").alias("both")), n, key).where(F.col("jaccard") >= least)
+
+
+def _jaccard(met: DataFrame, n: DataFrame, key: str) -> DataFrame:
+    """a, b, jaccard from how many items each pair has in common and each key has."""
     met = met.join(n.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
     return met.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 
 
+def near_candidates(df: DataFrame, rows: int, key: str, item: str, least: float) -> DataFrame:
+    """a < b, perhaps more than once: all pairs of keys whose jaccard is `least` or more, with some others. Items are dealt by ranges.
+
+    Such a pair has in common at least least / (1 + least) of its two sizes together, so also of the items in one range at least:
+    a task passes on pairs for which that holds in its own, and no others.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    share, kind = least / (1 + least), dict(df.dtypes)[key]
+
+    def count(batches):
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        table = pa.Table.from_batches(tables).combine_chunks()
+        coded = table.column(0).combine_chunks().dictionary_encode()
+        names, order = coded.dictionary, np.argsort(pc.sort_indices(coded.dictionary).to_numpy())
+        k = order[coded.indices.to_numpy()]
+        i = table.column(1).combine_chunks().dictionary_encode().indices.to_numpy()
+        many = len(names)
+        names = names.take(pc.sort_indices(names))
+        # by item, and by key there: what a row meets are the rest of its item's rows
+        by_item = np.lexsort((k, i))
+        k, i = k[by_item].astype(np.int64), i[by_item]
+        size = np.bincount(k, minlength=many)
+        after = np.searchsorted(i, i, "right") - np.arange(len(i)) - 1
+        by_key = np.argsort(k, kind="stable")
+        begins = np.concatenate([[0], np.cumsum(np.bincount(k, after, many))])
+        lo = 0
+        while lo < many:
+            hi = max(lo + 1, int(np.searchsorted(begins, begins[lo] + PAIRED, "right")) - 1)
+            own = by_key[np.searchsorted(k[by_key], lo) : np.searchsorted(k[by_key], hi)] if many > 1 else by_key[:0]
+            lens = after[own]
+            at = np.repeat(own + 1 - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+            met = np.sort(np.repeat(k[own], lens) * many + k[at])
+            first = np.flatnonzero(np.diff(met, prepend=-1))
+            both, a, b = np.diff(np.append(first, len(met))), met[first] // many, met[first] % many
+            near = both >= share * (size[a] + size[b]) - 1e-6
+            if near.any():
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(a[near])), names.take(pa.array(b[near]))], ["a", "b"])
+            lo = hi
+
+    known = df.where(F.col(item).isNotNull() & F.col(key).isNotNull()).select(key, item)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // HELD_ROWS))
+    return known.repartitionByRange(tasks, item).mapInArrow(count, f"a {kind}, b {kind}")
+
+
 #: Confidence of a resolved call by how its target was found. Fixed values.
 TIERS = {"lsp": 1.0, "same_file": 1.0, "receiver": 0.97, "caller_class": 0.95, "unique": 0.70, "import": 0.90, "same_package": 0.85}
 

@@ -223,7 +223,7 @@ def g21(spark, d):
 @query("g22_dependency_groups", "WITH s AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem), n AS (SELECT k, count(*) AS n FROM s GROUP BY k), m AS (SELECT x.k AS a, y.k AS b, count(*) AS both_ FROM s x JOIN s y ON x.i = y.i AND x.k < y.k GROUP BY ALL) SELECT a, b, round(both_ / (p.n + q.n - both_), 9) AS jaccard FROM m JOIN n p ON p.k = a JOIN n q ON q.k = b WHERE both_ / (p.n + q.n - both_) >= 0.15")
 def g22(spark, d):
     s = v.base(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("i")).distinct()
-    return g.set_similarity(s, "k", "i").where("jaccard >= 0.15").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    return g.set_similarity(s, "k", "i", 0.15).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query("p12_confident_answers", "WITH e AS (SELECT source, target, max(weight) AS w FROM {graph_edges} WHERE weight >= 0.7 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY w DESC, target) AS k, count(*) OVER (PARTITION BY source) AS total FROM e) SELECT source, target, total FROM r WHERE k <= 3")

@@ -167,3 +167,20 @@ def test_vectors_of_phrases_stay_in_their_task_whatever_a_batch_holds(spark, mon
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
     assert found[0] == found[1] and {x[1] for x in found[0]} == {"keyword", "tag", "basket", "structural", "gist"}
     assert set(asked) == {"content"}
+
+
+def test_pairs_that_cannot_be_alike_do_not_move(spark, monkeypatch):
+    rng = random.Random(10)
+    # three sets of each twenty are alike, and others share one item of many
+    rows = sorted({(k, 1000 * rng.randrange(60) + k % 20) for k in range(60) for _ in range(60)} | {(k, 500 + 1000 * rng.randrange(40)) for k in range(60) for _ in range(2)} | {(1, None)}, key=str)
+    sets = {k: {i for a, i in rows if a == k} for k, _ in rows}
+    alike = lambda least: sorted((a, b, round(j, 9)) for a, x in sets.items() for b, y in sets.items() if a < b and (j := len((x & y) - {None}) / (len(x) + len(y) - len((x & y) - {None}))) >= least and (x & y) - {None})
+    df = spark.createDataFrame(rows, "k int, i int")
+    monkeypatch.setattr(graphs, "PAIRED", 50)
+    for held in (4_000_000, 200):
+        monkeypatch.setattr(graphs, "HELD_ROWS", held)
+        for least in (0.15, 0.45, 0.9):
+            assert sorted((a, b, round(j, 9)) for a, b, j in graphs.set_similarity(df, "k", "i", least).collect()) == alike(least)
+    monkeypatch.setattr(graphs, "HELD_ROWS", 4_000_000)
+    few = graphs.near_candidates(df, len(rows), "k", "i", 0.3).distinct().count()
+    assert len(alike(0.3)) <= few < len(alike(0)) / 2
